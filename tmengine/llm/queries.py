@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tmengine.llm import packing, quality_rules, sharding
+from tmengine.llm import packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_hilbert_sharding": sharding.op9_hilbert_sharding,
     "op10_packing": packing.op10_packing,
