@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tmengine.llm import packing, quality_rules, sharding, simhash
+from tmengine.llm import embeddings, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op9_hilbert_sharding": sharding.op9_hilbert_sharding,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES = {"op6_quality_rules": quality_rules.OP6_SQL}
+ORACLES = {"op6_quality_rules": quality_rules.OP6_SQL, "op7_embedding_dedup": embeddings.OP7_SQL}
