@@ -92,3 +92,9 @@ def test_stage_form_links_near_copies_and_leaves_others(spark):
     got = {r.doc_id: r.component_id for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[2 * k + 1] == 2 * k for k in range(30)) >= 28
     assert all(got[100 + i] == 100 + i for i in range(40)) and got[301] == 300
+
+
+def test_one_long_text_alone_in_a_block(spark):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(140_000))
+    got = op.simhash_components(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.component_id) for r in got] == [(1, 1)] and got[0].fp % 2**64 == simhash(long)

@@ -83,7 +83,7 @@ def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
         if upto - at == 1:  # a long text, in blocks
             for k in range(0, held, block):
                 part = hashes[at][k : k + block]
-                counts[0] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+                counts[0] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         else:
             full = np.flatnonzero(sizes[at:upto])
             if len(full):
