@@ -56,17 +56,20 @@ def statistics(data: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """``(doc_id, stats)`` of every row; null text counts as empty."""
+def document_statistics(docs: DataFrame, carry: tuple | None = None) -> DataFrame:
+    """``(doc_id, stats)`` of every row, with a long column ``carry`` = (name, column) if asked; null text counts as empty."""
+    extra = [carry[0]] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [statistics(t) for t in texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "stats"])
+                columns = [part.column("doc_id"), *(part.column(c) for c in extra), pa.array(found, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *extra, "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([carry[1].alias(carry[0])] if carry else []), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in extra) + "stats array<double>")
 
 
 @dataclass
@@ -127,8 +130,8 @@ def fit(labelled: DataFrame, pool: float = 60.0, diagonal: float = 0.02) -> Disc
     return model or float((both[1, 0] + 0.5) / (both[:, 0].sum() + 1.0))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+def quality_scores(docs: DataFrame, labels: DataFrame, carry: tuple | None = None) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``, and a long column to carry along if given.
 
     Learns from all labelled rows whose crc32(doc_id as text) mod 4 is not 2; only the text's statistics
     enter a score. Null and empty texts are scored by zero statistics; a null doc_id is never held out or
@@ -136,7 +139,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated rows are scored alone; without labels every score is 0.5; an empty table gives no rows; other
     columns are ignored. Texts are read once; only the statistics are joined with the labels.
     """
-    stats = materialize(document_statistics(docs))
+    stats = materialize(document_statistics(docs, carry))
     held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max(F.col("quality").cast("int")).alias("quality")).where("quality in (0, 1)")
@@ -149,7 +152,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         x = np.stack(values.to_numpy())
         return pd.Series(np.full(len(x), model) if isinstance(model, float) else model.score(x))
 
-    out = stats.select("doc_id", held_out.alias("held_out"), score("stats").alias("score"))
+    out = stats.select("doc_id", held_out.alias("held_out"), score("stats").alias("score"), *([carry[0]] if carry else []))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
