@@ -59,30 +59,35 @@ def decode(vectors: np.ndarray, blocks: int, words: int, slack: float) -> list[n
     return out
 
 
-def unit_links(vectors: np.ndarray, filters: list, key: int, side: np.ndarray, split: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one filter's vectors with cosine of at least ``least`` that share no smaller filter.
+def piece_links(unit: np.ndarray, filters: pa.ListArray, key: int, side: np.ndarray, split: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one filter's unit vectors with cosine of at least ``least`` that share no smaller filter.
 
     If ``split``, only pairs across the two sides are wanted: pairs within a side belong to other pieces.
     """
-    lengths = np.linalg.norm(vectors, axis=1)
-    unit = vectors / lengths[:, None]
-    smaller = [f[f < key] for f in filters]
-    names = np.unique(np.concatenate(smaller)) if smaller else np.zeros(0, np.int64)
-    shared = np.zeros((len(unit), len(names)), np.float32)
-    for i, f in enumerate(smaller):
-        shared[i, np.searchsorted(names, f)] = 1
     first, second = [], []
     for at in range(0, len(unit), 1024):
-        near = (unit[at : at + 1024] @ unit.T) >= least
-        if len(names):
-            near &= (shared[at : at + 1024] @ shared.T) == 0
+        near = (unit[at : at + 1024] @ unit[at:].T) >= least
+        near = np.triu(near, 1)
         if split:
-            near &= side[at : at + 1024, None] != side[None, :]
+            near &= side[at : at + 1024, None] != side[None, at:]
         i, j = np.nonzero(near)
-        i += at
-        first.append(i[i < j])
-        second.append(j[i < j])
-    return np.concatenate(first), np.concatenate(second)
+        first.append(i + at)
+        second.append(j + at)
+    a, b = np.concatenate(first), np.concatenate(second)
+    if not len(a):
+        return a, b
+    met = np.unique(np.concatenate([a, b]))
+    lists = filters.take(pa.array(met))
+    values, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(met)), np.diff(lists.offsets.to_numpy()))
+    owner, values = owner[values < key], values[values < key]
+    if len(values):
+        names, column = np.unique(values, return_inverse=True)
+        has = np.zeros((len(met), len(names)), np.float32)
+        has[owner, column] = 1
+        shared = has @ has.T
+        alone = shared[np.searchsorted(met, a), np.searchsorted(met, b)] == 0
+        a, b = a[alone], b[alone]
+    return a, b
 
 
 def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, words: int = 256, slack: float = 0.05) -> DataFrame:
@@ -108,7 +113,8 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, wo
             for _, part in batch.groupby(batch["embedding"].map(len)):
                 v = np.stack(part["embedding"].to_numpy())
                 v = v / np.abs(v).max(axis=1, keepdims=True)
-                found = decode(v / np.linalg.norm(v, axis=1, keepdims=True), blocks, words, slack)
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                found = decode(v, blocks, words, slack)
                 yield pd.DataFrame({"point": part["point"].to_numpy(), "label": part["label"].to_numpy(), "embedding": list(v), "filters": found})
 
     copies = ids.where("point is not null").groupBy("point").agg(F.count("*").alias("copies"))
@@ -128,35 +134,53 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, wo
     full = full.select(*piece, "chunk", "point", "copies", "embedding", "filters")
     full = full.repartition(partitions_for(full), *piece).sortWithinPartitions(*piece, "point")
 
-    def links_of(part: pd.DataFrame) -> pd.DataFrame:
-        head = part.iloc[0]
-        side = part["chunk"].to_numpy()
-        filters = [np.asarray(f, np.int64) for f in part["filters"]]
-        a, b = unit_links(np.stack(part["embedding"].to_numpy()), filters, int(head["filter"]), side, head["lower"] != head["upper"], least)
-        n, name = part["copies"].to_numpy(), part["point"].to_numpy()
-        count = np.bincount(a, n[b], len(part)) + np.bincount(b, n[a], len(part))
+    def links_of(part: dict, a: int, z: int) -> np.ndarray | None:
+        """Rows (point, point, links): each point's number of links, then links that connect the points."""
+        offsets, filters = part["offsets"], part["filters"].slice(a, z - a)
+        unit = part["values"][offsets[a] : offsets[z]].reshape(z - a, -1)
+        i, j = piece_links(unit, filters, part["filter"][a], part["chunk"][a:z], part["lower"][a] != part["upper"][a], least)
+        if not len(i):
+            return None
+        n, name = part["copies"][a:z], part["point"][a:z]
+        count = np.bincount(i, n[j], z - a) + np.bincount(j, n[i], z - a)
         some, forest = np.flatnonzero(count), _Links()
-        tree = [(x, y) for x, y in zip(name[a].tolist(), name[b].tolist()) if forest.join(x, y)]
-        ends = np.array(tree, np.int64).reshape(-1, 2)
-        return pd.DataFrame({
-            "a": np.concatenate([name[some], ends[:, 0]]), "b": np.concatenate([name[some], ends[:, 1]]),
-            "links": np.concatenate([count[some].astype(np.int64), np.zeros(len(ends), np.int64)]),
-        })
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        tree = np.array([(x, y) for x, y in zip(name[i].tolist(), name[j].tolist()) if forest.join(x, y)], np.int64)
+        own = np.column_stack([name[some], name[some], count[some].astype(np.int64)])
+        return np.concatenate([own, np.column_stack([tree, np.zeros(len(tree), np.int64)])])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def pieces(table: pa.Table, ended: bool) -> tuple[list[np.ndarray], int]:
+            """The links of all pieces but an unfinished last one, and where that begins."""
+            part = {c: table.column(c).to_numpy() for c in ("filter", "lower", "upper", "dim", "chunk", "point", "copies")}
+            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            vectors = table.column("embedding").combine_chunks()
+            part |= {"values": vectors.flatten().to_numpy(), "offsets": vectors.offsets.to_numpy() - vectors.offsets[0].as_py(), "filters": table.column("filters").combine_chunks()}
+            differs = np.diff(label) != 0
+            for c in ("dim", "filter", "lower", "upper"):
+                differs |= np.diff(part[c]) != 0
+            cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), table.num_rows]
+            done = cuts if ended else cuts[:-1]
+            found = (links_of(part, a, z) for a, z in zip(done, done[1:]) if z - a > 1)
+            return [x for x in found if x is not None], done[-1]
+
+        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if found:
+                rows = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["a", "b", "links"])
+
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            new = (batch[piece] != batch[piece].shift()).any(axis=1).to_numpy()
-            cuts = [*np.flatnonzero(new).tolist(), len(batch)]
-            for a, z in zip(cuts[:-2], cuts[1:-1]):
-                if z - a > 1:
-                    yield links_of(batch.iloc[a:z])
-            rest = batch.iloc[cuts[-2] :]
-        if rest is not None and len(rest) > 1:
-            yield links_of(rest)
-
-    found = materialize(full.mapInPandas(compare, "a long, b long, links long"))
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if table.num_rows:
+                found, at = pieces(table, False)
+                rest = table.slice(at)
+                yield from out(found)
+        if rest is not None:
+            yield from out(pieces(rest, True)[0])
+
+    found = materialize(full.mapInArrow(compare, "a long, b long, links long"))
     linked = components(found.where("links = 0").select("a", "b"))
     counts = found.where("links > 0").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
     named = ids.where("point is not null").groupBy("point").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
