@@ -1,6 +1,570 @@
-"""Every registered query with its DuckDB equivalent."""
+"""Every registered query of the engine with its DuckDB equivalent."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tmengine.functions import text as fn
+from tmengine.operators import cluster, enrich, glossary, infer, memory, render, retrieve, textindex, units
+from tmengine.plans import inputs as src
+from tmengine.sources import files, sinks
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+RANK = "CASE status WHEN 'Designer Reviewed' THEN 1 WHEN 'CQA_Done' THEN 2 WHEN 'Done_LQA edited' THEN 3 WHEN 'Done' THEN 4 ELSE 99 END"
+WEIGHT = "CASE status WHEN 'Designer Reviewed' THEN 1.0::DOUBLE WHEN 'CQA_Done' THEN 0.97 WHEN 'Done_LQA edited' THEN 0.94 WHEN 'Done' THEN 0.9 ELSE 0.85 END"
+TM = f"tm AS (SELECT *, {RANK} AS rank FROM (SELECT p_partkey::BIGINT AS row_id, p_name AS source, p_brand || ' ' || p_type AS target, {src.STATUS_SQL} AS status FROM part))"
+
+
+def query(sql: str | None = None):
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- translation memory -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {TM} SELECT source, target, first(row_id ORDER BY rank, row_id) AS row_id, first(status ORDER BY rank, row_id) AS status,
+min(rank) AS rank, count(*) AS n_rows FROM tm GROUP BY source, target""")
+def tm_best(spark, d):
+    return memory.best_by_pair(src.memory(spark, d))
+
+
+EXACT = f"""WITH {TM}, b AS (SELECT source, target, min(rank) AS rank, first(status ORDER BY rank) AS status FROM tm GROUP BY source, target),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, target) AS nth FROM b),
+s AS (SELECT p_partkey::BIGINT AS row_id, CASE WHEN p_size % 5 = 0 THEN p_name || ' x' ELSE p_name END AS source FROM part)
+SELECT s.row_id, s.source, n.target, n.status, n.rank, n.nth, n.target IS NOT NULL AS is_exact, CASE WHEN n.target IS NOT NULL THEN 1.0::DOUBLE END AS score
+FROM s LEFT JOIN n ON s.source = n.source AND nth <= """
+
+
+def _asked(spark, d):
+    name = F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.col("p_name"))
+    return src.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("row_id"), name.alias("source"))
+
+
+@query(EXACT + "1")
+def tm_exact(spark, d):
+    return memory.exact_matches(_asked(spark, d), src.memory(spark, d))
+
+
+@query(EXACT + "3")
+def tm_exact_top3(spark, d):
+    return memory.exact_matches(_asked(spark, d), src.memory(spark, d), 3)
+
+
+PLAN = f"""WITH {TM}, inc AS (SELECT source, target, first(row_id ORDER BY rank, row_id) AS row_id, first(status ORDER BY rank, row_id) AS status, min(rank) AS rank,
+count(*) AS n_rows FROM tm WHERE row_id % 3 <> 0 GROUP BY source, target),
+old AS (SELECT *, 'point-' || lpad(row_id::VARCHAR, 12, '0') AS pair_id FROM tm WHERE row_id % 3 = 0),
+ex AS (SELECT source, target, min(rank) AS old_rank, first(pair_id ORDER BY rank, pair_id) AS reuse_id, string_agg(pair_id, ',' ORDER BY pair_id) AS ids FROM old GROUP BY source, target),
+plan AS (SELECT inc.*, CASE WHEN old_rank IS NULL THEN 'embed' WHEN old_rank <= rank THEN 'skip' ELSE 'clone' END AS action, ex.reuse_id, ex.ids
+FROM inc LEFT JOIN ex USING (source, target))"""
+
+
+def _plan(spark, d):
+    stored, incoming = src.stored_and_incoming(spark, d)
+    return memory.import_plan(incoming, stored), stored
+
+
+@query(PLAN + """ SELECT source, target, row_id, status, rank, n_rows, action, CASE WHEN action = 'clone' THEN reuse_id END AS reuse_id,
+CASE WHEN action = 'clone' THEN ids END AS obsolete_ids FROM plan""")
+def tm_plan(spark, d):
+    return _plan(spark, d)[0].withColumn("obsolete_ids", F.array_join("obsolete_ids", ","))
+
+
+@query(PLAN + """ SELECT sum(n_rows)::BIGINT AS candidates, count(*) AS unique_pairs, sum(n_rows - 1)::BIGINT AS duplicates, count(*) FILTER (action = 'skip') AS skipped,
+count(*) FILTER (action = 'embed') AS new, count(DISTINCT source) FILTER (action = 'embed') AS new_sources, count(*) FILTER (action = 'clone') AS upgraded FROM plan""")
+def tm_plan_summary(spark, d):
+    return memory.plan_summary(_plan(spark, d)[0])
+
+
+UUID5 = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+NS = "from_hex('" + NAMESPACE.hex + "')"
+
+
+@query(PLAN + f""", gone AS (SELECT DISTINCT old.pair_id FROM old JOIN plan USING (source, target) WHERE action = 'clone'),
+fresh AS (SELECT *, sha1({NS} || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h FROM plan WHERE action <> 'skip')
+SELECT pair_id, source, target, status FROM old WHERE pair_id NOT IN (SELECT pair_id FROM gone)
+UNION ALL SELECT {UUID5}, source, target, status FROM fresh""")
+def tm_apply_plan(spark, d):
+    plan, stored = _plan(spark, d)
+    return memory.apply_plan(plan, stored, NAMESPACE)
+
+
+@query(f"""WITH {TM}, x AS (SELECT *, sha1({NS} || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h FROM tm) SELECT row_id, {UUID5} AS pair_id FROM x""")
+def pair_ids(spark, d):
+    return src.memory(spark, d).select("row_id", fn.pair_id(F.col("source"), F.col("target"), F.col("status"), NAMESPACE).alias("pair_id"))
+
+
+@query(PLAN + """ SELECT source, target, status, reuse_id, round(list_sum(e.embedding::DOUBLE[]), 4) AS total, e.vec_id IS NULL AS missing
+FROM plan LEFT JOIN embeddings e ON e.vec_id = substr(reuse_id, 7)::BIGINT WHERE action = 'clone'""")
+def vector_reuse(spark, d):
+    plan, _ = _plan(spark, d)
+    stored = src.table(spark, d, "embeddings").select(F.concat(F.lit("point-"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("pair_id"), F.col("embedding").alias("dense"))
+    total = F.round(F.aggregate("dense", F.lit(0.0), lambda s, x: s + x), 4)
+    return memory.reused_vectors(plan, stored).select("source", "target", "status", "reuse_id", total.alias("total"), "missing")
+
+
+@query("""WITH k AS (SELECT c_custkey::BIGINT AS row_id, c_name || '/' || c_mktsegment || '-latest.sdltm' AS file, c_mktsegment AS m FROM customer)
+SELECT row_id, 'Done' AS status FROM k""")
+def file_status(spark, d):
+    rows = src.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("row_id"), F.concat("c_name", F.lit("/"), "c_mktsegment", F.lit("-latest.sdltm")).alias("file"))
+    return rows.select("row_id", fn.status_from_file(F.col("file")).alias("status"))
+
+
+@query(f"""WITH {TM} SELECT row_id, coalesce(source, '') AS source, coalesce(status, '') AS status, {RANK} AS rank, {WEIGHT} AS weight FROM tm""")
+def clean_cells(spark, d):
+    rows = src.memory(spark, d)
+    padded = F.concat(F.lit(" \t"), "source", F.lit("\n "))
+    return rows.select("row_id", fn.clean_cell(padded).alias("source"), fn.clean_cell(F.coalesce("status", F.lit(" NaN "))).alias("status"), fn.status_rank(F.col("status")).alias("rank"), fn.status_weight(F.col("status")).alias("weight"))
+
+
+@query("SELECT doc_id::BIGINT AS doc_id, md5(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS cleaned FROM documents")
+def memory_text(spark, d):
+    spaced = F.concat(F.lit(" "), "text", F.lit("\t "))
+    return src.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(fn.memory_text(spaced).cast("binary")).alias("cleaned"))
+
+
+@query("SELECT p_partkey::BIGINT AS row_id, p_name || ' & <' || p_type || '>' AS text FROM part")
+def segment_text(spark, d):
+    part = src.table(spark, d, "part")
+    escaped = F.concat("p_name", F.lit(" &amp; &lt;"), "p_type", F.lit("&gt;"))
+    first = F.expr("length(p_name)")
+    xml = F.concat(
+        F.lit('<Segment xmlns="urn:x"><Elements><Text><Value>'), F.substring(escaped, F.lit(1), first), F.lit("</Value></Text><Tag><TagID>9</TagID><Anchor>1</Anchor></Tag><Text>"),
+        F.substring(escaped, first + 1, F.length(escaped)), F.lit("</Text></Elements></Segment>"),
+    )
+    return files.checked_segments(part.select(F.col("p_partkey").cast("long").alias("row_id"), xml.alias("xml"))).select("row_id", "text")
+
+
+# --- glossary -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {src.GLOSSARY_SQL} SELECT * FROM terms")
+def glossary_load(spark, d):
+    return glossary.load(src.glossary_entries(spark, d))
+
+
+@query(f"""WITH {src.GLOSSARY_SQL}, p AS (SELECT *, (SELECT count(*) FROM terms) AS total FROM terms ORDER BY length(source) DESC, row_id LIMIT 10 OFFSET 5) SELECT * FROM p""")
+def glossary_page(spark, d):
+    return glossary.page(glossary.load(src.glossary_entries(spark, d)), 10, 5)
+
+
+@query("""WITH o AS (SELECT DISTINCT p_name || ' ' || p_size AS source FROM part WHERE p_brand < 'Brand#2'), n AS (SELECT DISTINCT p_name || ' ' || p_size AS source FROM part WHERE p_brand >= 'Brand#2')
+SELECT source, CASE WHEN source IN (SELECT source FROM o) THEN 'updated' ELSE 'added' END AS change FROM n""")
+def glossary_diff(spark, d):
+    part = src.table(spark, d, "part").withColumn("source", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")))
+    return glossary.difference(part.where("p_brand < 'Brand#2'"), part.where("p_brand >= 'Brand#2'"))
+
+
+@query(f"""WITH {src.GLOSSARY_SQL} SELECT row_id, s.source, t.target AS term_target FROM (SELECT p_partkey::BIGINT AS row_id, CASE WHEN p_size % 5 = 0 THEN p_name || ' x' ELSE p_name END AS source FROM part) s
+LEFT JOIN (SELECT source, target FROM terms) t USING (source)""")
+def glossary_lookup(spark, d):
+    return glossary.lookup(_asked(spark, d), glossary.load(src.glossary_entries(spark, d)))
+
+
+@query(f"WITH {src.GLOSSARY_SQL} SELECT category, count(*) AS n_terms, string_agg(source, '|' ORDER BY source) AS sources FROM terms WHERE category IS NOT NULL GROUP BY category")
+def glossary_by_category(spark, d):
+    return glossary.by_category(glossary.load(src.glossary_entries(spark, d)))
+
+
+MATCHED = f"""WITH {src.GLOSSARY_SQL}, pat AS (SELECT string_agg(source, '|' ORDER BY length(source) DESC, source) AS p FROM terms),
+t AS (SELECT ps_row AS row_id, unit, pos, txt FROM (SELECT p_partkey::BIGINT AS ps_row, p_size AS unit, p_partkey::BIGINT AS pos, p_name || ' with ' || p_name || ' and ' || lower(p_type) || ' ' || p_name || 's' AS txt FROM part)),
+m AS (SELECT row_id, unit, pos, unnest(regexp_extract_all(txt, (SELECT p FROM pat))) AS term, generate_subscripts(regexp_extract_all(txt, (SELECT p FROM pat)), 1) AS i FROM t)"""
+
+
+def _matched(spark, d):
+    name = F.concat("p_name", F.lit(" with "), "p_name", F.lit(" and "), F.lower("p_type"), F.lit(" "), "p_name", F.lit("s"))
+    texts = src.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("row_id"), F.col("p_size").alias("unit"), name.alias("text"))
+    return glossary.matches(texts, glossary.load(src.glossary_entries(spark, d)))
+
+
+@query(MATCHED + " SELECT row_id, string_agg(term, '|' ORDER BY f) AS terms FROM (SELECT row_id, term, min(i) AS f FROM m GROUP BY row_id, term) GROUP BY row_id")
+def term_match(spark, d):
+    return _matched(spark, d).select("row_id", F.array_join("terms", "|").alias("terms"))
+
+
+@query(MATCHED + """ SELECT unit::VARCHAR AS unit_id, string_agg(term, '|' ORDER BY pos, i) AS terms FROM
+(SELECT unit, term, min(pos) AS pos, arg_min(i, pos * 1000 + i) AS i FROM m GROUP BY unit, term) GROUP BY unit""")
+def unit_terms(spark, d):
+    members = _matched(spark, d).select(F.col("unit").cast("string").alias("unit_id"), F.col("row_id").alias("pos"), "terms")
+    return glossary.unit_terms(members).withColumn("terms", F.array_join("terms", "|"))
+
+
+# --- work units ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {src.SEGMENTS_SQL}, u AS (SELECT source, content_type, min(row_id) AS unique_id, count(*) AS n_copies FROM segments GROUP BY ALL)
+SELECT s.row_id, s.source, s.content_type, u.unique_id, u.n_copies FROM segments s JOIN u ON s.source = u.source AND s.content_type IS NOT DISTINCT FROM u.content_type""")
+def dedup_fanout(spark, d):
+    segments = src.segments(spark, d)
+    return units.fan_out(segments, units.distinct_segments(segments))
+
+
+@query(f"""WITH {src.SEGMENTS_SQL}, u AS (SELECT count(*) AS n FROM (SELECT DISTINCT source, content_type FROM segments))
+SELECT (SELECT count(*) FROM segments) AS total, n AS unique, (SELECT count(*) FROM segments) - n AS saved, round(((SELECT count(*) FROM segments) - n) * 100.0::DOUBLE / (SELECT count(*) FROM segments), 2) AS saved_pct FROM u""")
+def dedup_saving(spark, d):
+    return units.dedup_saving(src.segments(spark, d))
+
+
+@query(f"""WITH {src.DIALOGS_SQL} SELECT row_id, dialog_id, kind, speaker, CASE WHEN kind = 'single' THEN 0 ELSE row_number() OVER (PARTITION BY dialog_id ORDER BY time NULLS FIRST, row_id) - 1 END AS pos FROM members""")
+def dialog_units(spark, d):
+    return units.dialog_members(src.dialogs(spark, d)).select("row_id", "dialog_id", "kind", "speaker", "pos")
+
+
+SINGLES = f"WITH {src.DIALOGS_SQL}, n AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM members WHERE kind = 'single')"
+
+
+@query(SINGLES + " SELECT row_id, 'single-' || (place // 5) AS unit_id, place % 5 AS pos FROM n")
+def single_units(spark, d):
+    rest = units.dialog_members(src.dialogs(spark, d)).where("kind = 'single'").select("row_id")
+    return units.single_units(rest, 5)
+
+
+@query(f"""WITH {src.SEGMENTS_SQL} SELECT source AS unit_id, first(content_type ORDER BY row_id) FILTER (content_type IS NOT NULL) AS content_type, count(*) AS n_members FROM segments GROUP BY source""")
+def unit_types(spark, d):
+    return units.unit_types(src.segments(spark, d).select(F.col("source").alias("unit_id"), F.col("row_id").alias("pos"), "content_type"))
+
+
+UNITS = "WITH u AS (SELECT conv_id::VARCHAR AS unit_id, count(*) AS n_members FROM conversations GROUP BY 1), done AS (SELECT DISTINCT conv_id::VARCHAR AS unit_id FROM conversations WHERE role = 'system')"
+
+
+def _units(spark, d):
+    c = src.table(spark, d, "conversations")
+    name = F.col("conv_id").cast("string").alias("unit_id")
+    return c.groupBy(name).agg(F.count("*").alias("n_members")), c.where("role = 'system'").select(name)
+
+
+@query(UNITS + " SELECT * FROM u WHERE unit_id NOT IN (SELECT unit_id FROM done)")
+def resume_pending(spark, d):
+    return units.pending(*_units(spark, d))
+
+
+@query(UNITS + """, s AS (SELECT u.*, done.unit_id IS NOT NULL AS ok FROM u LEFT JOIN done USING (unit_id))
+SELECT sum(n_members)::BIGINT AS total, coalesce(sum(n_members) FILTER (ok), 0)::BIGINT AS completed, count(*) AS units, count(*) FILTER (ok) AS units_done,
+round(coalesce(sum(n_members) FILTER (ok), 0) * 100.0::DOUBLE / sum(n_members), 2) AS progress_pct, CASE WHEN bool_and(ok) THEN 'completed' ELSE 'running' END AS status FROM s""")
+def job_progress(spark, d):
+    return units.progress(*_units(spark, d))
+
+
+@query("""WITH e AS (SELECT o_orderkey::BIGINT * 10 AS start, o_orderkey::BIGINT * 10 + 10 AS stop, o_orderpriority LIKE '5%' AS ko FROM orders),
+t AS (SELECT min(start) FILTER (ko) AS a, max(stop) AS b, count(*) FILTER (NOT ko) * 10 AS rows_done FROM e) SELECT coalesce(a, b) AS safe_offset, rows_done FROM t""")
+def contiguous_offset(spark, d):
+    o = src.table(spark, d, "orders").select((F.col("o_orderkey").cast("long") * 10).alias("start"), (F.col("o_orderkey").cast("long") * 10 + 10).alias("stop"), "o_orderpriority")
+    return units.contiguous_offset(o.select("start", "stop"), o.where("o_orderpriority not like '5%'"))
+
+
+@query("""SELECT n_name AS key, r_name AS stored, CASE WHEN n_regionkey % 2 = 0 THEN r_name ELSE n_name END AS asked FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey % 2 <> 0 AND r_name <> n_name""")
+def context_diff(spark, d):
+    n = src.table(spark, d, "nation").join(src.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = n.select(F.col("n_name").alias("key"), F.when(F.col("n_regionkey") % 2 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("value"))
+    return units.context_difference(n.select(F.col("n_name").alias("key"), F.col("r_name").alias("value")), asked)
+
+
+@query("SELECT event_type AS outcome, count(*) AS n_files FROM events GROUP BY event_type")
+def run_totals(spark, d):
+    return units.outcome_totals(src.table(spark, d, "events").withColumnRenamed("event_type", "outcome"))
+
+
+@query(f"""WITH {TM}, s AS ({EXACT.replace("WITH " + TM + ",", "WITH")}1) SELECT row_id, coalesce(target, upper(source)) AS translation, is_exact AS adopted FROM s""")
+def direct_merge(spark, d):
+    asked = memory.exact_matches(_asked(spark, d), src.memory(spark, d))
+    direct = asked.where("is_exact").select("row_id", F.col("target").alias("translation"), F.lit(True).alias("adopted"))
+    return units.merge_direct(direct, asked.select("row_id", F.upper("source").alias("translation"), F.lit(False).alias("adopted")))
+
+
+# --- retrieval ----------------------------------------------------------------------------------------------------
+
+POSTED = """WITH RECURSIVE ix AS (SELECT doc_id::BIGINT AS pair_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS token FROM documents) GROUP BY ALL),
+qs AS (SELECT item_id::BIGINT AS query_id, token, count(*) AS q_tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS token FROM benchmark) GROUP BY ALL),
+idf AS (SELECT token, count(*) AS df, ln(1.0::DOUBLE + ((SELECT count(*) FROM documents)::DOUBLE - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM ix GROUP BY token),
+sp AS (SELECT query_id, pair_id, round(sum(q_tf * idf * tf), 6) AS score FROM qs JOIN idf USING (token) JOIN ix USING (token) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM sp) WHERE nth <= 20),
+bq AS (SELECT item_id::BIGINT AS query_id, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = item_id) AS v FROM benchmark),
+co AS (SELECT query_id, vec_id::BIGINT AS pair_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score FROM bq JOIN embeddings ON v IS NOT NULL),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM co WHERE score >= 0.2) WHERE nth <= 20)"""
+HYBRID = POSTED + f""", ff AS (SELECT query_id, pair_id, round(sum(1.0::DOUBLE / (60 + nth)), 9) AS score FROM (SELECT query_id, pair_id, nth FROM sparse UNION ALL SELECT query_id, pair_id, nth FROM dense) GROUP BY ALL),
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM ff) WHERE nth <= 13),
+ixr AS (SELECT doc_id::BIGINT AS pair_id, md5(text) AS source, lang || '-' || source AS target,
+  CASE doc_id % 6 WHEN 0 THEN 'Designer Reviewed' WHEN 1 THEN 'CQA_Done' WHEN 2 THEN 'Done_LQA edited' WHEN 3 THEN 'Done' WHEN 4 THEN 'Draft' END AS status FROM documents),
+hj AS (SELECT query_id, pair_id, score, source, target, status, {RANK} AS rank, {WEIGHT} AS w FROM fu JOIN ixr USING (pair_id)),
+h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, target ORDER BY rank, score DESC, pair_id) AS one FROM hj) WHERE one = 1),
+hits AS (SELECT query_id, source, target, pair_id, score, status, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * w, 9) DESC, score DESC, pair_id) AS nth FROM h1) WHERE nth <= 3)"""
+
+
+def _texts(spark, d):
+    return src.documents_index(spark, d), src.benchmark_queries(spark, d)
+
+
+def _sparse(spark, d):
+    index, asked = _texts(spark, d)
+    n = index.agg(F.count("*").alias("n"))
+    scores = retrieve.sparse_scores(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), n)
+    return retrieve.top(scores, 20)
+
+
+def _dense(spark, d, least: float = 0.2):
+    _, index = src.vectors(spark, d)
+    asked = src.benchmark_queries(spark, d).join(index.withColumnRenamed("pair_id", "query_id"), "query_id").select("query_id", "vector")
+    return retrieve.dense_scores(asked, index, 20, least)
+
+
+@query("SELECT doc_id::BIGINT AS pair_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS token FROM documents) GROUP BY ALL")
+def tf(spark, d):
+    return textindex.postings(_texts(spark, d)[0], "pair_id")
+
+
+@query(POSTED + " SELECT token, df, round(idf, 6) AS idf, ('0x' || left(md5(token), 8))::BIGINT AS hash FROM idf")
+def idf(spark, d):
+    index = _texts(spark, d)[0]
+    out = textindex.inverse_frequencies(textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")))
+    return out.select("token", "df", F.round("idf", 6).alias("idf"), fn.token_hash(F.col("token")).alias("hash"))
+
+
+@query(POSTED + " SELECT query_id, pair_id, score, nth FROM sparse")
+def sparse_topk(spark, d):
+    return _sparse(spark, d)
+
+
+@query("""WITH co AS (SELECT q.vec_id::BIGINT AS query_id, e.vec_id::BIGINT AS pair_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM co WHERE score >= 0.5) WHERE nth <= 20""")
+def dense_topk(spark, d):
+    return retrieve.dense_scores(*src.vectors(spark, d), 20, 0.5)
+
+
+@query(POSTED + " SELECT item_id::BIGINT AS query_id, (SELECT max(score) FROM co WHERE co.query_id = item_id) AS dense_top1, (SELECT count(*) FROM sparse WHERE sparse.query_id = item_id) AS sparse_hits FROM benchmark")
+def recall_diag(spark, d):
+    return retrieve.recall_diagnostics(src.benchmark_queries(spark, d), _dense(spark, d, -1.0), _sparse(spark, d))
+
+
+@query(HYBRID + " SELECT query_id, pair_id, score FROM ff")
+def rrf(spark, d):
+    return retrieve.fused([_dense(spark, d), _sparse(spark, d)])
+
+
+@query(HYBRID + " SELECT * FROM hits")
+def hybrid_search(spark, d):
+    return retrieve.hybrid_search(_dense(spark, d), _sparse(spark, d), _texts(spark, d)[0])
+
+
+@query(HYBRID + """, mu AS (SELECT query_id // 4 AS unit_id, source, target, first(status ORDER BY score DESC, pair_id) AS status, max(score) AS score FROM hits GROUP BY ALL)
+SELECT unit_id, source, target, status, score, nth FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY score DESC, source, target) AS nth FROM mu) WHERE nth <= 4""")
+def unit_refs(spark, d):
+    members = src.benchmark_queries(spark, d).select(F.expr("query_id div 4").alias("unit_id"), "query_id")
+    return retrieve.unit_references(members, retrieve.hybrid_search(_dense(spark, d), _sparse(spark, d), _texts(spark, d)[0]), 2)
+
+
+@query("""WITH s AS (SELECT c_custkey::BIGINT AS query_id, c_custkey % 2 AS term_count, c_nationkey % 3 AS sparse_hits, CASE WHEN c_nationkey % 5 > 0 THEN abs(c_acctbal) / 10000 END AS dense_top1 FROM customer)
+SELECT *, term_count = 0 AND sparse_hits = 0 AND coalesce(dense_top1, 0) < 0.5 AS weak FROM s""")
+def weak_recall(spark, d):
+    top1 = F.when(F.col("c_nationkey") % 5 > 0, F.abs("c_acctbal") / 10000)
+    rows = src.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("query_id"), (F.col("c_custkey") % 2).alias("term_count"), (F.col("c_nationkey") % 3).alias("sparse_hits"), top1.alias("dense_top1"))
+    return retrieve.weak_recall(rows, 0.5)
+
+
+# --- templates ----------------------------------------------------------------------------------------------------
+
+NAMES = """WITH RECURSIVE t AS (SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_name AS text FROM part),
+l AS (SELECT a.text AS x, b.text AS y, least(length(a.text), length(b.text)) AS s, greatest(length(a.text), length(b.text)) AS g FROM t a JOIN t b ON a.text < b.text WHERE least(length(a.text), length(b.text)) >= 0.8 * greatest(length(a.text), length(b.text))),
+c AS (SELECT *, len(list_filter(range(1, s + 1), lambda i: left(x, i) = left(y, i))) AS p, len(list_filter(range(1, s + 1), lambda i: right(x, i) = right(y, i))) AS q FROM l),
+k AS (SELECT x, y, (p + least(q, s - p)) / g::DOUBLE AS sim FROM c WHERE (p + least(q, s - p)) / g::DOUBLE >= 0.8 - 1e-9),
+rep AS (SELECT p_brand || ' ' || p_type || ' ' || p_name AS text, min(p_partkey)::BIGINT AS id FROM part GROUP BY 1),
+pairs AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, sim FROM k JOIN rep a ON k.x = a.text JOIN rep b ON k.y = b.text)"""
+
+
+def _frames(spark, d):
+    name = F.concat_ws(" ", "p_brand", "p_type", "p_name")
+    return src.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("row_id"), name.alias("text"))
+
+
+@query(NAMES + " SELECT a, b, round(sim, 6) AS similarity FROM pairs")
+def affix_pairs(spark, d):
+    distinct = _frames(spark, d).groupBy("text").agg(F.min("row_id").alias("row_id"))
+    return cluster.affix_pairs(distinct, 0.8)
+
+
+CLOSED = NAMES + """, ids AS (SELECT id FROM rep), e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+placed AS (SELECT p_partkey::BIGINT AS row_id, text, component FROM (SELECT *, p_brand || ' ' || p_type || ' ' || p_name AS text FROM part) JOIN rep USING (text) JOIN comp USING (id)),
+shape AS (SELECT component, count(*) AS m, min(text) AS lo, max(text) AS hi, min(reverse(text)) AS rlo, max(reverse(text)) AS rhi, min(length(text)) AS s, max(length(text)) AS g FROM placed GROUP BY component),
+cut AS (SELECT *, len(list_filter(range(1, s + 1), lambda i: left(lo, i) = left(hi, i))) AS p, len(list_filter(range(1, s + 1), lambda i: left(rlo, i) = left(rhi, i))) AS q0 FROM shape),
+final AS (SELECT component, m, lo, rlo, p, least(q0, s - p) AS q, m > 1 AND (p + least(q0, s - p)) / g::DOUBLE >= 0.5 - 1e-9 AS is_grouped FROM cut)"""
+
+
+@query(CLOSED + " SELECT row_id, component FROM placed")
+def template_components(spark, d):
+    return cluster.template_components(_frames(spark, d), 0.8).select("row_id", "component")
+
+
+@query(CLOSED + """ SELECT row_id, component, is_grouped, CASE WHEN is_grouped THEN ((row_number() OVER (PARTITION BY component ORDER BY row_id) - 1) // 10)::INT END AS slice_no,
+CASE WHEN is_grouped AND p + q > 0 THEN left(lo, p) || '…' || reverse(left(rlo, q)) ELSE '' END AS template FROM placed JOIN final USING (component)""")
+def template_groups(spark, d):
+    return cluster.template_groups(_frames(spark, d), 0.8, 0.5)
+
+
+@query("""WITH s AS (SELECT length(min(s_name)) AS n, min(s_name) AS lo, max(s_name) AS hi, min(reverse(s_name)) AS rlo, max(reverse(s_name)) AS rhi, min(s_suppkey)::BIGINT AS component FROM supplier),
+c AS (SELECT *, len(list_filter(range(1, n + 1), lambda i: left(lo, i) = left(hi, i))) AS p, len(list_filter(range(1, n + 1), lambda i: left(rlo, i) = left(rhi, i))) AS q FROM s)
+SELECT s_suppkey::BIGINT AS row_id, component, true AS is_grouped, ((row_number() OVER (ORDER BY s_suppkey) - 1) // 10)::INT AS slice_no, left(lo, p) || '…' || reverse(left(rlo, least(q, n - p))) AS template FROM supplier, c""")
+def supplier_templates(spark, d):
+    s = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("row_id"), F.col("s_name").alias("text"))
+    return cluster.template_groups(s, 0.4, 0.5)
+
+
+@query("""WITH g AS (SELECT n_name AS name, list_distinct(list_transform(range(1, length(n_name) - 1), lambda i: substr(n_name, i, 3))) AS gs FROM nation)
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.gs, b.gs)) / len(list_distinct(list_concat(a.gs, b.gs)))::DOUBLE, 6) AS similarity FROM g a JOIN g b ON a.name < b.name""")
+def ngram_jaccard(spark, d):
+    n = src.table(spark, d, "nation").select(F.col("n_name").alias("name"), fn.ngrams(F.col("n_name"), 3).alias("gs"))
+    pairs = n.alias("a").join(F.broadcast(n).alias("b"), F.col("a.name") < F.col("b.name"))  # nation has a fixed few rows
+    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(fn.jaccard(F.col("a.gs"), F.col("b.gs")), 6).alias("similarity"))
+
+
+# --- outputs, rendering, enrichment -------------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id::BIGINT * 1000 + turn AS row_id, CASE conv_id % 4 WHEN 0 THEN role WHEN 1 THEN 'a' WHEN 2 THEN role || ' said' ELSE '{"other": 1}' END AS translation,
+CASE conv_id % 4 WHEN 0 THEN 'r' || turn WHEN 1 THEN 'it "is" so' END AS reason FROM conversations""")
+def parse_single(spark, d):
+    exact = F.to_json(F.struct(F.col("role").alias("translation"), F.concat(F.lit(" r"), F.col("turn")).alias("reason")))
+    raw = F.when(F.col("conv_id") % 4 == 0, exact).when(F.col("conv_id") % 4 == 1, '{"translation": "a", "reason": "it "is" so"\n}').when(F.col("conv_id") % 4 == 2, F.concat(F.lit(" "), "role", F.lit(" said\n"))).otherwise('{"other": 1}')
+    rows = src.table(spark, d, "conversations").select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("unit_id"), raw.alias("raw"))
+    return infer.parse_single(rows).withColumnRenamed("unit_id", "row_id")
+
+
+@query(f"""WITH {src.OUTPUTS_SQL}, f AS (SELECT unit_id, number, expected, first(translation ORDER BY nth) AS translation, first(reason ORDER BY nth) AS reason FROM counted GROUP BY ALL),
+n AS (SELECT *, count(*) OVER w AS n, min(number) OVER w AS lo, max(number) OVER w AS hi FROM f WINDOW w AS (PARTITION BY unit_id))
+SELECT unit_id, number::INT AS pos, translation, reason FROM n WHERE n = expected AND lo = 1 AND hi = expected""")
+def parse_numbered(spark, d):
+    return infer.parse_numbered(src.unit_outputs(spark, d))
+
+
+@query(f"WITH {src.OUTPUTS_SQL} SELECT unit_id, nth::INT AS pos, translation, reason FROM counted")
+def parse_positional(spark, d):
+    return infer.parse_positional(src.unit_outputs(spark, d))
+
+
+@query(f"""WITH {src.DIALOGS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY dialog_id ORDER BY time NULLS FIRST, row_id) AS nth FROM members WHERE kind = 'dialog')
+SELECT dialog_id, md5('## Dialog' || chr(10) || chr(10) || string_agg(nth || '. [' || speaker || '] ' || source, chr(10) ORDER BY nth)) AS message FROM o GROUP BY dialog_id""")
+def render_dialogs(spark, d):
+    rows = units.dialog_members(src.dialogs(spark, d)).where("kind = 'dialog'").groupBy("dialog_id")
+    turns = F.array_sort(F.collect_list(F.struct("pos", "source", "speaker")))
+    body = render.message([("## Terms", F.lit("")), ("## Dialog", render.dialog_lines(F.col("turns")))])
+    return rows.agg(turns.alias("turns")).select("dialog_id", F.md5(body.cast("binary")).alias("message"))
+
+
+@query(f"""WITH {TM}, b AS (SELECT source, target, min(rank) AS rank, first(status ORDER BY rank) AS status FROM tm GROUP BY source, target),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, target) AS nth FROM b), r AS (SELECT * FROM n WHERE nth <= 3)
+SELECT source AS unit_id, '## References' || chr(10) || chr(10) || string_agg(nth || '. [score=' || printf('%.3f', 1.0 / nth) || '] 「' || source || '」 → "' || target || '"', chr(10) ORDER BY nth) ||
+chr(10) || chr(10) || '## Source' || chr(10) || chr(10) || '1. ' || source AS message FROM r GROUP BY source""")
+def render_units(spark, d):
+    best = memory.exact_matches(src.memory(spark, d).select("source").distinct(), src.memory(spark, d), 3)
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("nth", "target", "status"))), lambda r: r)
+    rows = best.groupBy("source").agg(refs.alias("refs"))
+    views = F.transform("refs", lambda r: F.struct(F.col("source").alias("source"), r["target"].alias("target"), (F.lit(1.0) / r["nth"]).alias("score"), r["status"].alias("status")))
+    rows = rows.select("source", views.alias("refs"))
+    body = render.message([("## References", render.reference_lines(F.col("refs"))), ("## Source", render.numbered_lines(F.array("source")))])
+    return rows.select(F.col("source").alias("unit_id"), body.alias("message"))
+
+
+@query("""SELECT page_id::VARCHAR AS key, i::INT AS pos, trim(url) AS title, left(trim(CASE WHEN page_id % 3 = 0 AND html <> '' THEN html ELSE md5(html) END), 300) AS snippet, trim(url) AS url, 'site' AS site_name,
+CASE WHEN i = 0 AND page_id % 4 = 0 THEN url || '/a.png' END AS image_url FROM pages, (SELECT unnest([0, 1, 2]) AS i) WHERE page_id % 10 <> 9""")
+def web_parse(spark, d):
+    return enrich.parsed_responses(src.search_responses(spark, d))
+
+
+@query(r"""WITH q AS (SELECT p_partkey::BIGINT AS row_id, md5(lower('game ' || p_name)) AS key FROM part), c AS (SELECT DISTINCT md5(lower('game ' || p_name)) AS key FROM part WHERE p_size < 3)
+SELECT row_id, key, key IN (SELECT key FROM c) AS hit FROM q""")
+def cache_split(spark, d):
+    part = src.table(spark, d, "part")
+    asked = part.select(F.col("p_partkey").cast("long").alias("row_id"), F.concat(F.lit("  "), F.upper("p_name"), F.lit(" \n")).alias("query"))
+    cache = part.where("p_size < 3").select(fn.cache_key(F.col("p_name"), F.lit("Game")).alias("key"), F.lit("[]").alias("results"))
+    return enrich.cache_split(asked, cache, F.lit("Game")).select("row_id", "key", "hit")
+
+
+@query("""SELECT p_partkey::BIGINT AS row_id, CASE p_size % 5 WHEN 0 THEN '任务' WHEN 1 THEN '外观' WHEN 2 THEN 'UI文本' WHEN 3 THEN '未知' END AS kind,
+CASE p_size % 5 WHEN 0 THEN 'functional' WHEN 2 THEN 'functional' ELSE 'other' END AS class FROM part""")
+def content_types(spark, d):
+    hint = F.expr("CASE p_size % 5 WHEN 0 THEN ' 任务 ' WHEN 1 THEN '外观描述X' WHEN 2 THEN 'some UI文本' WHEN 3 THEN '未知' ELSE p_name END")
+    rows = src.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("row_id"), fn.content_type(hint).alias("kind"))
+    return rows.withColumn("class", fn.rule_class(F.col("kind")))
+
+
+@query("""WITH p AS (SELECT n_name AS project_id, CASE n_nationkey % 4 WHEN 0 THEN 'zh-en' WHEN 1 THEN 'ZH_CN>fr' WHEN 2 THEN 'ja/KO' ELSE 'zh' END AS lp FROM nation)
+SELECT project_id, CASE lp WHEN 'zh-en' THEN 'Chinese' WHEN 'ZH_CN>fr' THEN 'Chinese' WHEN 'ja/KO' THEN 'Japanese' END AS source_name, CASE lp WHEN 'zh-en' THEN 'English' WHEN 'ZH_CN>fr' THEN 'French' WHEN 'ja/KO' THEN 'ko' END AS target_name FROM p""")
+def language_pairs(spark, d):
+    pair = F.expr("CASE n_nationkey % 4 WHEN 0 THEN 'zh-en' WHEN 1 THEN 'ZH_CN>fr' WHEN 2 THEN 'ja/KO' ELSE 'zh' END")
+    first, last = fn.language_codes(pair)
+    return src.table(spark, d, "nation").select(F.col("n_name").alias("project_id"), fn.language_name(first).alias("source_name"), fn.language_name(last).alias("target_name"))
+
+
+def _guides(spark, d):
+    text = F.concat(F.lit("General rules of "), "n_name", F.lit("\n# Rules by type\n## **一、** **任务**\nshort lines\n## **二、** **角色 / 人物**\nkeep names\n"))
+    return src.table(spark, d, "nation").select(F.col("n_name").alias("project_id"), text.alias("text"))
+
+
+HEADING = r"(?m)^#+\s+\*\*[一二三四五六七八九十]+、\*\*\s+\*\*[^*\n]+\*\*"
+
+
+@query("""WITH t AS (SELECT unnest([NULL, '任务', '角色/人物']) AS content_type) SELECT n_name AS project_id, content_type,
+CASE coalesce(content_type, '') WHEN '' THEN 'General rules of ' || n_name WHEN '任务' THEN '## **一、** **任务**' || chr(10) || 'short lines' ELSE '## **二、** **角色 / 人物**' || chr(10) || 'keep names' END AS rules FROM nation, t""")
+def style_sections(spark, d):
+    return render.style_rules(_guides(spark, d), "Rules by type", HEADING)
+
+
+@query("""WITH u AS (SELECT c_custkey::BIGINT AS unit_id, n_name AS project_id, CASE c_custkey % 3 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' END AS content_type FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT unit_id, project_id, content_type, md5(CASE WHEN content_type = '任务' THEN 'General rules of ' || project_id || chr(10) || chr(10) || '## **一、** **任务**' || chr(10) || 'short lines'
+ELSE 'General rules of ' || project_id || chr(10) || '# Rules by type' || chr(10) || '## **一、** **任务**' || chr(10) || 'short lines' || chr(10) || '## **二、** **角色 / 人物**' || chr(10) || 'keep names' || chr(10) END) AS style FROM u""")
+def style_lookup(spark, d):
+    guides = _guides(spark, d)
+    c = src.table(spark, d, "customer").join(src.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = c.select(F.col("c_custkey").cast("long").alias("unit_id"), F.col("n_name").alias("project_id"), F.expr("CASE c_custkey % 3 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' END").alias("content_type"))
+    out = render.style_for_units(asked, render.style_rules(guides, "Rules by type", HEADING), guides)
+    return out.select("unit_id", "project_id", "content_type", F.md5(F.col("style").cast("binary")).alias("style"))
+
+
+@query("SELECT doc_id::BIGINT AS project_id, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines, md5(left(text, 500)) AS preview FROM documents")
+def style_info(spark, d):
+    docs = src.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("project_id"), "text")
+    return render.style_info(docs).withColumn("preview", F.md5(F.col("preview").cast("binary")))
+
+
+@query("""WITH i AS (SELECT 'c' || (p_partkey % 5) AS collection FROM part) SELECT n.n_name AS project_id, 'c' || n_nationkey AS collection, (SELECT count(*) FROM i WHERE i.collection = 'c' || n.n_nationkey) AS points,
+(SELECT count(DISTINCT c_name) FROM customer WHERE c_nationkey = n.n_nationkey) AS terms FROM nation n""")
+def project_inventory(spark, d):
+    part = src.table(spark, d, "part").groupBy(F.concat(F.lit("c"), F.col("p_partkey") % 5).alias("collection")).agg(F.count("*").alias("points"))
+    terms = src.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.countDistinct("c_name").alias("terms"))
+    n = src.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("project_id"), F.concat(F.lit("c"), "n_nationkey").alias("collection"))
+    out = n.join(part, "collection", "left").join(terms, "n_nationkey", "left")
+    return out.select("project_id", "collection", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
+@query("SELECT event_id::BIGINT AS row_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value::DOUBLE END AS time FROM events")
+def lenient_time(spark, d):
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t="), F.col("value").cast("string"))).otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))
+    return src.table(spark, d, "events").select(F.col("event_id").cast("long").alias("row_id"), fn.lenient_double(said).alias("time"))
+
+
+@query("SELECT conv_id::BIGINT * 1000 + turn AS row_id, coalesce(text, '') AS source, role AS speaker FROM conversations WHERE trim(coalesce(text, '')) <> ''")
+def alias_scan(spark, d):
+    c = src.table(spark, d, "conversations").select((F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("row_id"), F.col("text").alias(" 原文 "), F.col("role").alias("Speaker"))
+    found = files.resolve(c, files.TEXT_ALIASES, ["source"])
+    return found.where("source <> ''").select("row_id", "source", "speaker")
+
+
+@query(f"""WITH {TM}, s AS (SELECT p_partkey::BIGINT AS row_id, p_name AS source FROM part), b AS (SELECT source, target, min(rank) AS rank FROM tm GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, target) AS nth FROM b)
+SELECT s.source AS \"{chr(0xFEFF)}source\", n.target AS translation, '' AS reason, 'true' AS tm_exact FROM s JOIN n ON s.source = n.source AND nth = 1""")
+def export_csv(spark, d):
+    rows = memory.exact_matches(src.segments(spark, d), src.memory(spark, d))
+    rows = rows.select("row_id", "source", F.col("target").alias("translation"), F.lit(None).cast("string").alias("reason"), F.col("is_exact").alias("tm_exact"))
+    return sinks.export_columns(rows, ["source", "translation", "reason", "tm_exact"])
