@@ -111,9 +111,12 @@ def json_rows(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]
     pairs = F.map_entries(F.try_variant_get("item", "$", "map<string,string>"))
     text = F.try_variant_get("item", "$", "string")
 
+    def under(option: str):
+        held = F.filter(pairs, lambda e: (F.lower(F.trim(e["key"])) == option) & (clean_cell(e["value"]) != ""))
+        return F.try_element_at(held, F.lit(1))["value"]
+
     def cell(name: str, options: tuple[str, ...]):
-        keyed = [F.try_element_at(F.filter(pairs, lambda e, o=o: (F.lower(F.trim(e["key"])) == o) & (clean_cell(e["value"]) != "")), F.lit(1))["value"] for o in options]
-        found = clean_cell(F.coalesce(*keyed))
+        found = clean_cell(F.coalesce(*[under(o) for o in options]))
         own = F.when(F.col("kind") == "STRING", clean_cell(text) if name == "source" else F.lit("")).otherwise(found)
         if name in ("source", "target"):
             return own
