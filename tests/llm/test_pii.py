@@ -1,0 +1,113 @@
+import datetime
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tmengine.llm import pii
+
+KEY = "tmengine"
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10
+
+
+def keyed(*parts):
+    return int(hashlib.sha256("|".join(map(str, (KEY, *parts))).encode()).hexdigest()[:15], 16)
+
+
+def feistel(kind, left, right, ls, rs):
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            left = (left + keyed(kind, ls, rs, i, right) % ls) % ls
+        else:
+            right = (right + keyed(kind, ls, rs, i, left) % rs) % rs
+    return left, right
+
+
+def permuted(kind, digits):
+    a = len(digits) // 2
+    b = len(digits) - a
+    left, right = feistel(kind, int(digits[:a] or 0), int(digits[a:]), 10**a, 10**b)
+    return f"{left:0{a}d}{right:0{b}d}"
+
+
+def refill(shape, digits):
+    it = iter(digits)
+    return re.sub(r"\d", lambda m: next(it), shape)
+
+
+def run(spark, texts):
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, n_private string, other int")
+    return {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+
+
+def card(rng):
+    body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return body + str((10 - luhn(body + "0")) % 10)
+
+
+def test_each_kind_against_a_plain_version(spark):
+    rng = random.Random(1)
+    good = card(rng)
+    bad = good[:-1] + str((int(good[-1]) + 1) % 10)
+    spaced = f"{good[:4]} {good[4:8]} {good[8:12]} {good[12:]}"
+    texts = [f"pay {good}$$$ now", f"pay {bad} now", spaced, "call +1 (706) 555-3138!!", "ssn 123-45-6789.", "no 000-45-6789", "ip 10.2.3.40.", "v 300.1.2.3", "on 2024-02-29, 29/02/2023 or 28.02.2023"]
+    got = run(spark, texts)
+    new = permuted("card", good[:15])
+    new += str((10 - luhn(new + "0")) % 10)
+    assert got[0].text == f"pay {new}$$$ now" and luhn(new) == 0 and new != good and got[1].text == texts[1]
+    assert got[2].text == refill(spaced, new)
+    assert got[3].text == "call " + refill("+1 (706) 555-3138", "1" + permuted("phone", "7065553138")) + "!!"
+    assert got[4].text == "ssn " + refill("123-45-6789", permuted("ssn", "123456789")) + "." and got[5].text == texts[5]
+    left, right = feistel("ip", 10 * 256 + 2, 3 * 256 + 40, 65536, 65536)
+    assert got[6].text == f"ip {left // 256}.{left % 256}.{right // 256}.{right % 256}." and got[7].text == texts[7]
+
+    def date(d):
+        n = (d - datetime.date(1800, 1, 1)).days
+        a, b = feistel("date", n // 365, n % 365, 400, 365)
+        return datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 365 + b)
+
+    assert got[8].text == f"on {date(datetime.date(2024, 2, 29)):%Y-%m-%d}, 29/02/2023 or {date(datetime.date(2023, 2, 28)):%d.%m.%Y}"
+    assert [got[i].private_kinds for i in (0, 1, 3, 8)] == ["card", "", "phone", "date"] and got[8].n_private == 2
+
+
+def test_iban_email_and_secrets(spark):
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = ["GB82 WEST 1234 5698 7654 32 end", "GB83 WEST 1234 5698 7654 32", "énd.34@mail7.example.com### x", f'token = "{secret}"###', f'TOKEN = "{secret.upper()}"!!', "End.34@Mail7.example.com", "passages that repeat", f"PASSWORD: hunter2hunter"]
+    got = run(spark, texts)
+    iban = re.match(r"GB\d\d WEST \d{4} \d{4} \d{4} \d\d end$", got[0].text)
+    compact = re.sub(" ", "", got[0].text[:-4])
+    assert iban and got[0].text != texts[0] and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+    assert got[1].text == texts[1] and got[6].text == texts[6]
+    assert re.fullmatch(r"person-[0-9a-f]{16}@mail\.invalid### x", got[2].text)
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"###', got[3].text) and secret not in got[3].text
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"!!', got[4].text) and got[4].text[9:49].lower() == got[3].text[9:49]
+    assert "hunter2" not in got[7].text and got[7].text.startswith("PASSWORD: ")
+
+
+def test_values_stay_linked_and_apart(spark):
+    rng = random.Random(2)
+    cards = sorted({card(rng) for _ in range(300)})
+    got = run(spark, [f"{c} and {c}" for c in cards])
+    pairs = [got[i].text.split(" and ") for i in range(len(cards))]
+    assert all(a == b and luhn(a) == 0 for a, b in pairs) and len({a for a, _ in pairs}) == len(cards)
+
+
+def test_small_domains_are_permuted_one_to_one(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    assert df.select(pii.permuted_digits(KEY, "x", F.col("d")).alias("p")).distinct().count() == 1000
+
+
+def test_edges(spark):
+    long = "word " * 200_000 + "a.b@c.de"
+    got = run(spark, [None, "", long, "no data", "x" * 300_000, "1" * 300_000])
+    assert got[0].text is None and got[0].n_private == 0 and got[1].text == "" and got[3].text == "no data" and got[3].other == 1
+    assert got[2].n_private == 1 and "a.b@c.de" not in got[2].text and got[4].text == "x" * 300_000 and got[5].n_private == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
