@@ -54,7 +54,7 @@ class Codec:
     """Encoder and decoder of one vocabulary; one a Python worker."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))}
@@ -66,7 +66,12 @@ class Codec:
             parts = merged_parts(token, ranks)
             if len(parts) == 2:
                 merges.append((spell(parts[0]), spell(parts[1])))
-        self.tokenizer = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        vocabulary = {spell(t): r for t, r in ranks.items()}
+        self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
+        self.spaced = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
+        self.spaced.pre_tokenizer = pre_tokenizers.Split(shown[32], "merged_with_next")
+        self.begins = np.zeros(max(ranks.values()) + 1, bool)
+        self.begins[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.name_of = {r: str(r) for r in ranks.values()}
         self.split = regex.compile(pattern, regex.V0)
@@ -94,6 +99,15 @@ class Codec:
         for pieces in cut:
             yield list(chain.from_iterable(map(known.__getitem__, pieces)))
 
+    def encode_words(self, words: list[bytes], block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without spaces, each written with one before it, one after another; and where each word's ids start."""
+        parts = []
+        for at in range(0, len(words), block):
+            joined = b" " + b" ".join(words[at : at + block])
+            parts.append(np.array(self.spaced.encode(joined.decode("latin-1").translate(self.characters), add_special_tokens=False).ids, np.int64))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return flat, np.flatnonzero(self.begins[flat])
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
