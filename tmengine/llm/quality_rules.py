@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,50 +46,67 @@ def frequent_lines(docs: DataFrame, share: float, least: int) -> DataFrame:
     return over.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def with_counts(df: DataFrame) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words for the column ``_text`` (never null).
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it and wherever the plan moves it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def neighbours(values: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """``f(x, y)`` of each two neighbouring elements."""
+    n = F.greatest(F.size(values) - 1, F.lit(0))
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), f)
+
+
+def repeat_words(words: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more, given the array of a text's words.
 
-    Repeated words: 3-word windows are hashed to 64 bits and sorted with their positions; equal neighbours mark
+    Windows are hashed to 64 bits and, if any occurs again, sorted with their positions; equal neighbours mark
     their positions, and the marked windows' union is summed from the gaps between sorted positions.
     """
-    df = df.withColumn("_words", F.filter(F.split("_text", GAP), lambda w: w != ""))
-    df = df.withColumn("n_words", F.size("_words").cast("long"))
-    stripped = F.length(F.regexp_replace("_text", GAP, ""))
-    df = df.withColumn("word_chars", stripped.cast("long"))
-    df = df.withColumn("n_symbols", F.regexp_count("_text", F.lit(SYMBOL)).cast("long"))
-    df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    windows = F.when(
-        F.col("n_words") >= 3,
-        F.zip_with(
-            F.zip_with(F.slice("_words", F.lit(1), (F.col("n_words") - 2).cast("int")), F.slice("_words", F.lit(2), (F.col("n_words") - 2).cast("int")), lambda a, b: F.xxhash64(a, b)),
-            F.slice("_words", F.lit(3), (F.col("n_words") - 2).cast("int")),
-            lambda a, b: F.xxhash64(a, b),
+    none = F.lit(0).cast("long")
+
+    def windows(w: Column) -> Column:
+        n = F.size(w) - 2
+        first = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+        return F.zip_with(first, F.slice(w, F.lit(3), n), lambda a, b: F.xxhash64(a, b))
+
+    def marked(h: Column) -> Column:
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = let(placed, lambda o: neighbours(o, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+
+    def covered(m: Column) -> Column:
+        gaps = neighbours(m, lambda a, b: F.least(F.lit(3), b - a))
+        return F.aggregate(gaps, F.lit(3).cast("long"), lambda s, x: s + x)
+
+    again = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(marked(h), covered))
+    return F.when(F.size(words) < 3, none).otherwise(let(windows(words), again))
+
+
+def counts(text: Column) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a text that is not null."""
+    words = F.filter(F.split(text, GAP), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("again")))
+    return let(
+        of_words,
+        lambda w: F.struct(
+            w["n"].alias("n_words"), F.length(F.regexp_replace(text, GAP, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), w["again"].alias("n_repeat_words"),
         ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_windows", windows)
-    df = df.withColumn("_distinct", F.size(F.array_distinct("_windows")))
-    # Only texts in which some window occurs again are sorted: the rest have no repeated words.
-    ordered = F.when(
-        F.col("_distinct") < F.size("_windows"),
-        F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    df = df.withColumn("_ordered", ordered)
-    same = F.zip_with(
-        F.slice("_ordered", 1, F.greatest(F.size("_ordered") - 1, F.lit(0))),
-        F.slice("_ordered", 2, F.greatest(F.size("_ordered") - 1, F.lit(0))),
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])),
-    )
-    marked = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
-    df = df.withColumn("_marked", F.coalesce(marked, F.array().cast("array<int>")))
-    gaps = F.zip_with(
-        F.slice("_marked", 2, F.greatest(F.size("_marked") - 1, F.lit(0))),
-        F.slice("_marked", 1, F.greatest(F.size("_marked") - 1, F.lit(0))),
-        lambda later, earlier: F.least(F.lit(3), later - earlier),
-    )
-    total = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x) + F.lit(3)
-    df = df.withColumn("n_repeat_words", F.when(F.size("_marked") > 0, total).otherwise(F.lit(0)).cast("long"))
-    return df.drop("_words", "_windows", "_distinct", "_ordered", "_marked", "_lines")
+    )
+
+
+def without_lines(text: Column, common: Column) -> Column:
+    """struct(_lost, _left): words in the lines whose key is in ``common``, and the text without those lines."""
+
+    def kept(lines: Column) -> Column:
+        lost = F.aggregate(F.filter(lines, lambda x: x["cut"]), F.lit(0).cast("long"), lambda s, x: s + F.regexp_count(x["line"], F.lit(WORD)))
+        left = F.array_join(F.transform(F.filter(lines, lambda x: ~x["cut"]), lambda x: x["line"]), "\n")
+        return F.struct(lost.alias("_lost"), left.alias("_left"))
+
+    return let(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), (F.array_contains(common, line_key(x)) & x.rlike(WORD)).alias("cut"))), kept)
 
 
 def quality_rules(docs: DataFrame, share: float = 0.08, least: int = 5, min_left: float = 0.5) -> DataFrame:
@@ -114,18 +133,15 @@ def quality_rules(docs: DataFrame, share: float = 0.08, least: int = 5, min_left
         spread = hosts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(salts)).cast("int"))
         rows = rows.join(spread.hint("merge"), ["_host", "_salt"], "left").drop("_salt")
-    rows = with_counts(rows)
-    split = F.transform(F.split("_text", "\n"), lambda x: F.struct(x.alias("line"), (F.array_contains("_common", line_key(x)) & x.rlike(WORD)).alias("cut")))
-    rows = rows.withColumn("_split", F.when(F.col("_common").isNotNull(), split))
-    cut = F.filter("_split", lambda x: x["cut"])
-    lost = F.aggregate(cut, F.lit(0).cast("long"), lambda s, x: s + F.regexp_count(x["line"], F.lit(WORD)))
-    rows = rows.withColumn("removed_words", F.coalesce(lost, F.lit(0)).cast("long"))
-    left = F.array_join(F.transform(F.filter("_split", lambda x: ~x["cut"]), lambda x: x["line"]), "\n")
-    rows = rows.withColumn("clean_text", F.when(F.col("removed_words") > 0, left).otherwise(F.col("text")))
+    # generated columns: a filter on them is not moved below, where it would compute them once for each mention
+    cut = F.when(F.col("_common").isNotNull(), without_lines(F.col("_text"), F.col("_common")))
+    rows = rows.select("*", F.inline(F.array(counts(F.col("_text"))))).select("*", F.inline(F.array(cut)))
+    rows = rows.withColumn("removed_words", F.coalesce("_lost", F.lit(0)).cast("long"))
+    rows = rows.withColumn("clean_text", F.when(F.col("removed_words") > 0, F.col("_left")).otherwise(F.col("text")))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rows = rows.withColumn("base_failed", failed)
     depleted = (F.col("n_words") - F.col("removed_words")) < F.col("n_words") * min_left
-    return rows.withColumn("kept", ~failed & ~depleted).drop("_text", "_host", "_common", "_split")
+    return rows.withColumn("kept", ~failed & ~depleted).drop("_text", "_host", "_common", "_lost", "_left")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
