@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.tables import written
+from tmengine.tables import discard, written
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -29,9 +29,13 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = tidy(both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        now = written(tidy(small))
-        then, seen = seen, mark(now)
+        following = written(tidy(small))
+        discard(now)
+        now, then, seen = following, seen, mark(following)
         if then == seen:
             break
+    else:
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     tops = now.select(F.col("b").alias("id"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops).distinct()
