@@ -2,89 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Small tables up to this many rows may be broadcast; above it the callers shuffle.
-BROADCAST_ROWS = 200_000
+from tmengine.operators.graph import components
+from tmengine.tables import BROADCAST_ROWS, shared_dir
+from tmengine.tables import written as materialize
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The run's checkpoint folder; one of our own only when the session names none (tests, notebooks)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tmengine-"))
-    return context.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
-
-    Cuts lineage durably (a lost executor recomputes nothing before it) and gives later joins true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tmengine_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``materialize`` that nothing reads any more."""
-    path = getattr(df, "_tmengine_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs) as ``(id, component)``; component is the smallest id.
-
-    Alternating large-star and small-star rounds over canonical edges; every round is a join and two
-    pre-aggregated groupings, written to the shared folder. Vertices without an edge are not returned.
-    """
-
-    def canonical(e: DataFrame) -> DataFrame:
-        return (
-            e.where("a <> b")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            .distinct()
-        )
-
-    def state(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*").alias("n"), F.expr("sum(pmod(xxhash64(a, b), 1000000007))").alias("h")).first()
-        return row["n"], row["h"]
-
-    current = materialize(canonical(edges))
-    seen = state(current)
-    if seen[0]:
-        for _ in range(max_rounds):
-            both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            large = canonical(large)
-            low = large.groupBy("a").agg(F.min("b").alias("m"))
-            small = large.join(low.hint("merge"), "a")
-            small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-            following = materialize(canonical(small))
-            discard(current)
-            now = state(following)
-            current = following
-            if now == seen:
-                break
-            seen = now
-        else:
-            raise RuntimeError("components did not settle")
-    tops = current.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops).distinct()
+__all__ = ["BROADCAST_ROWS", "LOWER_AZ", "components", "materialize", "partitions_for", "ranked", "shared_dir", "texts"]
 
 
 def ranked(df: DataFrame, order: list[str], partitions: int, rank: str = "rank") -> tuple[DataFrame, int]:
@@ -132,6 +61,4 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield bytes(data[a:z]) if ok else b""
 
 
-#: Word separators of the operators: space, tab, newline, vertical tab, form feed, carriage return.
-SPACES = b" \t\n\x0b\x0c\r"
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
