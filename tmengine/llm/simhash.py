@@ -27,6 +27,9 @@ GOLAY, HAMMING = 0b101011100011, 0b1011
 #: Replicas of one anchor are spread over so many tasks, each with a copy of the anchor's home fingerprints.
 SALTS = 8
 
+#: Columns of the bits that decide on a near-duplicate in the stage's form.
+VERDICT = ["fp", "fp2", "fp3", "fp4"]
+
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
@@ -98,10 +101,10 @@ def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int = 4, candidates: int = 0) -> DataFrame:
     """``(doc_id, fp)`` of every row: the SimHash of its ``width``-word shingles, repeats counted, as a signed long.
 
-    With ``candidates`` > 0 also ``aid0..``: SimHashes of the distinct words under other seeds, and ``fp2``, 64
+    With ``candidates`` > 0 also ``aid0..``: SimHashes of the distinct words under other seeds, and ``fp2..``,
     further bits of the shingles. Only the letters A-Z are lower-cased. Null text: no words, fingerprint 0.
     """
-    names = ["fp", *(["fp2"] if candidates else []), *(f"aid{k}" for k in range(candidates))]
+    names = [*(VERDICT if candidates else ["fp"]), *(f"aid{k}" for k in range(candidates))]
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +115,9 @@ def fingerprints(docs: DataFrame, width: int = 4, candidates: int = 0) -> DataFr
                 found = [shingle_hashes(t, width) for t in data]
                 out = [majority_bits(found)]
                 if candidates:
-                    out.append(majority_bits([mixed(h) for h in found]))
+                    for _ in VERDICT[1:]:
+                        found = [mixed(h) for h in found]
+                        out.append(majority_bits(found))
                     base = [word_hashes(t, 7) for t in data]
                     for _ in range(candidates):
                         out.append(majority_bits(base))
@@ -186,7 +191,7 @@ def anchors(halves: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray,
     return who, x[who] ^ table["flips"][rows], table["beyond"][rows] == 0
 
 
-def replicas(fps: DataFrame, column: str, payload: list[str], distance: int) -> DataFrame:
+def replicas(fps: DataFrame, column: str, payload: list[str], distance: int, salts: int = SALTS) -> DataFrame:
     """``(anchor, home, *payload)``: every row at its home anchors and at all anchors in reach, for both halves.
 
     The anchor key holds the half, the code word and the salt: a replica has one salt, a home row all of them.
@@ -200,13 +205,13 @@ def replicas(fps: DataFrame, column: str, payload: list[str], distance: int) ->
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 fp = part.column(column).to_numpy(zero_copy_only=False).view(np.uint64)
-                salt = (mixed(fp) % np.uint64(SALTS)).astype(np.int64)
+                salt = (mixed(fp) % np.uint64(salts)).astype(np.int64)
                 for half in (0, 1):
                     who, anchor, home = anchors((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF), threshold)
-                    key = ((anchor << 1) | half) * SALTS
-                    at_home = np.repeat(np.flatnonzero(home), SALTS)
+                    key = ((anchor << 1) | half) * salts
+                    at_home = np.repeat(np.flatnonzero(home), salts)
                     who_all = np.concatenate([who, who[at_home]])
-                    keys = np.concatenate([key + salt[who], key[at_home] + np.tile(np.arange(SALTS), int(home.sum()))])
+                    keys = np.concatenate([key + salt[who], key[at_home] + np.tile(np.arange(salts), int(home.sum()))])
                     flags = np.concatenate([np.zeros(len(who), bool), np.ones(len(at_home), bool)])
                     columns = [part.column(c).take(pa.array(who_all)) for c in payload]
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flags), *columns], names=["anchor", "home", *payload])
@@ -353,30 +358,31 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
     return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, aids: int = 4, aid_distance: int = 3, bits: int = 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, aids: int = 4, aid_distance: int = 3, bits: int = 42) -> DataFrame:
     """``(doc_id, body, component_id)`` by shingle similarity of about 0.8 or more.
 
     At Jaccard similarity 0.8 two SimHashes of the shingles differ in about 15 % of their bits, too many to
-    cover. So the shingles' 128 bits decide (at most ``bits`` may differ), and ``aids`` further fingerprints, of
+    cover. So the shingles' 256 bits decide (at most ``bits`` may differ), and ``aids`` further fingerprints, of
     the distinct words, find the candidates: two texts are compared if one aid differs in at most
     ``aid_distance`` bits. ``body`` is the text's 64-bit hash: equal texts are one vertex.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
     ids = materialize(keyed.select("doc_id", "body"))
-    names = ["fp", "fp2", *(f"aid{k}" for k in range(aids))]
+    names = [*VERDICT, *(f"aid{k}" for k in range(aids))]
     bodies = fingerprints(keyed.select(F.col("body").alias("doc_id"), "text"), width, aids)
     bodies = materialize(bodies.groupBy(F.col("doc_id").alias("body")).agg(*[F.first(c).alias(c) for c in names]))
     placed = None
     for k in range(aids):
-        one = replicas(bodies.select("body", "fp", "fp2", F.col(f"aid{k}").alias("aid")), "aid", ["body", "aid", "fp", "fp2"], aid_distance)
+        one = bodies.select("body", F.col(f"aid{k}").alias("aid"), *VERDICT)
+        one = replicas(one, "aid", ["body", "aid", *VERDICT], aid_distance, salts=2)
         one = one.withColumn("anchor", F.col("anchor") * aids + k)
         placed = one if placed is None else placed.union(one)
 
     def near(x: dict, y: dict) -> np.ndarray:
         close = differing(x["aid"], y["aid"]) <= aid_distance
-        return close & (differing(x["fp"], y["fp"]) + differing(x["fp2"], y["fp2"]) <= bits)
+        return close & (sum(differing(x[c], y[c]) for c in VERDICT) <= bits)
 
-    linked = components(compare(placed, near, "body", ["body", "aid", "fp", "fp2"]))
+    linked = components(compare(placed, near, "body", ["body", "aid", *VERDICT]))
     least = ids.groupBy("body").agg(F.min("doc_id").alias("least"))
     named = least.join(linked.hint("merge"), F.col("body") == F.col("id"), "left")
     named = named.select("body", "least", F.coalesce("component", "body").alias("group"))
