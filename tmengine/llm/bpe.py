@@ -68,7 +68,8 @@ class Codec:
                 merges.append((spell(parts[0]), spell(parts[1])))
         vocabulary = {spell(t): r for t, r in ranks.items()}
         self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
-        self.spaced = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
+        # for lists of distinct words: the library's own cache would only be filled, never hit
+        self.spaced = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True, cache_capacity=0))
         self.spaced.pre_tokenizer = pre_tokenizers.Split(shown[32], "merged_with_next")
         self.begins = np.zeros(max(ranks.values()) + 1, bool)
         self.begins[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
@@ -104,7 +105,8 @@ class Codec:
         parts = []
         for at in range(0, len(words), block):
             joined = b" " + b" ".join(words[at : at + block])
-            parts.append(np.array(self.spaced.encode(joined.decode("latin-1").translate(self.characters), add_special_tokens=False).ids, np.int64))
+            (found,) = self.spaced.encode_batch_fast([joined.decode("latin-1").translate(self.characters)], add_special_tokens=False)
+            parts.append(np.array(found.ids, np.int64))
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         return flat, np.flatnonzero(self.begins[flat])
 
