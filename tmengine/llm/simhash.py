@@ -30,6 +30,12 @@ SALTS = 8
 #: Columns of the bits that decide on a near-duplicate in the stage's form.
 VERDICT = ["fp", "fp2", "fp3", "fp4"]
 
+#: Sketches of the stage's form and the shingle minima in each; at Jaccard 0.8 a pair shares no sketch once in about 2,800.
+BANDS, ROWS = 20, 5
+
+#: Rounds that decide neighbours in a bucket before all pairs that are left.
+TURNS = 2
+
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
@@ -64,13 +70,6 @@ def shingle_hashes(data: bytes, width: int, seed: int = 42) -> np.ndarray:
     return np.array([digest(joined[a:z], seed) for a, z in spans], np.uint64)
 
 
-def word_hashes(data: bytes, seed: int) -> np.ndarray:
-    """XXH64 of every distinct word."""
-    joined, starts, _ = word_spans(data)
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, seed) for w in set(joined.split(b" "))], np.uint64) if len(starts) else np.zeros(0, np.uint64)
-
-
 def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
     """One fingerprint for each array: a bit is 1 if it is set in over half the hashes; no hashes: 0."""
     out = np.zeros(len(hashes), np.uint64)
@@ -98,34 +97,21 @@ def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4, candidates: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """``(doc_id, fp)`` of every row: the SimHash of its ``width``-word shingles, repeats counted, as a signed long.
 
-    With ``candidates`` > 0 also ``aid0..``: SimHashes of the distinct words under other seeds, and ``fp2..``,
-    further bits of the shingles. Only the letters A-Z are lower-cased. Null text: no words, fingerprint 0.
+    Only the letters A-Z are lower-cased. Null text: no words, fingerprint 0.
     """
-    names = [*(VERDICT if candidates else ["fp"]), *(f"aid{k}" for k in range(candidates))]
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                data = [t.translate(LOWER_AZ) for t in texts(part.column("text"))]
-                found = [shingle_hashes(t, width) for t in data]
-                out = [majority_bits(found)]
-                if candidates:
-                    for _ in VERDICT[1:]:
-                        found = [mixed(h) for h in found]
-                        out.append(majority_bits(found))
-                    base = [word_hashes(t, 7) for t in data]
-                    for _ in range(candidates):
-                        out.append(majority_bits(base))
-                        base = [mixed(h) for h in base]
-                columns = [part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in out)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+                found = [shingle_hashes(t.translate(LOWER_AZ), width) for t in texts(part.column("text"))]
+                columns = [part.column("doc_id"), pa.array(majority_bits(found).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -135,6 +121,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_FLIPS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_FACTORS = mixed(_FLIPS) | np.uint64(1)
+
+
 # --- anchors ------------------------------------------------------------------------------------------------------
 
 
@@ -331,6 +321,85 @@ def forest(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> list[tuple[int, i
     return out
 
 
+# --- sketches for the stage's form --------------------------------------------------------------------------------
+
+
+def sketch(shingles: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    """One key for each of ``BANDS`` sketches of a set of shingle hashes: a hash of its ``ROWS`` minima under mixings of their own."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), block):
+        np.minimum(least, ((shingles[at : at + block, None] ^ _FLIPS) * _FACTORS).min(0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = mixed(out ^ row) * np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """``(body, n, fp, fp2, fp3, fp4, bands)`` of every row: distinct shingles, 256 SimHash bits of the shingles, sketch keys."""
+    schema = "body long, n int, " + ", ".join(f"{c} long" for c in VERDICT) + ", bands array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [shingle_hashes(t.translate(LOWER_AZ), width) for t in texts(part.column("text"))]
+                sets = [np.unique(h) for h in found]
+                bits = [majority_bits(found)]
+                for _ in VERDICT[1:]:
+                    found = [mixed(h) for h in found]
+                    bits.append(majority_bits(found))
+                keys = pa.array(np.concatenate([sketch(x) for x in sets]).view(np.int64))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), keys)
+                sizes = pa.array(np.array([len(x) for x in sets], np.int32))
+                columns = [part.column("body"), sizes, *(pa.array(b.view(np.int64)) for b in bits), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["body", "n", *VERDICT, "bands"])
+
+    return docs.select("body", "text").mapInArrow(run, schema)
+
+
+def next_in_bucket(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of rows that follow each other in a bucket, in one of two orders by the bucket's key.
+
+    Rows are range-partitioned by bucket and order, so a large bucket is spread; the pair over each cut between
+    partitions is left out. No body gets more than two pairs a bucket.
+    """
+    columns = ["key", "body", "component", "n", *VERDICT]
+    laid = placed.select(*columns, F.xxhash64("body", F.lit(turn), F.pmod("key", F.lit(2))).alias("turn"))
+    laid = laid.repartitionByRange(partitions_for(placed), "key", "turn").sortWithinPartitions("key", "turn", "body")
+    names = [f"{side}_{c}" for side in "xy" for c in columns[1:]]
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = ", ".join(f"{n} {kinds[n[2:]]}" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).select(columns)
+            if last is not None:
+                rows = pa.concat_tables([last, rows])
+            rows = rows.combine_chunks()
+            last = rows.slice(max(0, rows.num_rows - 1))
+            key, part = (rows.column(c).to_numpy() for c in ("key", "component"))
+            at = np.flatnonzero((key[1:] == key[:-1]) & (part[1:] != part[:-1]))
+            if len(at):
+                x, y = (rows.take(pa.array(k)).select(columns[1:]) for k in (at, at + 1))
+                yield from pa.Table.from_arrays([*x.columns, *y.columns], names=names).combine_chunks().to_batches()
+
+    return laid.mapInArrow(run, schema)
+
+
+def all_in_bucket(placed: DataFrame) -> DataFrame:
+    """All pairs of a bucket's rows whose components differ: what is outside its most common component against all of it."""
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("rows", "component"))["component"].alias("top"))
+    marked = placed.join(top.hint("merge"), "key")
+    columns = ["body", "component", "n", *VERDICT]
+    x = marked.where("component <> top").select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = marked.select("key", (F.col("component") == F.col("top")).alias("_in_top"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    pairs = x.hint("merge").join(y, "key").where((F.col("x_component") != F.col("y_component")) & (F.col("_in_top") | (F.col("x_body") < F.col("y_body"))))
+    return pairs.drop("key", "_in_top")
+
+
 # --- operators ----------------------------------------------------------------------------------------------------
 
 
@@ -358,31 +427,48 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
     return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, aids: int = 4, aid_distance: int = 3, bits: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 42) -> DataFrame:
     """``(doc_id, body, component_id)`` by shingle similarity of about 0.8 or more.
 
     At Jaccard similarity 0.8 two SimHashes of the shingles differ in about 15 % of their bits, too many to
-    cover. So the shingles' 256 bits decide (at most ``bits`` may differ), and ``aids`` further fingerprints, of
-    the distinct words, find the candidates: two texts are compared if one aid differs in at most
-    ``aid_distance`` bits. ``body`` is the text's 64-bit hash: equal texts are one vertex.
+    cover. So candidates share one of ``BANDS`` sketches of ``ROWS`` shingle minima, which at similarity s has
+    the chance 1 - (1 - s^ROWS)^BANDS whatever the edit, and the shingles' 256 bits decide: at most ``bits``
+    may differ. ``body`` is the text's 64-bit hash: equal texts are one vertex.
+
+    Pairs that follow each other in a bucket are decided first, in up to ``TURNS`` rounds, so that a large group
+    of copies is connected by few pairs a body; then all pairs left between different components.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), F.col("text").cast("string").alias("text"))
     ids = materialize(keyed.select("doc_id", "body"))
-    names = [*VERDICT, *(f"aid{k}" for k in range(aids))]
-    bodies = fingerprints(keyed.select(F.col("body").alias("doc_id"), "text"), width, aids)
-    bodies = materialize(bodies.groupBy(F.col("doc_id").alias("body")).agg(*[F.first(c).alias(c) for c in names]))
-    placed = None
-    for k in range(aids):
-        one = bodies.select("body", F.col(f"aid{k}").alias("aid"), *VERDICT)
-        one = replicas(one, "aid", ["body", "aid", *VERDICT], aid_distance, salts=2)
-        one = one.withColumn("anchor", F.col("anchor") * aids + k)
-        placed = one if placed is None else placed.union(one)
-
-    def near(x: dict, y: dict) -> np.ndarray:
-        close = differing(x["aid"], y["aid"]) <= aid_distance
-        return close & (sum(differing(x[c], y[c]) for c in VERDICT) <= bits)
-
-    linked = components(compare(placed, near, "body", ["body", "aid", *VERDICT]))
+    made = ["n", *VERDICT, "bands"]
+    bodies = materialize(sketches(keyed, width).groupBy("body").agg(*[F.first(c).alias(c) for c in made]))
+    placed = bodies.select("body", F.explode("bands").alias("key"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    buckets = placed.join(shared.hint("merge"), "key", "left_semi")
+    buckets = materialize(buckets.join(bodies.drop("bands").hint("merge"), "body"))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in VERDICT), F.lit(0))
+        pairs = pairs.where((F.least("x_n", "y_n") * 5 >= F.greatest("x_n", "y_n") * 4) & (differ <= bits))
+        return pairs.select(F.least("x_body", "y_body").alias("a"), F.greatest("x_body", "y_body").alias("b")).distinct()
+
+    def apart(linked: DataFrame | None) -> DataFrame:
+        """The rows of buckets that hold more than one component."""
+        rows = buckets.withColumn("component", F.col("body"))
+        if linked is not None:
+            rows = buckets.join(linked.hint("merge"), F.col("body") == F.col("id"), "left").withColumn("component", F.coalesce("component", "body")).drop("id")
+        mixed_up = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        return materialize(rows.join(mixed_up.hint("merge"), "key", "left_semi"))
+
+    tried = links = linked = None
+    for turn in range(TURNS + 1):
+        rows = apart(linked) if turn else buckets.withColumn("component", F.col("body"))
+        pairs = candidates(next_in_bucket(rows, turn) if turn < TURNS else all_in_bucket(rows))
+        pairs = materialize(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = pairs if links is None else links.union(pairs)
+        if not turn or not pairs.isEmpty():
+            linked = materialize(components(links))
     least = ids.groupBy("body").agg(F.min("doc_id").alias("least"))
     named = least.join(linked.hint("merge"), F.col("body") == F.col("id"), "left")
     named = named.select("body", "least", F.coalesce("component", "body").alias("group"))
