@@ -27,7 +27,7 @@ GOLAY, HAMMING = 0b101011100011, 0b1011
 #: Replicas of one anchor are spread over so many tasks, each with a copy of the anchor's home fingerprints.
 SALTS = 8
 
-#: Columns of the bits that decide on a near-duplicate in the stage's form.
+#: Columns of the bits that sort out far pairs in the stage's form.
 VERDICT = ["fp", "fp2", "fp3", "fp4"]
 
 #: Sketches of the stage's form and the shingle minima in each; at Jaccard 0.8 a pair shares no sketch once in about 2,800.
@@ -336,7 +336,7 @@ def sketch(shingles: np.ndarray, block: int = 1 << 12) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``(body, n, fp, fp2, fp3, fp4, bands)`` of every row: distinct shingles, 256 SimHash bits of the shingles, sketch keys."""
+    """``(body, n, fp, fp2, fp3, fp4, bands)`` of every row: distinct shingles, 256 SimHash bits of them, sketch keys."""
     schema = "body long, n int, " + ", ".join(f"{c} long" for c in VERDICT) + ", bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,10 +345,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 found = [shingle_hashes(t.translate(LOWER_AZ), width) for t in texts(part.column("text"))]
                 sets = [np.unique(h) for h in found]
-                bits = [majority_bits(found)]
+                bits, left = [majority_bits(sets)], sets
                 for _ in VERDICT[1:]:
-                    found = [mixed(h) for h in found]
-                    bits.append(majority_bits(found))
+                    left = [mixed(h) for h in left]
+                    bits.append(majority_bits(left))
                 keys = pa.array(np.concatenate([sketch(x) for x in sets]).view(np.int64))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), keys)
                 sizes = pa.array(np.array([len(x) for x in sets], np.int32))
@@ -358,6 +358,36 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("body", "text").mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``(body, shingles)`` of every row: the sorted distinct shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t.translate(LOWER_AZ), width)).tobytes() for t in texts(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("body"), pa.array(sets, pa.binary())], names=["body", "shingles"])
+
+    return docs.select("body", "text").mapInArrow(run, "body long, shingles binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have a Jaccard similarity of 0.8 or more; two empty sets are alike."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("body").alias(side), F.col("shingles").alias(f"of_{side}")).hint("merge"), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("of_a"), batch.column("of_b"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = 5 * both >= 4 * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
 def next_in_bucket(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs of rows that follow each other in a bucket, in one of two orders by the bucket's key.
 
@@ -427,16 +457,18 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
     return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 42) -> DataFrame:
-    """``(doc_id, body, component_id)`` by shingle similarity of about 0.8 or more.
+def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFrame:
+    """``(doc_id, body, component_id)``: texts whose sets of shingles have a Jaccard similarity of 0.8 or more are linked.
 
     At Jaccard similarity 0.8 two SimHashes of the shingles differ in about 15 % of their bits, too many to
     cover. So candidates share one of ``BANDS`` sketches of ``ROWS`` shingle minima, which at similarity s has
-    the chance 1 - (1 - s^ROWS)^BANDS whatever the edit, and the shingles' 256 bits decide: at most ``bits``
-    may differ. ``body`` is the text's 64-bit hash: equal texts are one vertex.
+    the chance 1 - (1 - s^ROWS)^BANDS whatever the edit. Sizes and the sets' 256 bits sort out far pairs (more
+    than ``bits`` differ, 6 deviations above the mean at 0.8), and the sets themselves decide on every other.
+    ``body`` is the text's 64-bit hash: equal texts are one vertex.
 
     Pairs that follow each other in a bucket are decided first, in up to ``TURNS`` rounds, so that a large group
-    of copies is connected by few pairs a body; then all pairs left between different components.
+    of copies is connected by few pairs a body; then all pairs left between different components, so that a pair
+    that fails hides no other.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), F.col("text").cast("string").alias("text"))
     ids = materialize(keyed.select("doc_id", "body"))
@@ -446,6 +478,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 42) -> DataFram
     shared = placed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     buckets = placed.join(shared.hint("merge"), "key", "left_semi")
     buckets = materialize(buckets.join(bodies.drop("bands").hint("merge"), "body"))
+    wanted = keyed.join(buckets.select("body").distinct().hint("merge"), "body", "left_semi")
+    sets = materialize(shingle_sets(wanted.groupBy("body").agg(F.first("text").alias("text")), width))
 
     def candidates(pairs: DataFrame) -> DataFrame:
         differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in VERDICT), F.lit(0))
@@ -466,8 +500,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 42) -> DataFram
         pairs = candidates(next_in_bucket(rows, turn) if turn < TURNS else all_in_bucket(rows))
         pairs = materialize(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
-        links = pairs if links is None else links.union(pairs)
-        if not turn or not pairs.isEmpty():
+        found = materialize(alike(pairs, sets))
+        links = found if links is None else links.union(found)
+        if not turn or not found.isEmpty():
             linked = materialize(components(links))
     least = ids.groupBy("body").agg(F.min("doc_id").alias("least"))
     named = least.join(linked.hint("merge"), F.col("body") == F.col("id"), "left")
