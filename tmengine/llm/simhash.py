@@ -458,13 +458,14 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFrame:
-    """``(doc_id, body, component_id)``: texts whose sets of shingles have a Jaccard similarity of 0.8 or more are linked.
+    """``(doc_id, body, group, component_id)`` of every row: texts whose sets of shingles have a Jaccard similarity of 0.8 or more are linked.
 
     At Jaccard similarity 0.8 two SimHashes of the shingles differ in about 15 % of their bits, too many to
     cover. So candidates share one of ``BANDS`` sketches of ``ROWS`` shingle minima, which at similarity s has
     the chance 1 - (1 - s^ROWS)^BANDS whatever the edit. Sizes and the sets' 256 bits sort out far pairs (more
     than ``bits`` differ, 6 deviations above the mean at 0.8), and the sets themselves decide on every other.
-    ``body`` is the text's 64-bit hash: equal texts are one vertex.
+    ``body`` is the text's 64-bit hash: equal texts are one vertex. ``group`` is the component's least body;
+    component_id is its least doc_id, which two components share if an id is repeated.
 
     Pairs that follow each other in a bucket are decided first, in up to ``TURNS`` rounds, so that a large group
     of copies is connected by few pairs a body; then all pairs left between different components, so that a pair
@@ -508,8 +509,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
     named = least.join(linked.hint("merge"), F.col("body") == F.col("id"), "left")
     named = named.select("body", "least", F.coalesce("component", "body").alias("group"))
     tops = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(tops.hint("merge"), "group").select("body", "component_id"))
-    return ids.join(named.hint("merge"), "body").select("doc_id", "body", "component_id")
+    named = materialize(named.join(tops.hint("merge"), "group").select("body", "group", "component_id"))
+    return ids.join(named.hint("merge"), "body").select("doc_id", "body", "group", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
