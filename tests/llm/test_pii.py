@@ -34,8 +34,8 @@ def feistel(kind, left, right, ls, rs):
 def permuted(kind, digits):
     a = len(digits) // 2
     b = len(digits) - a
-    left, right = feistel(kind, int(digits[:a] or 0), int(digits[a:]), 10**a, 10**b)
-    return f"{left:0{a}d}{right:0{b}d}"
+    left, right = feistel(kind, int(digits[:a] or 0), int(digits[a:] or 0), 10**a, 10**b)
+    return (f"{left:0{a}d}" if a else "") + (f"{right:0{b}d}" if b else "")
 
 
 def refill(shape, digits):
@@ -45,7 +45,7 @@ def refill(shape, digits):
 
 def run(spark, texts):
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, n_private string, other int")
-    return {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    return {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
 
 
 def card(rng):
@@ -92,6 +92,95 @@ def test_iban_email_and_secrets(spark):
     assert "hunter2" not in got[7].text and got[7].text.startswith("PASSWORD: ")
 
 
+def iban(country, rest):
+    for check in range(2, 99):
+        moved = rest + country + f"{check:02d}"
+        if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1:
+            return f"{country}{check:02d}{rest}"
+
+
+def test_accounts_with_few_digits(spark):
+    found = [iban("AB", r) for r in ("SALEWEEK", "SALEWEE5", "ABCDEFG1", "SALEWE05", "1ABCDEFG", "SALEWEEK12")]
+    got = run(spark, [f"x {i} y" for i in found])
+    assert got[0].text == f"x {found[0]} y" and got[0].n_private == 0
+    for i, value in enumerate(found[1:], 1):
+        digits = "".join(c for c in value[4:] if c.isdigit())
+        rest = refill(value[4:], permuted("iban", digits))
+        assert got[i].text == f"x {iban('AB', rest)} y" and got[i].private_kinds == "iban"
+
+
+def test_short_numbers_are_permuted_one_to_one(spark):
+    for n in (1, 2):
+        df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+        made = {r.d: r.p for r in df.select("d", pii.permuted_digits(KEY, "x", F.col("d")).alias("p")).collect()}
+        assert made == {d: permuted("x", d) for d in made} and len(set(made.values())) == 10**n
+    assert spark.sql("select '' d").select(pii.permuted_digits(KEY, "x", F.col("d")).alias("p")).first().p == ""
+
+
+def test_month_first_dates_and_phones_at_home(spark):
+    texts = ["born 12/31/1990 or 31/12/1990", "no 13/32/1990", "12.31.1990", "tel 07700 900123 or +44 7700 900123", "06 12 34 56 78.", "01 02 2003", "06 12 34 56 78 90 12", "0123 45"]
+    got = run(spark, texts)
+    n = (datetime.date(1990, 12, 31) - datetime.date(1800, 1, 1)).days
+    a, b = feistel("date", n // 365, n % 365, 400, 365)
+    new = datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 365 + b)
+    assert got[0].text == f"born {new:%m/%d/%Y} or {new:%d/%m/%Y}" and got[1].text == texts[1] and got[2].text == f"{new:%m.%d.%Y}"
+    local = permuted("phone", "7700900123")
+    assert got[3].text == "tel " + refill("07700 900123", "0" + local) + " or " + refill("+44 7700 900123", "44" + local)
+    assert got[4].text == refill("06 12 34 56 78", "0" + permuted("phone", "612345678")) + "." and got[4].private_kinds == "phone"
+    assert all(got[i].text == texts[i] and got[i].n_private == 0 for i in (5, 6, 7))
+
+
+def test_ip6(spark):
+    import ipaddress
+
+    values = ["2001:db8:0:0:8:800:200c:417a", "2001:DB8::8:800:200C:417A", "fe80::1", "::ffff:1"]
+    clean = ["std::vector", "a::b", "12:30:45", "dead::beef", "::"]
+    got = run(spark, [f"at {v} now" for v in values + clean])
+
+    def new(value):
+        g = [int(x, 16) for x in ipaddress.ip_address(value).exploded.split(":")]
+        out = []
+        for k in (0, 4):
+            for half in feistel(f"ip6-{k}", g[k] * 65536 + g[k + 1], g[k + 2] * 65536 + g[k + 3], 1 << 32, 1 << 32):
+                out += [half >> 16, half & 65535]
+        return ":".join(f"{x:x}" for x in out)
+
+    assert [got[i].text for i in range(4)] == [f"at {new(v)} now" for v in values] and got[0].text == got[1].text
+    assert all(got[4 + i].text == f"at {c} now" and got[4 + i].n_private == 0 for i, c in enumerate(clean))
+
+
+def secret_of(value, same=None):
+    long = "".join(hashlib.sha256(f"{KEY}|secret{k}|{same or value}".encode()).hexdigest() for k in range(4))
+    return long[: len(value)].upper() if value == value.upper() else long[: len(value)]
+
+
+def test_secrets_and_mails_against_a_plain_version(spark):
+    mark = hashlib.sha256(f"{KEY}|email|a.b@c.de".encode()).hexdigest()[:16]
+    cases = [
+        ("password=p@ssw0rd!x", f"password={secret_of('p@ssw0rd!x')}"),
+        ("Passwd: 'Tr0ub4dor&3' ok", f"Passwd: '{secret_of('Tr0ub4dor&3')}' ok"),
+        ("token=eyJhbGci.abcDEF.ghi_JKL. Next", f"token={secret_of('eyJhbGci.abcDEF.ghi_JKL')}. Next"),
+        ("api_key: AbcdEfgh1", f"api_key: {secret_of('AbcdEfgh1')}"),
+        ("api_key: abcdefgh1", f"api_key: {secret_of('abcdefgh1')}"),
+        ("api_key: " + "AB12" * 8, "api_key: " + secret_of("AB12" * 8, "ab12" * 8)),
+        ("mail A.b@c.DE!", f"mail person-{mark}@mail.invalid!"),
+        ("my password is long", "my password is long"),
+        ("token: short", "token: short"),
+    ]
+    got = run(spark, [t for t, _ in cases])
+    assert [got[i].text for i in range(len(cases))] == [t for _, t in cases]
+
+
+def test_the_key_is_the_sessions(spark):
+    held = spark.conf.get(pii.KEY_SETTING, None)
+    spark.conf.unset(pii.KEY_SETTING)
+    first = pii.session_key(spark)
+    assert len(first) == 32 and pii.session_key(spark) == first
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.set(pii.KEY_SETTING, held) if held else spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_values_stay_linked_and_apart(spark):
     rng = random.Random(2)
     cards = sorted({card(rng) for _ in range(300)})
@@ -110,4 +199,4 @@ def test_edges(spark):
     got = run(spark, [None, "", long, "no data", "x" * 300_000, "1" * 300_000])
     assert got[0].text is None and got[0].n_private == 0 and got[1].text == "" and got[3].text == "no data" and got[3].other == 1
     assert got[2].n_private == 1 and "a.b@c.de" not in got[2].text and got[4].text == "x" * 300_000 and got[5].n_private == 0
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0

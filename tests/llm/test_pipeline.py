@@ -15,7 +15,7 @@ def test_stages_compose(spark, sf_dir):
     groups = {r.component_id for r in simhash.near_duplicates(second).collect()}
     assert {r.doc_id for r in third.collect()} == groups and third.count() == len(groups)
     fourth = corpus_pipeline.private_data(spark, third, sf_dir)
-    assert {r.doc_id: r.text for r in fourth.collect()} == {r.doc_id: r.text for r in pii.pseudonymise(third).collect()}
+    assert {r.doc_id: r.text for r in fourth.collect()} == {r.doc_id: r.text for r in pii.pseudonymise(third, pii.session_key(spark)).collect()}
     assert sorted(r.doc_id for r in corpus_pipeline.packed(spark, fourth, sf_dir).collect()) == sorted(groups)
     whole = sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
     assert whole == sorted(map(str, packing.pack(fourth).collect()))

@@ -2,16 +2,22 @@
 
 Numbers that pass their kind's validation (card checksum, IBAN remainder, octet and calendar ranges) are replaced by a
 keyed Feistel permutation of their digits within the same format, so equal values stay equal, different ones stay
-different, and checksums stay valid. Dates are permuted as day numbers. E-mail addresses and secrets get keyed digests.
+different, and checksums stay valid. Dates are permuted as day numbers, the halves of IPv6 addresses as pairs of 32 bits.
+E-mail addresses and secrets get keyed digests. Whoever has the key can undo the permutations, so it is never in the code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-ASSIGNED = r"(?i:(?<![a-z])(?:token|secret|password|passwd|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}"
+#: A name and what is assigned to it: tokens and keys may have dots, passwords any signs, but neither ends in punctuation.
+TOKEN_NAME = r"(?i:(?<![a-z])(?:token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?"
+PASSWORD_NAME = r"(?i:(?<![a-z])(?:password|passwd))\s{0,3}[=:]\s{0,3}[\"']?"
+ASSIGNED = rf"(?:{TOKEN_NAME}[A-Za-z0-9_+/.=-]{{7,}}[A-Za-z0-9_+/=-]|{PASSWORD_NAME}[^\s\"'<>]{{5,}}[^\s\"'<>.,;:!?()#*$%&|])"
 HEX = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"
@@ -19,12 +25,18 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[0-9])"
+IP6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])"
+#: Numbers written as at home: a leading 0 and groups of digits, 10 or 11 in all.
+NATIONAL = r"(?<![0-9A-Za-z])0[1-9][0-9]{0,3}(?:[ .-][0-9]{2,6}){1,4}(?![ .-]?[0-9])"
 PHONE = (
     r"(?<![0-9A-Za-z])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}"
     r"|(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])"
 )
 #: Tried in this order at each place.
-PRIVATE = "|".join((EMAIL, ASSIGNED, HEX, IBAN, CARD, SSN, DATE, IP, PHONE))
+PRIVATE = "|".join((EMAIL, ASSIGNED, HEX, IP6, IBAN, CARD, SSN, DATE, IP, PHONE, NATIONAL))
+
+#: The session setting that holds the key.
+KEY_SETTING = "tmengine.pii.key"
 
 #: Dates from 1800-01-01 on are permuted among DAYS_A * DAYS_B days, to 2199-09-25.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 400, 365
@@ -53,12 +65,13 @@ def power_of_ten(n: Column) -> Column:
 
 
 def permuted_digits(key: str, kind: str, digits: Column) -> Column:
-    """The digits (2 to 36 of them) permuted among all strings of as many digits."""
+    """The digits (up to 36 of them) permuted among all strings of as many digits; none stay none."""
     n = F.length(digits)
-    a = F.floor(n / 2).cast("int")
-    l, r = F.substring(digits, F.lit(1), a), F.substring(digits, a + 1, n - a)
-    out = feistel(key, kind, l.cast("bigint"), r.cast("bigint"), power_of_ten(a), power_of_ten(n - a))
-    joined = F.transform(F.array(out), lambda s: F.concat(F.lpad(s["l"].cast("string"), a, F.lit("0")), F.lpad(s["r"].cast("string"), n - a, F.lit("0"))))
+    a = F.floor(n / 2).cast("int")  # of one digit the left half is empty and counts as 0
+    l, r = (F.concat(F.lit("0"), F.substring(digits, *span)).cast("bigint") for span in ((F.lit(1), a), (a + 1, n - a)))
+    out = feistel(key, kind, l, r, power_of_ten(a), power_of_ten(n - a))
+    half = lambda x, size: F.substring(F.lpad(x.cast("string"), 18, F.lit("0")), F.lit(19) - size, size)
+    joined = F.transform(F.array(out), lambda s: F.concat(half(s["l"], a), half(s["r"], n - a)))
     return F.element_at(joined, 1)
 
 
@@ -114,35 +127,67 @@ def new_ip(key: str, value: Column) -> Column:
     return F.element_at(F.transform(F.array(out), said), 1)
 
 
-def day_of(value: Column) -> Column:
-    """The calendar day of a date in one of the three shapes (day before month), null if there is none."""
-    year, month, day = F.substring(value, 1, 4), F.substring(value, 6, 2), F.substring(value, 9, 2)
-    iso = F.concat_ws("-", year, month, day)
-    other = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
+def new_ip6(key: str, value: Column) -> Column:
+    """Both halves of the address permuted, written as eight groups."""
+    sides = F.split(F.lower(value), "::")
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = groups(sides[0]), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
+    numbers = F.transform(full, lambda g: F.conv(g, 16, 10).cast("bigint"))
+    size = F.lit(1 << 32)
+
+    def said(n: Column) -> Column:
+        parts = [feistel(key, f"ip6-{k}", n[k] * 65536 + n[k + 1], n[k + 2] * 65536 + n[k + 3], size, size) for k in (0, 4)]
+        return F.flatten(F.transform(F.array(*parts), lambda s: F.array(F.floor(s["l"] / 65536), s["l"] % 65536, F.floor(s["r"] / 65536), s["r"] % 65536)))
+
+    made = F.flatten(F.transform(F.array(numbers), said))
+    return F.array_join(F.transform(made, lambda x: F.lower(F.hex(x.cast("bigint")))), ":")
+
+
+def day_of(value: Column, month_first: bool = False) -> Column:
+    """The calendar day of a date in one of the three shapes, null if there is none."""
+    iso = F.concat_ws("-", F.substring(value, 1, 4), F.substring(value, 6, 2), F.substring(value, 9, 2))
+    month, day = (1, 4) if month_first else (4, 1)
+    other = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, month, 2), F.substring(value, day, 2))
     return F.when(value.contains("-"), iso).otherwise(other).try_cast("date")
 
 
+def any_day_of(value: Column) -> Column:
+    """The day read with the day before the month or, where that is none, after it."""
+    return F.coalesce(day_of(value), day_of(value, month_first=True))
+
+
 def new_date(key: str, value: Column) -> Column:
-    n = F.datediff(day_of(value), F.lit(FIRST_DAY).cast("date")).cast("bigint")
+    n = F.datediff(any_day_of(value), F.lit(FIRST_DAY).cast("date")).cast("bigint")
     out = feistel(key, "date", F.floor(n / DAYS_B).cast("bigint"), n % DAYS_B, F.lit(DAYS_A).cast("bigint"), F.lit(DAYS_B).cast("bigint"))
     day = lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAYS_B + s["r"]).cast("int"))
-    shape = lambda d: F.when(value.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(value.contains("/"), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+
+    def shape(d: Column) -> Column:
+        mark = F.substring(value, 3, 1)
+        day, month = F.date_format(d, "dd"), F.date_format(d, "MM")
+        first, second = (F.when(day_of(value).isNull(), x).otherwise(y) for x, y in ((month, day), (day, month)))
+        return F.when(value.contains("-"), F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(first, mark, second, mark, F.date_format(d, "yyyy")))
+
     return F.element_at(F.transform(F.array(out), lambda s: shape(day(s))), 1)
 
 
 def new_phone(key: str, value: Column) -> Column:
-    """The last ten digits (all, if fewer) permuted; a longer number keeps the country digits before them."""
+    """The last ten digits (all, if fewer) permuted; country digits before them and a leading 0 are kept."""
     digits = only_digits(value)
-    kept = F.greatest(F.length(digits) - 10, F.lit(0))
+    kept = F.greatest(F.length(digits) - 10, digits.startswith("0").cast("int"))
     fresh = permuted_digits(key, "phone", F.substring(digits, kept + 1, F.length(digits)))
     return refill(value, F.concat(F.substring(digits, F.lit(1), kept), fresh))
 
 
 def new_secret(key: str, value: Column) -> Column:
-    """The secret itself replaced by keyed hexadecimal digits of the same length and case; a name before it stays."""
-    secret = F.regexp_extract(value, r"([A-Za-z0-9_+/-]+)$", 1)
-    name = F.substring(value, F.lit(1), F.length(value) - F.length(secret))
-    long = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret{k}"), F.lower(secret)), 256) for k in range(4)])
+    """The secret itself replaced by keyed hexadecimal digits of the same length; a name before it stays.
+
+    Secrets that differ in case differ, but for hexadecimal numbers, which stay linked and keep their case.
+    """
+    name = F.regexp_extract(value, f"^(?:{TOKEN_NAME}|{PASSWORD_NAME})", 0)
+    secret = F.substring(value, F.length(name) + 1, F.length(value))
+    same = F.when(secret.rlike("^[0-9a-fA-F]{32,64}$"), F.lower(secret)).otherwise(secret)
+    long = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret{k}"), same), 256) for k in range(4)])
     fresh = F.rpad(F.substring(long, F.lit(1), F.length(secret)), F.length(secret), "0")
     return F.concat(name, F.when(secret == F.upper(secret), F.upper(fresh)).otherwise(fresh))
 
@@ -157,16 +202,18 @@ def kind_of(value: Column) -> Column:
     digits = only_digits(value)
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     ssn = whole(SSN) & ~value.rlike("^(000|666|9)|-00-|-0000$")
-    day = F.datediff(day_of(value), F.lit(FIRST_DAY).cast("date"))
+    day = F.datediff(any_day_of(value), F.lit(FIRST_DAY).cast("date"))
+    ip6 = ~value.contains("::") | ((F.regexp_count(value, F.lit("[0-9A-Fa-f]+")).between(2, 7)) & value.rlike("[0-9]"))
     return (
-        F.when(value.contains("@"), "email")
-        .when(whole(ASSIGNED) | whole(HEX), "secret")
-        .when(value.rlike("^[A-Z]{2}"), F.when(iban_remainder(F.regexp_replace(value, " ", "")) == 1, "iban"))
+        F.when(whole(ASSIGNED) | whole(HEX), "secret")
+        .when(value.contains("@"), "email")
+        .when(whole(IP6), F.when(ip6, "ip6"))
+        .when(value.rlike("^[A-Z]{2}"), F.when(value.rlike("^.{4}.*[0-9]") & (iban_remainder(F.regexp_replace(value, " ", "")) == 1), "iban"))
         .when(whole(CARD), F.when(card_remainder(digits) == 0, "card"))
         .when(whole(SSN), F.when(ssn, "ssn"))
         .when(whole(DATE), F.when((day >= 0) & (day < DAYS_A * DAYS_B), "date"))
         .when(whole(IP), "ip")
-        .otherwise("phone")
+        .when(whole(PHONE) | F.length(digits).between(10, 11), "phone")
     )
 
 
@@ -179,14 +226,26 @@ def replaced(key: str, kind: Column, value: Column) -> Column:
         .when(kind == "ssn", refill(value, permuted_digits(key, "ssn", only_digits(value))))
         .when(kind == "date", new_date(key, value))
         .when(kind == "ip", new_ip(key, value))
+        .when(kind == "ip6", new_ip6(key, value))
         .when(kind == "phone", new_phone(key, value))
         .otherwise(value)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "tmengine") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting; where none is set, a random one that this session keeps."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replace the column text's personal data; adds n_private (long) and private_kinds (sorted, comma-joined).
 
+    A date with slashes or dots is read with the day first, or the month first where no such day exists.
+    An account number without a digit after its check digits is no match.
     Matches that fail their validation stay as they are. Null text stays null with 0 found; empty texts,
     ties and repeated rows are judged alone; an empty table gives no rows; other columns pass through unless
     they carry a result's name, in which case the result replaces them. Row by row: nothing is shuffled.
@@ -206,4 +265,4 @@ def pseudonymise(docs: DataFrame, key: str = "tmengine") -> DataFrame:
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pseudonymise(docs).select("doc_id", "text", "n_private", "private_kinds")
+    return pseudonymise(docs, session_key(spark)).select("doc_id", "text", "n_private", "private_kinds")
