@@ -1,4 +1,4 @@
-"""Connected components."""
+"""Connected components, and joins of a key's rows with their minimum that hot keys do not make uneven."""
 
 from __future__ import annotations
 
@@ -8,11 +8,30 @@ from pyspark.sql import functions as F
 from tmengine.tables import discard, written
 
 
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    """Add ``_salt``, which spreads a key's rows over as many pieces as there are shuffle partitions."""
+    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(pieces)).cast("int"))
+
+
+def with_minimum(rows: DataFrame, key: str, value: str, by: str, name: str) -> DataFrame:
+    """Add to each row the least ``value`` of its key's rows as ``name``; rows of a key should differ in ``by``.
+
+    A key's minimum goes only to the pieces that its rows lie in, so it is copied at most once for each row and
+    no task meets all rows of a hot key. A null key has no minimum and its rows are dropped, as by any join.
+    """
+    spread = salted(rows, by)
+    least = spread.groupBy(key).agg(F.min(value).alias(name), F.collect_set("_salt").alias("_salts"))
+    least = least.select(key, name, F.explode("_salts").alias("_salt"))
+    return spread.join(least.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(id, component)`` of the vertices of ``edges(a, b)``; component is the smallest id reachable.
 
     Each round hooks every vertex and its neighbours to the smallest one near it, then small ones to theirs;
-    all groupings are minima, so hubs are pre-aggregated. Rounds are written out, so lost executors repeat one.
+    all groupings are minima, so hubs are pre-aggregated, and joined with a hub's edges in pieces. Rounds are
+    written out, so lost executors repeat one. Null ends and loops link nothing; no edges give no rows.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
@@ -25,10 +44,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     seen = mark(now)
     for _ in range(max_rounds if seen[0] else 0):
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = tidy(both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
+        near = with_minimum(both, "a", "b", "b", "m").where("b > a")
+        large = tidy(near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        near = with_minimum(large, "a", "b", "b", "m")
+        small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", "m"))
         following = written(tidy(small))
         discard(now)
         now, then, seen = following, seen, mark(following)
