@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.llm.common import BROADCAST_ROWS, components, materialize, partitions_for
+from tmengine.llm.common import BROADCAST_ROWS, components, materialize, partitions_for, salted, with_minimum
 from tmengine.llm.simhash import _Links
 
 #: Vectors of one filter that are compared in one piece; larger filters are cut into chunks of about this size.
@@ -105,7 +105,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, wo
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.withColumn("sound", F.coalesce(sound & F.exists("embedding", lambda x: x != 0), F.lit(False)))
     point = F.when(F.col("sound"), F.xxhash64("label", "embedding"))
-    ids = materialize(rows.select("vec_id", point.alias("point")))
+    ids = salted(materialize(rows.select("vec_id", point.alias("point"))), "vec_id")
     points = rows.where("sound").groupBy(point.alias("point")).agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,12 +183,11 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, wo
     found = materialize(full.mapInArrow(compare, "a long, b long, links long"))
     linked = components(found.where("links = 0").select("a", "b"))
     counts = found.where("links > 0").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
-    named = ids.where("point is not null").groupBy("point").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    named = ids.where("point is not null").groupBy("point").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.collect_set("_salt").alias("salts"))
     named = named.join(linked.hint("merge"), F.col("point") == F.col("id"), "left").join(counts.hint("merge"), "point", "left")
-    named = named.withColumn("group", F.coalesce("component", "point"))
-    tops = named.groupBy("group").agg(F.min("least").alias("top"))
-    named = materialize(named.join(tops.hint("merge"), "group").select("point", "top", "copies", F.coalesce("links", F.lit(0)).alias("links")))
-    out = ids.join(named.hint("merge"), "point", "left")
+    named = with_minimum(named.withColumn("group", F.coalesce("component", "point")), "group", "least", "point", "top")
+    named = materialize(named.select("point", "top", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.explode("salts").alias("_salt")))
+    out = ids.join(named.hint("merge"), ["point", "_salt"], "left")
     return out.select(
         "vec_id",
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),

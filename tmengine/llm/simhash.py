@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.llm.common import LOWER_AZ, components, materialize, partitions_for, texts
+from tmengine.llm.common import LOWER_AZ, components, materialize, partitions_for, salted, texts, with_minimum
 
 #: Generator polynomials of the binary Golay code (x^11 + x^9 + x^7 + x^6 + x^5 + x + 1) and of the Hamming code (x^3 + x + 1).
 GOLAY, HAMMING = 0b101011100011, 0b1011
@@ -442,8 +442,8 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
     and never becomes a component's id unless no other is in it; repeated rows and ids are kept; an empty
     table gives no rows; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, width))
-    points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rows = salted(materialize(fingerprints(docs, width)), "doc_id")
+    points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.collect_set("_salt").alias("salts")))
     placed = replicas(points.select("fp"), "fp", ["fp"], distance)
 
     def near(x: dict, y: dict) -> np.ndarray:
@@ -451,10 +451,9 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
 
     linked = components(compare(placed, near, "fp", ["fp"]))
     named = points.join(linked.hint("merge"), F.col("fp") == F.col("id"), "left")
-    named = named.select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    tops = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(tops.hint("merge"), "group").select("fp", "component_id"))
-    return rows.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    named = with_minimum(named.select("fp", "least", "salts", F.coalesce("component", "fp").alias("group")), "group", "least", "fp", "component_id")
+    named = materialize(named.select("fp", "component_id", F.explode("salts").alias("_salt")))
+    return rows.join(named.hint("merge"), ["fp", "_salt"]).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFrame:
@@ -472,7 +471,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
     that fails hides no other.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), F.col("text").cast("string").alias("text"))
-    ids = materialize(keyed.select("doc_id", "body"))
+    ids = salted(materialize(keyed.select("doc_id", "body")), "doc_id")
     made = ["n", *VERDICT, "bands"]
     bodies = materialize(sketches(keyed, width).groupBy("body").agg(*[F.first(c).alias(c) for c in made]))
     placed = bodies.select("body", F.explode("bands").alias("key"))
@@ -505,12 +504,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
         links = found if links is None else links.union(found)
         if not turn or not found.isEmpty():
             linked = materialize(components(links))
-    least = ids.groupBy("body").agg(F.min("doc_id").alias("least"))
+    least = ids.groupBy("body").agg(F.min("doc_id").alias("least"), F.collect_set("_salt").alias("salts"))
     named = least.join(linked.hint("merge"), F.col("body") == F.col("id"), "left")
-    named = named.select("body", "least", F.coalesce("component", "body").alias("group"))
-    tops = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(tops.hint("merge"), "group").select("body", "group", "component_id"))
-    return ids.join(named.hint("merge"), "body").select("doc_id", "body", "group", "component_id")
+    named = with_minimum(named.select("body", "least", "salts", F.coalesce("component", "body").alias("group")), "group", "least", "body", "component_id")
+    named = materialize(named.select("body", "group", "component_id", F.explode("salts").alias("_salt")))
+    return ids.join(named.hint("merge"), ["body", "_salt"]).select("doc_id", "body", "group", "component_id")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
