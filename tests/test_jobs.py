@@ -1,8 +1,11 @@
 import re
 import uuid
 
+import pytest
+
+from tmengine.operators import enrich, infer
 from tmengine.plans import jobs
-from tmengine.sources import sinks
+from tmengine.sources import files, sinks
 from tmengine.streaming import ingest
 
 TM = "row_id long, source string, target string, status string"
@@ -37,6 +40,70 @@ def test_translate_dialogs(spark):
     assert got == {1: "HELLO", 2: "BYE", 3: "ALONE"}
 
 
+def test_a_failed_dialog_is_an_error_as_a_whole(spark):
+    members = spark.createDataFrame([("a", 0, 1, "x"), ("a", 1, 2, "y"), ("b", 0, 3, "z"), ("c", 0, 4, "v"), ("d", 0, 5, None)], "unit_id string, pos int, row_id long, source string")
+    said = spark.createDataFrame([("a", 2, "1. only", None), ("b", 1, None, "Timeout: t"), ("c", 1, "7. good", None)], "unit_id string, expected int, raw string, error string")
+    got = {r.row_id: (r.translation, r.status, r.error) for r in infer.dialog_results(members, said).collect()}
+    lines = "the answer does not have the expected lines"
+    assert got == {
+        1: ("[ERROR: DIALOG_PARSE_FAIL] x", "error", lines), 2: ("[ERROR: DIALOG_PARSE_FAIL] y", "error", lines), 3: ("[ERROR: DIALOG_LLM_FAIL] z", "error", "Timeout: t"),
+        4: ("good", "success", None), 5: ("[ERROR: DIALOG_PARSE_FAIL] ", "error", lines),
+    }
+    rows = [(1, "refuse me", None, "d", "Ann", 2.0), (2, "bye", None, "d", "Bob", None), (3, "alone", None, None, None, None)]
+    df = spark.createDataFrame(rows, "row_id long, source string, content_type string, dialog_id string, speaker string, time double")
+    got = {r.row_id: r for r in jobs.translate(df, spark.createDataFrame([], TM), spark.createDataFrame([], GLOSSARY), model, dialogs=True).collect()}
+    assert got[1].translation == "[ERROR: DIALOG_LLM_FAIL] refuse me" and got[2].translation == "[ERROR: DIALOG_LLM_FAIL] bye" and "refused" in got[2].error
+    assert got[3].translation == "ALONE" and got[3].error is None
+
+
+def test_import_keeps_columns_and_vectors(spark):
+    index = spark.createDataFrame(
+        [("p1", "a", "x", "Done", "ctx", [1.0]), ("p2", " b ", "x", "CQA_Done", "kept", [2.0]), ("p3", "c", "x", "Draft", None, None)],
+        "pair_id string, source string, target string, status string, context string, dense array<double>",
+    )
+    incoming = [(1, "a", "x", "CQA_Done", "new"), (2, "b", "x", "Done", None), (3, "c", "x", "Done", None), (4, "d", "x", "Done", None), (5, "d", "y", "Done", None)]
+    asked = []
+
+    def embed(sources):
+        asked.append(sorted(r.source for r in sources.collect()))
+        return sources.selectExpr("source", "array(9.0D) as dense")
+
+    rows = spark.createDataFrame(incoming, "row_id long, source string, target string, status string, context string")
+    summary, made = jobs.import_memory(rows, index, uuid.UUID(int=1), embed=embed)
+    got = {(r.source, r.target): (r.status, r.context, r.dense) for r in made.collect()}
+    assert got == {
+        ("a", "x"): ("CQA_Done", "new", [1.0]), (" b ", "x"): ("CQA_Done", "kept", [2.0]), ("c", "x"): ("Done", None, [9.0]),
+        ("d", "x"): ("Done", None, [9.0]), ("d", "y"): ("Done", None, [9.0]),
+    }
+    assert asked == [["c", "d"]] and summary.first()["upgraded"] == 2 and made.columns[0] == "pair_id"
+
+
+def test_enrichment_only_if_asked(spark):
+    asked = spark.createDataFrame([("u1", "q", 0, 0, None)], "unit_id string, query string, term_count int, sparse_hits int, dense_top1 double")
+    cache = spark.createDataFrame([], enrich.CACHE)
+    calls = lambda q: 1 / 0
+    for refs, filled in (jobs.enrich_weak_units(asked, cache, calls, asked=False), jobs.enrich_weak_units(asked, cache, None)):
+        assert refs.count() == 0 and filled.count() == 0
+
+
+def test_resuming_with_another_context_is_refused(spark, tmp_path):
+    units_in, results, seen = str(tmp_path / "u"), str(tmp_path / "r"), str(tmp_path / "m")
+    spark.createDataFrame([("u1", "m")], "unit_id string, message string").write.parquet(units_in)
+    answer = lambda df: df.selectExpr("unit_id", "message as raw", "cast(null as string) as error")
+    run = lambda context: ingest.run_units(spark, units_in, results, seen, "t", answer, context).awaitTermination()
+    run({"project": "one"})
+    run({"project": "one"})
+    with pytest.raises(ValueError, match="project"):
+        run({"project": "two"})
+    assert [(r.unit_id, r.pos, r.raw) for r in files.read_job_results(spark, results, "t").collect()] == [("u1", 0, "m")]
+
+
+def test_latest_good_result_wins(spark):
+    rows = [("t", "u", 0, "bad", "E", 3), ("t", "u", 0, "old", None, 1), ("t", "u", 0, "new", None, 2), ("t", "v", 0, "x", "E", 1), ("t", "v", 0, "y", "F", 2)]
+    df = spark.createDataFrame(rows, "task_id string, unit_id string, pos int, raw string, error string, saved_at int")
+    assert sorted((r.unit_id, r.raw) for r in files.latest_results(df).collect()) == [("u", "new"), ("v", "y")]
+
+
 def test_dry_import_and_enrichment(spark):
     incoming = spark.createDataFrame([(1, "a", "x", "Done")], TM)
     index = spark.createDataFrame([], "pair_id string, source string, target string, status string")

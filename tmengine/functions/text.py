@@ -143,6 +143,7 @@ def parsed_answer(raw: Column) -> Column:
     data = F.from_json(text, "map<string,string>")
     whole = text.rlike(r"(?s)^\{.*\}$") & F.map_contains_key(data, "translation")
     blank_is_null = lambda c: F.when(F.length(stripped(c)) > 0, stripped(c))
+    # fixed values: how a field is found in a broken object
     said, why = r'"translation"\s*:\s*"([^"]*)"', r'(?s)"reason"\s*:\s*"(.*)"[\s\n]*\}'
     rescued = F.struct(stripped(F.regexp_extract(text, said, 1)).alias("translation"), F.when(text.rlike(why), blank_is_null(F.regexp_extract(text, why, 1))).alias("reason"))
     exact = F.struct(stripped(F.element_at(data, "translation")).alias("translation"), blank_is_null(F.try_element_at(data, F.lit("reason"))).alias("reason"))
@@ -150,7 +151,7 @@ def parsed_answer(raw: Column) -> Column:
     return F.when(F.coalesce(whole, F.lit(False)), exact).when(text.rlike(said), rescued).otherwise(plain)
 
 
-#: A numbered line: spaces, number, separator, body.
+# Fixed value: a numbered line, with the separators that answers use.
 NUMBERED = r"^\s*(\d+)\s*[.\)）。、:：]\s*(.+?)\s*$"
 
 

@@ -7,11 +7,12 @@ length loses nothing. Blocks in which any two rows qualify outright become stars
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.functions.text import affix_similarity, common_prefix, stripped
-from tmengine.operators.graph import components
+from tmengine.functions.text import affix_similarity, common_prefix, ngrams, stripped
+from tmengine.operators.graph import components, salted
+from tmengine.operators.units import numbered
 from tmengine.tables import written
 
 _EPS = 1e-9
@@ -40,7 +41,7 @@ def full_affix_edges(rows: DataFrame, t: float) -> DataFrame:
     sizes = F.filter("ws", lambda w: (w >= _ceil(F.col("n") * t)) & (w <= F.col("n")))
     keyed = _keyed(near, sizes).select("row_id", "key", "q", "side")
     firsts = keyed.groupBy("key", "q", "side").agg(F.min("row_id").alias("top"), F.count("*").alias("m")).where("m > 1")
-    return keyed.join(firsts, ["key", "q", "side"]).where("row_id <> top").select(F.col("row_id").alias("a"), F.col("top").alias("b")).distinct()
+    return keyed.join(firsts.hint("merge"), ["key", "q", "side"]).where("row_id <> top").select(F.col("row_id").alias("a"), F.col("top").alias("b")).distinct()
 
 
 def half_affix_candidates(rows: DataFrame, t: float, group: str | None = None) -> DataFrame:
@@ -80,6 +81,21 @@ def affix_pairs(texts: DataFrame, t: float = 0.4) -> DataFrame:
     return pairs.where(F.col("similarity") >= t - _EPS).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def similar_by_grams(queries: DataFrame, rows: DataFrame, n: int, least: float) -> DataFrame:
+    """``(query_id, row_id, similarity)`` of stated queries and rows whose distinct n-grams have a Jaccard similarity of at least ``least`` > 0.
+
+    Rows meet queries by common grams, so those without one are never paired, and pairs whose sizes are too far
+    apart are dropped before they are counted. A text of a query's own id is left out; null and empty texts
+    have no gram.
+    """
+    grams = lambda df, key: written(df.select(key, ngrams(F.coalesce("text", F.lit("")), n).alias("gs")).select(key, F.size("gs").alias(f"n_{key}"), F.explode("gs").alias("gram")))
+    asked, held = grams(queries, "query_id"), grams(rows, "row_id")
+    near = (F.least("n_query_id", "n_row_id") >= F.greatest("n_query_id", "n_row_id") * least) & (F.col("query_id") != F.col("row_id"))
+    both = held.join(asked.hint("merge"), "gram").where(near).groupBy("query_id", "row_id", "n_query_id", "n_row_id").agg(F.count("*").alias("common"))
+    similarity = F.col("common") / (F.col("n_query_id") + F.col("n_row_id") - F.col("common"))
+    return both.where(similarity >= least).select("query_id", "row_id", F.round(similarity, 6).alias("similarity"))
+
+
 def template_components(texts: DataFrame, t: float = 0.4) -> DataFrame:
     """``(row_id, text, n, component)``: equal texts first, then stars of full affixes, then pairs across those.
 
@@ -92,8 +108,8 @@ def template_components(texts: DataFrame, t: float = 0.4) -> DataFrame:
     placed = written(placed)
     more = half_affix_candidates(placed, t, "component").where(affix_similarity(F.col("ta"), F.col("tb")) >= t - _EPS)
     of = placed.select("row_id", "component")
-    ends = more.select("a", "b").join(of.withColumnRenamed("row_id", "a").withColumnRenamed("component", "ca"), "a")
-    ends = ends.join(of.withColumnRenamed("row_id", "b").withColumnRenamed("component", "cb"), "b")
+    ends = more.select("a", "b").join(of.withColumnRenamed("row_id", "a").withColumnRenamed("component", "ca").hint("merge"), "a")
+    ends = ends.join(of.withColumnRenamed("row_id", "b").withColumnRenamed("component", "cb").hint("merge"), "b")
     merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     final = placed.join(merged.withColumnRenamed("component", "top"), F.col("component") == F.col("id"), "left")
     final = final.select("text", F.coalesce("top", "component").alias("component"))
@@ -104,12 +120,15 @@ def template_groups(texts: DataFrame, t: float = 0.4, min_coverage: float = 0.5,
     """``(row_id, component, is_grouped, slice_no, template)`` for every text that is not blank.
 
     A component whose common prefix and suffix cover less than ``min_coverage`` of its longest text is not a
-    group. Least and greatest text (and reversed text) give the common affixes, so they are plain aggregates.
+    group. Least and greatest text (and reversed text) give the common affixes, so they are plain aggregates. Slices
+    come from places along (component, row_id) over range partitions, and a large component's rows meet its shape
+    in pieces, so no task has all of it.
     """
-    rows = written(template_components(texts, t))
+    rows = salted(numbered(template_components(texts, t), "component", "row_id"), "row_id")
     shape = rows.groupBy("component").agg(
         F.count("*").alias("m"), F.min("text").alias("lo"), F.max("text").alias("hi"), F.min(F.reverse("text")).alias("rlo"),
         F.max(F.reverse("text")).alias("rhi"), F.min("n").alias("shortest"), F.max("n").alias("longest"),
+        F.min("place").alias("start"), F.collect_set("_salt").alias("salts"),
     )
     ahead = common_prefix(F.col("lo"), F.col("hi"))
     shape = shape.withColumn("ahead", ahead)
@@ -117,7 +136,6 @@ def template_groups(texts: DataFrame, t: float = 0.4, min_coverage: float = 0.5,
     covered = (F.col("ahead") + F.col("behind")) / F.col("longest")
     shape = shape.withColumn("is_grouped", (F.col("m") > 1) & (covered >= min_coverage - _EPS))
     text = F.concat(F.substring("lo", F.lit(1), F.col("ahead")), F.lit("…"), F.reverse(F.substring("rlo", F.lit(1), F.col("behind"))))
-    shape = shape.select("component", "is_grouped", F.when(F.col("is_grouped") & (F.col("ahead") + F.col("behind") > 0), text).otherwise("").alias("template"))
-    order = Window.partitionBy("component").orderBy("row_id")
-    out = rows.join(shape, "component").withColumn("slice_no", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    shape = shape.select("component", "is_grouped", "start", F.explode("salts").alias("_salt"), F.when(F.col("is_grouped") & (F.col("ahead") + F.col("behind") > 0), text).otherwise("").alias("template"))
+    out = rows.join(shape.hint("merge"), ["component", "_salt"]).withColumn("slice_no", F.floor((F.col("place") - F.col("start")) / size).cast("int"))
     return out.select("row_id", "component", "is_grouped", F.when(F.col("is_grouped"), F.col("slice_no")).alias("slice_no"), "template")

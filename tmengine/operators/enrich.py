@@ -31,10 +31,12 @@ def parsed_responses(responses: DataFrame, most: int = 3, snippet_chars: int = 3
 
 
 def cache_split(queries: DataFrame, cache: DataFrame, prefix=None) -> DataFrame:
-    """Queries with their ``key`` and ``hit``; a cache entry without results is a miss."""
-    known = cache.where("results is not null").groupBy("key").agg(F.first("results").alias("results"))
+    """Queries with their ``key`` and ``hit``; a cache entry without results or of another version is a miss."""
+    known = cache.where("results is not null")
+    known = known.where(F.coalesce("version", F.lit(CACHE_VERSION)) == CACHE_VERSION) if "version" in cache.columns else known
+    known = known.groupBy("key").agg(F.first("results").alias("results"))
     keyed = queries.withColumn("key", cache_key(F.col("query"), prefix))
-    return keyed.join(known, "key", "left").withColumn("hit", F.col("results").isNotNull())
+    return keyed.join(known.hint("merge"), "key", "left").withColumn("hit", F.col("results").isNotNull())
 
 
 def enriched(misses: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
@@ -54,7 +56,14 @@ def enriched(misses: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame
     return once.mapInPandas(run, "key string, query string, body string")
 
 
-def cache_with(cache: DataFrame, fetched: DataFrame) -> DataFrame:
-    """The cache with fetched results whose key it does not hold yet."""
-    new = fetched.where("body is not null").select("key", F.col("body").alias("results"))
-    return cache.select("key", "results").unionByName(new.join(cache.select("key"), "key", "left_anti"))
+#: The layout of a cache entry; entries of another layout are misses.
+CACHE_VERSION = 1
+CACHE = "key string, query string, results string, version int, cached_at timestamp"
+
+
+def cache_with(cache: DataFrame, fetched: DataFrame, now=None) -> DataFrame:
+    """The cache with fetched results ``(key, query, body)`` whose key it does not hold yet, stamped with version and time."""
+    new = fetched.where("body is not null").select("key", "query", F.col("body").alias("results"))
+    new = new.join(cache.select("key").hint("merge"), "key", "left_anti")
+    stamped = new.withColumn("version", F.lit(CACHE_VERSION)).withColumn("cached_at", F.current_timestamp() if now is None else now)
+    return cache.unionByName(stamped, allowMissingColumns=True)

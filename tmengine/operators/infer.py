@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmengine.functions.text import NUMBERED, content_type, parsed_answer, stripped
+from tmengine.tables import written
 
 
 def answers(units: DataFrame, model: Callable[[str], str], parallel: int | None = None, retries: int = 2) -> DataFrame:
@@ -37,8 +38,8 @@ def classified(texts: DataFrame, model: Callable[[str], str]) -> DataFrame:
     """Segments with a content type: their hint's if it resolves, else the model's answer for the distinct text, else unknown."""
     hinted = texts.withColumn("content_type", content_type(F.col("content_type")))
     asked = hinted.where("content_type is null").select("source").distinct().select(F.col("source").alias("unit_id"), F.col("source").alias("message"))
-    found = answers(asked, model).select(F.col("unit_id").alias("source"), content_type(F.col("raw")).alias("_answer"))
-    out = hinted.join(found, "source", "left")
+    found = written(answers(asked, model).select(F.col("unit_id").alias("source"), content_type(F.col("raw")).alias("_answer")))
+    out = hinted.join(found.hint("merge"), "source", "left")
     return out.withColumn("content_type", F.coalesce("content_type", "_answer", F.lit("未知"))).drop("_answer")
 
 
@@ -89,6 +90,24 @@ def parse_positional(outputs: DataFrame) -> DataFrame:
     return _answer_rows(rows.where("n = expected"))
 
 
+def dialog_results(members: DataFrame, said: DataFrame) -> DataFrame:
+    """``(row_id, translation, reason, status, error)`` of dialogs' members ``(unit_id, pos, row_id, source)`` from 0.
+
+    ``said(unit_id, expected, raw, error)`` has one answer a dialog. A dialog whose call failed, whose answer does
+    not have the expected lines, or that has no answer, is an error as a whole: no member of it is kept or asked alone.
+    """
+    parsed = parse_positional(said.where("error is null")).withColumn("pos", F.col("pos") - 1)
+    rows = members.join(said.select("unit_id", F.col("error").alias("_failed")).hint("merge"), "unit_id", "left")
+    rows = rows.join(parsed.hint("merge"), ["unit_id", "pos"], "left")
+    good = F.col("translation").isNotNull()
+    kind = F.when(F.col("_failed").isNotNull(), "DIALOG_LLM_FAIL").otherwise("DIALOG_PARSE_FAIL")  # fixed values
+    missed = F.concat(F.lit("[ERROR: "), kind, F.lit("] "), F.coalesce("source", F.lit("")))
+    return rows.select(
+        "row_id", F.coalesce("translation", missed).alias("translation"), F.when(good, F.col("reason")).alias("reason"),
+        F.when(good, "success").otherwise("error").alias("status"), F.when(~good, F.coalesce("_failed", F.lit("the answer does not have the expected lines"))).alias("error"),
+    )
+
+
 def failed_members(members: DataFrame, parsed: DataFrame) -> DataFrame:
     """Members of units without a parsed answer, each as a unit of its own that keeps its content type."""
     rest = members.join(parsed.select("unit_id").distinct(), "unit_id", "left_anti")

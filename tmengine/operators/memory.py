@@ -7,15 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmengine.functions.text import pair_id, status_rank, stripped
+from tmengine.functions.text import memory_text, pair_id, status_rank, stripped
+from tmengine.tables import written
 
 PAIR = ["source", "target"]
 
 
 def best_by_pair(tm: DataFrame) -> DataFrame:
-    """One row a (source, target): the best status, the earliest row_id among equals, with the number of rows seen."""
+    """One row a (source, target): the best status, the earliest row_id among equals, with the number of rows seen.
+
+    Further columns (context, file) are those of that row.
+    """
     ranked = tm.withColumn("rank", status_rank(F.col("status")))
-    best = F.min_by(F.struct("row_id", "status", "rank"), F.struct("rank", "row_id"))
+    more = [c for c in tm.columns if c not in (*PAIR, "row_id", "status", "rank", "n_rows")]
+    best = F.min_by(F.struct("row_id", "status", "rank", *more), F.struct("rank", "row_id"))
     return ranked.groupBy(*PAIR).agg(best.alias("b"), F.count("*").alias("n_rows")).select(*PAIR, "b.*", "n_rows")
 
 
@@ -36,14 +41,16 @@ def exact_matches(segments: DataFrame, tm: DataFrame, k: int = 1) -> DataFrame:
 def import_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Best incoming pairs with ``action``: embed (unknown pair), skip (as good is there) or clone (better than all there).
 
-    clone carries reuse_id, the best existing point of the pair, and obsolete_ids, all of them.
+    clone carries reuse_id, the best existing point of the pair, and obsolete_ids, all of them. Stored pairs
+    are compared by their cleaned texts; those with a blank side are no one's pair.
     """
-    there = existing.withColumn("old_rank", status_rank(F.col("status"))).groupBy(*PAIR)
+    cleaned = existing.select("pair_id", *[memory_text(F.coalesce(c, F.lit(""))).alias(c) for c in PAIR], "status").where("source <> '' and target <> ''")
+    there = cleaned.withColumn("old_rank", status_rank(F.col("status"))).groupBy(*PAIR)
     there = there.agg(
         F.min("old_rank").alias("old_rank"), F.min_by("pair_id", F.struct("old_rank", "pair_id")).alias("reuse_id"),
         F.sort_array(F.collect_list("pair_id")).alias("obsolete_ids"),
     )
-    plan = best_by_pair(incoming).join(there, PAIR, "left")
+    plan = best_by_pair(incoming).join(there.hint("merge"), PAIR, "left")
     action = F.when(F.col("old_rank").isNull(), "embed").when(F.col("old_rank") <= F.col("rank"), "skip").otherwise("clone")
     plan = plan.withColumn("action", action)
     clone = F.col("action") == "clone"
@@ -63,19 +70,48 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 def reused_vectors(plan: DataFrame, index: DataFrame) -> DataFrame:
     """The stored vectors of upgraded pairs; ``missing`` marks those whose vector is gone."""
     wanted = plan.where("action = 'clone'").select(*PAIR, "status", "reuse_id")
-    found = wanted.join(index.select(F.col("pair_id").alias("reuse_id"), "dense"), "reuse_id", "left")
+    found = wanted.join(index.select(F.col("pair_id").alias("reuse_id"), "dense").hint("merge"), "reuse_id", "left")
     return found.withColumn("missing", F.col("dense").isNull())
 
 
-def apply_plan(plan: DataFrame, existing: DataFrame, namespace: uuid.UUID) -> DataFrame:
-    """The index after the plan: upgraded pairs' old points go, upgraded and new ones come under their stable ids."""
+def plan_vectors(plan: DataFrame, index: DataFrame, embed) -> DataFrame:
+    """``(source, target, dense)`` of upgraded and new pairs: the stored vector, or one made once a distinct source.
+
+    ``embed`` maps DataFrame(source) to DataFrame(source, dense); it also gives upgraded pairs their vector if
+    the stored one is gone.
+    """
+    reused = written(reused_vectors(plan, index).select(*PAIR, "dense", "missing"))
+    wanted = plan.where("action = 'embed'").select(*PAIR).unionByName(reused.where("missing").select(*PAIR))
+    return reused.where("not missing").select(*PAIR, "dense").unionByName(vectors_for_sources(wanted, embed).select(*PAIR, "dense"))
+
+
+def apply_plan(plan: DataFrame, existing: DataFrame, namespace: uuid.UUID, vectors: DataFrame | None = None) -> DataFrame:
+    """The index after the plan: upgraded pairs' old points go, upgraded and new ones come under their stable ids.
+
+    Points that stay keep all their columns. Those that come have the plan's values of the index's columns, and
+    ``dense`` from ``vectors(source, target, dense)`` if given.
+    """
     gone = plan.where("action = 'clone'").select(F.explode("obsolete_ids").alias("pair_id"))
-    kept = existing.join(gone, "pair_id", "left_anti").select("pair_id", *PAIR, "status")
+    kept = existing.join(gone.hint("merge"), "pair_id", "left_anti")
     fresh = plan.where("action in ('embed', 'clone')")
-    fresh = fresh.select(pair_id(F.col("source"), F.col("target"), F.col("status"), namespace).alias("pair_id"), *PAIR, "status")
+    more = [c for c in existing.columns if c in plan.columns and c not in ("pair_id", *PAIR, "status")]
+    fresh = fresh.select(pair_id(F.col("source"), F.col("target"), F.col("status"), namespace).alias("pair_id"), *PAIR, "status", *more)
+    if vectors is not None:
+        fresh = fresh.join(vectors.hint("merge"), PAIR, "left")
     return upsert(kept, fresh)
 
 
+def file_counts(candidates: DataFrame) -> DataFrame:
+    """Candidates of each source file, and those of unknown status."""
+    return candidates.groupBy("source_file").agg(F.count("*").alias("candidates"), F.count_if(F.col("status").isNull()).alias("unknown_status"))
+
+
+def load_counts(parsed: DataFrame, indexed: DataFrame) -> DataFrame:
+    """What a load read, how many points it made, and how many rows it did without (blank sides and repeats)."""
+    made = indexed.agg(F.count("*").alias("indexed"))
+    return parsed.agg(F.count("*").alias("parsed")).crossJoin(F.broadcast(made)).withColumn("dropped", F.col("parsed") - F.col("indexed"))  # one row each
+
+
 def upsert(index: DataFrame, entries: DataFrame) -> DataFrame:
     """Index rows with ``entries`` put in: rows without source or target are left out, the entry wins over the stored row."""
     rows = index.withColumn("_new", F.lit(0)).unionByName(entries.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -86,4 +122,4 @@ def upsert(index: DataFrame, entries: DataFrame) -> DataFrame:
 
 def vectors_for_sources(candidates: DataFrame, embed) -> DataFrame:
     """Embed every distinct source once with ``embed(DataFrame(source)) -> DataFrame(source, dense)``, joined back to all."""
-    return candidates.join(embed(candidates.select("source").distinct()), "source")
+    return candidates.join(written(embed(candidates.select("source").distinct())).hint("merge"), "source")

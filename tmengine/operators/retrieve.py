@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tmengine.functions.text import status_rank, status_weight, stripped
 from tmengine.operators.textindex import inverse_frequencies
-from tmengine.tables import BROADCAST_ROWS, written
+from tmengine.tables import written
 
-#: Queries compared with the whole index in one pass; more queries are taken in blocks of so many.
-QUERY_BLOCK = 4_096
+#: Vectors packed together: each block of queries is compared with each block of the index.
+QUERY_BLOCK, INDEX_BLOCK = 1_024, 4_096
 
 
 def top(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
@@ -34,44 +34,53 @@ def sparse_scores(queries: DataFrame, index: DataFrame, n_index: DataFrame) -> D
     return hits.groupBy("query_id", "pair_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 6).alias("score"))
 
 
+def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``(ids, dim, values)``: unit vectors of equal length, up to ``size`` together as one matrix of doubles, written out.
+
+    Null, empty, zero and non-finite vectors are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["vector"].map(_sound)]
+            for dim, part in batch.groupby(batch["vector"].map(len)):
+                for at in range(0, len(part), size):
+                    some = part.iloc[at : at + size]
+                    yield pd.DataFrame({"ids": [some[key].to_numpy()], "dim": [dim], "values": [_unit(np.stack(some["vector"].to_numpy())).tobytes()]})
+
+    slim = rows.select(key, F.col("vector").cast("array<double>").alias("vector"))
+    return written(slim.mapInPandas(run, "ids array<long>, dim int, values binary"))
+
+
 def dense_scores(queries: DataFrame, index: DataFrame, n: int, least: float = -1.0) -> DataFrame:
     """The ``n`` best ``(query_id, pair_id, score)`` of each query by cosine of at least ``least``, ties by pair_id.
 
-    ``queries(query_id, vector)`` in blocks of bounded size against the whole ``index(pair_id, vector)``: every
-    task multiplies its index rows by the block's matrix and keeps n rows a query, which are then merged.
-    Null, zero and non-finite vectors have no hits.
+    ``queries(query_id, vector)``, the stated set, and ``index(pair_id, vector)`` are packed into blocks; each block
+    of queries meets each block of the index in some task, which keeps n rows a query, and those are merged.
+    Only vectors of equal length are compared. Null, empty, zero and non-finite vectors have no hits.
     """
-    spark = index.sparkSession
-    asked = written(queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("block")))
-    schema = "query_id long, pair_id long, score double"
-    out = spark.createDataFrame([], schema)
-    for (block,) in asked.select("block").distinct().orderBy("block").collect():
-        rows = asked.where(F.col("block") == block).select("query_id", "vector").toPandas()
-        rows = rows[rows["vector"].map(_sound)]
-        if not len(rows):
-            continue
-        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(np.stack(rows["vector"].to_numpy()))))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
-            held = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
-            for batch in batches:
-                batch = batch[batch["vector"].map(_sound)]
-                for at in range(0, len(batch), 2048):
-                    part = batch.iloc[at : at + 2048]
-                    cosines = np.round(matrix @ _unit(np.stack(part["vector"].to_numpy())).T, 6)
-                    ids = part["pair_id"].to_numpy()
-                    for q in range(len(names)):
-                        hit = np.flatnonzero(cosines[q] >= least)
-                        s, i = np.concatenate([held[q][0], cosines[q][hit]]), np.concatenate([held[q][1], ids[hit]])
-                        keep = np.lexsort((i, -s))[:n]
-                        held[q] = (s[keep], i[keep])
-            for q, (s, i) in enumerate(held):
-                if len(s):
-                    yield pd.DataFrame({"query_id": names[q], "pair_id": i, "score": s})
-
-        out = out.unionByName(index.select("pair_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(best, schema))
-    return top(out, n)
+    asked = packed(queries, "query_id", QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("values").alias("q_values"))
+    held = packed(index, "pair_id", INDEX_BLOCK)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, dim, q_values, ids, values in zip(batch["q_ids"], batch["dim"], batch["q_values"], batch["ids"], batch["values"]):
+                matrix, rows = (np.frombuffer(v).reshape(-1, dim) for v in (q_values, values))
+                for at in range(0, len(matrix), 512):
+                    cosines = np.round(matrix[at : at + 512] @ rows.T, 6)
+                    floor = np.full(len(cosines), least)
+                    if len(rows) > n:
+                        floor = np.maximum(floor, np.partition(cosines, len(rows) - n, axis=1)[:, len(rows) - n])
+                    q, i = np.nonzero(cosines >= floor[:, None])
+                    order = np.lexsort((ids[i], -cosines[q, i], q))
+                    q, i = q[order], i[order]
+                    nth = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, i = q[nth < n], i[nth < n]
+                    yield pd.DataFrame({"query_id": q_ids[at + q], "pair_id": ids[i], "score": cosines[q, i]})
+
+    met = held.join(asked.hint("shuffle_replicate_nl"), F.col("dim") == F.col("q_dim"))  # blocks of the stated queries against all rows
+    met = met.select("q_ids", "dim", "q_values", "ids", "values")
+    return top(met.mapInPandas(best, "query_id long, pair_id long, score double"), n)
 
 
 def _sound(v) -> bool:
@@ -94,7 +103,7 @@ def fused(channels: list[DataFrame], k: int = 60, fetch: int | None = None) -> D
 
 def weighted_top(hits: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """The ``k`` best hits of each query: one a (source, target), best status first, ordered by score times status weight."""
-    rows = hits.select("query_id", "pair_id", "score").join(index.select("pair_id", "source", "target", "status"), "pair_id")
+    rows = written(hits.select("query_id", "pair_id", "score")).join(index.select("pair_id", "source", "target", "status").hint("merge"), "pair_id")
     rows = rows.withColumn("rank", status_rank(F.col("status")))
     one = F.min_by(F.struct("pair_id", "score", "status"), F.struct("rank", (-F.col("score")).alias("s"), "pair_id"))
     rows = rows.groupBy("query_id", stripped(F.col("source")).alias("source"), stripped(F.col("target")).alias("target")).agg(one.alias("h"))
@@ -112,7 +121,7 @@ def recall_diagnostics(queries: DataFrame, dense: DataFrame, sparse: DataFrame,
     """Per query the best cosine (null without one) and the number of sparse hits up to the prefetch."""
     best = dense.groupBy("query_id").agg(F.max("score").alias("dense_top1"))
     n = sparse.groupBy("query_id").agg(F.least(F.count("*"), F.lit(prefetch)).alias("sparse_hits"))
-    out = queries.select("query_id").join(best, "query_id", "left").join(n, "query_id", "left")
+    out = queries.select("query_id").join(best.hint("merge"), "query_id", "left").join(n.hint("merge"), "query_id", "left")
     return out.select("query_id", "dense_top1", F.coalesce("sparse_hits", F.lit(0)).alias("sparse_hits"))
 
 
@@ -124,7 +133,7 @@ def weak_recall(diagnosed: DataFrame, least: float) -> DataFrame:
 
 def unit_references(members: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """References of each unit: its members' hits, the best score of each (source, target), up to 2k."""
-    rows = members.select("unit_id", "query_id").join(hits, "query_id")
+    rows = members.select("unit_id", "query_id").join(hits.hint("merge"), "query_id")
     rows = rows.groupBy("unit_id", "source", "target").agg(F.max_by("status", F.struct("score", (-F.col("pair_id")).alias("p"))).alias("status"), F.max("score").alias("score"))
     order = Window.partitionBy("unit_id").orderBy(F.col("score").desc(), "source", "target")
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * k)

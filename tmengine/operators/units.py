@@ -30,13 +30,13 @@ def dedup_saving(segments: DataFrame) -> DataFrame:
     return n.select("total", "unique", saved.alias("saved"), F.round(F.when(F.col("total") > 0, saved * 100.0 / F.col("total")).otherwise(0.0), 2).alias("saved_pct"))
 
 
-def numbered(df: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """Gapless places from 0 along ``order`` (unique), without a window over all rows.
+def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """Gapless places from 0 along ``order`` (unique together), without a window over all rows.
 
     Rows are range-partitioned and written; each partition is numbered alone and shifted by the counts before.
     """
     spark = df.sparkSession
-    laid = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    laid = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     laid = written(laid.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = laid.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row a partition
@@ -100,11 +100,24 @@ def contiguous_offset(expected: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def context_difference(stored: DataFrame, asked: DataFrame) -> DataFrame:
-    """Fields ``(key, value)`` that differ; an empty stored context is not compared."""
-    both = stored.withColumnRenamed("value", "stored").join(asked.withColumnRenamed("value", "asked"), "key", "full")
+    """Fields ``(key, value)`` that differ; what is not stored is not compared."""
+    both = stored.withColumnRenamed("value", "stored").join(asked.withColumnRenamed("value", "asked").hint("merge"), "key", "full")
     return both.where("stored is not null and not (stored <=> asked)")
 
 
+def part_of(rows: DataFrame, order: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A stretch of the rows along ``order`` (unique), for trial runs; all rows without limit and offset."""
+    out = rows.orderBy(order).offset(offset) if offset or limit is not None else rows
+    return out.limit(limit) if limit is not None else out
+
+
+def representatives(members: DataFrame) -> DataFrame:
+    """One text to look up for each unit of ``(unit_id, pos, source, template)``: its template if it has one, else its first source."""
+    first = F.min_by("source", "pos")
+    named = F.min_by("template", F.when(F.coalesce("template", F.lit("")) != "", F.col("pos")))
+    return members.groupBy("unit_id").agg(F.coalesce(named, first).alias("query"))
+
+
 def outcome_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("outcome").agg(F.count("*").alias("n_files"))
 

@@ -38,7 +38,8 @@ def _messages(members: DataFrame, terms: DataFrame, refs: DataFrame, k: int, pat
     """One message a unit from its members (unit_id, pos, row_id, source, speaker): terms, references, numbered sources."""
     found = glossary.matches(members.withColumn("text", F.col("source")), terms, pattern_terms=pattern_terms)
     listed = found.select("unit_id", "pos", F.posexplode("terms").alias("idx", "source"))
-    listed = listed.groupBy("unit_id", "source").agg(F.min(F.struct("pos", "idx")).alias("seen")).join(terms.select("source", "target", "category"), "source")
+    listed = listed.groupBy("unit_id", "source").agg(F.min(F.struct("pos", "idx")).alias("seen"))
+    listed = listed.join(terms.select("source", "target", "category").hint("merge"), "source")
     named = F.array_sort(F.collect_list(F.struct("seen", "source", "target", "category")))
     per_unit = listed.groupBy("unit_id").agg(named.alias("terms"))
     asked = members.select("unit_id", F.col("row_id").alias("query_id"))
@@ -46,7 +47,7 @@ def _messages(members: DataFrame, terms: DataFrame, refs: DataFrame, k: int, pat
     hits = merged.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("nth", "source", "target", "score", "status"))).alias("refs"))
     turns = F.array_sort(F.collect_list(F.struct("pos", "source", "speaker")))
     out = members.groupBy("unit_id").agg(turns.alias("turns"), F.count("*").cast("int").alias("expected"))
-    out = out.join(per_unit, "unit_id", "left").join(hits, "unit_id", "left")
+    out = out.join(per_unit.hint("merge"), "unit_id", "left").join(hits.hint("merge"), "unit_id", "left")
     body = render.message([
         ("## Terms", render.term_lines(F.col("terms"))), ("## References", render.reference_lines(F.col("refs"))), ("## Source", render.dialog_lines(F.col("turns"))),
     ])
@@ -56,8 +57,9 @@ def _messages(members: DataFrame, terms: DataFrame, refs: DataFrame, k: int, pat
 def translate(segments: DataFrame, tm: DataFrame, terms: DataFrame, model: Callable[[str], str], dialogs: bool = False, k: int = 3, pattern_terms: int = PATTERN_TERMS) -> DataFrame:
     """``(row_id, source, translation, reason, error, tm_exact)`` of every segment.
 
-    Distinct segments only (all rows of dialogs), exact memory hits without a model call, the rest in units;
-    units whose answer does not parse are asked again member by member. Blank sources come back with an error.
+    Distinct segments only (all rows of dialogs), exact memory hits without a model call, the rest in units.
+    Group and single units whose answer does not parse are asked again member by member; a dialog that fails is
+    an error as a whole. Blank sources come back with an error.
     """
     rows = segments.withColumn("unique_id", F.col("row_id"))
     if not dialogs:
@@ -77,40 +79,61 @@ def translate(segments: DataFrame, tm: DataFrame, terms: DataFrame, model: Calla
     speaker = F.col("speaker") if "speaker" in open_.columns else F.lit(None).cast("string")
     members = written(members.join(open_.select("row_id", "source", speaker.alias("speaker")), "row_id"))
     refs = written(sparse_references(open_, tm, k))
-    first = written(_ask(members, terms, refs, model, k, pattern_terms, "positional" if dialogs else "numbered"))
-    again = written(infer.failed_members(members, first))
-    second = _ask(again, terms, refs, model, k, pattern_terms, "single")
-    given = members.select("unit_id", "pos", "row_id").unionByName(again.select("unit_id", "pos", "row_id"))
-    answered = first.unionByName(second).join(given, ["unit_id", "pos"]).select("row_id", "translation", "reason", "error", F.lit(False).alias("tm_exact"))
-    answered = answered.groupBy("row_id").agg(F.max_by(F.struct("translation", "reason", "error", "tm_exact"), F.col("error").isNull()).alias("a")).select("row_id", "a.*")
-    done = direct.unionByName(answered).withColumnRenamed("row_id", "unique_id")
-    out = rows.select("row_id", "source", "unique_id").join(done, "unique_id", "left")
+    whole, apart = members.where("kind = 'dialog'"), members.where("kind <> 'dialog'")
+    first = written(_parsed(_said(apart, terms, refs, model, k, pattern_terms), "numbered"))
+    again = written(infer.failed_members(apart, first))
+    second = _parsed(_said(again, terms, refs, model, k, pattern_terms), "single")
+    given = apart.select("unit_id", "pos", "row_id").unionByName(again.select("unit_id", "pos", "row_id"))
+    answered = first.unionByName(second).join(given.hint("merge"), ["unit_id", "pos"]).select("row_id", "translation", "reason", "error")
+    answered = answered.groupBy("row_id").agg(F.max_by(F.struct("translation", "reason", "error"), F.col("error").isNull()).alias("a")).select("row_id", "a.*")
+    if dialogs:
+        answered = answered.unionByName(infer.dialog_results(whole, _said(whole, terms, refs, model, k, pattern_terms)).drop("status"))
+    done = direct.unionByName(answered.withColumn("tm_exact", F.lit(False))).withColumnRenamed("row_id", "unique_id")
+    out = rows.select("row_id", "source", "unique_id").join(written(done).hint("merge"), "unique_id", "left")
     blank = F.trim(F.coalesce("source", F.lit(""))) == ""
     return out.select("row_id", "source", "translation", "reason", F.when(blank, "empty source").otherwise(F.col("error")).alias("error"), F.coalesce("tm_exact", F.lit(False)).alias("tm_exact"))
 
 
-def _ask(members: DataFrame, terms: DataFrame, refs: DataFrame, model, k: int, pattern_terms: int, form: str) -> DataFrame:
+def _said(members: DataFrame, terms: DataFrame, refs: DataFrame, model, k: int, pattern_terms: int) -> DataFrame:
+    """The model's answers ``(unit_id, expected, raw, error)``, one a unit, written out: no unit is asked twice."""
+    sent = written(_messages(members, terms, refs, k, pattern_terms))
+    return written(infer.answers(sent, model).join(sent.select("unit_id", "expected").hint("merge"), "unit_id"))
+
+
+def _parsed(said: DataFrame, form: str) -> DataFrame:
     """Parsed answers ``(unit_id, pos, translation, reason, error)``; for single units also the failed ones."""
-    sent = _messages(members, terms, refs, k, pattern_terms)
-    said = written(infer.answers(sent, model).join(sent.select("unit_id", "expected"), "unit_id"))
     none = F.lit(None).cast("string")
     if form == "single":
-        out = infer.parse_single(said).join(said.select("unit_id", "error"), "unit_id")
+        out = infer.parse_single(said).join(said.select("unit_id", "error").hint("merge"), "unit_id")
         return out.select("unit_id", F.lit(0).alias("pos"), F.when(F.col("error").isNull(), F.regexp_replace("translation", r"^\s*1[.)]\s*", "")).alias("translation"), "reason", "error")
-    parse = infer.parse_numbered if form == "numbered" else infer.parse_positional
-    return parse(said.where("error is null")).select("unit_id", (F.col("pos") - 1).alias("pos"), "translation", "reason", none.alias("error"))
+    return infer.parse_numbered(said.where("error is null")).select("unit_id", (F.col("pos") - 1).alias("pos"), "translation", "reason", none.alias("error"))
+
 
+def import_memory(candidates: DataFrame, index: DataFrame, namespace: uuid.UUID, commit: bool = True, embed=None) -> tuple[DataFrame, DataFrame | None]:
+    """The summary of an import, and the new index if it is to be made; without ``commit`` nothing but the plan is computed.
 
-def import_memory(candidates: DataFrame, index: DataFrame, namespace: uuid.UUID, commit: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """The summary of an import, and the new index if it is to be made; without ``commit`` nothing but the plan is computed."""
+    With ``embed`` (DataFrame(source) to DataFrame(source, dense)) upgraded pairs keep their stored vectors and
+    each other new source is embedded once.
+    """
     plan = written(memory.import_plan(candidates, index))
-    return memory.plan_summary(plan), memory.apply_plan(plan, index, namespace) if commit else None
+    if not commit:
+        return memory.plan_summary(plan), None
+    return memory.plan_summary(plan), memory.apply_plan(plan, index, namespace, memory.plan_vectors(plan, index, embed) if embed else None)
+
 
+def enrich_weak_units(
+    diagnosed: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None] | None, least: float = 0.5, prefix=None, asked: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """References of weakly recalled units ``(unit_id, query, term_count, sparse_hits, dense_top1)`` and the filled cache.
 
-def enrich_weak_units(diagnosed: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None], least: float = 0.5, prefix=None) -> tuple[DataFrame, DataFrame]:
-    """References of weakly recalled units ``(unit_id, query, term_count, sparse_hits, dense_top1)`` and the filled cache."""
+    ``query`` is a unit's one representative (``units.representatives``). Nothing is looked up if it was not
+    ``asked`` for or there is no ``fetch``.
+    """
+    if not asked or fetch is None:
+        diagnosed = diagnosed.where("false")
+        fetch = fetch or (lambda query: None)
     weak = retrieve.weak_recall(diagnosed, least).where("weak").select("unit_id", "query")
     split = written(enrich.cache_split(weak, cache, prefix))
     filled = written(enrich.cache_with(cache, enrich.enriched(split.where("not hit").select("key", "query"), fetch)))
     parsed = enrich.parsed_responses(filled.select("key", F.col("results").alias("body")))
-    return split.select("unit_id", "key").join(parsed, "key"), filled
+    return split.select("unit_id", "key").join(written(parsed).hint("merge"), "key"), filled

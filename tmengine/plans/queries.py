@@ -5,16 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmengine.functions import text as fn
-from tmengine.operators import cluster, enrich, glossary, infer, memory, render, retrieve, textindex, units
+from tmengine.operators import cluster, enrich, glossary, infer, memory, projects, render, retrieve, textindex, units
 from tmengine.plans import inputs as src
+from tmengine.plans import storage
 from tmengine.sources import files, sinks
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable] = dict(storage.QUERIES)
+ORACLES: dict[str, str] = dict(storage.ORACLES)
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 RANK = "CASE status WHEN 'Designer Reviewed' THEN 1 WHEN 'CQA_Done' THEN 2 WHEN 'Done_LQA edited' THEN 3 WHEN 'Done' THEN 4 ELSE 99 END"
@@ -101,6 +102,37 @@ def tm_apply_plan(spark, d):
     return memory.apply_plan(plan, stored, NAMESPACE)
 
 
+#: The stored points' vectors, where embeddings has one of their number.
+STORED_VECTORS = ", sv AS (SELECT old.*, e.embedding::DOUBLE[] AS dense FROM old LEFT JOIN embeddings e ON e.vec_id = old.row_id)"
+
+
+@query(PLAN + STORED_VECTORS + f""", gone AS (SELECT DISTINCT old.pair_id FROM old JOIN plan USING (source, target) WHERE action = 'clone'),
+fresh AS (SELECT plan.*, sha1({NS} || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h, sv.dense FROM plan
+LEFT JOIN (SELECT pair_id, dense FROM sv) sv ON action = 'clone' AND sv.pair_id = plan.reuse_id WHERE action <> 'skip')
+SELECT pair_id, source, target, status, row_id, round(list_sum(dense), 4) AS total FROM sv WHERE pair_id NOT IN (SELECT pair_id FROM gone)
+UNION ALL SELECT {UUID5}, source, target, status, row_id, CASE WHEN dense IS NOT NULL THEN round(list_sum(dense), 4) ELSE length(source) + 0.5::DOUBLE END FROM fresh""")
+def tm_import_vectors(spark, d):
+    plan, stored = _plan(spark, d)
+    held = src.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("row_id"), F.col("embedding").cast("array<double>").alias("dense"))
+    stored = stored.join(held.hint("merge"), "row_id", "left")
+    embed = lambda sources: sources.select("source", F.array(F.length("source").cast("double"), F.lit(0.5)).alias("dense"))
+    made = memory.apply_plan(plan, stored, NAMESPACE, memory.plan_vectors(plan, stored, embed))
+    return made.select("pair_id", "source", "target", "status", "row_id", F.round(F.aggregate("dense", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("SELECT p_type AS source_file, count(*) AS candidates, count(*) FILTER (p_partkey % 6 = 5) AS unknown_status FROM part GROUP BY p_type")
+def import_file_counts(spark, d):
+    kind = src.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("row_id"), F.col("p_type").alias("source_file"))
+    return memory.file_counts(src.memory(spark, d).join(kind.hint("merge"), "row_id"))
+
+
+@query(f"""WITH {TM}, made AS (SELECT DISTINCT source, target FROM tm WHERE row_id % 7 <> 0) SELECT count(*) AS parsed, (SELECT count(*) FROM made) AS indexed, count(*) - (SELECT count(*) FROM made) AS dropped FROM tm""")
+def load_counts(spark, d):
+    parsed = src.memory(spark, d).withColumn("source", F.when(F.col("row_id") % 7 == 0, F.lit(" ")).otherwise(F.col("source")))
+    indexed = memory.best_by_pair(parsed.where(F.trim("source") != ""))
+    return memory.load_counts(parsed, indexed)
+
+
 @query(f"""WITH {TM}, x AS (SELECT *, sha1({NS} || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h FROM tm) SELECT row_id, {UUID5} AS pair_id FROM x""")
 def pair_ids(spark, d):
     return src.memory(spark, d).select("row_id", fn.pair_id(F.col("source"), F.col("target"), F.col("status"), NAMESPACE).alias("pair_id"))
@@ -115,11 +147,13 @@ def vector_reuse(spark, d):
     return memory.reused_vectors(plan, stored).select("source", "target", "status", "reuse_id", total.alias("total"), "missing")
 
 
-@query("""WITH k AS (SELECT c_custkey::BIGINT AS row_id, c_name || '/' || c_mktsegment || '-latest.sdltm' AS file, c_mktsegment AS m FROM customer)
-SELECT row_id, 'Done' AS status FROM k""")
+@query("""SELECT c_custkey::BIGINT AS row_id, CASE c_custkey % 8 WHEN 0 THEN 'Designer Reviewed' WHEN 1 THEN 'CQA_Done' WHEN 2 THEN 'Done_LQA edited' WHEN 3 THEN 'Done' WHEN 4 THEN 'Done'
+WHEN 5 THEN 'Designer Reviewed' WHEN 6 THEN c_mktsegment END AS status FROM customer""")
 def file_status(spark, d):
-    rows = src.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("row_id"), F.concat("c_name", F.lit("/"), "c_mktsegment", F.lit("-latest.sdltm")).alias("file"))
-    return rows.select("row_id", fn.status_from_file(F.col("file")).alias("status"))
+    word = F.expr("CASE c_custkey % 8 WHEN 0 THEN 'Designer' WHEN 1 THEN 'my_CQA' WHEN 2 THEN 'x-lqa-latest' WHEN 3 THEN 'GT' WHEN 4 THEN 'ST' WHEN 5 THEN 'cqa designer' ELSE 'memo' END")
+    file = F.concat("c_name", F.lit("/"), word, F.lit(".sdltm"))
+    default = F.when(F.col("c_custkey") % 8 == 6, F.col("c_mktsegment"))
+    return src.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("row_id"), fn.status_from_file(file, default).alias("status"))
 
 
 @query(f"""WITH {TM} SELECT row_id, coalesce(source, '') AS source, coalesce(status, '') AS status, {RANK} AS rank, {WEIGHT} AS weight FROM tm""")
@@ -264,11 +298,51 @@ def contiguous_offset(spark, d):
     return units.contiguous_offset(o.select("start", "stop"), o.where("o_orderpriority not like '5%'"))
 
 
-@query("""SELECT n_name AS key, r_name AS stored, CASE WHEN n_regionkey % 2 = 0 THEN r_name ELSE n_name END AS asked FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey % 2 <> 0 AND r_name <> n_name""")
+@query("""SELECT c_name AS key, c_mktsegment AS stored, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || '*' END AS asked FROM customer WHERE c_custkey % 5 <> 0 AND (c_custkey % 3 = 0 OR c_custkey % 3 = 1)""")
 def context_diff(spark, d):
-    n = src.table(spark, d, "nation").join(src.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    asked = n.select(F.col("n_name").alias("key"), F.when(F.col("n_regionkey") % 2 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("value"))
-    return units.context_difference(n.select(F.col("n_name").alias("key"), F.col("r_name").alias("value")), asked)
+    c = src.table(spark, d, "customer")
+    stored = c.select(F.col("c_name").alias("key"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("value"))
+    asked = c.where("c_custkey % 3 <> 1").select(F.col("c_name").alias("key"), F.when(F.col("c_custkey") % 3 == 0, F.concat("c_mktsegment", F.lit("*"))).otherwise(F.col("c_mktsegment")).alias("value"))
+    return units.context_difference(stored, asked)
+
+
+@query("SELECT o_orderkey::BIGINT AS row_id FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 100")
+def debug_part(spark, d):
+    return units.part_of(src.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("row_id")), "row_id", 500, 100)
+
+
+@query("""SELECT conv_id::VARCHAR AS unit_id, CASE WHEN conv_id % 3 = 0 THEN 't' || conv_id ELSE first(text ORDER BY turn) END AS query FROM conversations GROUP BY conv_id""")
+def unit_representatives(spark, d):
+    c = src.table(spark, d, "conversations")
+    template = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("t"), F.col("conv_id"))).otherwise(F.lit(""))
+    return units.representatives(c.select(F.col("conv_id").cast("string").alias("unit_id"), F.col("turn").alias("pos"), F.col("text").alias("source"), template.alias("template")))
+
+
+@query(f"""WITH {src.OUTPUTS_SQL} SELECT c.conv_id::BIGINT * 1000 + c.turn AS row_id, CASE WHEN c.conv_id % 7 = 3 THEN '[ERROR: DIALOG_PARSE_FAIL] ' || coalesce(c.text, '')
+WHEN c.conv_id % 7 = 5 THEN '[ERROR: DIALOG_LLM_FAIL] ' || coalesce(c.text, '') ELSE o.translation END AS translation, CASE WHEN c.conv_id % 7 NOT IN (3, 5) THEN o.reason END AS reason,
+CASE WHEN c.conv_id % 7 IN (3, 5) THEN 'error' ELSE 'success' END AS status, CASE c.conv_id % 7 WHEN 3 THEN 'the answer does not have the expected lines' WHEN 5 THEN 'Timeout: ' || c.conv_id END AS error
+FROM conversations c JOIN counted o ON o.unit_id = c.conv_id::VARCHAR AND o.turn = c.turn""")
+def dialog_results(spark, d):
+    said = src.unit_outputs(spark, d)
+    kind = F.col("unit_id").cast("long") % 7
+    lost = F.when(kind == 5, F.concat(F.lit("Timeout: "), "unit_id"))
+    said = said.withColumn("error", lost).withColumn("raw", F.when(kind == 3, F.concat(F.lit("1. one line too many\n"), "raw")).when(kind != 5, F.col("raw")))
+    c = src.table(spark, d, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    rows = c.select(F.col("conv_id").cast("string").alias("unit_id"), place.alias("pos"), (F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("row_id"), F.col("text").alias("source"))
+    return infer.dialog_results(rows, said)
+
+
+#: Saved results of every order's lines: some saved twice, some with a failed attempt before or after.
+RESULTS = "WITH r AS (SELECT 't' AS task_id, l_orderkey::VARCHAR AS unit_id, l_linenumber::INT AS pos, 'r' || try AS raw, CASE WHEN (l_orderkey + try) % 3 = 0 THEN 'failed' END AS error, try AS saved_at FROM lineitem, (SELECT unnest([1, 2, 3]) AS try) WHERE try <= 1 + l_orderkey % 3)"
+
+
+@query(RESULTS + """ SELECT task_id, unit_id, pos, raw, error, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, pos ORDER BY error IS NULL DESC, saved_at DESC) AS nth FROM r) WHERE nth = 1""")
+def result_readback(spark, d):
+    tries = F.explode(F.sequence(F.lit(1), (F.col("l_orderkey") % 3 + 1).cast("int")))
+    rows = src.table(spark, d, "lineitem").select(F.lit("t").alias("task_id"), F.col("l_orderkey").cast("string").alias("unit_id"), F.col("l_linenumber").cast("int").alias("pos"), "l_orderkey", tries.alias("saved_at"))
+    failed = F.when((F.col("l_orderkey") + F.col("saved_at")) % 3 == 0, "failed")
+    return files.latest_results(rows.select("task_id", "unit_id", "pos", F.concat(F.lit("r"), "saved_at").alias("raw"), failed.alias("error"), "saved_at"))
 
 
 @query("SELECT event_type AS outcome, count(*) AS n_files FROM events GROUP BY event_type")
@@ -421,12 +495,13 @@ def supplier_templates(spark, d):
     return cluster.template_groups(s, 0.4, 0.5)
 
 
-@query("""WITH g AS (SELECT n_name AS name, list_distinct(list_transform(range(1, length(n_name) - 1), lambda i: substr(n_name, i, 3))) AS gs FROM nation)
-SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.gs, b.gs)) / len(list_distinct(list_concat(a.gs, b.gs)))::DOUBLE, 6) AS similarity FROM g a JOIN g b ON a.name < b.name""")
+@query("""WITH g AS (SELECT s_suppkey::BIGINT AS id, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) AS gs FROM (SELECT s_suppkey, md5(s_name) || md5(s_suppkey::VARCHAR) AS n FROM supplier)),
+p AS (SELECT a.id AS query_id, b.id AS row_id, len(list_intersect(a.gs, b.gs)) / len(list_distinct(list_concat(a.gs, b.gs)))::DOUBLE AS s FROM g a JOIN g b ON a.id % 20 = 0 AND a.id <> b.id)
+SELECT query_id, row_id, round(s, 6) AS similarity FROM p WHERE s >= 0.02""")
 def ngram_jaccard(spark, d):
-    n = src.table(spark, d, "nation").select(F.col("n_name").alias("name"), fn.ngrams(F.col("n_name"), 3).alias("gs"))
-    pairs = n.alias("a").join(F.broadcast(n).alias("b"), F.col("a.name") < F.col("b.name"))  # nation has a fixed few rows
-    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(fn.jaccard(F.col("a.gs"), F.col("b.gs")), 6).alias("similarity"))
+    name = F.concat(F.md5(F.col("s_name").cast("binary")), F.md5(F.col("s_suppkey").cast("string").cast("binary")))
+    rows = src.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("row_id"), name.alias("text"))
+    return cluster.similar_by_grams(rows.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), rows, 3, 0.02)
 
 
 # --- outputs, rendering, enrichment -------------------------------------------------------------------------------
@@ -499,53 +574,85 @@ def content_types(spark, d):
     return rows.withColumn("class", fn.rule_class(F.col("kind")))
 
 
-@query("""WITH p AS (SELECT n_name AS project_id, CASE n_nationkey % 4 WHEN 0 THEN 'zh-en' WHEN 1 THEN 'ZH_CN>fr' WHEN 2 THEN 'ja/KO' ELSE 'zh' END AS lp FROM nation)
+@query("""WITH p AS (SELECT c_name AS project_id, CASE c_custkey % 4 WHEN 0 THEN 'zh-en' WHEN 1 THEN 'ZH_CN>fr' WHEN 2 THEN 'ja/KO' ELSE 'zh' END AS lp FROM customer)
 SELECT project_id, CASE lp WHEN 'zh-en' THEN 'Chinese' WHEN 'ZH_CN>fr' THEN 'Chinese' WHEN 'ja/KO' THEN 'Japanese' END AS source_name, CASE lp WHEN 'zh-en' THEN 'English' WHEN 'ZH_CN>fr' THEN 'French' WHEN 'ja/KO' THEN 'ko' END AS target_name FROM p""")
 def language_pairs(spark, d):
-    pair = F.expr("CASE n_nationkey % 4 WHEN 0 THEN 'zh-en' WHEN 1 THEN 'ZH_CN>fr' WHEN 2 THEN 'ja/KO' ELSE 'zh' END")
+    pair = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'zh-en' WHEN 1 THEN 'ZH_CN>fr' WHEN 2 THEN 'ja/KO' ELSE 'zh' END")
     first, last = fn.language_codes(pair)
-    return src.table(spark, d, "nation").select(F.col("n_name").alias("project_id"), fn.language_name(first).alias("source_name"), fn.language_name(last).alias("target_name"))
+    return src.table(spark, d, "customer").select(F.col("c_name").alias("project_id"), fn.language_name(first).alias("source_name"), fn.language_name(last).alias("target_name"))
 
 
 def _guides(spark, d):
-    text = F.concat(F.lit("General rules of "), "n_name", F.lit("\n# Rules by type\n## **一、** **任务**\nshort lines\n## **二、** **角色 / 人物**\nkeep names\n"))
-    return src.table(spark, d, "nation").select(F.col("n_name").alias("project_id"), text.alias("text"))
+    """A guide for every supplier; each third has no part by types, and the rules differ."""
+    by_type = F.concat(F.lit("\n# Rules by type\n## **一、** **任务**\nlines of "), F.md5(F.col("s_name").cast("binary")), F.lit("\n## **二、** **角色 / 人物**\nkeep "), "s_name", F.lit("\n"))
+    text = F.concat(F.lit("General rules of "), "s_name", F.when(F.col("s_suppkey") % 3 != 0, by_type).otherwise(""))
+    return src.table(spark, d, "supplier").select(F.col("s_name").alias("project_id"), text.alias("text"))
 
 
+# Fixed value: the heading line of a content type's rules in a guide.
 HEADING = r"(?m)^#+\s+\*\*[一二三四五六七八九十]+、\*\*\s+\*\*[^*\n]+\*\*"
+RULES = """WITH g AS (SELECT s_suppkey, s_name AS project_id, 'General rules of ' || s_name AS general, '## **一、** **任务**' || chr(10) || 'lines of ' || md5(s_name) AS one,
+'## **二、** **角色 / 人物**' || chr(10) || 'keep ' || s_name AS two FROM supplier)"""
 
 
-@query("""WITH t AS (SELECT unnest([NULL, '任务', '角色/人物']) AS content_type) SELECT n_name AS project_id, content_type,
-CASE coalesce(content_type, '') WHEN '' THEN 'General rules of ' || n_name WHEN '任务' THEN '## **一、** **任务**' || chr(10) || 'short lines' ELSE '## **二、** **角色 / 人物**' || chr(10) || 'keep names' END AS rules FROM nation, t""")
+@query(RULES + """ SELECT project_id, NULL AS content_type, general AS rules FROM g UNION ALL SELECT project_id, '任务', one FROM g WHERE s_suppkey % 3 <> 0
+UNION ALL SELECT project_id, '角色/人物', two FROM g WHERE s_suppkey % 3 <> 0""")
 def style_sections(spark, d):
     return render.style_rules(_guides(spark, d), "Rules by type", HEADING)
 
 
-@query("""WITH u AS (SELECT c_custkey::BIGINT AS unit_id, n_name AS project_id, CASE c_custkey % 3 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' END AS content_type FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT unit_id, project_id, content_type, md5(CASE WHEN content_type = '任务' THEN 'General rules of ' || project_id || chr(10) || chr(10) || '## **一、** **任务**' || chr(10) || 'short lines'
-ELSE 'General rules of ' || project_id || chr(10) || '# Rules by type' || chr(10) || '## **一、** **任务**' || chr(10) || 'short lines' || chr(10) || '## **二、** **角色 / 人物**' || chr(10) || 'keep names' || chr(10) END) AS style FROM u""")
+@query(RULES + """, u AS (SELECT l_orderkey::BIGINT * 10 + l_linenumber AS unit_id, CASE WHEN l_linenumber = 7 THEN 'none' ELSE s_name END AS project_id,
+CASE l_linenumber % 4 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' WHEN 2 THEN '角色/人物' END AS content_type FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+w AS (SELECT *, general || CASE WHEN s_suppkey % 3 <> 0 THEN chr(10) || '# Rules by type' || chr(10) || one || chr(10) || two || chr(10) ELSE '' END AS guide FROM g)
+SELECT unit_id, project_id, content_type, md5(CASE WHEN s_suppkey % 3 <> 0 AND content_type = '任务' THEN general || chr(10) || chr(10) || one
+WHEN s_suppkey % 3 <> 0 AND content_type = '角色/人物' THEN general || chr(10) || chr(10) || two ELSE guide END) AS style FROM u LEFT JOIN w USING (project_id)""")
 def style_lookup(spark, d):
     guides = _guides(spark, d)
-    c = src.table(spark, d, "customer").join(src.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    asked = c.select(F.col("c_custkey").cast("long").alias("unit_id"), F.col("n_name").alias("project_id"), F.expr("CASE c_custkey % 3 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' END").alias("content_type"))
+    lines = src.table(spark, d, "lineitem").join(src.table(spark, d, "supplier").select("s_suppkey", "s_name").hint("merge"), F.col("l_suppkey") == F.col("s_suppkey"))
+    kind = F.expr("CASE l_linenumber % 4 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' WHEN 2 THEN '角色/人物' END")
+    asked = lines.select(
+        (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("unit_id"), F.when(F.col("l_linenumber") == 7, "none").otherwise(F.col("s_name")).alias("project_id"), kind.alias("content_type")
+    )
     out = render.style_for_units(asked, render.style_rules(guides, "Rules by type", HEADING), guides)
     return out.select("unit_id", "project_id", "content_type", F.md5(F.col("style").cast("binary")).alias("style"))
 
 
+@query("""WITH p AS (SELECT s_name AS project_id, 'c' || s_nationkey AS collection FROM supplier), r AS (SELECT o_orderkey::BIGINT AS row_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'Supplier#' || lpad((1 + o_orderkey % 150)::VARCHAR, 9, '0') END AS project_id,
+CASE o_orderkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN ' ' END AS asked FROM orders)
+SELECT row_id, r.project_id, coalesce(nullif(trim(asked), ''), p.collection, 'main') AS collection, p.project_id IS NOT NULL AS known_project FROM r LEFT JOIN p USING (project_id)""")
+def project_scope(spark, d):
+    known = src.table(spark, d, "supplier").select(F.col("s_name").alias("project_id"), F.concat(F.lit("c"), "s_nationkey").alias("collection"))
+    name = F.concat(F.lit("Supplier#"), F.lpad((F.col("o_orderkey") % 150 + 1).cast("string"), 9, "0"))
+    asked = src.table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("long").alias("row_id"), F.when(F.col("o_orderkey") % 11 != 0, name).alias("project_id"), F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN ' ' END").alias("collection")
+    )
+    return projects.scoped(asked, known, "main")
+
+
+@query("""WITH t AS (SELECT p_brand AS project_id, p_name AS source, min(p_type) AS target FROM part GROUP BY ALL)
+SELECT p_partkey::BIGINT AS row_id, r.project_id, r.source, t.target AS term_target FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS project_id, p_name AS source FROM part) r LEFT JOIN t USING (project_id, source)""")
+def project_terms(spark, d):
+    part = src.table(spark, d, "part")
+    terms = part.groupBy(F.col("p_brand").alias("project_id"), F.col("p_name").alias("source")).agg(F.min("p_type").alias("target"))
+    asked = part.select(F.col("p_partkey").cast("long").alias("row_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("project_id"), F.col("p_name").alias("source"))
+    return projects.scoped_terms(asked, terms)
+
+
 @query("SELECT doc_id::BIGINT AS project_id, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines, md5(left(text, 500)) AS preview FROM documents")
 def style_info(spark, d):
     docs = src.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("project_id"), "text")
     return render.style_info(docs).withColumn("preview", F.md5(F.col("preview").cast("binary")))
 
 
-@query("""WITH i AS (SELECT 'c' || (p_partkey % 5) AS collection FROM part) SELECT n.n_name AS project_id, 'c' || n_nationkey AS collection, (SELECT count(*) FROM i WHERE i.collection = 'c' || n.n_nationkey) AS points,
-(SELECT count(DISTINCT c_name) FROM customer WHERE c_nationkey = n.n_nationkey) AS terms FROM nation n""")
+@query("""WITH i AS (SELECT 'c' || (p_partkey % 5) AS collection FROM part) SELECT s_name AS project_id, 'c' || s_nationkey AS collection, (SELECT count(*) FROM i WHERE i.collection = 'c' || s_nationkey) AS points,
+(SELECT count(DISTINCT l_returnflag) FROM lineitem WHERE l_suppkey = s_suppkey) AS terms, CASE WHEN s_suppkey % 2 = 0 THEN length(s_name) + 32 ELSE 0 END AS guide_chars FROM supplier""")
 def project_inventory(spark, d):
-    part = src.table(spark, d, "part").groupBy(F.concat(F.lit("c"), F.col("p_partkey") % 5).alias("collection")).agg(F.count("*").alias("points"))
-    terms = src.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.countDistinct("c_name").alias("terms"))
-    n = src.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("project_id"), F.concat(F.lit("c"), "n_nationkey").alias("collection"))
-    out = n.join(part, "collection", "left").join(terms, "n_nationkey", "left")
-    return out.select("project_id", "collection", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    points = src.table(spark, d, "part").select(F.concat(F.lit("c"), F.col("p_partkey") % 5).alias("collection"))
+    s = src.table(spark, d, "supplier")
+    named = s.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("project_id"), F.concat(F.lit("c"), "s_nationkey").alias("collection"))
+    terms = src.table(spark, d, "lineitem").join(named.hint("merge"), "l_suppkey").select("project_id", F.col("l_returnflag").alias("source"))
+    guides = s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("project_id"), F.concat("s_name", F.md5(F.col("s_name").cast("binary"))).alias("text"))
+    return projects.inventory(named.select("project_id", "collection"), points, terms, guides)
 
 
 @query("SELECT event_id::BIGINT AS row_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value::DOUBLE END AS time FROM events")
@@ -568,3 +675,38 @@ def export_csv(spark, d):
     rows = memory.exact_matches(src.segments(spark, d), src.memory(spark, d))
     rows = rows.select("row_id", "source", F.col("target").alias("translation"), F.lit(None).cast("string").alias("reason"), F.col("is_exact").alias("tm_exact"))
     return sinks.export_columns(rows, ["source", "translation", "reason", "tm_exact"])
+
+
+@query(f"""WITH {TM}, s AS (SELECT p_partkey::BIGINT AS row_id, p_name AS source, p_size FROM part), b AS (SELECT source, target, min(rank) AS rank, first(status ORDER BY rank) AS status FROM tm GROUP BY source, target),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, target) AS nth FROM b)
+SELECT s.source AS "{chr(0xFEFF)}source", CASE WHEN p_size % 4 = 3 THEN '' ELSE n.target END AS translation, CASE WHEN p_size % 4 = 1 THEN 'why "' || s.source || '"' ELSE '' END AS translation_reason,
+CASE WHEN p_size % 4 = 3 THEN 'error' ELSE 'success' END AS status, CASE WHEN p_size % 3 = 0 THEN '任务' ELSE '' END AS content_type,
+CASE WHEN p_size % 2 = 0 THEN '[{{"source":"' || s.source || '","target":"' || n.target || '"}}]' ELSE '' END AS terminology_used, '' AS rag_references, CASE WHEN p_size % 4 = 0 THEN 'true' ELSE 'false' END AS tm_exact_match_used,
+CASE WHEN p_size % 4 = 0 THEN s.source ELSE '' END AS tm_exact_match_source, CASE WHEN p_size % 4 = 0 THEN n.target ELSE '' END AS tm_exact_match_target, CASE WHEN p_size % 4 = 0 THEN coalesce(n.status, '') ELSE '' END AS tm_exact_match_status,
+CASE WHEN p_size % 4 = 0 THEN '1.0' ELSE '' END AS tm_exact_match_score, '' AS web_references, CASE p_size % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE '' END AS web_search_triggered, '' AS image_analysis,
+CASE WHEN p_size % 4 = 3 THEN 'no answer' ELSE '' END AS error_msg FROM s JOIN n ON s.source = n.source AND nth = 1""")
+def export_results(spark, d):
+    size = src.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("row_id"), "p_size")
+    rows = memory.exact_matches(src.segments(spark, d), src.memory(spark, d)).drop("content_type").join(size.hint("merge"), "row_id")
+    kind, exact = F.col("p_size") % 4, F.col("p_size") % 4 == 0
+    term = F.struct("source", "target")
+    return sinks.result_cells(rows.select(
+        "source", F.when(kind != 3, F.col("target")).alias("translation"), F.when(kind == 1, F.concat(F.lit('why "'), "source", F.lit('"'))).alias("translation_reason"),
+        F.when(kind == 3, "error").otherwise("success").alias("status"), F.when(F.col("p_size") % 3 == 0, "任务").alias("content_type"),
+        F.when(F.col("p_size") % 2 == 0, F.array(term)).otherwise(F.array().cast("array<struct<source:string,target:string>>")).alias("terminology_used"), exact.alias("tm_exact_match_used"),
+        F.when(exact, F.col("source")).alias("tm_exact_match_source"), F.when(exact, F.col("target")).alias("tm_exact_match_target"), F.when(exact, F.coalesce("status", F.lit(""))).alias("tm_exact_match_status"),
+        F.when(exact, F.col("score")).alias("tm_exact_match_score"), F.when(F.col("p_size") % 3 == 0, False).when(F.col("p_size") % 3 == 1, True).alias("web_search_triggered"), F.when(kind == 3, "no answer").alias("error_msg"),
+    ))
+
+
+@query("""WITH w AS (SELECT page_id, url, md5(lower(trim(url))) AS key FROM pages), c AS (SELECT key FROM w WHERE page_id % 4 = 0)
+SELECT key, url AS query, 'old' AS results, CASE WHEN page_id % 8 = 0 THEN 0 ELSE 1 END AS version, '2020-01-01 00:00:00' AS cached_at FROM w WHERE page_id % 4 = 0
+UNION ALL SELECT key, url, 'new ' || page_id, 1, '2024-05-06 07:08:09' FROM w WHERE page_id % 4 = 1 AND key NOT IN (SELECT key FROM c)""")
+def cache_write(spark, d):
+    pages = src.table(spark, d, "pages").select("page_id", fn.cache_key(F.col("url")).alias("key"), F.col("url").alias("query"))
+    old = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    stored = pages.where("page_id % 4 = 0").select("key", "query", F.lit("old").alias("results"), F.when(F.col("page_id") % 8 == 0, 0).otherwise(1).alias("version"), old.alias("cached_at"))
+    body = F.when(F.col("page_id") % 4 != 3, F.concat(F.lit("new "), F.col("page_id")))
+    fetched = pages.where("page_id % 4 <> 2").select("key", "query", body.alias("body"))
+    out = enrich.cache_with(stored, fetched, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    return out.withColumn("cached_at", F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss"))

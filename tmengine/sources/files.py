@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import re
 import sqlite3
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,7 +101,8 @@ def json_rows(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
     parsed = whole.select(F.parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
-    listed = F.when(kind.startswith("ARRAY"), F.col("v")).otherwise(F.try_variant_get("v", "$.items", "variant"))
+    own = F.try_variant_get("v", "$.items", "variant")
+    listed = F.when(kind.startswith("ARRAY"), F.col("v")).when(F.schema_of_variant(own).startswith("ARRAY"), own).otherwise(F.raise_error(F.lit("a JSON array, or an object with an items array, is needed")))
     items = F.explode(F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>")))
     items = parsed.select(items.alias("item")).withColumn("kind", F.schema_of_variant("item"))
     items = items.where(F.col("kind").startswith("OBJECT") | (F.col("kind") == "STRING"))
@@ -144,29 +142,28 @@ def checked_segments(segments: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("error").isNull(), segment_text(F.col("xml"))))
 
 
-def read_memory_exports(spark: SparkSession, folder: str, default_status: str | None = None) -> DataFrame:
+def read_memory_exports(spark: SparkSession, folder: str, default_status: str | None = None, limit: int | None = None) -> DataFrame:
     """Candidates (source, target, status, source_file) of all memory exports under a folder, in name order of files.
 
-    Spark reads the files, a task each; their segments go to a temporary database of the task. A file whose
-    name tells no status, without a default, gives null for quarantine.
+    Spark reads the files, a task each, and opens them as databases in memory. A file whose name tells no
+    status, without a default, gives null for quarantine. With ``limit`` only the first candidates in name order
+    are taken; a folder without an export is an error.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                with tempfile.NamedTemporaryFile(suffix=".db", delete=False) as f:
-                    f.write(content)
-                try:
-                    base = sqlite3.connect(f.name)
-                    rows = base.execute("select source_segment, target_segment from translation_units").fetchall()
-                    base.close()
-                finally:
-                    os.unlink(f.name)
+                base = sqlite3.connect(":memory:")
+                base.deserialize(content)
+                rows = base.execute("select source_segment, target_segment from translation_units").fetchall()
+                base.close()
                 yield pd.DataFrame({"file": path, "source_xml": [r[0] for r in rows], "target_xml": [r[1] for r in rows]})
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.sdltm").load(folder).select("path", "content")
-    rows = found.mapInPandas(decode, "file string, source_xml string, target_xml string")
-    return memory_candidates(rows, default_status)
+    if found.isEmpty():
+        raise ValueError(f"no memory export in {folder}")
+    rows = memory_candidates(found.mapInPandas(decode, "file string, source_xml string, target_xml string"), default_status)
+    return rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("source_file", "_at").limit(limit).drop("_at") if limit is not None else rows
 
 
 def memory_candidates(segments: DataFrame, default_status: str | None = None) -> DataFrame:
@@ -205,6 +202,16 @@ def pending_files(spark: SparkSession, folder: str, pattern: str, finished: Data
 
 
 def read_job_results(spark: SparkSession, path: str, task_id: str) -> DataFrame:
-    """Results of a task, the first row of each (unit, position) however often it was written."""
-    rows = spark.read.parquet(path).where(F.col("task_id") == task_id)
-    return rows.dropDuplicates(["task_id", "unit_id", "pos"])
+    """Results of a task, one row of each (unit, position) however often it was written: the latest without an error, else the latest."""
+    return latest_results(spark.read.parquet(path).where(F.col("task_id") == task_id))
+
+
+def latest_results(rows: DataFrame) -> DataFrame:
+    """One row of each (task, unit, position): the latest by ``saved_at`` without an error, else the latest with one.
+
+    Results without ``error`` count as good, those without ``saved_at`` as equally old.
+    """
+    others = [c for c in rows.columns if c not in ("task_id", "unit_id", "pos")]
+    good = F.col("error").isNull() if "error" in others else F.lit(True)
+    best = F.max_by(F.struct(*others), F.struct(good.alias("good"), (F.col("saved_at") if "saved_at" in others else F.lit(0)).alias("at")))
+    return rows.groupBy("task_id", "unit_id", "pos").agg(best.alias("r")).select("task_id", "unit_id", "pos", "r.*")

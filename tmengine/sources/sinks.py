@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 BOM = "﻿"
 
+# The columns of an exported task, in their order.
+RESULT_COLUMNS = [
+    "source", "translation", "translation_reason", "status", "content_type", "terminology_used", "rag_references", "tm_exact_match_used",
+    "tm_exact_match_source", "tm_exact_match_target", "tm_exact_match_status", "tm_exact_match_score", "web_references", "web_search_triggered",
+    "image_analysis", "error_msg",
+]
+
 
 def export_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as text cells: nested values as JSON, booleans in lower case, nulls and empty lists empty; a mark before the first header."""
@@ -24,6 +31,12 @@ def export_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*cells)
 
 
+def result_cells(results: DataFrame) -> DataFrame:
+    """Results as the cells of an exported task: all RESULT_COLUMNS, those that the results lack empty."""
+    missing = [F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS if c not in results.columns]
+    return export_columns(results.select("*", *missing), RESULT_COLUMNS)
+
+
 def write_csv(rows: DataFrame, columns: list[str], path: str, order: str | None = None) -> None:
     """Export with a header; ``order`` restores the rows' original order."""
     sorted_rows = rows.orderBy(order) if order else rows

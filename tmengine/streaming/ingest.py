@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tmengine.operators import memory, units
-from tmengine.operators.enrich import cache_with, enriched
+from tmengine.operators.enrich import CACHE, cache_with, enriched
 from tmengine.sources import sinks
 
 
@@ -36,8 +36,24 @@ def ingest_memory(spark: SparkSession, folder: str, root: str, checkpoint: str,
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_units(spark: SparkSession, folder: str, results: str, checkpoint: str, task_id: str, answer: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Answer unit files (unit_id, message) with ``answer`` and append ``(unit_id, raw, error)`` once a unit."""
+def run_units(
+    spark: SparkSession, folder: str, results: str, checkpoint: str, task_id: str, answer: Callable[[DataFrame], DataFrame], context: dict[str, str] | None = None
+) -> StreamingQuery:
+    """Answer unit files (unit_id, message) with ``answer`` and append ``(unit_id, raw, error, pos, saved_at)`` once a unit.
+
+    A task that has been begun with another ``context`` (project, languages, ...) is not resumed but refused. An
+    answer of a unit with failed attempts only is appended again; ``latest_results`` picks the good one.
+    """
+    held = f"{results.rstrip('/')}-contexts"
+    fs, target = sinks._files(spark, held)
+    if context:
+        asked = spark.createDataFrame(list(context.items()), "key string, value string")
+        stored = spark.read.parquet(held).where(F.col("task_id") == task_id).select("key", "value") if fs.exists(target) else asked.limit(0)
+        differing = [r["key"] for r in units.context_difference(stored, asked).collect()]  # fields of one task
+        if differing:
+            raise ValueError(f"task {task_id} was begun with other values of {', '.join(sorted(differing))}")
+        if stored.isEmpty():
+            sinks.append_results(asked.withColumn("task_id", F.lit(task_id)), held)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -46,7 +62,9 @@ def run_units(spark: SparkSession, folder: str, results: str, checkpoint: str, t
         if fs.exists(target):
             done = session.read.parquet(results).where((F.col("task_id") == task_id) & F.col("error").isNull())
             fresh = units.pending(fresh, done)
-        sinks.append_results(answer(fresh).withColumn("task_id", F.lit(task_id)), results)
+        done = answer(fresh)
+        done = done if "pos" in done.columns else done.withColumn("pos", F.lit(0))
+        sinks.append_results(done.withColumn("saved_at", F.current_timestamp()).withColumn("task_id", F.lit(task_id)), results)
 
     stream = spark.readStream.schema("unit_id string, message string").parquet(folder)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -58,7 +76,7 @@ def fill_cache(spark: SparkSession, folder: str, root: str, checkpoint: str, fet
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         cache = sinks.read_version(session, root)
-        cache = cache if cache is not None else session.createDataFrame([], "key string, results string")
+        cache = cache if cache is not None else session.createDataFrame([], CACHE)
         misses = batch.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
         sinks.write_version(cache_with(cache, enriched(misses, fetch)), root)
 

@@ -12,10 +12,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (tests, notebooks)."""
+    """The session's checkpoint folder; one of our own only where none is set and all tasks run on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tmengine-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tmengine-"))
     return context.getCheckpointDir()
 
 
