@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmengine.operators.graph import components, salted, with_minimum
-from tmengine.tables import BROADCAST_ROWS, shared_dir
+from tmengine.tables import BROADCAST_ROWS, discard, shared_dir
 from tmengine.tables import written as materialize
 
-__all__ = ["BROADCAST_ROWS", "LOWER_AZ", "components", "materialize", "partitions_for", "ranked", "salted", "shared_dir", "texts", "with_minimum"]
+__all__ = ["BROADCAST_ROWS", "LOWER_AZ", "components", "discard", "materialize", "partitions_for", "ranked", "salted", "shared_dir", "texts", "with_minimum"]
 
 
 def ranked(df: DataFrame, order: list[str], partitions: int, rank: str = "rank") -> tuple[DataFrame, int]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.llm.common import LOWER_AZ, components, materialize, partitions_for, salted, texts, with_minimum
+from tmengine.llm.common import LOWER_AZ, components, discard, materialize, partitions_for, salted, texts, with_minimum
 
 #: Generator polynomials of the binary Golay code (x^11 + x^9 + x^7 + x^6 + x^5 + x + 1) and of the Hamming code (x^3 + x + 1).
 GOLAY, HAMMING = 0b101011100011, 0b1011
@@ -36,6 +36,9 @@ BANDS, ROWS = 20, 5
 #: Rounds that decide neighbours in a bucket before all pairs that are left.
 TURNS = 2
 
+#: Buckets of up to so many rows give their pairs; rows of larger ones are compared in blocks of about BLOCK sets inside tasks.
+PAIRED, BLOCK = 64, 256
+
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
@@ -430,6 +433,77 @@ def all_in_bucket(placed: DataFrame) -> DataFrame:
     return pairs.drop("key", "_in_top")
 
 
+def common_shingles(one: list[np.ndarray], two: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of each of the first sets with each of the second, a stretch of the joint shingles at a time."""
+    names, column = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    out = np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(names) + width, width))
+    for a, z in zip(cuts, cuts[1:]):
+        has = np.zeros((len(one) + len(two), width), np.float32)
+        has[owner[a:z], column[a:z] % width] = 1
+        out += has[: len(one)] @ has[len(one) :].T
+    return out.astype(np.int64)
+
+
+def alike_in_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join different components among rows ``(key, body, component)`` of large buckets.
+
+    Bodies that share large buckets are one cluster, cut into blocks; every two blocks of a cluster meet in a piece,
+    with their shingle sets, and each pair of different components is decided there. A piece gives a forest.
+    """
+    least = placed.groupBy("key").agg(F.min("body").alias("b"))
+    stars = placed.select("key", F.col("body").alias("a")).join(least.hint("merge"), "key").select("a", "b")
+    cluster = components(stars).select(F.col("id").alias("body"), F.col("component").alias("cluster"))
+    rows = placed.select("body", "component").distinct().join(cluster.hint("merge"), "body")
+    rows = salted(materialize(rows), "body")
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.collect_set("_salt").alias("_salts"))
+    sizes = sizes.select("cluster", "blocks", F.explode("_salts").alias("_salt"))
+    rows = rows.join(sizes.hint("merge"), ["cluster", "_salt"]).join(sets.hint("merge"), "body")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("body"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "body", "component", "shingles")
+    piece = ["cluster", "low", "high"]
+    laid = rows.repartition(partitions_for(rows), *piece).sortWithinPartitions(*piece, "body")
+
+    def found(table: pa.Table) -> np.ndarray:
+        block, body, part = (table.column(c).to_numpy() for c in ("block", "body", "component"))
+        own = np.array([np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")], object)
+        inner = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        x, y = (np.arange(len(block)),) * 2 if inner else (np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min()))
+        if not len(x) or not len(y):
+            return np.zeros((0, 2), np.int64)
+        size = np.array([len(v) for v in own])
+        both = common_shingles(list(own[x]), list(own[y]))
+        near = (5 * both >= 4 * (size[x][:, None] + size[y][None, :] - both)) & (part[x][:, None] != part[y][None, :])
+        i, j = np.nonzero(np.triu(near, 1) if inner else near)
+        links = _Links()
+        keep = [links.join(int(a), int(b)) for a, b in zip(part[x[i]], part[y[j]])]
+        return np.column_stack([body[x[i]], body[y[j]]])[np.array(keep, bool)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends = found(pa.Table.from_batches(parts).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(1) if len(ends) else ends[:, 0]), pa.array(ends.max(1) if len(ends) else ends[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            names = [batch.column(c).to_numpy(zero_copy_only=False) for c in piece]
+            cuts = [0, *(np.flatnonzero(np.any([np.diff(v) != 0 for v in names], axis=0)) + 1).tolist(), batch.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                part = batch.slice(a, z - a)
+                if rest and part.num_rows and any(rest[-1].column(c)[0] != part.column(c)[0] for c in piece):
+                    yield from out(rest)
+                    rest = []
+                rest += [part] if part.num_rows else []
+        if rest:
+            yield from out(rest)
+
+    return laid.mapInArrow(run, "a long, b long").distinct()
+
+
 # --- operators ----------------------------------------------------------------------------------------------------
 
 
@@ -468,7 +542,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
 
     Pairs that follow each other in a bucket are decided first, in up to ``TURNS`` rounds, so that a large group
     of copies is connected by few pairs a body; then all pairs left between different components, so that a pair
-    that fails hides no other.
+    that fails hides no other: those of small buckets one by one, those of large ones in blocks inside tasks.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), F.col("text").cast("string").alias("text"))
     ids = salted(materialize(keyed.select("doc_id", "body")), "doc_id")
@@ -494,20 +568,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
         mixed_up = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         return materialize(rows.join(mixed_up.hint("merge"), "key", "left_semi"))
 
+    used = [buckets, sets]
     tried = links = linked = None
     for turn in range(TURNS + 1):
         rows = apart(linked) if turn else buckets.withColumn("component", F.col("body"))
+        if turn == TURNS:
+            large = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > PAIRED).select("key")
+            large = materialize(large)
+            blocks = materialize(alike_in_blocks(rows.join(large.hint("merge"), "key", "left_semi"), sets))
+            links = links.union(blocks)
+            used += [rows, large, blocks]
+            rows = rows.join(large.hint("merge"), "key", "left_anti")
+        elif turn:
+            used += [rows]
         pairs = candidates(next_in_bucket(rows, turn) if turn < TURNS else all_in_bucket(rows))
         pairs = materialize(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         found = materialize(alike(pairs, sets))
+        used += [pairs, found]
         links = found if links is None else links.union(found)
-        if not turn or not found.isEmpty():
+        if turn in (0, TURNS) or not found.isEmpty():
             linked = materialize(components(links))
     least = ids.groupBy("body").agg(F.min("doc_id").alias("least"), F.collect_set("_salt").alias("salts"))
     named = least.join(linked.hint("merge"), F.col("body") == F.col("id"), "left")
     named = with_minimum(named.select("body", "least", "salts", F.coalesce("component", "body").alias("group")), "group", "least", "body", "component_id")
     named = materialize(named.select("body", "group", "component_id", F.explode("salts").alias("_salt")))
+    for table in (bodies, *used, linked):
+        discard(table)
     return ids.join(named.hint("merge"), ["body", "_salt"]).select("doc_id", "body", "group", "component_id")
 
 
