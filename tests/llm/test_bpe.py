@@ -40,6 +40,16 @@ def test_ids_offsets_and_decoding(spark):
     assert all(data[i] == (t or "").encode() for i, t in enumerate(want) if i != 3)
 
 
+def test_digests_tell_split_characters(spark):
+    want = [t or "" for t in odd_texts()]
+    other = reference()
+    got = {r.doc_id: r for r in bpe.token_digests(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string"), PATH, PATTERN).collect()}
+    for i, text in enumerate(want):
+        tokens = [other.decode_single_token_bytes(t) for t in other.encode_ordinary(text)]
+        assert got[i].n_split == sum(0x80 <= t[0] < 0xC0 for t in tokens) and got[i].n_chars == len(text) and got[i].n_tokens == len(tokens)
+    assert any(got[i].n_split for i in got)
+
+
 def test_small_cache_and_empty_table(spark, monkeypatch):
     codec = bpe.Codec(PATH, PATTERN)
     monkeypatch.setattr(bpe, "CACHE", 20)

@@ -30,10 +30,11 @@ def expected(data):
     return out
 
 
-def test_reads_back_exactly_in_any_batching(spark):
+def test_reads_back_exactly_in_any_batching(spark, monkeypatch):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
-    for size in (10_000, 3):
+    for size, part in ((10_000, chat.PART_BYTES), (10_000, 40), (3, chat.PART_BYTES)):
+        monkeypatch.setattr(chat, "PART_BYTES", part)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         try:
             got = chat.digests(chat.format_chats(df)).collect()

@@ -22,12 +22,24 @@ def test_stages_compose(spark, sf_dir):
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    """Nulls, empty and long texts, repeats, clashing columns; each stage's defined result."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, group long, component_id long, n_private int, batch_id int"
     text = " ".join(f"word{i} and" for i in range(80))
+    other = " ".join(f"another{i} or" for i in range(80))
+    long = " ".join(f"long{i} text" for i in range(60_000))
     rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text, None, None, None), (2, None, "en", "a", 0), (3, "", "en", None, 0), (4, text + " more", "en", "a", 9)]
-    docs = spark.createDataFrame(rows, schema)
-    for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf_dir)
+    rows += [(1, other, "en", "a", 7), (7, long, "en", "a", 1), (8, "mail a@b.de", "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, True, 0.5, 1, 1, 1, 1) for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in stages.values():
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
-        assert out.count() >= 0
-    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.where("doc_id in (1, 4)"), sf_dir).collect()] == [1]
+    some = lambda name: sorted((str(r.doc_id), len(r.text or "")) for r in stages[name](spark, docs, sf_dir).collect())
+    sized = lambda *at: sorted((str(rows[i][0]), len(rows[i][1] or "")) for i in at)
+    assert some("quality rules") == sized(0, 1, 2, 5, 6, 7)
+    assert set(some("quality classifier")) <= set(sized(*range(9)))
+    assert some("SimHash near-dedup") == sized(0, 3, 6, 7, 8)
+    private = stages["PII"](spark, docs, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text is None) for r in private) == sorted((str(r[0]), r[1] is None) for r in rows)
+    assert [r.text for r in private if r.doc_id == 8][0].endswith("@mail.invalid") and all(r.n_chars == len(r.text or "") or r.text is None for r in private)
+    packed_ = stages["packing"](spark, docs, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in packed_) == sorted((str(r[0]), len((r[1] or "").split())) for r in rows)

@@ -3,8 +3,9 @@
 The vocabulary is a file of base64 tokens and ranks. Each byte is written as one printable character, so the library
 sees the ranks' tokens as strings; its merges are the two parts that a token's own bytes merge into by lower ranks. A
 text is cut by the pre-tokenisation pattern, every distinct piece of a batch is encoded once by the library, and the
-texts' ids are put together from the pieces. Decoding maps ids to bytes by the reversed table; a character whose bytes
-are split over tokens is whole again once the bytes are joined, and token offsets are those of the characters touched.
+texts' ids are put together from the pieces. Decoding turns each token's characters back into bytes by the reversed
+byte table; a character whose bytes are split over tokens is whole again once the bytes are joined, and token offsets
+are those of the characters touched.
 """
 
 from __future__ import annotations
@@ -73,7 +74,10 @@ class Codec:
         self.spaced.pre_tokenizer = pre_tokenizers.Split(shown[32], "merged_with_next")
         self.begins = np.zeros(max(ranks.values()) + 1, bool)
         self.begins[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
-        self.bytes_of = {r: t for t, r in ranks.items()}
+        byte_of = {c: b for b, c in enumerate(shown)}  # the reversed byte table
+        self.bytes_of = {r: bytes(map(byte_of.__getitem__, token)) for token, r in vocabulary.items()}
+        self.size_of = np.zeros(len(self.begins), np.int64)
+        self.size_of[list(self.bytes_of)] = [len(t) for t in self.bytes_of.values()]
         self.name_of = {r: str(r) for r in ranks.values()}
         self.split = regex.compile(pattern, regex.V0)
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -113,14 +117,14 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def offsets(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First and past-the-end code point that each token touches."""
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)
-        data = np.frombuffer(self.decode(ids), np.uint8)
+    def offsets(self, ids: list[int], data: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and past-the-end code point that each token touches, and whether it begins inside a character."""
+        ends = np.cumsum(self.size_of[np.array(ids, np.int64)], dtype=np.int64)
+        data = np.frombuffer(self.decode(ids) if data is None else data, np.uint8)
         upto = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         split = np.zeros(len(ends), bool) if not len(ends) else (data[starts] & 0xC0) == 0x80
-        return upto[starts] - split, upto[ends]
+        return upto[starts] - split, upto[ends], split
 
 
 def batches_of(texts_: Iterator[str], size: int = 1 << 21) -> Iterator[list[str]]:
@@ -175,24 +179,32 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encoding and decoding in one pass over the texts."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256, n_split, n_chars)``: encoding, decoding and offsets in one pass.
+
+    ``n_split`` tokens begin inside a character; ``n_chars`` is the last token's end in code points. Null text: as
+    empty, no ids; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
             at = 0
             for part in batches_of(t.decode() for t in texts(batch.column("text"))):
-                counts, written, read = [], [], []
+                counts, written, read, split, chars = [], [], [], [], []
                 for ids in codec.encode(part):
                     counts.append(len(ids))
                     written.append(hashlib.sha256(" ".join(map(codec.name_of.__getitem__, ids)).encode()).hexdigest())
-                    read.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                columns = [batch.column("doc_id").slice(at, len(part)), pa.array(counts, pa.int64()), pa.array(written), pa.array(read)]
+                    data = codec.decode(ids)
+                    read.append(hashlib.sha256(data).hexdigest())
+                    _, ends, inside = codec.offsets(ids, data)
+                    split.append(int(inside.sum()))
+                    chars.append(int(ends[-1]) if len(ends) else 0)
+                columns = [batch.column("doc_id").slice(at, len(part)), pa.array(counts, pa.int64()), pa.array(written), pa.array(read), pa.array(split, pa.int64()), pa.array(chars, pa.int64())]
                 at += len(part)
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "n_chars"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, n_chars long")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

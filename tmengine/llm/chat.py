@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tmengine.llm.common import partitions_for
 
 OPEN, MIDDLE, CLOSE, ROLE_NEWLINE = b"<|turn|>", b"\n", b"<|end|>\n", b"<|nl|>"
+#: Role and text bytes formatted together; escapes and marks at most double them or so.
+PART_BYTES = 1 << 28
 _ESCAPED = re.compile(r"<(\\*)\\\|")
 
 
@@ -101,15 +103,22 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     order = ["conv_id", "turn", "role", "text"]
     rows = rows.repartition(partitions_for(rows), "conv_id").sortWithinPartitions(*order)
 
-    def emit(table: pa.Table) -> pa.RecordBatch:
+    def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The conversations of whole rows, as many together as stay well below a string column's 2 GiB."""
         table = table.combine_chunks()
         ids, n = table.column("conv_id").combine_chunks(), table.num_rows
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         number = ids.fill_null(0).to_numpy(zero_copy_only=False)
         first = np.concatenate([[0], np.flatnonzero((np.diff(number) != 0) | (np.diff(known.astype(np.int8)) != 0)) + 1, [n]])
-        made = assemble(table.column("role").combine_chunks(), table.column("text").combine_chunks(), first, loss_roles)
-        columns = [ids.take(pa.array(first[:-1])), pa.array(np.diff(first).astype(np.int64)), made["formatted"], made["loss_spans"]]
-        return pa.RecordBatch.from_arrays(columns, names=["conv_id", "n_turns", "formatted", "loss_spans"])
+        role, text = table.column("role").combine_chunks(), table.column("text").combine_chunks()
+        size = np.add.reduceat(pc.add(pc.binary_length(role), pc.binary_length(text)).to_numpy(zero_copy_only=False).astype(np.int64), first[:-1])
+        part = np.cumsum(size) // PART_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(first) - 1]
+        for a, z in zip(cuts, cuts[1:]):
+            at, rows = first[a], slice(first[a], first[z])
+            made = assemble(role[rows], text[rows], first[a : z + 1] - at, loss_roles)
+            columns = [ids.take(pa.array(first[a:z])), pa.array(np.diff(first[a : z + 1]).astype(np.int64)), made["formatted"], made["loss_spans"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "n_turns", "formatted", "loss_spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -122,14 +131,14 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             tail = int(pc.sum(own.cast(pa.int64())).as_py())  # rows are sorted: the last conversation's rows are at the end
             if tail < batch.num_rows:
                 head = batch.slice(0, batch.num_rows - tail)
-                yield emit(pa.Table.from_batches([*rest, head]))
+                yield from emit(pa.Table.from_batches([*rest, head]))
                 rest = []
             elif rest and rest[-1].column("conv_id")[0].as_py() != last:
-                yield emit(pa.Table.from_batches(rest))
+                yield from emit(pa.Table.from_batches(rest))
                 rest = []
             rest.append(batch.slice(batch.num_rows - tail))
         if rest:
-            yield emit(pa.Table.from_batches(rest))
+            yield from emit(pa.Table.from_batches(rest))
 
     return rows.mapInArrow(run, "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:long,length:long>>")
 

@@ -5,12 +5,14 @@ random unit vectors, and a direction is one vector from each block. A vector is
 that exceed its threshold, by extending partial sums block by block and dropping those that cannot reach it any more.
 The threshold is the vector's own best direction less ``slack``, so no vector is left without a filter: two vectors v
 and w give any direction scores within |v - w| of each other, hence a slack of 2|v - w| (0.4 at cosine 0.98) could
-miss nothing; as differences concentrate near |v - w| / sqrt(d), a far smaller one finds all but very few.
+miss nothing; as differences concentrate near |v - w| / sqrt(d), one of two such deviations finds all but very few.
+The number of directions grows with the rows, so that filters stay small and a vector is in few of them.
 Vectors that share a filter are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +40,16 @@ def product_code(dim: int, blocks: int, words: int, seed: int = 11) -> tuple[np.
     return rotation, code
 
 
+def words_for(n: int, points: int = 8) -> int:
+    """Random vectors in each of two blocks for ``n`` rows: about one direction for every ``points`` of them."""
+    return min(4096, max(16, math.isqrt(n // points)))
+
+
+def slack_for(dim: int, least: float) -> float:
+    """Two deviations of the scores of a pair at the threshold: 0.05 at cosine 0.98 and 64 dimensions."""
+    return 2 * math.sqrt(2 - 2 * least) / math.sqrt(dim)
+
+
 def decode(vectors: np.ndarray, blocks: int, words: int, slack: float) -> list[np.ndarray]:
     """For each unit vector the sorted keys of all directions whose score is within ``slack`` of its best one."""
     rotation, code = product_code(vectors.shape[1], blocks, words)
@@ -90,7 +102,7 @@ def piece_links(unit: np.ndarray, filters: pa.ListArray, key: int, side: np.ndar
     return a, b
 
 
-def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, words: int = 256, slack: float = 0.05) -> DataFrame:
+def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2) -> DataFrame:
     """Add n_links and component_id to ``(vec_id, embedding, label)``; see ``op7``'s contract for both.
 
     Vectors are compared only when their labels and lengths are equal. Null, zero or non-finite vectors, null
@@ -106,6 +118,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, wo
     rows = rows.withColumn("sound", F.coalesce(sound & F.exists("embedding", lambda x: x != 0), F.lit(False)))
     point = F.when(F.col("sound"), F.xxhash64("label", "embedding"))
     ids = salted(materialize(rows.select("vec_id", point.alias("point"))), "vec_id")
+    words = words_for(ids.count())
     points = rows.where("sound").groupBy(point.alias("point")).agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +127,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, blocks: int = 2, wo
                 v = np.stack(part["embedding"].to_numpy())
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                found = decode(v, blocks, words, slack)
+                found = decode(v, blocks, words, slack_for(v.shape[1], least))
                 yield pd.DataFrame({"point": part["point"].to_numpy(), "label": part["label"].to_numpy(), "embedding": list(v), "filters": found})
 
     copies = ids.where("point is not null").groupBy("point").agg(F.count("*").alias("copies"))

@@ -58,8 +58,8 @@ def best_boundaries(lengths: list[int], counts: list[int], totals: list[int], bu
 def pack(docs: DataFrame, budget: int = 32_768, buckets: int = 16) -> DataFrame:
     """Batches of similar length: doc_id, n_tokens, bucket, bucket_length, batch_id, row_in_batch, padding.
 
-    Tokens are words. The histogram covers all rows and has at most 32 cells per doubling of the length;
-    each row goes to the first boundary that holds it; a batch holds floor(budget / bucket_length) rows, at
+    Tokens are words. The histogram covers all rows and has at most 32 cells per doubling of the length, each
+    with its longest row as a possible boundary; each row goes to the first boundary that holds it; a batch holds floor(budget / bucket_length) rows, at
     least one, so a text longer than the budget is a batch of its own and is never cut. Batches are cut along
     (bucket, n_tokens, doc_id). Null or empty text: 0 tokens, in the first bucket with length counted as 1;
     ties and repeated rows are separate rows; an empty table gives no rows; other columns are ignored.
@@ -68,12 +68,12 @@ def pack(docs: DataFrame, budget: int = 32_768, buckets: int = 16) -> DataFrame:
     slim = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     slim = slim.withColumn("_cell", grid_length(F.greatest(F.col("n_tokens"), F.lit(1))))
     placed, _ = ranked(slim, ["n_tokens", "doc_id"], partitions_for(docs))
-    cells = placed.groupBy("_cell").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("_cell").collect()
-    ends, _ = best_boundaries([r["_cell"] for r in cells], [r["n"] for r in cells], [r["t"] for r in cells], buckets)
+    cells = placed.groupBy("_cell").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.greatest(F.max("n_tokens"), F.lit(1)).alias("top")).orderBy("_cell").collect()
+    ends, _ = best_boundaries([r["top"] for r in cells], [r["n"] for r in cells], [r["t"] for r in cells], buckets)
     table, before, k = [], 0, 0
     for i, end in enumerate(ends):
         first = before
-        while k < len(cells) and cells[k]["_cell"] <= end:
+        while k < len(cells) and cells[k]["top"] <= end:
             before += cells[k]["n"]
             table.append((int(cells[k]["_cell"]), i, end, max(1, budget // end), first))
             k += 1

@@ -108,7 +108,7 @@ def discriminant(count: np.ndarray, total: np.ndarray, square: np.ndarray, pool:
 def fit(labelled: DataFrame, pool: float = 60.0, diagonal: float = 0.02) -> Discriminant | float:
     """Fit on all rows of ``(stats, quality)``; the class share (0.5 without rows) if a class is missing.
 
-    Each partition sends one count, sum and sum of outer products for each class to the driver.
+    Each task's count, sum and sum of outer products for each class are summed by Spark; the driver gets the totals.
     """
     d = len(STATISTICS)
 
@@ -120,12 +120,11 @@ def fit(labelled: DataFrame, pool: float = 60.0, diagonal: float = 0.02) -> Disc
                 for c in (0, 1):
                     own = x[y == c]
                     out[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
-        yield pd.DataFrame({"quality": [0, 1], "sums": list(out)})
+        yield pd.DataFrame({"at": np.arange(out.size), "value": out.ravel()})
 
-    found = labelled.mapInPandas(sums, "quality int, sums array<double>").collect()
+    found = labelled.mapInPandas(sums, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
     both = np.zeros((2, 1 + d + d * d))
-    for r in found:
-        both[r["quality"]] += r["sums"]
+    both.ravel()[found["at"].to_numpy(int)] = found["value"].to_numpy(float)
     model = discriminant(both[:, 0], both[:, 1 : 1 + d], both[:, 1 + d :].reshape(2, d, d), pool, diagonal)
     return model or float((both[1, 0] + 0.5) / (both[:, 0].sum() + 1.0))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.llm.common import BROADCAST_ROWS, partitions_for, ranked
+from tmengine.llm.common import BROADCAST_ROWS, partitions_for, ranked, salted
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -40,21 +40,23 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def category_cells(df: DataFrame, column: str, bits: int) -> DataFrame:
+def category_cells(df: DataFrame, column: str, bits: int, by: str) -> DataFrame:
     """Add ``_cell_<column>``: values in order spread over the cells, so equal and neighbouring values stay together.
 
-    The distinct values are counted first; beyond ``BROADCAST_ROWS`` of them the cell is a hash.
+    The distinct values are ranked by range partitions, whatever their number, and joined back: as a broadcast
+    of up to ``BROADCAST_ROWS`` counted values, else by value and piece, so a hot value's rows are spread.
     """
     top, name = (1 << bits) - 1, f"_cell_{column}"
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
-    found = values.limit(BROADCAST_ROWS + 1).collect()
-    if len(found) > BROADCAST_ROWS:
-        return df.withColumn(name, F.coalesce(F.pmod(F.xxhash64(column), F.lit(top)) + 1, F.lit(0)).cast("long"))
-    order = sorted(r["v"] for r in found)
-    spread = [(v, 1 + i * top // len(order)) for i, v in enumerate(order)]
-    table = df.sparkSession.createDataFrame(spread, f"v {df.schema[column].dataType.simpleString()}, {name} long")
-    joined = df.join(F.broadcast(table), F.col(column) == F.col("v"), "left").drop("v")
-    return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    spread = salted(df, by)
+    values = spread.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.collect_set("_salt").alias("_salts"))
+    placed, n = ranked(values, ["_v"], partitions_for(df), "_place")
+    cells = placed.select("_v", "_salts", F.expr(f"1 + _place * {top} div {max(n, 1)}").cast("long").alias(name))
+    if n <= BROADCAST_ROWS:
+        joined = df.join(F.broadcast(cells.drop("_salts")), F.col(column) == F.col("_v"), "left")
+    else:
+        cells = cells.select("_v", name, F.explode("_salts").alias("_piece"))
+        joined = spread.join(cells.hint("merge"), (F.col(column) == F.col("_v")) & (F.col("_salt") == F.col("_piece")), "left").drop("_salt", "_piece")
+    return joined.drop("_v").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def number_cell(value: Column, low: float, high: float, bits: int) -> Column:
@@ -81,7 +83,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, bits: int = 8) -> DataFr
         F.col("source").cast("string").alias("source"),
     )
     ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    cells = category_cells(category_cells(slim, "lang", bits), "source", bits)
+    cells = category_cells(category_cells(slim, "lang", bits, "doc_id"), "source", bits, "doc_id")
     cells = cells.withColumn("_cell_size", number_cell(F.log2("size"), 0.0, 32.0, bits))
     cells = cells.withColumn("_cell_id", number_cell(F.col("doc_id"), float(ends["low"] or 0), float(ends["high"] or 0), bits))
 
@@ -99,11 +101,17 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 16, bits: int = 8) -> DataFr
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents as one folder per shard, rows along the curve, for file pruning by any dimension."""
-    keys = placed.select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
+    """Write the documents as one folder per shard, rows along the curve, for file pruning by any dimension.
+
+    Rows are range-partitioned along (shard, slot), so a shard is written by as many tasks as its size asks for.
+    Rows equal in doc_id and text are written each, at the first one's place.
+    """
+    first = F.min(F.struct("shard", "slot")).alias("at")
+    keys = placed.groupBy("doc_id", "text_crc32").agg(first).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "at.shard", "at.slot")
     text = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    rows = docs.withColumn("text_crc32", text).join(keys.hint("merge"), ["doc_id", "text_crc32"]).drop("text_crc32")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = docs.drop("shard", "slot", "_at").withColumn("_at", text)
+    rows = rows.join(keys.hint("merge"), rows["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (rows["_at"] == keys["_crc"])).drop("_id", "_crc", "_at")
+    rows.repartitionByRange(partitions_for(docs), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op9_hilbert_sharding(spark, sf_dir: str) -> DataFrame:
