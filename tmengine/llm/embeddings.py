@@ -5,7 +5,7 @@ random unit vectors, and a direction is one vector from each block. A vector is
 that exceed its threshold, by extending partial sums block by block and dropping those that cannot reach it any more.
 The threshold is the vector's own best direction less ``slack``, so no vector is left without a filter: two vectors v
 and w give any direction scores within |v - w| of each other, hence a slack of 2|v - w| (0.4 at cosine 0.98) could
-miss nothing; as differences concentrate near |v - w| / sqrt(d), one of two such deviations finds all but very few.
+miss nothing; as differences concentrate near |v - w| / sqrt(d), one of 1.75 such deviations finds all but very few.
 The number of directions grows with the rows, so that filters stay small and a vector is in few of them.
 Vectors that share a filter are compared exactly.
 """
@@ -40,14 +40,14 @@ def product_code(dim: int, blocks: int, words: int, seed: int = 11) -> tuple[np.
     return rotation, code
 
 
-def words_for(n: int, points: int = 8) -> int:
+def words_for(n: int, points: int = 32) -> int:
     """Random vectors in each of two blocks for ``n`` rows: about one direction for every ``points`` of them."""
     return min(4096, max(16, math.isqrt(n // points)))
 
 
 def slack_for(dim: int, least: float) -> float:
-    """Two deviations of the scores of a pair at the threshold: 0.05 at cosine 0.98 and 64 dimensions."""
-    return 2 * math.sqrt(2 - 2 * least) / math.sqrt(dim)
+    """1.75 deviations of the scores of a pair at the threshold: 0.044 at cosine 0.98 and 64 dimensions."""
+    return 1.75 * math.sqrt(2 - 2 * least) / math.sqrt(dim)
 
 
 def decode(vectors: np.ndarray, blocks: int, words: int, slack: float) -> list[np.ndarray]:
