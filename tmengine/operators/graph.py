@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.tables import discard, written
+from tmengine.tables import discard, forget_shuffles, written
 
 
 def salted(rows: DataFrame, by: str) -> DataFrame:
@@ -50,6 +50,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", "m"))
         following = written(tidy(small))
         discard(now)
+        del near, large, small
+        forget_shuffles(edges.sparkSession)
         now, then, seen = following, seen, mark(following)
         if then == seen:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,16 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    They go once nothing on the driver refers to them, which it only notices when it collects garbage; in a loop
+    of many small jobs that comes too late for the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_written_to", None)
