@@ -1,5 +1,8 @@
 import uuid
 
+import pytest
+from pyspark.sql import functions as F
+
 from tmengine.operators import memory
 
 SPACE = uuid.UUID(int=7)
@@ -59,3 +62,18 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], TM)
     assert memory.best_by_pair(empty).count() == 0
     assert memory.plan_summary(memory.import_plan(empty, spark.createDataFrame([], "pair_id string, source string, target string, status string"))).first()["candidates"] == 0
+
+
+def test_upgraded_points_keep_vector_and_collection(spark):
+    columns = "pair_id string, source string, target string, status string, context string, priority_rank int, source_tm string, dense array<float>, collection string"
+    stored = spark.createDataFrame([("p1", "a", "x", "Done", "ctx", 4, "old.tm", [1.0], "c1"), ("p2", "a", "x", "Draft", None, 99, None, [5.0], "c2"), ("p3", "b", "y", "CQA_Done", None, 2, "b.tm", [2.0], "c1")], columns)
+    incoming = spark.createDataFrame([(1, "a", "x", "CQA_Done", "n.tm"), (2, "b", "y", "Done", "n.tm"), (3, "d", "z", None, "n.tm")], TM + ", source_file string")
+    plan = memory.import_plan(incoming, stored)
+    rows = {r.source: r for r in memory.apply_plan(plan, stored, SPACE, collection="c9").collect()}
+    a = rows["a"]
+    assert (a.status, a.context, a.priority_rank, a.source_tm, a.dense, a.collection) == ("CQA_Done", "ctx", 2, "n.tm", [1.0], "c1")
+    assert (rows["b"].pair_id, rows["b"].dense, rows["d"].dense, rows["d"].collection) == ("p3", [2.0], None, "c9")
+    gone = stored.withColumn("dense", F.when(F.col("pair_id") != "p1", F.col("dense")))
+    assert {r.source: r.dense for r in memory.apply_plan(plan, gone, SPACE).collect()} == {"a": None, "b": [2.0], "d": None}
+    with pytest.raises(Exception, match="no stored vector"):
+        memory.apply_plan(plan, gone, SPACE, strict=True).collect()

@@ -1,6 +1,8 @@
 import math
+import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tmengine.operators import retrieve, textindex
 
@@ -56,3 +58,47 @@ def test_unit_references_keep_the_best_score(spark):
     hits = spark.createDataFrame([(1, 7, "s", "t", "Done", 0.2), (2, 8, "s", "t", None, 0.9), (2, 9, "a", "b", None, 0.5)], "query_id long, pair_id long, source string, target string, status string, score double")
     got = retrieve.unit_references(members, hits, 1).orderBy("nth").collect()
     assert [(r.source, r.score, r.status) for r in got] == [("s", 0.9, None), ("a", 0.5, None)]
+
+
+def hits_by_all_postings(spark, index, asked, n):
+    scores = retrieve.sparse_scores(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")))
+    return sorted(map(tuple, retrieve.top(scores, n).collect()))
+
+
+def test_pruned_hits_equal_all_hits(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(4000)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(int(rng.paretovariate(0.9)) % 300))) for i in range(400)] + [(900, None), (901, ""), (902, "w1 " * 500)]
+    texts += [(1000 + i, "w1 w2 w3 same text") for i in range(60)]
+    index = spark.createDataFrame(texts, "pair_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for q in range(25)] + [(50, "w1"), (51, "none such"), (52, None), (53, "same w399")], "query_id long, text string")
+    for block, n in ((128, 5), (7, 20), (16, 1)):
+        monkeypatch.setattr(textindex, "BLOCK", block)
+        hits = retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")), n)
+        got = sorted(map(tuple, hits.select("query_id", "pair_id", "score", "nth").collect()))
+        assert got == hits_by_all_postings(spark, index, asked, n)
+    empty = index.where("false")
+    assert retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.postings(empty, "pair_id"), empty.agg(F.count("*").alias("n")), 5).count() == 0
+
+
+def test_a_token_of_every_text_is_hardly_met(spark):
+    """One token is in every text: a tenth of the rows before the last aggregate, or less, and the same hits."""
+    rng = random.Random(9)
+    texts = [(i, "the " * rng.choice([1, 1, 1, 2]) + " ".join(f"x{rng.randrange(300)}" for _ in range(8))) for i in range(6000)]
+    index = spark.createDataFrame(texts, "pair_id long, text string")
+    asked = spark.createDataFrame([(q, f"the x{q} x{q + 1}") for q in range(40)], "query_id long, text string")
+    posted, n_index, seen = textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")), {}
+    hits = retrieve.sparse_hits(textindex.postings(asked, "query_id"), posted, n_index, 20, counts=seen)
+    got = sorted(map(tuple, hits.select("query_id", "pair_id", "score", "nth").collect()))
+    assert got == hits_by_all_postings(spark, index, asked, 20)
+    every = textindex.postings(asked, "query_id").join(posted, "token").count()
+    assert (seen["found"] + seen["looked_up"]) * 10 <= every
+
+
+def test_kept_frequencies_follow_loads(spark):
+    rows = lambda some: textindex.postings(spark.createDataFrame(some, "pair_id long, text string"), "pair_id")
+    kept = textindex.frequencies(rows([(1, "a b"), (2, "a c")]))
+    kept = textindex.changed_frequencies(kept, rows([(2, "a c")]), rows([(3, "a d"), (4, "d")]))
+    assert {r.token: r.df for r in kept.collect()} == {"a": 2, "b": 1, "d": 2}
+    same = textindex.changed_frequencies(kept, rows([]), rows([]))
+    assert {r.token: r.df for r in same.collect()} == {"a": 2, "b": 1, "d": 2}

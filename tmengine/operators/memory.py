@@ -85,20 +85,43 @@ def plan_vectors(plan: DataFrame, index: DataFrame, embed) -> DataFrame:
     return reused.where("not missing").select(*PAIR, "dense").unionByName(vectors_for_sources(wanted, embed).select(*PAIR, "dense"))
 
 
-def apply_plan(plan: DataFrame, existing: DataFrame, namespace: uuid.UUID, vectors: DataFrame | None = None) -> DataFrame:
+def _arriving(plan: DataFrame, columns: list[str], collection: str | None) -> DataFrame:
+    """Upgraded and new points with the index's other ``columns``: the plan's values, else those of the point that is replaced.
+
+    A new point comes into ``collection``; an upgraded one stays in its own. ``_old`` is the replaced point, if any.
+    """
+    known = {"priority_rank": "rank", **({"source_tm": "source_file"} if "source_file" in plan.columns else {})}
+    out = []
+    for c in columns:
+        own = c if c in plan.columns and c not in ("dense", "collection") else known.get(c)
+        value = F.col(own) if own else F.col(f"_old.{c}")
+        out.append((F.coalesce(value, F.lit(collection)) if c == "collection" else value).alias(c))
+    return plan.select(*PAIR, "status", *out)
+
+
+def apply_plan(plan: DataFrame, existing: DataFrame, namespace: uuid.UUID, vectors: DataFrame | None = None, collection: str | None = None, strict: bool = False) -> DataFrame:
     """The index after the plan: upgraded pairs' old points go, upgraded and new ones come under their stable ids.
 
-    Points that stay keep all their columns. Those that come have the plan's values of the index's columns, and
-    ``dense`` from ``vectors(source, target, dense)`` if given.
+    Points that stay keep all their columns. An upgraded point keeps the stored vector of the point it replaces and
+    all columns that the plan does not have, its collection among them; new points come into ``collection``.
+    ``vectors(source, target, dense)`` fills vectors that are not stored. With ``strict`` an upgraded pair whose
+    stored vector is gone is an error; else it has the one of ``vectors``, or none.
     """
     gone = plan.where("action = 'clone'").select(F.explode("obsolete_ids").alias("pair_id"))
     kept = existing.join(gone.hint("merge"), "pair_id", "left_anti")
-    fresh = plan.where("action in ('embed', 'clone')")
-    more = [c for c in existing.columns if c in plan.columns and c not in ("pair_id", *PAIR, "status")]
-    fresh = fresh.select(pair_id(F.col("source"), F.col("target"), F.col("status"), namespace).alias("pair_id"), *PAIR, "status", *more)
+    more = [c for c in existing.columns if c not in ("pair_id", *PAIR, "status")]
+    old = existing.select(F.col("pair_id").alias("reuse_id"), F.struct(F.lit(True).alias("_there"), *more).alias("_old"))
+    upgraded = _arriving(plan.where("action = 'clone'").join(old.hint("merge"), "reuse_id", "left"), more, collection)
+    fresh = _arriving(plan.where("action = 'embed'").withColumn("_old", F.lit(None).cast(old.schema["_old"].dataType)), more, collection)
+    if strict and "dense" in more:
+        lost = F.raise_error(F.concat(F.lit("no stored vector for the upgraded pair of "), "source")).cast(dict(existing.dtypes)["dense"])
+        upgraded = upgraded.withColumn("dense", F.when(F.col("dense").isNull(), lost).otherwise(F.col("dense")))
+    fresh = upgraded.unionByName(fresh)
     if vectors is not None:
-        fresh = fresh.join(vectors.hint("merge"), PAIR, "left")
-    return upsert(kept, fresh)
+        made = vectors.select(*PAIR, F.col("dense").alias("_made"))
+        fresh = fresh.join(made.hint("merge"), PAIR, "left")
+        fresh = fresh.withColumn("dense", F.coalesce("dense", "_made") if "dense" in more else F.col("_made")).drop("_made")
+    return upsert(kept, fresh.withColumn("pair_id", pair_id(F.col("source"), F.col("target"), F.col("status"), namespace)))
 
 
 def file_counts(candidates: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmengine.functions.text import status_rank, status_weight, stripped
-from tmengine.operators.textindex import inverse_frequencies
+from tmengine.operators.textindex import blocked, inverse_frequencies
 from tmengine.tables import written
 
 #: Vectors packed together: each block of queries is compared with each block of the index.
@@ -34,6 +34,57 @@ def sparse_scores(queries: DataFrame, index: DataFrame, n_index: DataFrame) -> D
     return hits.groupBy("query_id", "pair_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 6).alias("score"))
 
 
+#: Slack of bounds against the scores' rounding.
+_SLACK = 2e-6
+
+
+def _threshold(asked: DataFrame, rows: DataFrame, maxima: DataFrame, n: int) -> DataFrame:
+    """``(query_id, floor)``: a score that ``n`` texts of the query reach, from two cheap looks; no row where there is none.
+
+    Looks: the texts of the query's rarest tokens, by these tokens alone, and all texts of its blocks with the highest bounds.
+    """
+    rare = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    few = asked.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where((F.col("before") < 2 * n) & (F.col("df") <= 64 * n))
+    by_token = few.select("query_id", "token", "w").join(rows.select("pair_id", "token", "tf").hint("merge"), "token")
+    by_token = by_token.groupBy("query_id", "pair_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+    bounds = asked.select("query_id", "token", "w").join(maxima.hint("merge"), "token").groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("most")).alias("bound"))
+    best = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))).where("nth <= 2")
+    by_block = written(best.select("query_id", "block")).hint("merge").join(asked.select("query_id", "token", "w").hint("merge"), "query_id")
+    by_block = by_block.join(rows.hint("merge"), ["block", "token"]).groupBy("query_id", "pair_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+    reached = [top(x, n).where(F.col("nth") == n).select("query_id", "score") for x in (by_token, by_block)]
+    return reached[0].unionByName(reached[1]).groupBy("query_id").agg(F.max("score").alias("floor"))
+
+
+def sparse_hits(queries: DataFrame, index: DataFrame, n_index: DataFrame, n: int, kept: DataFrame | None = None, counts: dict | None = None) -> DataFrame:
+    """The ``n`` best of ``sparse_scores`` of each query, with ``nth``, found without meeting most postings.
+
+    A query and a block of texts have a bound, the sum of weight times largest count of the common tokens. Blocks whose bound
+    is below a score that n texts reach are left out. In a block that stays, tokens whose bounds together fall short of that
+    score can lift no text over it alone: postings are read for the other tokens, and for these only where a text found by
+    the others may still reach the score. ``kept`` are kept frequencies; ``counts`` takes the rows met if given (tests).
+    """
+    rows, maxima = blocked(index)
+    asked = queries.withColumnRenamed("tf", "q_tf").join(inverse_frequencies(rows, n_index, kept).hint("merge"), "token")
+    asked = written(asked.select("query_id", "token", "df", (F.col("q_tf") * F.col("idf")).alias("w")))
+    floors = written(_threshold(asked, rows, maxima, n))
+    slim = asked.select("query_id", "token", "w").join(floors.hint("merge"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - _SLACK)
+    bounds = slim.join(maxima.hint("merge"), "token").withColumn("u", F.col("w") * F.col("most"))
+    block = Window.partitionBy("query_id", "block")
+    upto = block.orderBy("u", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = bounds.withColumn("bound", F.sum("u").over(block)).withColumn("upto", F.sum("u").over(upto)).where(F.col("bound") >= F.col("floor"))
+    bounds = bounds.withColumn("needed", F.col("upto") >= F.col("floor"))
+    bounds = written(bounds.withColumn("rest", F.sum(F.when(~F.col("needed"), F.col("u")).otherwise(0.0)).over(block)).select("query_id", "block", "token", "w", "floor", "needed", "rest"))
+    found = bounds.where("needed").join(rows.hint("merge"), ["block", "token"])
+    first = found.groupBy("query_id", "pair_id").agg(F.sum(F.col("w") * F.col("tf")).alias("part"), F.first("block").alias("block"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    first = written(first.where(F.col("part") + F.col("rest") >= F.col("floor")).select("query_id", "pair_id", "block", "part"))
+    wanted = first.select("query_id", "pair_id", "block").join(bounds.where("not needed").select("query_id", "block", "token", "w").hint("merge"), ["query_id", "block"])
+    more = wanted.select("query_id", "pair_id", "token", "w").join(rows.select("pair_id", "token", "tf").hint("merge"), ["pair_id", "token"])
+    parts = first.select("query_id", "pair_id", "part").unionByName(more.select("query_id", "pair_id", (F.col("w") * F.col("tf")).alias("part")))
+    if counts is not None:
+        counts |= {"found": found.count(), "looked_up": more.count(), "bounds": bounds.count()}
+    return top(parts.groupBy("query_id", "pair_id").agg(F.round(F.sum("part"), 6).alias("score")), n)
+
+
 def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
     """``(ids, dim, values)``: unit vectors of equal length, up to ``size`` together as one matrix of doubles, written out.
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tmengine.tables import written
+
+#: Texts of one block of the posting list.
+BLOCK = 128
+
 from tmengine.functions.text import tokens
 
 
@@ -14,9 +19,40 @@ def postings(texts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     return each.groupBy(id_column, "token").agg(F.count("*").alias("tf"))
 
 
-def inverse_frequencies(posted: DataFrame, n_texts: DataFrame) -> DataFrame:
-    """``(token, df, idf)`` with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); ``n_texts`` is one row (n)."""
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
+def frequencies(posted: DataFrame) -> DataFrame:
+    """``(token, df)``: in how many texts each token occurs."""
+    return posted.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def changed_frequencies(kept: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Kept ``(token, df)`` after the postings of some texts went and those of others came; only these are counted."""
+    rows = kept.select("token", "df").unionByName(frequencies(come)).unionByName(frequencies(gone).withColumn("df", -F.col("df")))
+    return rows.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+
+
+def inverse_frequencies(posted: DataFrame, n_texts: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """``(token, df, idf)`` with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); ``n_texts`` is one row (n).
+
+    ``kept(token, df)`` are frequencies that loads have kept; without them the postings are counted.
+    """
+    df = frequencies(posted) if kept is None else kept.select("token", "df")
     n = F.col("n").cast("double")
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return df.crossJoin(F.broadcast(n_texts)).select("token", "df", idf.alias("idf"))  # one row against all
+
+
+def blocked(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings ``(pair_id, token, tf, block)`` and block maxima ``(block, token, most)``, both written out.
+
+    A block holds about ``BLOCK`` texts of similar length, a quarter of an octave apart at most, so a token's largest
+    count in a block is near what its texts can have. Only the number of texts of each length class reaches the driver.
+    """
+    spark = posted.sparkSession
+    posted = written(posted)
+    sizes = posted.groupBy("pair_id").agg(F.sum("tf").alias("n"))
+    sizes = written(sizes.select("pair_id", F.floor(F.log2("n") * 4).cast("int").alias("class")))
+    classes = [(r["class"], -(-r["count"] // BLOCK)) for r in sizes.groupBy("class").count().collect()]  # four an octave
+    pieces = F.broadcast(spark.createDataFrame(classes or [(0, 1)], "class int, pieces long"))
+    placed = sizes.join(pieces, "class").select("pair_id", (F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("pair_id"), F.col("pieces"))).alias("block"))
+    rows = written(posted.join(placed.hint("merge"), "pair_id"))
+    return rows, written(rows.groupBy("block", "token").agg(F.max("tf").alias("most")))

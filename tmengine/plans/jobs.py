@@ -17,8 +17,7 @@ def sparse_references(segments: DataFrame, tm: DataFrame, k: int = 3, prefetch:
     """Hits ``(query_id, source, target, status, score, nth)`` of segments (row_id, source) in a memory by common tokens."""
     index = tm.select(F.col("row_id").alias("pair_id"), F.col("source").alias("text"), "source", "target", "status")
     asked = segments.select(F.col("row_id").alias("query_id"), F.col("source").alias("text"))
-    scores = retrieve.sparse_scores(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")))
-    channel = retrieve.top(scores, prefetch)
+    channel = retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")), prefetch)
     return retrieve.weighted_top(retrieve.fused([channel], fetch=max(3 * k, k + 10)), index, k)
 
 
@@ -109,16 +108,16 @@ def _parsed(said: DataFrame, form: str) -> DataFrame:
     return infer.parse_numbered(said.where("error is null")).select("unit_id", (F.col("pos") - 1).alias("pos"), "translation", "reason", none.alias("error"))
 
 
-def import_memory(candidates: DataFrame, index: DataFrame, namespace: uuid.UUID, commit: bool = True, embed=None) -> tuple[DataFrame, DataFrame | None]:
+def import_memory(candidates: DataFrame, index: DataFrame, namespace: uuid.UUID, commit: bool = True, embed=None, collection: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The summary of an import, and the new index if it is to be made; without ``commit`` nothing but the plan is computed.
 
-    With ``embed`` (DataFrame(source) to DataFrame(source, dense)) upgraded pairs keep their stored vectors and
-    each other new source is embedded once.
+    Upgraded pairs keep their stored vectors and their collection, new ones come into ``collection``. With ``embed``
+    (DataFrame(source) to DataFrame(source, dense)) each other new source is embedded once.
     """
     plan = written(memory.import_plan(candidates, index))
     if not commit:
         return memory.plan_summary(plan), None
-    return memory.plan_summary(plan), memory.apply_plan(plan, index, namespace, memory.plan_vectors(plan, index, embed) if embed else None)
+    return memory.plan_summary(plan), memory.apply_plan(plan, index, namespace, memory.plan_vectors(plan, index, embed) if embed else None, collection)
 
 
 def enrich_weak_units(

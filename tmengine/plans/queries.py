@@ -93,31 +93,39 @@ UUID5 = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3)
 NS = "from_hex('" + NAMESPACE.hex + "')"
 
 
-@query(PLAN + f""", gone AS (SELECT DISTINCT old.pair_id FROM old JOIN plan USING (source, target) WHERE action = 'clone'),
-fresh AS (SELECT *, sha1({NS} || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h FROM plan WHERE action <> 'skip')
-SELECT pair_id, source, target, status FROM old WHERE pair_id NOT IN (SELECT pair_id FROM gone)
-UNION ALL SELECT {UUID5}, source, target, status FROM fresh""")
-def tm_apply_plan(spark, d):
+#: The stored points in three collections, with their vectors where embeddings has one of their number.
+STORED = ", sv AS (SELECT old.*, 'c' || row_id % 3 || row_id % 2 AS collection, e.embedding::DOUBLE[] AS dense FROM old LEFT JOIN embeddings e ON e.vec_id = old.row_id)"
+#: Points that go, and those that come with the collection and vector of the one they replace.
+APPLIED = PLAN + STORED + f""", gone AS (SELECT DISTINCT old.pair_id FROM old JOIN plan USING (source, target) WHERE action = 'clone'),
+fresh AS (SELECT plan.*, sha1({NS} || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h, sv.dense, coalesce(sv.collection, 'main') AS collection FROM plan
+LEFT JOIN (SELECT pair_id, dense, collection FROM sv) sv ON action = 'clone' AND sv.pair_id = plan.reuse_id WHERE action <> 'skip')
+SELECT pair_id, source, target, status, row_id, collection, round(list_sum(dense), 4) AS total FROM sv WHERE pair_id NOT IN (SELECT pair_id FROM gone)
+UNION ALL SELECT {UUID5}, source, target, status, row_id, collection, """
+
+
+def _plan_with_vectors(spark, d):
     plan, stored = _plan(spark, d)
-    return memory.apply_plan(plan, stored, NAMESPACE)
+    held = src.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("row_id"), F.col("embedding").cast("array<double>").alias("dense"))
+    stored = stored.withColumn("collection", F.concat(F.lit("c"), F.col("row_id") % 3, F.col("row_id") % 2))
+    return plan, stored.join(held.hint("merge"), "row_id", "left")
 
 
-#: The stored points' vectors, where embeddings has one of their number.
-STORED_VECTORS = ", sv AS (SELECT old.*, e.embedding::DOUBLE[] AS dense FROM old LEFT JOIN embeddings e ON e.vec_id = old.row_id)"
+def _applied(made):
+    return made.select("pair_id", "source", "target", "status", "row_id", "collection", F.round(F.aggregate("dense", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query(PLAN + STORED_VECTORS + f""", gone AS (SELECT DISTINCT old.pair_id FROM old JOIN plan USING (source, target) WHERE action = 'clone'),
-fresh AS (SELECT plan.*, sha1({NS} || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h, sv.dense FROM plan
-LEFT JOIN (SELECT pair_id, dense FROM sv) sv ON action = 'clone' AND sv.pair_id = plan.reuse_id WHERE action <> 'skip')
-SELECT pair_id, source, target, status, row_id, round(list_sum(dense), 4) AS total FROM sv WHERE pair_id NOT IN (SELECT pair_id FROM gone)
-UNION ALL SELECT {UUID5}, source, target, status, row_id, CASE WHEN dense IS NOT NULL THEN round(list_sum(dense), 4) ELSE length(source) + 0.5::DOUBLE END FROM fresh""")
+@query(APPLIED + "round(list_sum(dense), 4) FROM fresh")
+def tm_apply_plan(spark, d):
+    """Without a model: upgraded points keep vector and collection, new ones have no vector yet."""
+    plan, stored = _plan_with_vectors(spark, d)
+    return _applied(memory.apply_plan(plan, stored, NAMESPACE, collection="main"))
+
+
+@query(APPLIED + "CASE WHEN dense IS NOT NULL THEN round(list_sum(dense), 4) ELSE length(source) + 0.5::DOUBLE END FROM fresh")
 def tm_import_vectors(spark, d):
-    plan, stored = _plan(spark, d)
-    held = src.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("row_id"), F.col("embedding").cast("array<double>").alias("dense"))
-    stored = stored.join(held.hint("merge"), "row_id", "left")
+    plan, stored = _plan_with_vectors(spark, d)
     embed = lambda sources: sources.select("source", F.array(F.length("source").cast("double"), F.lit(0.5)).alias("dense"))
-    made = memory.apply_plan(plan, stored, NAMESPACE, memory.plan_vectors(plan, stored, embed))
-    return made.select("pair_id", "source", "target", "status", "row_id", F.round(F.aggregate("dense", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    return _applied(memory.apply_plan(plan, stored, NAMESPACE, memory.plan_vectors(plan, stored, embed), "main"))
 
 
 @query("SELECT p_type AS source_file, count(*) AS candidates, count(*) FILTER (p_partkey % 6 = 5) AS unknown_status FROM part GROUP BY p_type")
@@ -383,8 +391,7 @@ def _texts(spark, d):
 def _sparse(spark, d):
     index, asked = _texts(spark, d)
     n = index.agg(F.count("*").alias("n"))
-    scores = retrieve.sparse_scores(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), n)
-    return retrieve.top(scores, 20)
+    return retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), n, 20)
 
 
 def _dense(spark, d, least: float = 0.2):
