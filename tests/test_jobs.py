@@ -4,7 +4,7 @@ import uuid
 import pytest
 
 from tmengine.operators import enrich, infer
-from tmengine.plans import jobs
+from tmengine.plans import index, jobs
 from tmengine.sources import files, sinks
 from tmengine.streaming import ingest
 
@@ -122,10 +122,10 @@ def test_streams_restart_without_repeating(spark, tmp_path):
     rows(("a", "x", "Done"), ("a", "x", "Draft"), ("b", "y", None))
     for _ in range(2):
         ingest.ingest_memory(spark, folder, root, mark, uuid.UUID(int=3)).awaitTermination()
-    assert sinks.read_version(spark, root).count() == 2
+    assert index.points(spark, root).count() == 2
     rows(("a", "x", "CQA_Done"), ("c", "z", "Done"))
     ingest.ingest_memory(spark, folder, root, mark, uuid.UUID(int=3)).awaitTermination()
-    assert sorted((r.source, r.status) for r in sinks.read_version(spark, root).collect()) == [("a", "CQA_Done"), ("b", None), ("c", "Done")]
+    assert sorted((r.source, r.status) for r in index.points(spark, root).collect()) == [("a", "CQA_Done"), ("b", None), ("c", "Done")]
 
     units_in, results, seen = str(tmp_path / "units"), str(tmp_path / "results"), str(tmp_path / "m2")
     put = lambda *u: spark.createDataFrame([(x, "m") for x in u], "unit_id string, message string").coalesce(1).write.mode("append").parquet(units_in)
@@ -139,4 +139,4 @@ def test_streams_restart_without_repeating(spark, tmp_path):
     asked, cache, m3, calls = str(tmp_path / "asked"), str(tmp_path / "cache"), str(tmp_path / "m3"), lambda q: "{}"
     spark.createDataFrame([("k", "q"), ("k", "q "), ("l", "r")], "key string, query string").write.parquet(asked)
     ingest.fill_cache(spark, asked, cache, m3, calls).awaitTermination()
-    assert sinks.read_version(spark, cache).count() == 2
+    assert ingest.cached(spark, cache).count() == 2

@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tmengine.functions import text as fn
-from tmengine.operators import infer
+from tmengine.operators import infer, retrieve, textindex
+from tmengine.plans import index, jobs
 from tmengine.plans import inputs as src
-from tmengine.plans import jobs
 from tmengine.sources import files, sinks
 from tmengine.streaming import ingest
 from tmengine.tables import shared_dir
@@ -168,17 +168,69 @@ def enrich_job(spark, d):
 
 # --- streams ------------------------------------------------------------------------------------------------------
 
+#: Each pair's best status, and whether rows of the first load had it.
+LOADED = f"""{TM}, b AS (SELECT source, target, first(CASE WHEN rank < 99 THEN status END ORDER BY rank) AS status, bool_or(row_id % 2 = 1) AS early FROM tm GROUP BY source, target),
+x AS (SELECT *, sha1(from_hex('{NAMESPACE.hex}') || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h FROM b),
+points AS (SELECT {UUID5} AS pair_id, source, target, status, early FROM x)"""
 
-@query(f"""WITH {TM}, b AS (SELECT source, target, first(CASE WHEN rank < 99 THEN status END ORDER BY rank) AS status FROM tm GROUP BY source, target),
-x AS (SELECT *, sha1(from_hex('{NAMESPACE.hex}') || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h FROM b) SELECT {UUID5} AS pair_id, source, target, status FROM x""")
-def stream_memory(spark, d):
-    """The memory loaded as a stream of files in small batches, restarted once in between."""
-    folder, root, mark = (_folder(spark, n) for n in ("in", "index", "mark"))
+
+def _loads(spark, d, root: str, embed: bool = False) -> None:
+    """The memory loaded as a stream of files in small batches, odd rows first, with a restart in between."""
+    folder, mark = (_folder(spark, n) for n in ("in", "mark"))
     rows = src.memory(spark, d).withColumn("status", F.when(F.col("status") != "Draft", F.col("status")))
-    for part in (1, 0):
+    for number, part in enumerate((1, 0), 1):
         rows.where(F.col("row_id") % 2 == part).select("source", "target", "status").repartition(2).write.mode("append").parquet(folder)
-        ingest.ingest_memory(spark, folder, root, mark, NAMESPACE, files_a_batch=1).awaitTermination()
-    return sinks.read_version(spark, root).select("pair_id", "source", "target", "status")
+        made = (lambda s, n=number: s.select("source", F.array(F.length("source").cast("float"), F.lit(float(n)).cast("float")).alias("dense"))) if embed else None
+        ingest.ingest_memory(spark, folder, root, mark, NAMESPACE, files_a_batch=1, collection="main", embed=made, n_buckets=4).awaitTermination()
+
+
+@query(f"WITH {LOADED} SELECT pair_id, source, target, status, 'main' AS collection, NULL::DOUBLE AS total FROM points")
+def stream_memory(spark, d):
+    root = _folder(spark, "index")
+    _loads(spark, d, root)
+    return index.points(spark, root).select("pair_id", "source", "target", "status", "collection", F.element_at("dense", 1).cast("double").alias("total"))
+
+
+@query(f"WITH {LOADED} SELECT pair_id, status, 'main' AS collection, length(source) + CASE WHEN early THEN 0.1 ELSE 0.2 END::DOUBLE AS total FROM points")
+def stream_vectors(spark, d):
+    """Vectors come from the load that first had the pair, and upgrades keep them."""
+    root = _folder(spark, "index")
+    _loads(spark, d, root, embed=True)
+    total = F.round(F.col("dense")[0].cast("double") + F.col("dense")[1].cast("double") / 10, 1)
+    return index.points(spark, root).select("pair_id", "status", "collection", total.alias("total"))
+
+
+def _three_loads(spark, d) -> str:
+    """The memory in three loads, the worst statuses first, so that the later ones upgrade."""
+    root = _folder(spark, "index")
+    rows = src.memory(spark, d)
+    load = F.when(fn.status_rank(F.col("status")) > 3, 0).when(fn.status_rank(F.col("status")) > 1, 1).otherwise(2)
+    for number in range(3):
+        index.load(spark, root, rows.where(load == number), NAMESPACE, n_buckets=4)
+    return root
+
+
+@query(f"""WITH {TM}, p AS (SELECT DISTINCT source, target FROM tm), t AS (SELECT DISTINCT source, target, unnest(regexp_extract_all(lower(source), '[0-9a-z]+')) AS token FROM p)
+SELECT token, count(*) AS df, (SELECT count(*) FROM p) AS n FROM t GROUP BY token""")
+def kept_frequencies(spark, d):
+    """Token frequencies kept through three loads with upgrades, against a full count."""
+    held, n = index.frequencies(spark, _three_loads(spark, d))
+    return held.crossJoin(F.broadcast(n))  # one row
+
+
+@query(f"""WITH {BEST}, x AS (SELECT *, sha1(from_hex('{NAMESPACE.hex}') || encode(source || chr(31) || target || chr(31) || coalesce(status, ''))) AS h FROM b),
+ix AS (SELECT {UUID5} AS pair_id, token, count(*) AS tf FROM (SELECT *, unnest(regexp_extract_all(lower(source), '[0-9a-z]+')) AS token FROM x) GROUP BY ALL),
+idf AS (SELECT token, ln(1.0::DOUBLE + ((SELECT count(*) FROM b)::DOUBLE - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM ix GROUP BY token),
+qs AS (SELECT query_id, token, count(*) AS q_tf FROM (SELECT source AS query_id, unnest(regexp_extract_all(lower(source), '[0-9a-z]+')) AS token FROM (SELECT DISTINCT source FROM b)) GROUP BY ALL),
+sp AS (SELECT query_id, pair_id, round(sum(q_tf * idf * tf), 6) AS score FROM qs JOIN idf USING (token) JOIN ix USING (token) GROUP BY ALL)
+SELECT * FROM (SELECT query_id, pair_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM sp) WHERE nth <= 5""")
+def sparse_kept(spark, d):
+    """Every distinct source asked of the loaded index, with its kept frequencies."""
+    root = _three_loads(spark, d)
+    held, n = index.frequencies(spark, root)
+    posted = textindex.postings(index.points(spark, root), "pair_id", "source")
+    asked = textindex.postings(src.memory(spark, d).select(F.col("source").alias("query_id"), "source").distinct(), "query_id", "source")
+    return retrieve.sparse_hits(asked, posted, n, 5, held).select("query_id", "pair_id", "score", "nth")
 
 
 @query("SELECT DISTINCT md5(lower(p_name)) AS key, 'found ' || upper(p_name) AS results FROM part")
@@ -189,7 +241,21 @@ def stream_cache(spark, d):
     for _ in range(2):
         rows.repartition(2).write.mode("append").parquet(folder)
         ingest.fill_cache(spark, folder, root, mark, lambda q: "found " + q.upper()).awaitTermination()
-    return sinks.read_version(spark, root).select("key", "results")
+    return ingest.cached(spark, root).select("key", "results")
+
+
+@query("SELECT md5(lower(p_name)) AS key, length(p_name) % 2 = 0 AS found, 1 AS lookups FROM part GROUP BY p_name")
+def stream_requests(spark, d):
+    """Names asked for in three batches within the expiry, half of whose lookups fail: each is looked up once all the same."""
+    folder, root, mark = (_folder(spark, n) for n in ("asked", "cache", "mark"))
+    part = src.table(spark, d, "part")
+    asked_at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("p_partkey") % 600)
+    rows = part.select(fn.cache_key(F.col("p_name")).alias("key"), F.col("p_name").alias("query"), asked_at.alias("asked_at"))
+    for _ in range(3):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    fetch = lambda q: "found " + q if len(q) % 2 == 0 else 1 / 0
+    ingest.fill_cache(spark, folder, root, mark, fetch, "1 hour", files_a_batch=1).awaitTermination()
+    return ingest.tried(spark, root).groupBy("key", "found").agg(F.count("*").cast("int").alias("lookups"))
 
 
 @query("SELECT conv_id::VARCHAR AS unit_id, 0 AS pos, reverse(conv_id::VARCHAR) AS raw FROM conversations GROUP BY conv_id")
