@@ -1,3 +1,5 @@
+import random
+
 from tmengine.operators import glossary
 
 SCHEMA = "row_id long, source string, target string, category string"
@@ -13,7 +15,7 @@ def test_load_keeps_first_and_counts(spark):
     assert got == {"fire": ("feu", "e", 2), "fire ball": ("boule", None, 1), "a.b": ("point", None, 1), "b": ("bb", "e", 1)}
 
 
-def test_matches_are_longest_first_in_order_and_distinct_by_pattern_and_by_tree(spark):
+def test_matches_are_longest_first_in_order_and_distinct_by_pattern_and_by_joins(spark):
     terms = glossary.load(entries(spark))
     texts = spark.createDataFrame([(1, "a fire ball, fire and b a.b axb fire"), (2, None), (3, ""), (4, "none here?")], "row_id long, text string")
     want = {1: ["fire ball", "fire", "b", "a.b"], 2: [], 3: [], 4: []}
@@ -35,3 +37,30 @@ def test_pages_differences_categories(spark):
 def test_unit_terms_keep_first_seen_order(spark):
     rows = spark.createDataFrame([("u", 1, ["b", "a"]), ("u", 0, ["c", "b"]), ("v", 0, [])], "unit_id string, pos int, terms array<string>")
     assert {r.unit_id: r.terms for r in glossary.unit_terms(rows).collect()} == {"u": ["c", "b", "a"]}
+
+
+def scan(text, terms):
+    """Plain leftmost-longest matching."""
+    out, at = {}, 0
+    while at < len(text):
+        found = max((t for t in terms if text.startswith(t, at)), key=len, default=None)
+        if found:
+            out[found] = None
+        at += len(found) if found else 1
+    return list(out)
+
+
+def test_joined_matches_equal_a_plain_scan(spark, monkeypatch):
+    monkeypatch.setattr(glossary, "BROADCAST_ROWS", -1)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab中😀 ") for _ in range(n))
+    texts = [word(rng.randrange(0, 120)) for _ in range(80)]
+    terms = {word(rng.randrange(1, 7)) for _ in range(60)} | {t[i : i + n] for t in texts[:40] for n in (3, 4, 7, 8, 9, 33, 64) for i in [rng.randrange(60)] if t[i : i + n]}
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(900, None, 2), (901, "", 3), (902, texts[0], 4)], "row_id long, text string, terms int").drop("terms")
+    named = spark.createDataFrame([(t,) for t in sorted(terms)] + [("",), (None,)], "source string")
+    want = {i: scan(t, terms) for i, t in enumerate(texts)} | {900: [], 901: [], 902: scan(texts[0], terms)}
+    for block in (1 << 20, 16):
+        monkeypatch.setattr(glossary, "BLOCK", block)
+        monkeypatch.setattr(glossary.fingerprints, "__defaults__", (block,))
+        assert {r.row_id: r.terms for r in glossary.matches(df, named, pattern_terms=0).collect()} == want
+    assert [r.terms for r in glossary.joined_matches(df.limit(2), named.where("source is null")).collect()] == [[], []]

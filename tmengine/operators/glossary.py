@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmengine.functions.text import clean_cell
+from tmengine.tables import BROADCAST_ROWS, written
 
-#: Up to so many terms one alternation is used, whose cost grows with the terms; above it a search tree.
+#: Up to so many terms one alternation is used, whose cost grows with the terms; above it texts and terms are joined.
 PATTERN_TERMS = 5_000
-#: A search tree is held by every task, so its terms are counted first.
-TREE_TERMS = 2_000_000
+#: Places of a text whose prints are made at once.
+BLOCK = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def load(entries: DataFrame) -> DataFrame:
@@ -46,55 +50,140 @@ def by_category(terms: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_terms"), F.array_join(F.sort_array(F.collect_list("source")), "|").alias("sources"))
 
 
-def _tree(terms: list[str]) -> dict:
-    root: dict = {}
-    for term in terms:
-        node = root
-        for c in term:
-            node = node.setdefault(c, {})
-        node[""] = term
-    return root
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (b + _ODD + (a << np.uint64(6)) + (a >> np.uint64(2)))) * _ODD
+    return x ^ (x >> np.uint64(29))
 
 
-def _scan(text: str, root: dict) -> list[str]:
-    """Distinct leftmost-longest matches, not overlapping, in order of first occurrence."""
-    out, at = {}, 0
-    while at < len(text):
-        node, found, i = root, None, at
-        while i < len(text) and (node := node.get(text[i])) is not None:
-            i += 1
-            found = node.get("", found)
-        if found is not None:
-            out[found] = None
-        at += len(found) if found else 1
-    return list(out)
+def fingerprints(text: str, classes: list[int], block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(class, start, prints)``: prints of the 2^class characters from ``start`` and each place after it, in blocks of places.
+
+    A class's prints are made of those of the class below, of both halves. Places without so many characters have none.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    longest = 1 << classes[-1]
+    for start in range(0, len(codes), block):
+        held = codes[start : start + block + longest - 1].astype(np.uint64)
+        held = _mixed(held, held)
+        for k in range(classes[-1] + 1):
+            if k:
+                half = 1 << (k - 1)
+                held = _mixed(held[:-half], held[half:]) if len(held) > half else held[:0]
+            if k in classes and len(held):
+                yield k, start, held[:block]
+
+
+def whole_print(first: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The print of n characters from those of their first and last 2^class, which cover them."""
+    return _mixed(_mixed(first, last), n.astype(np.uint64)).view(np.int64)
+
+
+def printed_terms(terms: DataFrame) -> DataFrame:
+    """``(source, n, class, anchor, whole)`` of distinct sources: length, its class (2^class <= n), prints of the start and of all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for source in batch["source"]:
+                n = len(source)
+                k = n.bit_length() - 1
+                prints = np.concatenate([x for _, _, x in fingerprints(source, [k])])
+                first, last = prints[:1], prints[n - (1 << k) :][:1]
+                rows.append((source, n, k, int(first.view(np.int64)[0]), int(whole_print(first, last, np.array([n]))[0])))
+            yield pd.DataFrame(rows, columns=["source", "n", "class", "anchor", "whole"])
+
+    distinct = terms.select("source").where("source <> ''").distinct()
+    return distinct.mapInPandas(run, "source string, n int, class int, anchor long, whole long")
 
 
 def matches(texts: DataFrame, terms: DataFrame, text: str = "text", pattern_terms: int = PATTERN_TERMS) -> DataFrame:
     """``texts`` with ``terms``: the distinct glossary sources found in the text, longest first at each place, in order.
 
-    The sources (not the texts) are brought to the driver after counting: a few thousand make one regular
-    expression that stays in the JVM, more make a tree walked once along each text in the tasks.
+    Up to ``pattern_terms`` sources make one regular expression. Any number beyond is met by joins: see ``joined_matches``.
     """
-    n = terms.count()
-    if n > TREE_TERMS:
-        raise ValueError(f"a glossary of {n} terms exceeds the bound of {TREE_TERMS}")
-    names = sorted((r["source"] for r in terms.select("source").distinct().collect()), key=lambda s: (-len(s), s))
+    few = terms.select("source").where("source <> ''").distinct().limit(pattern_terms + 1).collect() if pattern_terms else [None]
+    if len(few) > pattern_terms:
+        return joined_matches(texts, terms, text)
+    names = sorted((r["source"] for r in few), key=lambda s: (-len(s), s))
     if not names:
         return texts.withColumn("terms", F.array().cast("array<string>"))
-    if len(names) <= pattern_terms:
-        quoted = "|".join(re.sub(r"([\\.^$|?*+()\[\]{}-])", r"\\\1", s) for s in names)
-        return texts.withColumn("terms", F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(quoted), F.lit(0))))
-    shared = texts.sparkSession.sparkContext.broadcast(names)
-    trees: dict = {}
+    quoted = "|".join(re.sub(r"([\\.^$|?*+()\[\]{}-])", r"\\\1", s) for s in names)
+    return texts.withColumn("terms", F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(quoted), F.lit(0))))
 
-    @F.pandas_udf("array<string>")
-    def walk(column: pd.Series) -> pd.Series:
-        if "tree" not in trees:
-            trees["tree"] = _tree(shared.value)
-        return column.map(lambda t: _scan(t or "", trees["tree"]))
 
-    return texts.withColumn("terms", walk(text))
+def joined_matches(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """``matches`` for a glossary of any size, none of which reaches the driver.
+
+    A term of n characters has the class k with 2^k <= n < 2^(k + 1). Each text gives the distinct prints of 2^k characters it
+    holds, for the classes present, and meets the terms' starts by them. Back at the text the places of the starts that
+    were met and the lengths of their terms give prints of whole terms, which meet the terms. What is found is compared with
+    the text itself and resolved from left to right.
+    """
+    rows = written(texts.withColumn("_text", F.monotonically_increasing_id()))
+    known = written(printed_terms(terms))
+    classes = sorted(r["class"] for r in known.select("class").distinct().collect())  # at most 31 numbers
+    if not classes:
+        return rows.drop("_text").withColumn("terms", F.array().cast("array<string>"))
+    anchors = written(known.groupBy("class", "anchor").agg(F.sort_array(F.collect_set("n")).alias("lengths")))  # fewer than 2^class lengths
+    few = anchors.count() <= BROADCAST_ROWS
+
+    def given(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, said in zip(batch["_text"], batch["body"]):
+                found: dict[int, list] = {}
+                for k, _, prints in fingerprints(said, classes):
+                    found.setdefault(k, []).append(np.unique(prints))
+                for k, parts in found.items():
+                    prints = np.unique(np.concatenate(parts)).view(np.int64)
+                    yield pd.DataFrame({"_text": at, "class": np.int32(k), "anchor": prints})
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")
+    full = rows.select("_text", body).where("body <> ''")
+    prints = full.mapInPandas(given, "_text long, class int, anchor long")
+    met = written(prints.join(F.broadcast(anchors) if few else anchors.hint("merge"), ["class", "anchor"]))
+    met = met.groupBy("_text").agg(F.collect_list(F.struct("class", "anchor", "lengths")).alias("met"))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, said, starts in zip(batch["_text"], batch["body"], batch["met"]):
+                wanted: dict[int, list] = {}
+                for s in starts:
+                    wanted.setdefault(s["class"], []).append((s["anchor"], s["lengths"]))
+                whole: dict[int, list] = {}
+                for k, _, part in fingerprints(said, sorted(wanted)):
+                    whole.setdefault(k, []).append(part)
+                for k, listed in wanted.items():
+                    prints = np.concatenate(whole[k])
+                    listed.sort(key=lambda x: x[0])
+                    names = np.array([a for a, _ in listed], np.int64)
+                    nth = np.minimum(np.searchsorted(names, prints.view(np.int64)), len(names) - 1)
+                    places = np.flatnonzero(names[nth] == prints.view(np.int64))
+                    lengths = [np.asarray(listed[i][1]) for i in nth[places]]
+                    p, n = np.repeat(places, [len(x) for x in lengths]), np.concatenate([np.zeros(0, int), *lengths]).astype(np.int64)
+                    last = p + n - (1 << k)
+                    ok = last < len(prints)
+                    p, n, last = p[ok], n[ok], last[ok]
+                    yield pd.DataFrame({"_text": at, "place": p, "n": n.astype(np.int32), "whole": whole_print(prints[p], prints[last], n)})
+
+    there = full.join(met.hint("merge"), "_text").mapInPandas(placed, "_text long, place long, n int, whole long")
+    hits = written(there).join(known.select("n", "whole", "source").hint("merge"), ["n", "whole"])
+    hits = hits.groupBy("_text").agg(F.collect_list(F.struct("place", "source")).alias("hits"))
+
+    @F.pandas_udf("array<string>")
+    def resolved(bodies: pd.Series, lists: pd.Series) -> pd.Series:
+        def one(said: str, found: list) -> list[str]:
+            out, end = {}, 0
+            for h in sorted(found, key=lambda h: (h["place"], -len(h["source"]))):
+                if h["place"] >= end and said.startswith(h["source"], h["place"]):
+                    out[h["source"]] = None
+                    end = h["place"] + len(h["source"])
+            return list(out)
+
+        return pd.Series([one(b, h) for b, h in zip(bodies, lists)])
+
+    listed = written(full.join(hits.hint("merge"), "_text").select("_text", resolved("body", "hits").alias("terms")))
+    out = rows.join(listed.hint("merge"), "_text", "left").drop("_text")
+    return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
 def unit_terms(members: DataFrame) -> DataFrame:

@@ -236,6 +236,17 @@ def term_match(spark, d):
     return _matched(spark, d).select("row_id", F.array_join("terms", "|").alias("terms"))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT doc_id, line, min(i) AS i FROM l WHERE line <> '' GROUP BY doc_id, line)
+SELECT d.doc_id::BIGINT AS doc_id, count(f.line) AS n_terms, md5(coalesce(string_agg(f.line, chr(10) ORDER BY f.i), '')) AS found FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""")
+def line_glossary(spark, d):
+    """Every distinct line of every document as a glossary, matched against all documents: each holds its own lines."""
+    docs = src.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("source")).where("source <> ''")
+    found = glossary.joined_matches(docs, lines)
+    return found.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join("terms", "\n").cast("binary")).alias("found"))
+
+
 @query(MATCHED + """ SELECT unit::VARCHAR AS unit_id, string_agg(term, '|' ORDER BY pos, i) AS terms FROM
 (SELECT unit, term, min(pos) AS pos, arg_min(i, pos * 1000 + i) AS i FROM m GROUP BY unit, term) GROUP BY unit""")
 def unit_terms(spark, d):
