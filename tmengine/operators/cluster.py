@@ -1,13 +1,18 @@
 """Template clusters: texts that share a long common prefix and suffix.
 
-Two texts are linked if (common prefix + common suffix) / longer length reaches the threshold t. Then the prefix or the
-suffix alone is at least half of t times the longer length, so an equal-key join on prefixes and suffixes of that
-length loses nothing. Blocks in which any two rows qualify outright become stars around their first row.
+Two texts are linked if (common prefix + common suffix) / longer length reaches the threshold t, the two not overlapping in
+the shorter text. Texts in order, and reversed texts in order, tell where a text parts from others: the running minima of
+the common prefixes of neighbours. A pair parts at one such depth d from the front and one, e, from the back. So texts
+that agree in the first d and the last e characters meet under one key, and there linked texts are runs of overlapping
+length intervals: components need neither pairs nor a text beside another one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmengine.functions.text import affix_similarity, common_prefix, ngrams, stripped
@@ -29,44 +34,121 @@ def _keyed(rows: DataFrame, sizes: Column) -> DataFrame:
     return each.select("*", F.xxhash64(F.substring(F.col("end.s"), F.lit(1), F.col("q"))).alias("key"), F.col("end.side").alias("side")).drop("end")
 
 
-def full_affix_edges(rows: DataFrame, t: float) -> DataFrame:
-    """Links from each row to the first row of every block of equal affixes that alone reach the threshold.
+def _common(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
 
-    A row gives its affixes of each size from t times its length to its length that is such a bound for some
-    length present. Within a block all pairs qualify, so a star is enough, whatever the block's size.
+def _beyond(edges: list) -> dict[int, list[int]]:
+    """For parts ``(part, first, last, near, reach)`` in order: the depths at which a part's first text parts from all before it.
+
+    ``near`` are those of the last text within its part, ``reach`` what it has in common with the part's first.
     """
-    lengths = rows.select("n").distinct()
-    wanted = lengths.select(_ceil(F.col("n") * t).alias("w")).distinct().agg(F.sort_array(F.collect_list("w")).alias("ws"))
-    near = rows.crossJoin(F.broadcast(wanted))  # one row: the distinct bounds, no more than distinct lengths
-    sizes = F.filter("ws", lambda w: (w >= _ceil(F.col("n") * t)) & (w <= F.col("n")))
-    keyed = _keyed(near, sizes).select("row_id", "key", "q", "side")
-    firsts = keyed.groupBy("key", "q", "side").agg(F.min("row_id").alias("top"), F.count("*").alias("m")).where("m > 1")
-    return keyed.join(firsts.hint("merge"), ["key", "q", "side"]).where("row_id <> top").select(F.col("row_id").alias("a"), F.col("top").alias("b")).distinct()
+    out, before, last = {}, [], None
+    for part, first, end, near, reach in edges:
+        if last is not None:
+            shared = _common(last, first)
+            before = sorted({m for m in before if m < shared} | {shared} - {0})
+        out[part] = before
+        before, last = sorted({min(reach, m) for m in before} | set(near)), end
+    return out
 
 
-def half_affix_candidates(rows: DataFrame, t: float, group: str | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` that may reach the threshold: a shared prefix or suffix of half the needed length.
+def branch_depths(rows: DataFrame) -> DataFrame:
+    """``(row_id, depths)`` of distinct texts ``(row_id, s)``: the lengths of prefixes that end where another text goes on differently.
 
-    The longer text offers its one key, the shorter one key for each partner length it admits. With ``group``
-    pairs of one group are left out.
+    Texts are range-partitioned and swept in both orders; a stack of running minima is all that a task keeps. Of each
+    partition the first and last text and their depths pass through the driver.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = written(rows.select("row_id", "s").repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id()))
+
+    def swept(name: str, order: Column) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, last, stack, reach = None, "", [], 0
+            for batch in batches:
+                near, far = [], []
+                for p, s in zip(batch["part"], batch["s"]):
+                    if p != part:
+                        part, stack, reach = p, [], len(s)
+                    else:
+                        shared = _common(last, s)
+                        while stack and stack[-1] >= shared:
+                            stack.pop()
+                        if shared:
+                            stack.append(shared)
+                        reach = min(reach, shared)
+                    last = s
+                    near.append(list(stack))
+                    far.append(reach)
+                yield batch[["row_id", "part"]].assign(near=near, reach=far)
+
+        sorted_ = laid.repartition(parts, "part").sortWithinPartitions("part", order)
+        out = sorted_.mapInPandas(run, "row_id long, part int, near array<int>, reach int")
+        return written(out.select("row_id", "part", F.col("near").alias(f"near_{name}"), F.col("reach").alias(f"reach_{name}")))
+
+    ends = laid.groupBy("part").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min_by("row_id", "s").alias("lo_id"), F.max_by("row_id", "s").alias("hi_id"))
+    ends = sorted(ends.collect(), key=lambda r: r["lo"].encode("utf-8", "surrogatepass"))  # a row a partition
+    up, down = swept("up", F.col("s").asc()), swept("down", F.col("s").desc())
+    of = lambda df, ids, name: {r["row_id"]: (r[f"near_{name}"], r[f"reach_{name}"]) for r in df.where(F.col("row_id").isin(ids)).collect()}
+    last, first = of(up, [r["hi_id"] for r in ends], "up"), of(down, [r["lo_id"] for r in ends], "down")
+    left = _beyond([(r["part"], r["lo"], r["hi"], *last[r["hi_id"]]) for r in ends])
+    right = _beyond([(r["part"], r["hi"], r["lo"], *first[r["lo_id"]]) for r in reversed(ends)])
+    beyond = spark.createDataFrame([(p, left[p], right[p]) for p in left] or [(0, [], [])], "part int, left array<int>, right array<int>")
+    both = up.join(down.drop("part").hint("merge"), "row_id").join(F.broadcast(beyond), "part")
+    capped = lambda c, reach: F.transform(c, lambda m: F.least(F.col(reach), m))
+    depths = F.concat("near_up", "near_down", capped("left", "reach_up"), capped("right", "reach_down"))
+    return both.select("row_id", F.filter(F.array_distinct(depths), lambda x: x > 0).alias("depths"))
+
+
+def affix_edges(rows: DataFrame, t: float) -> DataFrame:
+    """Edges ``(a, b)`` that connect the linked ones of distinct texts ``(row_id, text, n)``, without a row for each pair.
+
+    A text comes under each pair of its depths (d, e) whose sum, or its length if that is less, reaches t times its length.
+    A pair of texts under a key is linked if and only if the intervals from the needed to the reached length overlap.
+    These depend on the lengths only, so rows of a length are a star and the few lengths of a key are swept.
     """
-    columns = ["row_id", "text", "n", *([group] if group else [])]
-    longer = _keyed(rows.select(*columns), F.array(F.greatest(F.lit(1), _ceil(F.col("n") * t / 2))))
+    front = branch_depths(rows.select("row_id", F.col("text").alias("s"))).withColumnRenamed("depths", "front")
+    back = branch_depths(rows.select("row_id", F.reverse("text").alias("s"))).withColumnRenamed("depths", "back")
+    full = rows.join(front.hint("merge"), "row_id").join(back.hint("merge"), "row_id").withColumn("need", F.greatest(F.lit(1), _ceil(F.col("n") * t)))
+    zero = F.array(F.lit(0))
+    full = full.withColumn("d", F.explode(F.concat("front", zero))).withColumn("back", F.filter(F.concat("back", zero), lambda e: F.least(F.col("d") + e, F.col("n")) >= F.col("need")))
+    full = full.withColumn("e", F.explode("back"))
+    ahead, behind = F.substring("text", F.lit(1), F.col("d")), F.substring("text", F.col("n") - F.col("e") + 1, F.col("e"))
+    name = F.struct(F.xxhash64("d", "e", ahead, behind), F.xxhash64(behind, F.lit(1), ahead, "e", "d"))
+    keyed = written(full.select("row_id", name.alias("name"), F.least(F.col("d") + F.col("e"), F.col("n")).alias("reach"), "need"))
+    kinds = written(keyed.groupBy("name", "reach").agg(F.min("row_id").alias("top"), F.min("need").alias("need"), F.count("*").alias("m")))
+    several = kinds.groupBy("name").agg(F.sum("m").alias("m")).where("m > 1").select("name")
+    spread = salted(keyed.withColumn("key", F.struct("name", "reach")), "row_id")
+    least = kinds.where("m > 1").select(F.struct("name", "reach").alias("key"), "top")
+    asked = least.join(spread.select("key", "_salt").distinct().hint("merge"), "key")
+    stars = spread.join(asked.hint("merge"), ["key", "_salt"]).select(F.col("row_id").alias("a"), F.col("top").alias("b"))
+    along = Window.partitionBy("name").orderBy("need", "reach")
+    runs = kinds.join(several.hint("merge"), "name").withColumn("before", F.max("reach").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("run", F.sum(F.when(F.col("need") > F.col("before"), 1).otherwise(0)).over(along))
+    runs = runs.withColumn("first", F.min("top").over(Window.partitionBy("name", "run")))
+    return stars.union(runs.select(F.col("top").alias("a"), F.col("first").alias("b"))).where("a <> b").distinct()
+
+
+def affix_links(rows: DataFrame, t: float) -> DataFrame:
+    """Linked pairs ``(a, b, similarity)``: of those that share a prefix or suffix of half the needed length, verified as they meet.
+
+    The longer text offers its one key, the shorter one key for each partner length it admits.
+    """
+    longer = _keyed(rows, F.array(F.greatest(F.lit(1), _ceil(F.col("n") * t / 2))))
     lengths = rows.select("n").distinct().agg(F.sort_array(F.collect_list("n")).alias("ns"))
     partners = F.filter("ns", lambda m: (m >= F.col("n")) & (m * t <= F.col("n") + _EPS))
     sizes = F.array_distinct(F.transform(partners, lambda m: F.greatest(F.lit(1), _ceil(m * t / 2))))
-    shorter = _keyed(rows.select(*columns).crossJoin(F.broadcast(lengths)), F.filter(sizes, lambda q: q <= F.col("n"))).drop("ns")
+    shorter = _keyed(rows.crossJoin(F.broadcast(lengths)), F.filter(sizes, lambda q: q <= F.col("n"))).drop("ns")  # one row: the distinct lengths
     x, y = longer.alias("x"), shorter.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.q") == F.col("y.q")) & (F.col("x.side") == F.col("y.side"))
     fit = (F.col("x.row_id") != F.col("y.row_id")) & (F.col("x.n") >= F.col("y.n")) & (F.col("y.n") >= F.col("x.n") * t - _EPS)
-    if group:
-        fit = fit & (F.col(f"x.{group}") != F.col(f"y.{group}"))
-    pairs = x.join(y.hint("merge"), on & fit).select(
-        F.least("x.row_id", "y.row_id").alias("a"), F.greatest("x.row_id", "y.row_id").alias("b"),
-        F.when(F.col("x.row_id") < F.col("y.row_id"), F.col("x.text")).otherwise(F.col("y.text")).alias("ta"),
-        F.when(F.col("x.row_id") < F.col("y.row_id"), F.col("y.text")).otherwise(F.col("x.text")).alias("tb"),
-    )
-    return pairs.dropDuplicates(["a", "b"])
+    met = x.join(y.hint("merge"), on & fit).withColumn("similarity", affix_similarity(F.col("x.text"), F.col("y.text"))).where(F.col("similarity") >= t - _EPS)
+    return met.select(F.least("x.row_id", "y.row_id").alias("a"), F.greatest("x.row_id", "y.row_id").alias("b"), "similarity").dropDuplicates(["a", "b"])
 
 
 def trimmed(texts: DataFrame) -> DataFrame:
@@ -76,9 +158,8 @@ def trimmed(texts: DataFrame) -> DataFrame:
 
 
 def affix_pairs(texts: DataFrame, t: float = 0.4) -> DataFrame:
-    """All linked pairs ``(a, b, similarity)`` with a < b."""
-    pairs = half_affix_candidates(trimmed(texts), t).withColumn("similarity", affix_similarity(F.col("ta"), F.col("tb")))
-    return pairs.where(F.col("similarity") >= t - _EPS).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """All linked pairs ``(a, b, similarity)`` with a < b: a pair a row, so for texts with few links; else use components."""
+    return affix_links(trimmed(texts), t).withColumn("similarity", F.round("similarity", 6))
 
 
 def similar_by_grams(queries: DataFrame, rows: DataFrame, n: int, least: float) -> DataFrame:
@@ -97,23 +178,12 @@ def similar_by_grams(queries: DataFrame, rows: DataFrame, n: int, least: float)
 
 
 def template_components(texts: DataFrame, t: float = 0.4) -> DataFrame:
-    """``(row_id, text, n, component)``: equal texts first, then stars of full affixes, then pairs across those.
-
-    Only distinct texts are joined, and half-affix candidates only between different stars' components.
-    """
+    """``(row_id, text, n, component)``: equal texts are one vertex, the rest are linked by ``affix_edges``."""
     rows = written(trimmed(texts))
     distinct = written(rows.groupBy("text", "n").agg(F.min("row_id").alias("row_id")))
-    stars = components(full_affix_edges(distinct, t))
-    placed = distinct.join(stars.withColumnRenamed("id", "row_id"), "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    placed = written(placed)
-    more = half_affix_candidates(placed, t, "component").where(affix_similarity(F.col("ta"), F.col("tb")) >= t - _EPS)
-    of = placed.select("row_id", "component")
-    ends = more.select("a", "b").join(of.withColumnRenamed("row_id", "a").withColumnRenamed("component", "ca").hint("merge"), "a")
-    ends = ends.join(of.withColumnRenamed("row_id", "b").withColumnRenamed("component", "cb").hint("merge"), "b")
-    merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    final = placed.join(merged.withColumnRenamed("component", "top"), F.col("component") == F.col("id"), "left")
-    final = final.select("text", F.coalesce("top", "component").alias("component"))
-    return rows.join(final, "text")
+    linked = components(affix_edges(distinct, t))
+    placed = distinct.join(linked.withColumnRenamed("id", "row_id").hint("merge"), "row_id", "left")
+    return rows.join(placed.select("text", F.coalesce("component", "row_id").alias("component")).hint("merge"), "text")
 
 
 def template_groups(texts: DataFrame, t: float = 0.4, min_coverage: float = 0.5, size: int = 10) -> DataFrame:

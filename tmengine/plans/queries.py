@@ -485,9 +485,14 @@ def affix_pairs(spark, d):
     return cluster.affix_pairs(distinct, 0.8)
 
 
-CLOSED = NAMES + """, ids AS (SELECT id FROM rep), e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
-comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+#: Components at the default threshold, by labels that pass along all linked pairs a fixed number of times.
+CLOSED = """WITH RECURSIVE rep AS MATERIALIZED (SELECT p_brand || ' ' || p_type || ' ' || p_name AS text, min(p_partkey)::BIGINT AS id FROM part GROUP BY 1),
+affix AS MATERIALIZED (SELECT id, length(text) AS n, i, left(text, i) AS k, 0 AS side FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM rep)
+  UNION ALL SELECT id, length(text), i, right(text, i), 1 FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM rep)),
+both_ AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM affix a JOIN affix b ON a.k = b.k AND a.i = b.i AND a.side = b.side AND a.id <> b.id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM both_ WHERE least(c, na, nb) / greatest(na, nb)::DOUBLE >= 0.4 - 1e-9),
+l0 AS (SELECT id, id AS l FROM rep),
+""" + "".join(f"l{i} AS MATERIALIZED (SELECT o.id, least(any_value(o.l), coalesce(min(p.l), any_value(o.l))) AS l FROM l{i - 1} o LEFT JOIN e ON e.a = o.id LEFT JOIN l{i - 1} p ON p.id = e.b GROUP BY o.id),\n" for i in range(1, 11)) + """comp AS (SELECT id, l AS component FROM l10),
 placed AS (SELECT p_partkey::BIGINT AS row_id, text, component FROM (SELECT *, p_brand || ' ' || p_type || ' ' || p_name AS text FROM part) JOIN rep USING (text) JOIN comp USING (id)),
 shape AS (SELECT component, count(*) AS m, min(text) AS lo, max(text) AS hi, min(reverse(text)) AS rlo, max(reverse(text)) AS rhi, min(length(text)) AS s, max(length(text)) AS g FROM placed GROUP BY component),
 cut AS (SELECT *, len(list_filter(range(1, s + 1), lambda i: left(lo, i) = left(hi, i))) AS p, len(list_filter(range(1, s + 1), lambda i: left(rlo, i) = left(rhi, i))) AS q0 FROM shape),
@@ -496,13 +501,13 @@ final AS (SELECT component, m, lo, rlo, p, least(q0, s - p) AS q, m > 1 AND (p +
 
 @query(CLOSED + " SELECT row_id, component FROM placed")
 def template_components(spark, d):
-    return cluster.template_components(_frames(spark, d), 0.8).select("row_id", "component")
+    return cluster.template_components(_frames(spark, d), 0.4).select("row_id", "component")
 
 
 @query(CLOSED + """ SELECT row_id, component, is_grouped, CASE WHEN is_grouped THEN ((row_number() OVER (PARTITION BY component ORDER BY row_id) - 1) // 10)::INT END AS slice_no,
 CASE WHEN is_grouped AND p + q > 0 THEN left(lo, p) || '…' || reverse(left(rlo, q)) ELSE '' END AS template FROM placed JOIN final USING (component)""")
 def template_groups(spark, d):
-    return cluster.template_groups(_frames(spark, d), 0.8, 0.5)
+    return cluster.template_groups(_frames(spark, d), 0.4, 0.5)
 
 
 @query("""WITH s AS (SELECT length(min(s_name)) AS n, min(s_name) AS lo, max(s_name) AS hi, min(reverse(s_name)) AS rlo, max(reverse(s_name)) AS rhi, min(s_suppkey)::BIGINT AS component FROM supplier),
