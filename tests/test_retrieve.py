@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tmengine.operators import retrieve, textindex
+from tmengine.operators import cells, retrieve, textindex
 
 
 def test_dense_topk_matches_numpy_and_skips_unsound_vectors(spark, monkeypatch):
@@ -102,3 +102,21 @@ def test_kept_frequencies_follow_loads(spark):
     assert {r.token: r.df for r in kept.collect()} == {"a": 2, "b": 1, "d": 2}
     same = textindex.changed_frequencies(kept, rows([]), rows([]))
     assert {r.token: r.df for r in same.collect()} == {"a": 2, "b": 1, "d": 2}
+
+
+def test_cells_give_the_same_hits_and_visit_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(30, 16))
+    v = np.concatenate([m + 0.15 * rng.normal(size=(60, 16)) for m in middle])
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0, 2.0]), (5005, [2.0, 1.0])]
+    rows += [(6000 + i, [float(x) for x in v[0]]) for i in range(30)]
+    index = spark.createDataFrame(rows, "pair_id long, vector array<double>").repartition(3)
+    asked = index.where("pair_id % 20 = 0 or pair_id > 4999").withColumnRenamed("pair_id", "query_id")
+    for n, least in ((10, -1.0), (3, 0.9)):
+        seen = {}
+        got = sorted(map(tuple, cells.dense_hits(asked, index, n, least, cells=30, counts=seen).collect()))
+        assert got == sorted(map(tuple, retrieve.dense_scores(asked, index, n, least).collect()))
+        assert seen["visits"] * 4 < seen["blocks"] * asked.count()
+    none = index.where("false")
+    assert cells.dense_hits(asked, none, 5).count() == 0 and cells.dense_hits(none.withColumnRenamed("pair_id", "query_id"), index, 5).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tmengine.functions.text import status_rank, status_weight, stripped
 from tmengine.operators.textindex import blocked, inverse_frequencies
-from tmengine.tables import written
+from tmengine.tables import BROADCAST_ROWS, written
 
 #: Vectors packed together: each block of queries is compared with each block of the index.
 QUERY_BLOCK, INDEX_BLOCK = 1_024, 4_096
@@ -29,7 +29,7 @@ def sparse_scores(queries: DataFrame, index: DataFrame, n_index: DataFrame) -> D
     ``queries(query_id, token, tf)`` and ``index(pair_id, token, tf)`` are postings. Postings of tokens that no
     query has never meet the join; a very common token is split by the skew join, and sums are pre-aggregated.
     """
-    asked = queries.withColumnRenamed("tf", "q_tf").join(inverse_frequencies(index, n_index).hint("merge"), "token")
+    asked = queries.select("query_id", "token", F.col("tf").alias("q_tf")).join(inverse_frequencies(index, n_index).hint("merge"), "token")
     hits = asked.select("query_id", "token", (F.col("q_tf") * F.col("idf")).alias("w")).join(index.hint("merge"), "token")
     return hits.groupBy("query_id", "pair_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 6).alias("score"))
 
@@ -41,17 +41,19 @@ _SLACK = 2e-6
 def _threshold(asked: DataFrame, rows: DataFrame, maxima: DataFrame, n: int) -> DataFrame:
     """``(query_id, floor)``: a score that ``n`` texts of the query reach, from two cheap looks; no row where there is none.
 
-    Looks: the texts of the query's rarest tokens, by these tokens alone, and all texts of its blocks with the highest bounds.
+    Looks: the texts of the query's rarest tokens, by these tokens alone, and all texts of its blocks with the highest bounds,
+    as many blocks as hold some more than n texts.
     """
-    rare = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
-    few = asked.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where((F.col("before") < 2 * n) & (F.col("df") <= 64 * n))
+    before = lambda *order: Window.partitionBy("query_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    few = asked.withColumn("before", F.coalesce(F.sum("df").over(before("df", "token")), F.lit(0))).where((F.col("before") < 2 * n) & (F.col("df") <= 64 * n))
     by_token = few.select("query_id", "token", "w").join(rows.select("pair_id", "token", "tf").hint("merge"), "token")
-    by_token = by_token.groupBy("query_id", "pair_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
-    bounds = asked.select("query_id", "token", "w").join(maxima.hint("merge"), "token").groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("most")).alias("bound"))
-    best = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block"))).where("nth <= 2")
+    bounds = asked.select("query_id", "token", "w").join(maxima.hint("merge"), "token")
+    bounds = bounds.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("most")).alias("bound"), F.max("size").alias("size"))
+    best = bounds.withColumn("before", F.coalesce(F.sum("size").over(before(F.col("bound").desc(), "block")), F.lit(0))).where(F.col("before") < 3 * n)
     by_block = written(best.select("query_id", "block")).hint("merge").join(asked.select("query_id", "token", "w").hint("merge"), "query_id")
-    by_block = by_block.join(rows.hint("merge"), ["block", "token"]).groupBy("query_id", "pair_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
-    reached = [top(x, n).where(F.col("nth") == n).select("query_id", "score") for x in (by_token, by_block)]
+    by_block = by_block.join(rows.hint("merge"), ["block", "token"])
+    looks = [x.groupBy("query_id", "pair_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score")) for x in (by_token, by_block)]
+    reached = [top(x, n).where(F.col("nth") == n).select("query_id", "score") for x in looks]
     return reached[0].unionByName(reached[1]).groupBy("query_id").agg(F.max("score").alias("floor"))
 
 
@@ -61,11 +63,16 @@ def sparse_hits(queries: DataFrame, index: DataFrame, n_index: DataFrame, n: int
     A query and a block of texts have a bound, the sum of weight times largest count of the common tokens. Blocks whose bound
     is below a score that n texts reach are left out. In a block that stays, tokens whose bounds together fall short of that
     score can lift no text over it alone: postings are read for the other tokens, and for these only where a text found by
-    the others may still reach the score. ``kept`` are kept frequencies; ``counts`` takes the rows met if given (tests).
+    the others may still reach the score. ``index`` are postings with n (``textindex.postings``), ``kept`` kept
+    frequencies; ``counts`` takes the rows met if given (tests).
     """
-    rows, maxima = blocked(index)
-    asked = queries.withColumnRenamed("tf", "q_tf").join(inverse_frequencies(rows, n_index, kept).hint("merge"), "token")
+    posted = written(index)
+    asked = queries.select("query_id", "token", F.col("tf").alias("q_tf")).join(inverse_frequencies(posted, n_index, kept).hint("merge"), "token")
     asked = written(asked.select("query_id", "token", "df", (F.col("q_tf") * F.col("idf")).alias("w")))
+    wanted = written(asked.select("token").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = written(blocked(posted).join(F.broadcast(wanted) if few else wanted.hint("merge"), "token", "left_semi"))
+    maxima = written(rows.groupBy("block", "token").agg(F.max("tf").alias("most"), F.max("size").alias("size")))
     floors = written(_threshold(asked, rows, maxima, n))
     slim = asked.select("query_id", "token", "w").join(floors.hint("merge"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - _SLACK)
     bounds = slim.join(maxima.hint("merge"), "token").withColumn("u", F.col("w") * F.col("most"))

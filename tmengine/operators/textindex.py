@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.tables import written
-
 #: Texts of one block of the posting list.
 BLOCK = 128
 
@@ -14,9 +12,10 @@ from tmengine.functions.text import tokens
 
 
 def postings(texts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """``(id, token, tf)``: how often each token occurs in each text."""
-    each = texts.select(id_column, F.explode(tokens(F.col(text))).alias("token"))
-    return each.groupBy(id_column, "token").agg(F.count("*").alias("tf"))
+    """``(id, token, tf, n)``: how often each token occurs in each text, and the text's number of tokens."""
+    each = texts.select(id_column, tokens(F.col(text)).alias("_tokens"))
+    each = each.select(id_column, F.size("_tokens").alias("n"), F.explode("_tokens").alias("token"))
+    return each.groupBy(id_column, "token").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
 
 
 def frequencies(posted: DataFrame) -> DataFrame:
@@ -41,18 +40,16 @@ def inverse_frequencies(posted: DataFrame, n_texts: DataFrame, kept: DataFrame |
     return df.crossJoin(F.broadcast(n_texts)).select("token", "df", idf.alias("idf"))  # one row against all
 
 
-def blocked(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings ``(pair_id, token, tf, block)`` and block maxima ``(block, token, most)``, both written out.
+def blocked(posted: DataFrame) -> DataFrame:
+    """Postings ``(pair_id, token, tf, n)``, n the tokens of the text, with the text's ``block`` and ``size``, the texts of a block.
 
     A block holds about ``BLOCK`` texts of similar length, a quarter of an octave apart at most, so a token's largest
     count in a block is near what its texts can have. Only the number of texts of each length class reaches the driver.
     """
-    spark = posted.sparkSession
-    posted = written(posted)
-    sizes = posted.groupBy("pair_id").agg(F.sum("tf").alias("n"))
-    sizes = written(sizes.select("pair_id", F.floor(F.log2("n") * 4).cast("int").alias("class")))
-    classes = [(r["class"], -(-r["count"] // BLOCK)) for r in sizes.groupBy("class").count().collect()]  # four an octave
-    pieces = F.broadcast(spark.createDataFrame(classes or [(0, 1)], "class int, pieces long"))
-    placed = sizes.join(pieces, "class").select("pair_id", (F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("pair_id"), F.col("pieces"))).alias("block"))
-    rows = written(posted.join(placed.hint("merge"), "pair_id"))
-    return rows, written(rows.groupBy("block", "token").agg(F.max("tf").alias("most")))
+    kind = F.floor(F.log2("n") * 4).cast("int")
+    rows = posted.withColumn("class", kind)
+    counts = rows.groupBy("class").agg(F.round(F.sum(F.col("tf") / F.col("n"))).cast("long").alias("texts")).collect()  # four classes an octave
+    pieces = [(r["class"], max(1, -(-r["texts"] // BLOCK)), r["texts"]) for r in counts]
+    table = F.broadcast(posted.sparkSession.createDataFrame(pieces or [(0, 1, 1)], "class int, pieces long, texts long"))
+    block = F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("pair_id"), F.col("pieces"))
+    return rows.join(table, "class").select("pair_id", "token", "tf", block.alias("block"), F.ceil(F.col("texts") / F.col("pieces")).alias("size"))

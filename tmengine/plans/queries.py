@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmengine.functions import text as fn
-from tmengine.operators import cluster, enrich, glossary, infer, memory, projects, render, retrieve, textindex, units
+from tmengine.operators import cells, cluster, enrich, glossary, infer, memory, projects, render, retrieve, textindex, units
 from tmengine.plans import inputs as src
 from tmengine.plans import storage
 from tmengine.sources import files, sinks
@@ -413,7 +413,7 @@ def _dense(spark, d, least: float = 0.2):
 
 @query("SELECT doc_id::BIGINT AS pair_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS token FROM documents) GROUP BY ALL")
 def tf(spark, d):
-    return textindex.postings(_texts(spark, d)[0], "pair_id")
+    return textindex.postings(_texts(spark, d)[0], "pair_id").drop("n")
 
 
 @query(POSTED + " SELECT token, df, round(idf, 6) AS idf, ('0x' || left(md5(token), 8))::BIGINT AS hash FROM idf")
@@ -428,12 +428,21 @@ def sparse_topk(spark, d):
     return _sparse(spark, d)
 
 
-@query("""WITH co AS (SELECT q.vec_id::BIGINT AS query_id, e.vec_id::BIGINT AS pair_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
-FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM co WHERE score >= 0.5) WHERE nth <= 20""")
+NEAREST = """WITH co AS (SELECT q.vec_id::BIGINT AS query_id, e.vec_id::BIGINT AS pair_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM co WHERE score >= {}) WHERE nth <= 20"""
+
+
+@query(NEAREST.format(0.5))
 def dense_topk(spark, d):
     return retrieve.dense_scores(*src.vectors(spark, d), 20, 0.5)
 
 
+@query(NEAREST.format(-1.0))
+def dense_cells(spark, d):
+    """The nearest of all vectors, by cells with exact bounds."""
+    return cells.dense_hits(*src.vectors(spark, d), 20)
+
+
 @query(POSTED + " SELECT item_id::BIGINT AS query_id, (SELECT max(score) FROM co WHERE co.query_id = item_id) AS dense_top1, (SELECT count(*) FROM sparse WHERE sparse.query_id = item_id) AS sparse_hits FROM benchmark")
 def recall_diag(spark, d):
     return retrieve.recall_diagnostics(src.benchmark_queries(spark, d), _dense(spark, d, -1.0), _sparse(spark, d))
