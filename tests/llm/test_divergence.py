@@ -63,7 +63,7 @@ def test_matches_plain_version(spark, least):
 
 def test_spills_and_pieces_change_nothing(spark, monkeypatch):
     rows = sample()
-    for name, value in (("SPILL_CELLS", 20), ("PIECE_CELLS", 25), ("DENSE_CELLS", 12), ("TEXT_BLOCK", 50)):
+    for name, value in (("SPILL_CELLS", 20), ("FOLD_ENTRIES", 10), ("PIECE_CELLS", 25), ("DENSE_CELLS", 12), ("TEXT_BLOCK", 50)):
         monkeypatch.setattr(op, name, value)
     docs = spark.createDataFrame(rows, "lang string, source string, text string")
     want, batches = plain(rows, 1), docs.toArrow().combine_chunks().to_batches(max_chunksize=7)

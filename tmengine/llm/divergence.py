@@ -9,19 +9,25 @@ sources, and a piece gives at once its share of every pair's divergence and its
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmengine.llm.common import LOWER_AZ, materialize, partitions_for, salted, texts
 
 #: Source counts that a task's stripes may hold before they are spilled, and those of one piece of merged stripes.
-SPILL_CELLS, PIECE_CELLS = 300_000, 100_000
+SPILL_CELLS, PIECE_CELLS = 1_000_000, 100_000
+#: Terms of documents that wait to be added to the stripes.
+FOLD_ENTRIES = 1_000_000
+_BITS = 31
+_LOW = (1 << _BITS) - 1
 #: Cells of the dense tables made at once inside a piece.
 DENSE_CELLS = 2_000_000
 SCALE = 1_000_000_000
@@ -44,63 +50,107 @@ def terms_of(data: bytes) -> Counter:
     return out
 
 
-def _rows(stripes: dict) -> Iterator[pa.RecordBatch]:
-    """Stripes ``{(lang, term): [df, {source: count}]}`` as rows, sources in order."""
-    items = list(stripes.items())
-    for at in range(0, len(items), 20_000):
-        some = items[at : at + 20_000]
-        sources = [sorted(s[1]) for _, s in some]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1] for k, _ in some], pa.binary()), pa.array([s[0] for _, s in some], pa.int64()),
-                pa.array(sources, pa.list_(pa.string())), pa.array([[s[1][x] for x in names] for (_, s), names in zip(some, sources)], pa.list_(pa.int64())),
-            ],
-            names=["lang", "term", "df", "sources", "counts"],
-        )
+class Stripes:
+    """Stripes of a task: a hash table from term to stripe number a language, beside it each stripe's documents and source counts.
+
+    A document's terms are looked up and put down as they are; every ``FOLD_ENTRIES`` of them are added to the stripes.
+    """
+
+    def __init__(self):
+        number = itertools.count().__next__
+        self.terms = defaultdict(lambda: defaultdict(number))
+        self.sources: dict[str, int] = {}
+        self.pending, self.waiting = [], 0
+        self.keys, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.df = np.zeros(0, np.int64)
+
+    def add(self, lang: str, source: str, found: Counter) -> None:
+        stripe = np.fromiter(map(self.terms[lang].__getitem__, found), np.int64, len(found))
+        self.pending.append(((stripe << _BITS) | self.sources.setdefault(source, len(self.sources)), np.fromiter(found.values(), np.int64, len(found))))
+        self.waiting += len(found)
+
+    def fold(self) -> int:
+        """Add what is waiting; returns the number of source counts."""
+        if self.pending:
+            keys = np.concatenate([k for k, _ in self.pending])
+            df = np.bincount(keys >> _BITS)
+            df[: len(self.df)] += self.df
+            self.df = df
+            self.keys, self.sums = added(np.concatenate([self.keys, keys]), np.concatenate([self.sums, *(n for _, n in self.pending)]))
+            self.pending, self.waiting = [], 0
+        return len(self.keys)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.fold()
+        if not len(self.keys):
+            return
+        names = pa.array(list(self.sources), pa.string())
+        for lang, held in self.terms.items():
+            numbers, terms = np.fromiter(held.values(), np.int64, len(held)), list(held)
+            for at in range(0, len(terms), 50_000):  # numbers of a language ascend
+                some = numbers[at : at + 50_000]
+                first, last = np.searchsorted(self.keys, some << _BITS), np.searchsorted(self.keys, (some + 1) << _BITS)
+                size = last - first
+                place = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+                yield stripe_batch(pa.array([lang] * len(some), pa.string()), pa.array(terms[at : at + 50_000], pa.binary()), self.df[some], size, names.take(pa.array(self.keys[place] & _LOW)), self.sums[place])
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts[order], starts)
+
+
+def stripe_batch(lang: pa.Array, term: pa.Array, df: np.ndarray, sizes: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, pa.array(counts))]
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(df, pa.int64()), *lists], names=["lang", "term", "df", "sources", "counts"])
 
 
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stripes of a task's documents (lang, source, text). A group without terms leaves a stripe under no term."""
-    stripes: dict = {}
-    cells = 0
+    held = Stripes()
     for batch in batches:
         for lang, source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
             found = terms_of(data)
             found[b""] = 0  # the group itself
-            for term, n in found.items():
-                stripe = stripes.get((lang, term))
-                if stripe is None:
-                    stripe = stripes[(lang, term)] = [0, {}]
-                stripe[0] += 1
-                counts = stripe[1]
-                if source in counts:
-                    counts[source] += n
-                else:
-                    counts[source] = n
-                    cells += 1
-            if cells > SPILL_CELLS:
-                yield from _rows(stripes)
-                stripes, cells = {}, 0
-    yield from _rows(stripes)
+            held.add(lang, source, found)
+            if held.waiting > FOLD_ENTRIES and held.fold() > SPILL_CELLS:
+                yield from held.rows()
+                held = Stripes()
+    yield from held.rows()
+
+
+def merged(table: pa.Table) -> pa.RecordBatch:
+    """One stripe a key from rows with equal keys side by side."""
+    table = table.combine_chunks()
+    lang, term, sources, counts = (table.column(c).chunk(0) for c in ("lang", "term", "sources", "counts"))
+    same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, len(lang) - 1)), pc.equal(term.slice(1), term.slice(0, len(term) - 1)))
+    starts = np.flatnonzero(np.concatenate([[True], ~same.to_numpy(zero_copy_only=False)]))
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(lang))))
+    names = sources.flatten().dictionary_encode()
+    keys = np.repeat(owner, sources.value_lengths().to_numpy(zero_copy_only=False)) << _BITS | names.indices.to_numpy(zero_copy_only=False)
+    keys, sums = added(keys, counts.flatten().to_numpy(zero_copy_only=False))
+    df = np.add.reduceat(table.column("df").to_numpy(), starts)
+    first = pa.array(starts)
+    return stripe_batch(lang.take(first), term.take(first), df, np.bincount(keys >> _BITS, minlength=len(starts)), names.dictionary.take(pa.array(keys & _LOW)), sums)
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One stripe a key from rows sorted by key; the last key of a batch may go on in the next."""
-    stripes: dict = {}
+    """One stripe a key from rows sorted by key; the last key of a batch, merged so far, may go on in the next."""
+    rest: pa.Table | None = None
     for batch in batches:
-        last = None
-        lists = [batch.column(k).to_pylist() for k in range(5)]
-        for lang, term, df, sources, counts in zip(*lists):
-            last = (lang, term)
-            stripe = stripes.setdefault(last, [0, {}])
-            stripe[0] += df
-            for s, n in zip(sources, counts):
-                stripe[1][s] = stripe[1].get(s, 0) + n
-        if last is not None:
-            going = stripes.pop(last)
-            yield from _rows(stripes)
-            stripes = {last: going}
-    yield from _rows(stripes)
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            done = merged(table if rest is None else pa.concat_tables([rest, table.cast(rest.schema)]))
+            yield done.slice(0, done.num_rows - 1)
+            rest = pa.Table.from_batches([done.slice(done.num_rows - 1)])
+    if rest is not None:
+        yield from rest.to_batches()
 
 
 def stripes(docs: DataFrame, least: int = 10) -> DataFrame:
