@@ -52,3 +52,24 @@ def test_a_chain_without_common_frame_is_no_group(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
     rows = cluster.template_groups(df, 0.4, 0.5).collect()
     assert len({r.component for r in rows}) == 1 and not any(r.is_grouped for r in rows)
+
+
+def test_similar_sets_match_brute_force_with_few_candidates(spark):
+    rng = random.Random(3)
+    base = [[f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randrange(1, 40))] for _ in range(120)]
+    base += [[*b[: rng.randrange(1, len(b) + 1)], f"x{rng.randrange(5)}"] for b in base]
+    base += [[], None, ["a", None, "a"], ["a"]]
+    rows = spark.createDataFrame(list(enumerate(base)), "row_id long, items array<string>")
+    asked = rows.where("row_id % 5 = 0 or row_id > 239").withColumnRenamed("row_id", "query_id")
+    sets = {i: {x for x in b or [] if x is not None} for i, b in enumerate(base)}
+    for least in (0.3, 0.7, 1.0):
+        want, all_pairs = set(), 0
+        for q in sets:
+            for r in sets:
+                if q != r and (q % 5 == 0 or q > 239) and sets[q] & sets[r]:
+                    all_pairs += 1
+                    if len(sets[q] & sets[r]) / len(sets[q] | sets[r]) >= least:
+                        want.add((q, r))
+        seen = {}
+        assert {(r.query_id, r.row_id) for r in cluster.similar_sets(asked, rows, least, seen).collect()} == want
+        assert least < 0.5 or seen["candidates"] * 5 < all_pairs

@@ -162,19 +162,48 @@ def affix_pairs(texts: DataFrame, t: float = 0.4) -> DataFrame:
     return affix_links(trimmed(texts), t).withColumn("similarity", F.round("similarity", 6))
 
 
-def similar_by_grams(queries: DataFrame, rows: DataFrame, n: int, least: float) -> DataFrame:
-    """``(query_id, row_id, similarity)`` of stated queries and rows whose distinct n-grams have a Jaccard similarity of at least ``least`` > 0.
+def _by_rarity(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """``(key, n, items)``: each set with its items as (times asked, item), the rarest first; items that no query has come before all."""
+    each = rows.select(key, F.size("items").alias("n"), F.explode("items").alias("item")).join(asked.hint("merge"), "item", "left")
+    return each.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "item"))).alias("items"))
 
-    Rows meet queries by common grams, so those without one are never paired, and pairs whose sizes are too far
-    apart are dropped before they are counted. A text of a query's own id is left out; null and empty texts
-    have no gram.
+
+def similar_sets(queries: DataFrame, rows: DataFrame, least: float, counts: dict | None = None) -> DataFrame:
+    """``(query_id, row_id, similarity)`` of stated queries and rows (id, items) whose sets have a Jaccard similarity of at least ``least`` > 0.
+
+    In one order of all items, by how many queries have them, two such sets share an item among the first n - least * n + 1 of
+    each. Only these items meet; of those that do, pairs whose sizes are too far apart, or of whose sets too little is left
+    behind the common item, are dropped, and the rest is counted on the sets. A row of a query's own id is left out; items
+    are taken as distinct, null and empty sets are similar to nothing. ``counts`` takes the candidates (tests).
     """
-    grams = lambda df, key: written(df.select(key, ngrams(F.coalesce("text", F.lit("")), n).alias("gs")).select(key, F.size("gs").alias(f"n_{key}"), F.explode("gs").alias("gram")))
-    asked, held = grams(queries, "query_id"), grams(rows, "row_id")
-    near = (F.least("n_query_id", "n_row_id") >= F.greatest("n_query_id", "n_row_id") * least) & (F.col("query_id") != F.col("row_id"))
-    both = held.join(asked.hint("merge"), "gram").where(near).groupBy("query_id", "row_id", "n_query_id", "n_row_id").agg(F.count("*").alias("common"))
-    similarity = F.col("common") / (F.col("n_query_id") + F.col("n_row_id") - F.col("common"))
-    return both.where(similarity >= least).select("query_id", "row_id", F.round(similarity, 6).alias("similarity"))
+    clean = lambda df, key: df.select(key, F.array_compact(F.array_distinct("items")).alias("items")).where(F.size("items") > 0)
+    asked = written(clean(queries, "query_id"))
+    frequency = written(asked.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df")))
+    sets = {"query_id": written(_by_rarity(asked, "query_id", frequency)), "row_id": written(_by_rarity(clean(rows, "row_id"), "row_id", frequency))}
+
+    def starts(key: str) -> DataFrame:
+        ahead = F.col("n") - F.ceil(F.col("n") * least - _EPS).cast("int") + 1
+        each = sets[key].select(key, F.col("n").alias(f"n_{key}"), F.posexplode(F.slice("items", 1, ahead)).alias(f"at_{key}", "x"))
+        return written(each.select(key, f"n_{key}", f"at_{key}", "x.item", "x.df").where("df > 0").drop("df"))
+
+    n, m = F.col("n_query_id"), F.col("n_row_id")
+    common = F.ceil((n + m) * (least / (1 + least)) - _EPS)  # items that sets of these sizes must share
+    left = F.least(n - F.col("at_query_id"), m - F.col("at_row_id"))
+    near = (F.least(n, m) >= F.greatest(n, m) * least - _EPS) & (left >= common) & (F.col("query_id") != F.col("row_id"))
+    pairs = written(starts("row_id").join(starts("query_id").hint("merge"), "item").where(near).select("query_id", "row_id").distinct())
+    if counts is not None:
+        counts["candidates"] = pairs.count()
+    full = pairs.join(sets["query_id"].select("query_id", F.col("items").alias("a")).hint("merge"), "query_id")
+    full = full.join(sets["row_id"].select("row_id", F.col("items").alias("b")).hint("merge"), "row_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    similarity = shared / (F.size("a") + F.size("b") - shared)
+    return full.select("query_id", "row_id", similarity.alias("similarity")).where(F.col("similarity") >= least).withColumn("similarity", F.round("similarity", 6))
+
+
+def similar_by_grams(queries: DataFrame, rows: DataFrame, n: int, least: float, counts: dict | None = None) -> DataFrame:
+    """``similar_sets`` of the distinct character n-grams of texts ``(query_id, text)`` and ``(row_id, text)``."""
+    grams = ngrams(F.coalesce("text", F.lit("")), n).alias("items")
+    return similar_sets(queries.select("query_id", grams), rows.select("row_id", grams), least, counts)
 
 
 def template_components(texts: DataFrame, t: float = 0.4) -> DataFrame:

@@ -536,6 +536,17 @@ def ngram_jaccard(spark, d):
     return cluster.similar_by_grams(rows.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), rows, 3, 0.02)
 
 
+@query("""WITH w AS (SELECT DISTINCT doc_id::BIGINT AS id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS token FROM documents),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+c AS (SELECT a.id AS query_id, b.id AS row_id, count(*) AS c FROM w a JOIN w b ON a.token = b.token AND a.id % 20 = 0 AND a.id <> b.id GROUP BY ALL)
+SELECT query_id, row_id, round(c / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM c JOIN n x ON x.id = query_id JOIN n y ON y.id = row_id WHERE c / (x.n + y.n - c)::DOUBLE >= 0.5""")
+def similar_documents(spark, d):
+    """Documents whose sets of words resemble that of a stated one."""
+    items = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[0-9a-z]+"), F.lit(0)))
+    rows = src.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("row_id"), items.alias("items"))
+    return cluster.similar_sets(rows.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), rows, 0.5)
+
+
 # --- outputs, rendering, enrichment -------------------------------------------------------------------------------
 
 
