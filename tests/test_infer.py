@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tmengine.operators import infer, render
 
 OUT = "unit_id string, expected int, raw string"
@@ -48,3 +50,55 @@ def test_sections(spark):
     row = df.select(render.term_lines(df.terms).alias("t"), render.reference_lines(df.refs).alias("r"), render.dialog_lines(df.turns).alias("d"), render.term_view(df.terms).alias("tv"), render.reference_view(df.refs).alias("rv")).first()
     assert row.t == '- 「a」（c） → "b"\n- 「d」 → "e"' and row.r == '1. [score=0.123] 「s」 → "t"' and row.d == "1. [Bob] hi\n2. yo"
     assert row.tv == '[{"source":"a","target":"b","category":"c"},{"source":"d","target":"e"}]' and row.rv == '[{"source":"s","target":"t","score":0.1235}]'
+
+
+def test_calls_keep_order_and_a_hanging_one_fails_alone():
+    import threading
+    import time
+
+    at_once, most, lock = 0, 0, threading.Lock()
+
+    def model(said):
+        nonlocal at_once, most
+        with lock:
+            at_once += 1
+            most = max(most, at_once)
+        time.sleep(30 if said == "hang" else 0.02 * (5 - int(said) % 5))
+        with lock:
+            at_once -= 1
+        if said == "7":
+            raise ValueError("seven")
+        return said * 2
+
+    said = [str(i) for i in range(20)] + ["hang", "21"]
+    began = time.time()
+    got = infer.called(said, model, workers=4, timeout=0.5, retries=1, pause=0.01)
+    assert time.time() - began < 10 and 2 <= most <= 6
+    assert [g[0] for g in got] == [None if s in ("7", "hang") else s * 2 for s in said]
+    assert got[7][1] == "ValueError: seven" and got[20][1].startswith("TimeoutError")
+
+
+def test_a_failing_call_is_tried_again_after_a_growing_pause():
+    import time
+
+    seen = []
+
+    def model(said):
+        seen.append(time.time())
+        if len(seen) < 3:
+            raise OSError("busy")
+        return "done"
+
+    assert infer.called(["x"], model, retries=2, pause=0.1) == [("done", None)]
+    assert seen[1] - seen[0] >= 0.1 and seen[2] - seen[1] >= 0.2
+
+
+def test_pooled_answers_and_unguided_types(spark):
+    units = spark.createDataFrame([(str(i), f"m{i}") for i in range(30)], "unit_id string, message string")
+    got = {r.unit_id: r.raw for r in infer.answers(units, lambda m: m.upper(), workers=5, timeout=5.0).collect()}
+    assert got == {str(i): f"M{i}" for i in range(30)}
+    rows = spark.createDataFrame([("a", None), ("b", "任务")], "source string, content_type string")
+    calls = lambda text: 1 / 0
+    assert {r.source: r.content_type for r in infer.classified(rows, calls, guided=False).collect()} == {"a": "未知", "b": "任务"}
+    echo = lambda text: "剧情" if text.endswith("T: a") else "?"
+    assert {r.source: r.content_type for r in infer.classified(rows, echo, lambda c: F.concat(F.lit("T: "), c)).collect()} == {"a": "剧情", "b": "任务"}

@@ -1,4 +1,5 @@
 import re
+import sqlite3
 import uuid
 
 import pytest
@@ -140,3 +141,75 @@ def test_streams_restart_without_repeating(spark, tmp_path):
     spark.createDataFrame([("k", "q"), ("k", "q "), ("l", "r")], "key string, query string").write.parquet(asked)
     ingest.fill_cache(spark, asked, cache, m3, calls).awaitTermination()
     assert ingest.cached(spark, cache).count() == 2
+
+
+MEMBERS = "unit_id string, pos int, row_id long, source string, speaker string, content_type string"
+
+
+def test_message_sections_in_order(spark):
+    members = spark.createDataFrame([("u", 0, 1, "the hall", "Ann", None), ("u", 1, 2, "go", None, "任务"), ("v", 0, 3, "stay", None, None)], MEMBERS)
+    seen = spark.createDataFrame([(1, ["hall"]), (2, []), (3, [])], "row_id long, terms array<string>")
+    terms = spark.createDataFrame([(1, "hall", "salle", None)], GLOSSARY)
+    refs = spark.createDataFrame([(2, 7, "go now", "va", "Done", 0.5, 1)], "query_id long, pair_id long, source string, target string, status string, score double, nth int")
+    style = spark.createDataFrame([(None, "be brief"), ("任务", "be bold")], "content_type string, rules string")
+    web = spark.createDataFrame([("u", [("t", "s", "u", None, None, None)])], "unit_id string, web array<struct<title:string,snippet:string,url:string,site_name:string,image_url:string,image_analysis:string>>")
+    setting = jobs.Setting(header="HEAD", style=style, rules={"functional": "short", "other": "any"}, contract="lines only")
+    got = {r.unit_id: r.message for r in jobs.messages(members, seen, terms, refs, 3, setting, web).collect()}
+    parts = ["HEAD", "## Style\n\nbe brief\n\nbe bold", "## Rules\n\nshort", "## Terms\n\n", "## References\n\n1. [score=0.500]", "## Web\n\n1. ", "## Source\n\n1. [Ann] the hall\n2. go", "## Output\n\nlines only"]
+    at = [got["u"].index(p) for p in parts]
+    assert at == sorted(at)
+    assert got["v"] == "HEAD\n\n## Style\n\nbe brief\n\n## Rules\n\nany\n\n## Source\n\n1. stay\n\n## Output\n\nlines only"
+
+
+def test_translate_with_everything(spark, tmp_path):
+    """Dense references, collection, web references of weak units, failing units asked again, results and progress."""
+    texts = ["go to hall 1 now", "go to hall 2 now", "zzz qqq", "known text", "refuse this one", ""]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "row_id long, source string, content_type string")
+    tm = spark.createDataFrame([(1, "known text", "texte", "Done", [1.0, 0.0], "a"), (2, "far away", "loin", "Done", [0.0, 1.0], "a"), (3, "go to hall 1 now", "no", "Done", [0.0, 1.0], "b")], TM + ", dense array<double>, collection string")
+    terms = spark.createDataFrame([(1, "hall", "salle", None)], GLOSSARY)
+    embed = lambda s: s.selectExpr("source", "case when source like '%hall%' then array(0.1D, 1.0D) else array(-1.0D, 0.1D) end as dense")
+    page = lambda q: '{"data": {"webPages": {"value": [{"name": "page on %s", "url": "u", "snippet": "s"}]}}}' % q
+
+    def said(message):
+        if "refuse" in message:
+            raise RuntimeError("refused")
+        lines = re.findall(r"^(\d+)\. (.*)$", message.split("## Source")[1].split("## Output")[0], re.M)
+        extra = ("+loin" if "loin" in message else "") + ("+web" if "page on" in message else "") + ("+no" if '"no"' in message else "")
+        return "\n".join(f"{n}. {s.upper()}{extra}" for n, s in lines)
+
+    setting = jobs.Setting(collection="a", embed=embed, web=True, fetch=page, contract="as asked", results=str(tmp_path / "r"), task_id="t", workers=2)
+    got = {r.row_id: r for r in jobs.translate(rows, tm, terms, said, setting=setting).collect()}
+    assert got[0].translation == "GO TO HALL 1 NOW+loin" and got[1].translation == "GO TO HALL 2 NOW+loin" and not got[0].tm_exact
+    assert got[2].translation == "ZZZ QQQ+web" and got[3].translation == "texte"
+    assert "refused" in got[4].error and got[5].error == "empty source"
+    done = jobs.saved_progress(spark, setting).first()
+    assert (done["total"], done["status"]) == (5, "running") and done["completed"] < 5
+
+
+def test_a_dialog_with_a_blank_member_goes_row_by_row(spark):
+    schema = "row_id long, source string, content_type string, dialog_id string, speaker string, time double"
+    rows = spark.createDataFrame([(1, "refuse", None, "d", "Ann", 1.0), (2, " ", None, "d", "Bob", 2.0), (3, "fine", None, "d", None, 3.0), (4, "x", None, "e", None, 1.0), (5, "refuse y", None, "e", None, 2.0)], schema)
+    got = {r.row_id: r for r in jobs.translate(rows, spark.createDataFrame([], TM), spark.createDataFrame([], GLOSSARY), model, dialogs=True).collect()}
+    assert got[3].translation == "FINE" and got[2].error == "empty source" and "refused" in got[1].error and got[1].translation is None
+    assert got[4].translation == "[ERROR: DIALOG_LLM_FAIL] x"
+    with pytest.raises(ValueError, match="no row has a dialog id"):
+        jobs.translate(rows.withColumn("dialog_id", rows["content_type"]), spark.createDataFrame([], TM), spark.createDataFrame([], GLOSSARY), model, dialogs=True)
+
+
+def test_a_folder_of_exports_becomes_an_index(spark, tmp_path):
+    segment = lambda t: f"<Segment><Elements><Text><Value>{t}</Value></Text></Elements></Segment>"
+    for name, pairs in {"a_cqa.sdltm": [("s1", "t1"), ("s2", "t2")], "memo.sdltm": [("s1", "t1")], "b_designer.sdltm": [("s2", "t2"), ("", "t")]}.items():
+        base = sqlite3.connect(tmp_path / name)
+        base.execute("create table translation_units (source_segment text, target_segment text)")
+        base.executemany("insert into translation_units values (?, ?)", [(segment(a), segment(b)) for a, b in pairs])
+        base.commit()
+        base.close()
+    (tmp_path / "broken_cqa.sdltm").write_bytes(b"no database at all")
+    folder, root = str(tmp_path), str(tmp_path / "index")
+    summary, counts, failed = jobs.import_folder(spark, folder, root, uuid.UUID(int=2), commit=False)
+    assert index.points(spark, root) is None and summary.first()["new"] == 2
+    jobs.import_folder(spark, folder, root, uuid.UUID(int=2), collection="main")
+    assert sorted((r.source, r.status, r.source_tm, r.collection) for r in index.points(spark, root).collect()) == [("s1", "CQA_Done", "a_cqa.sdltm", "main"), ("s2", "Designer Reviewed", "b_designer.sdltm", "main")]
+    assert {r.source_file: (r.candidates, r.unknown_status) for r in counts.collect()} == {"a_cqa.sdltm": (2, 0), "b_designer.sdltm": (1, 0), "memo.sdltm": (1, 1)}
+    assert [r.file.rsplit("/", 1)[1] for r in failed.collect()] == ["broken_cqa.sdltm"]
+    assert jobs.import_folder(spark, folder, root, uuid.UUID(int=2))[0].first()["skipped"] == 2

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmengine.functions.text import cache_key
+from tmengine.operators.infer import called
 
 RESPONSE = (
     "struct<data:struct<webPages:struct<value:array<struct<name:string,url:string,summary:string,snippet:string,siteName:string>>>,"
@@ -39,17 +40,12 @@ def cache_split(queries: DataFrame, cache: DataFrame, prefix=None) -> DataFrame:
     return keyed.join(known.hint("merge"), "key", "left").withColumn("hit", F.col("results").isNotNull())
 
 
-def enriched(misses: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
-    """``(key, query, body)``: the distinct misses fetched once each; a failing fetch gives null."""
+def enriched(misses: DataFrame, fetch: Callable[[str], str | None], workers: int = 1, timeout: float | None = None) -> DataFrame:
+    """``(key, query, body)``: the distinct misses fetched once each, ``workers`` at a time in a task; a lookup that fails or hangs gives null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bodies = []
-            for query in batch["query"]:
-                try:
-                    bodies.append(fetch(query))
-                except Exception:  # a lookup never fails the job; a miss stays a miss
-                    bodies.append(None)
+            bodies = [body for body, _ in called(batch["query"].tolist(), fetch, workers, timeout, retries=0)]
             yield pd.DataFrame({"key": batch["key"], "query": batch["query"], "body": bodies})
 
     once = misses.groupBy("key").agg(F.min("query").alias("query"))

@@ -2,45 +2,91 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmengine.functions.text import NUMBERED, content_type, parsed_answer, stripped
+from tmengine.schemas import UNKNOWN_TYPE
 from tmengine.tables import written
 
 
-def answers(units: DataFrame, model: Callable[[str], str], parallel: int | None = None, retries: int = 2) -> DataFrame:
-    """``(unit_id, raw, error)``: the model called once a message; a call that fails gives an error row only for itself."""
+def called(messages: list[str], model: Callable[[str], str], workers: int = 1, timeout: float | None = None, retries: int = 2, pause: float = 0.0) -> list[tuple]:
+    """``(answer, error)`` of each message in order, up to ``workers`` calls at a time.
+
+    A call that raises, or has not returned after ``timeout`` seconds, is tried again ``retries`` times, after a pause that
+    doubles; then its error stands, and only its own. A call that hangs is left behind in its thread.
+    """
+
+    def tried(said: str) -> tuple:
+        box: list = []
+
+        def run() -> None:
+            try:
+                box.append((model(said), None))
+            except Exception as e:  # a user's callable may raise anything; the row carries it
+                box.append((None, f"{type(e).__name__}: {e}"))
+
+        if timeout is None:
+            run()
+        else:
+            thread = threading.Thread(target=run, daemon=True)
+            thread.start()
+            thread.join(timeout)
+        return box[0] if box else (None, f"TimeoutError: no answer in {timeout} seconds")
+
+    def one(said: str) -> tuple:
+        for attempt in range(retries + 1):
+            got = tried(said)
+            if got[1] is None:
+                break
+            if pause and attempt < retries:
+                time.sleep(pause * 2**attempt)
+        return got
+
+    if workers == 1:
+        return [one(m) for m in messages]
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(one, messages))
+
+
+def answers(
+    units: DataFrame, model: Callable[[str], str], parallel: int | None = None, retries: int = 2, workers: int = 1, timeout: float | None = None, pause: float = 0.0
+) -> DataFrame:
+    """``(unit_id, raw, error)``: the model called once a message; a call that fails gives an error row only for itself.
+
+    ``parallel`` tasks of ``workers`` calls each bound the calls made at once; see ``called`` for the rest.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for unit, said in zip(batch["unit_id"], batch["message"]):
-                raw, error = None, None
-                for _ in range(retries + 1):
-                    try:
-                        raw, error = model(said), None
-                        break
-                    except Exception as e:  # a user's callable may raise anything; the row carries it
-                        error = f"{type(e).__name__}: {e}"
-                rows.append((unit, raw, error))
-            yield pd.DataFrame(rows, columns=["unit_id", "raw", "error"])
+            got = called(batch["message"].tolist(), model, workers, timeout, retries, pause)
+            yield pd.DataFrame({"unit_id": batch["unit_id"], "raw": [g[0] for g in got], "error": [g[1] for g in got]})
 
     rows = units.select("unit_id", "message")
     rows = rows.repartition(parallel) if parallel else rows
     return rows.mapInPandas(run, "unit_id string, raw string, error string")
 
 
-def classified(texts: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """Segments with a content type: their hint's if it resolves, else the model's answer for the distinct text, else unknown."""
+def classified(texts: DataFrame, model: Callable[[str], str], message: Callable[[Column], Column] | None = None, guided: bool = True) -> DataFrame:
+    """Segments with a content type: their hint's if it resolves, else the model's answer for the distinct text, else unknown.
+
+    ``message`` makes what the model is sent of the text (``render.classification_message``). Without a guide, which types
+    would choose the rules of, nothing is asked.
+    """
     hinted = texts.withColumn("content_type", content_type(F.col("content_type")))
-    asked = hinted.where("content_type is null").select("source").distinct().select(F.col("source").alias("unit_id"), F.col("source").alias("message"))
+    if not guided:
+        return hinted.withColumn("content_type", F.coalesce("content_type", F.lit(UNKNOWN_TYPE)))
+    sent = (message or (lambda text: text))(F.col("source"))
+    asked = hinted.where("content_type is null").select("source").distinct().select(F.col("source").alias("unit_id"), sent.alias("message"))
     found = written(answers(asked, model).select(F.col("unit_id").alias("source"), content_type(F.col("raw")).alias("_answer")))
     out = hinted.join(found.hint("merge"), "source", "left")
-    return out.withColumn("content_type", F.coalesce("content_type", "_answer", F.lit("未知"))).drop("_answer")
+    return out.withColumn("content_type", F.coalesce("content_type", "_answer", F.lit(UNKNOWN_TYPE))).drop("_answer")
 
 
 def embedded(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 30, dim: int | None = None) -> DataFrame:

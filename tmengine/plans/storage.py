@@ -14,7 +14,7 @@ from tmengine.functions import text as fn
 from tmengine.operators import infer, retrieve, textindex
 from tmengine.plans import index, jobs
 from tmengine.plans import inputs as src
-from tmengine.sources import files, sinks
+from tmengine.sources import files, isolated, sinks
 from tmengine.streaming import ingest
 from tmengine.tables import shared_dir
 
@@ -121,6 +121,70 @@ def guide_files(spark, d):
     return files.guide_texts(rows).select("project_id", "error", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
+def _corpus_folder(spark, d) -> str:
+    """Customers as forty small corpora, some without rows, with a broken record, or of one column only."""
+    path = _folder(spark, "corpora")
+    rows = src.table(spark, d, "customer").select((F.col("c_custkey") % 40).alias("g"), F.col("c_custkey").cast("long").alias("k"), "c_name", "c_mktsegment")
+    kind = F.col("g") % 5
+    line = F.concat("c_name", F.lit(","), F.when(F.col("k") % 7 == 0, " ").otherwise(F.concat("c_mktsegment", F.lit(" "), "k")))
+    each = rows.groupBy("g").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))  # a file each
+    text = F.when(kind == 1, "name,segment").when(kind == 2, F.concat(F.lit('name,segment\n"open,'), "lines")).when(kind == 3, F.concat(F.lit("name\n"), F.regexp_replace("lines", ",", " ")))
+    each.select("g", text.otherwise(F.concat(F.lit("name,segment\n"), "lines")).alias("value")).write.partitionBy("g").text(path)
+    return path
+
+
+@query("""SELECT c_name AS source, c_mktsegment || ' ' || c_custkey AS target FROM customer WHERE c_custkey % 40 % 5 IN (0, 4) AND c_custkey % 7 <> 0""")
+def isolated_rows(spark, d):
+    """Every row of the readable files of a folder that also holds broken ones."""
+    return isolated.corpora(spark, _corpus_folder(spark, d), "*.txt")[0].select("source", "target")
+
+
+@query("""WITH f AS (SELECT c_custkey % 40 AS g, count(*) AS n, count(*) FILTER (c_custkey % 7 = 0) AS blank FROM customer GROUP BY 1),
+o AS (SELECT *, CASE g % 5 WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'failed' ELSE 'ok' END AS outcome FROM f)
+SELECT outcome, count(*) AS n_files, sum(CASE WHEN outcome = 'ok' THEN n - blank ELSE 0 END)::BIGINT AS n_rows, sum(CASE WHEN outcome = 'ok' THEN blank ELSE 0 END)::BIGINT AS n_blank FROM o GROUP BY outcome""")
+def isolated_totals(spark, d):
+    files_ = isolated.corpora(spark, _corpus_folder(spark, d), "*.txt")[1]
+    return files_.groupBy("outcome").agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"), F.sum("n_blank").alias("n_blank"))
+
+
+@query("SELECT p_partkey || '/' || p_name AS source, p_brand AS target, p_type AS category FROM part")
+def glossary_json(spark, d):
+    path = _folder(spark, "glossary") + ".json"
+    item = F.to_json(F.struct(F.concat_ws("/", F.col("p_partkey").cast("string"), "p_name").alias("原文"), F.col("p_brand").alias("English"), F.col("p_type").alias("分类")))
+    rows = src.table(spark, d, "part").select((F.col("p_partkey") % 16).alias("g"), item.alias("item"))
+    each = rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value"))  # a file each
+    each.write.partitionBy("g").text(path)
+    return files.read_glossary(spark, path).select("source", "target", "category")
+
+
+@query("SELECT p_name || ' ' || p_partkey AS source FROM part WHERE p_size % 4 <> 0")
+def texts_lines(spark, d):
+    path = _folder(spark, "texts") + ".txt"
+    src.table(spark, d, "part").select(F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.concat(F.lit("  "), "p_name", F.lit(" "), "p_partkey", F.lit("\t")))).write.text(path)
+    return files.read_texts(spark, path).select("source")
+
+
+@query("""SELECT 'c' || c_custkey % 5 AS project_id, c_name AS source, c_mktsegment AS target FROM customer WHERE c_custkey % 5 IN (0, 1) AND c_custkey % 2 = 0 OR c_custkey % 5 = 2""")
+def project_glossaries(spark, d):
+    """Glossaries of three projects, of which two are replaced by half of theirs."""
+    root = _folder(spark, "glossaries")
+    c = src.table(spark, d, "customer").select(F.col("c_name").alias("source"), F.col("c_mktsegment").alias("target"), F.lit(None).cast("string").alias("category"), "c_custkey")
+    for project in (0, 1, 2):
+        sinks.replace_glossary(c.where(F.col("c_custkey") % 5 == project), root, f"c{project}")
+    for project in (0, 1):
+        sinks.replace_glossary(c.where((F.col("c_custkey") % 5 == project) & (F.col("c_custkey") % 2 == 0)), root, f"c{project}")
+    return sinks.read_version(spark, root).select("project_id", "source", "target")
+
+
+@query("SELECT 'g=' || c_custkey % 40 AS file FROM customer WHERE c_custkey % 40 >= 10 GROUP BY 1")
+def pending_files(spark, d):
+    """Files of a folder that have no finished task yet."""
+    folder = _corpus_folder(spark, d)
+    every = files.pending_files(spark, folder, "*.txt", spark.createDataFrame([], "task_id string"))
+    group = F.regexp_extract("path", r"/g=(\d+)/", 1).cast("int")
+    return files.pending_files(spark, folder, "*.txt", every.where(group < 10)).select(F.concat(F.lit("g="), group.cast("string")).alias("file"))
+
+
 # --- models and jobs ----------------------------------------------------------------------------------------------
 
 
@@ -166,6 +230,105 @@ def enrich_job(spark, d):
     return jobs.enrich_weak_units(asked, cache, page, 0.5)[0].select("unit_id", "pos", "title")
 
 
+def _write_exports(rows, folder: str) -> None:
+    """Memory exports of ``(file, source, target)``, a database a file; one more that is none."""
+    import os
+    import sqlite3
+
+    def put(part):
+        name = part["file"].iloc[0]
+        os.makedirs(folder, exist_ok=True)
+        if name.startswith("torn"):
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(b"torn off")
+        else:
+            shaped = lambda t: f"<Segment><Elements><Text><Value>{t}</Value></Text></Elements></Segment>"
+            base = sqlite3.connect(f"{folder}/{name}")
+            base.execute("drop table if exists translation_units")
+            base.execute("create table translation_units (source_segment text, target_segment text)")
+            base.executemany("insert into translation_units values (?, ?)", [(shaped(a), shaped(b)) for a, b in zip(part["source"], part["target"])])
+            base.commit()
+            base.close()
+        return part[["file"]].head(1)
+
+    rows.groupBy("file").applyInPandas(put, "file string").write.format("noop").mode("overwrite").save()
+
+
+EXPORTED = """WITH e AS (SELECT p_name AS source, p_type AS target, CASE p_partkey % 4 WHEN 0 THEN 'a_cqa.sdltm' WHEN 1 THEN 'b_lqa.sdltm' WHEN 2 THEN 'memo.sdltm' ELSE 'torn_cqa.sdltm' END AS file,
+CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 END AS rank FROM part),
+b AS (SELECT source, target, min(rank) AS rank FROM e WHERE rank IS NOT NULL GROUP BY source, target)"""
+
+
+def _exports(spark, d) -> str:
+    folder = _folder(spark, "exports").removeprefix("file:")
+    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'a_cqa.sdltm' WHEN 1 THEN 'b_lqa.sdltm' WHEN 2 THEN 'memo.sdltm' ELSE 'torn_cqa.sdltm' END")
+    _write_exports(src.table(spark, d, "part").select(name.alias("file"), F.col("p_name").alias("source"), F.col("p_type").alias("target")), folder)
+    return folder
+
+
+@query(EXPORTED + " SELECT source, target, CASE rank WHEN 2 THEN 'CQA_Done' ELSE 'Done_LQA edited' END AS status, CASE rank WHEN 2 THEN 'a_cqa.sdltm' ELSE 'b_lqa.sdltm' END AS source_tm FROM b")
+def folder_import(spark, d):
+    """A folder of exports, one of them torn off and one of unknown status, made into an index."""
+    root = _folder(spark, "index")
+    jobs.import_folder(spark, _exports(spark, d), root, NAMESPACE, collection="main")
+    return index.points(spark, root).select("source", "target", "status", "source_tm")
+
+
+@query(EXPORTED + """ SELECT (SELECT count(*) FROM e WHERE rank IS NOT NULL) AS candidates, count(*) AS unique_pairs, (SELECT count(*) FROM e WHERE rank IS NOT NULL) - count(*) AS duplicates,
+0::BIGINT AS skipped, count(*) AS new, count(DISTINCT source) AS new_sources, 0::BIGINT AS upgraded, (SELECT count(DISTINCT file) FROM e WHERE file LIKE 'torn%') AS failed FROM b""")
+def folder_import_summary(spark, d):
+    summary, _, failed = jobs.import_folder(spark, _exports(spark, d), _folder(spark, "index"), NAMESPACE, commit=False)
+    return summary.crossJoin(F.broadcast(failed.agg(F.count("*").alias("failed"))))  # one row each
+
+
+def stubborn(message: str) -> str:
+    """A stand-in for a model that fails for some units: a unit whose answer it loses is asked again member by member."""
+    lines = re.findall(r"^(\d+)\. (?:\[[^\]]*\] )?(.*)$", message.split("## Source")[1].split("## Output")[0], re.M)
+    if len(lines) > 1 and any("7" in s for _, s in lines):
+        return "no numbers here"
+    if len(lines) == 1 and "13" in lines[0][1]:
+        raise RuntimeError("refused")
+    return "\n".join(f"{n}. {s.upper()}" for n, s in lines)
+
+
+@query("""SELECT c_custkey::BIGINT AS row_id, CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN position('13' IN t) > 0 AND asked THEN NULL ELSE upper(t) END AS translation,
+CASE WHEN c_custkey % 50 = 0 THEN 'empty source' WHEN position('13' IN t) > 0 AND asked THEN 'RuntimeError: refused' END AS error
+FROM (SELECT *, 'order ' || c_custkey || ' of ' || c_mktsegment AS t, true AS asked FROM customer)""")
+def translate_failing(spark, d):
+    """Units that lose their answer are asked again member by member, and only members that fail themselves stay errors."""
+    c = src.table(spark, d, "customer")
+    text = F.when(F.col("c_custkey") % 50 == 0, " ").otherwise(F.concat(F.lit("order "), "c_custkey", F.lit(" of "), "c_mktsegment"))
+    rows = c.select(F.col("c_custkey").cast("long").alias("row_id"), text.alias("source"), F.lit(None).cast("string").alias("content_type"))
+    none = spark.createDataFrame([], "row_id long, source string, target string, status string")
+    terms = spark.createDataFrame([], "row_id long, source string, target string, category string")
+    loses = lambda m: stubborn(m) if len(re.findall(r"^\d+\. ", m.split("## Source")[1], re.M)) == 1 else "lost"
+    return jobs.translate(rows, none, terms, loses).select("row_id", "translation", "error")
+
+
+@query("""WITH c AS (SELECT conv_id::BIGINT * 1000 + turn AS row_id, conv_id, turn, CASE WHEN conv_id % 6 = 1 AND turn = 0 THEN ' ' ELSE coalesce(role, '') || ' ' || conv_id || '.' || turn END AS source FROM conversations)
+SELECT row_id, CASE WHEN source = ' ' THEN NULL WHEN conv_id % 6 = 2 AND (SELECT count(*) FROM c x WHERE x.conv_id = c.conv_id) > 1 THEN '[ERROR: DIALOG_LLM_FAIL] ' || source ELSE upper(source) END AS translation,
+CASE WHEN source = ' ' THEN 'empty source' WHEN conv_id % 6 = 2 AND (SELECT count(*) FROM c x WHERE x.conv_id = c.conv_id) > 1 THEN 'RuntimeError: refused' END AS error FROM c""")
+def translate_dialogs(spark, d):
+    """Dialogs, a sixth with a blank member (row by row) and a sixth whose call fails (an error as a whole)."""
+    c = src.table(spark, d, "conversations")
+    text = F.when((F.col("conv_id") % 6 == 1) & (F.col("turn") == 0), " ").otherwise(F.concat(F.coalesce("role", F.lit("")), F.lit(" "), "conv_id", F.lit("."), "turn"))
+    rows = c.select(
+        (F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("row_id"), text.alias("source"), F.lit(None).cast("string").alias("content_type"), F.col("conv_id").cast("string").alias("dialog_id"),
+        F.lit(None).cast("string").alias("speaker"), F.col("turn").cast("double").alias("time"),
+    )
+
+    def said(message: str) -> str:
+        lines = re.findall(r"^(\d+)\. (.*)$", message.split("## Source")[1], re.M)
+        owners = {s.split(" ")[-1].split(".")[0] for _, s in lines}
+        if len(lines) > 1 and len(owners) == 1 and int(next(iter(owners))) % 6 == 2:
+            raise RuntimeError("refused")
+        return "\n".join(f"{n}. {s.upper()}" for n, s in lines)
+
+    none = spark.createDataFrame([], "row_id long, source string, target string, status string")
+    terms = spark.createDataFrame([], "row_id long, source string, target string, category string")
+    return jobs.translate(rows, none, terms, said, dialogs=True).select("row_id", "translation", "error")
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 #: Each pair's best status, and whether rows of the first load had it.

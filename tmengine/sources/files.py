@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tmengine.functions.text import clean_cell, lenient_double, segment_text, status_from_file
+from tmengine.sources import isolated
 
 # Headers that name a column, in order of preference.
 SOURCE = ("中文", "原文", "source", "src", "zh", "zh_cn", "chinese")
@@ -142,28 +143,38 @@ def checked_segments(segments: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("error").isNull(), segment_text(F.col("xml"))))
 
 
-def read_memory_exports(spark: SparkSession, folder: str, default_status: str | None = None, limit: int | None = None) -> DataFrame:
-    """Candidates (source, target, status, source_file) of all memory exports under a folder, in name order of files.
+def _units(content: bytes) -> list[tuple]:
+    base = sqlite3.connect(":memory:")
+    try:
+        base.deserialize(content)
+        return base.execute("select source_segment, target_segment from translation_units").fetchall()
+    finally:
+        base.close()
+
+
+def isolated_exports(spark: SparkSession, folder: str, default_status: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates (source, target, status, source_file) of all memory exports under a folder, and the files ``(file, error)`` that could not be read.
 
     Spark reads the files, a task each, and opens them as databases in memory. A file whose name tells no
     status, without a default, gives null for quarantine. With ``limit`` only the first candidates in name order
     are taken; a folder without an export is an error.
     """
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                base = sqlite3.connect(":memory:")
-                base.deserialize(content)
-                rows = base.execute("select source_segment, target_segment from translation_units").fetchall()
-                base.close()
-                yield pd.DataFrame({"file": path, "source_xml": [r[0] for r in rows], "target_xml": [r[1] for r in rows]})
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.sdltm").load(folder).select("path", "content")
+    found, _ = isolated.found(spark, folder, "*.sdltm")
     if found.isEmpty():
         raise ValueError(f"no memory export in {folder}")
-    rows = memory_candidates(found.mapInPandas(decode, "file string, source_xml string, target_xml string"), default_status)
-    return rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("source_file", "_at").limit(limit).drop("_at") if limit is not None else rows
+    table = isolated.decoded(found, _units, "source_xml string, target_xml string")
+    rows = memory_candidates(table.where("at is not null"), default_status)
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("source_file", "_at").limit(limit).drop("_at") if limit is not None else rows
+    return rows, table.where("error is not null").select("file", "error")
+
+
+def read_memory_exports(spark: SparkSession, folder: str, default_status: str | None = None, limit: int | None = None) -> DataFrame:
+    """The candidates of ``isolated_exports``; a file that cannot be read is an error here."""
+    rows, failed = isolated_exports(spark, folder, default_status, limit)
+    broken = failed.first()
+    if broken is not None:
+        raise ValueError(f"{broken['file']}: {broken['error']}")
+    return rows
 
 
 def memory_candidates(segments: DataFrame, default_status: str | None = None) -> DataFrame:

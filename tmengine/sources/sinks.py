@@ -87,7 +87,17 @@ def append_results(results: DataFrame, path: str) -> None:
 
 
 def write_glossary(terms: DataFrame, path: str, form: str = "json") -> None:
-    """Persist a project's glossary as csv or json, replacing it."""
+    """Persist a glossary as csv or json files, replacing what is there; ``replace_glossary`` does so at once and by project."""
     rows = terms.select("source", "target", "category", *(["notes"] if "notes" in terms.columns else []))
     writer = rows.write.mode("overwrite")
     writer.json(path) if form == "json" else writer.csv(path, header=True, escape='"')
+
+
+def replace_glossary(terms: DataFrame, root: str, project_id: str) -> str:
+    """A new version of all glossaries at ``root`` with the project's own replaced; readers see the old one until it is complete."""
+    spark = terms.sparkSession
+    rows = terms.select("source", "target", "category", (F.col("notes") if "notes" in terms.columns else F.lit(None).cast("string")).alias("notes"))
+    rows = rows.withColumn("project_id", F.lit(project_id))
+    held = read_version(spark, root)
+    others = held.where(F.col("project_id") != project_id) if held is not None else None
+    return write_version(rows if others is None else others.select(*rows.columns).unionByName(rows), root, "project_id")
