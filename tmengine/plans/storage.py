@@ -7,11 +7,11 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tmengine.functions import text as fn
-from tmengine.operators import infer, retrieve, textindex
+from tmengine.operators import infer, render, retrieve, textindex
 from tmengine.plans import index, jobs
 from tmengine.plans import inputs as src
 from tmengine.sources import files, isolated, sinks
@@ -176,13 +176,52 @@ def project_glossaries(spark, d):
     return sinks.read_version(spark, root).select("project_id", "source", "target")
 
 
-@query("SELECT 'g=' || c_custkey % 40 AS file FROM customer WHERE c_custkey % 40 >= 10 GROUP BY 1")
+def _named_files(rows, folder: str) -> str:
+    """Small text files ``(name, body)``, written by the tasks that hold them."""
+    folder = folder.removeprefix("file:")
+
+    def put(batches):
+        import os
+
+        for batch in batches:
+            for name, body in zip(batch["name"], batch["body"]):
+                os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+                with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+                    f.write(body)
+            yield batch[["name"]]
+
+    rows.select("name", "body").mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("SELECT 'job' || s_suppkey || '.txt' AS task_id FROM supplier WHERE s_suppkey % 3 <> 0")
 def pending_files(spark, d):
-    """Files of a folder that have no finished task yet."""
-    folder = _corpus_folder(spark, d)
-    every = files.pending_files(spark, folder, "*.txt", spark.createDataFrame([], "task_id string"))
-    group = F.regexp_extract("path", r"/g=(\d+)/", 1).cast("int")
-    return files.pending_files(spark, folder, "*.txt", every.where(group < 10)).select(F.concat(F.lit("g="), group.cast("string")).alias("file"))
+    """Job files without a finished task, temporary files aside."""
+    s = src.table(spark, d, "supplier")
+    each = s.select(F.explode(F.array(F.concat(F.lit("job"), "s_suppkey", F.lit(".txt")), F.concat(F.lit("~$job"), "s_suppkey", F.lit(".txt")))).alias("name"), F.col("s_name").alias("body"))
+    done = s.where("s_suppkey % 3 = 0").select(F.concat(F.lit("job"), "s_suppkey", F.lit(".txt")).alias("task_id"))
+    return files.pending_files(spark, _named_files(each, _folder(spark, "tasks")), "*.txt", done).select("task_id")
+
+
+@query("""SELECT 'p' || s_suppkey AS project_id, CASE s_suppkey % 3 WHEN 0 THEN 'md ' WHEN 1 THEN 'markdown ' ELSE 'txt ' END || s_name AS text FROM supplier""")
+def guide_folders(spark, d):
+    """A folder a project with up to three guides, of which the first kind counts."""
+    s = src.table(spark, d, "supplier")
+    kinds = F.slice(F.array(F.lit("md"), F.lit("markdown"), F.lit("txt")), (F.col("s_suppkey") % 3 + 1).cast("int"), F.lit(3))
+    each = s.withColumn("kind", F.explode(kinds)).select(F.concat(F.lit("p"), "s_suppkey", F.lit("/guide."), "kind").alias("name"), F.concat("kind", F.lit(" "), "s_name", F.lit("\n")).alias("body"))
+    return files.read_style_guides(spark, _named_files(each, _folder(spark, "guides"))).select("project_id", "text")
+
+
+@query("SELECT o_orderkey::BIGINT AS row_id, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders")
+def export_order(spark, d):
+    """An export of shuffled rows is read back in the rows' own order."""
+    path = _folder(spark, "export")
+    rows = src.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("row_id"), "o_orderpriority").repartition(7, "o_orderpriority")
+    sinks.write_csv(rows, ["row_id", "o_orderpriority"], path, "row_id")
+    back = spark.read.csv(path, header=True).select(F.col("row_id").cast("long").alias("row_id"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    per = back.groupBy("file").agg(F.min("row_id").alias("least"), F.min("at").alias("start"), F.count("*").alias("n"))  # a row a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return back.join(F.broadcast(per.select("file", "start", before.alias("before"))), "file").select("row_id", (F.col("before") + F.col("at") - F.col("start") + 1).alias("place"))
 
 
 # --- models and jobs ----------------------------------------------------------------------------------------------
@@ -329,6 +368,69 @@ def translate_dialogs(spark, d):
     return jobs.translate(rows, none, terms, said, dialogs=True).select("row_id", "translation", "error")
 
 
+@query("""WITH u AS (SELECT conv_id, string_agg((n || '. [' || role || '] turn ' || turn), chr(10) ORDER BY turn) AS body, min(kind) AS kind FROM
+(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, CASE conv_id % 3 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' END AS kind FROM conversations) GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS unit_id, 'Project' || chr(10) || chr(10) || '## Style' || chr(10) || chr(10) || 'general' || CASE WHEN kind = '任务' THEN chr(10) || chr(10) || 'brief' ELSE '' END ||
+CASE kind WHEN '任务' THEN chr(10) || chr(10) || '## Rules' || chr(10) || chr(10) || 'short' WHEN '剧情' THEN chr(10) || chr(10) || '## Rules' || chr(10) || chr(10) || 'with context' ELSE '' END ||
+chr(10) || chr(10) || '## Source' || chr(10) || chr(10) || body || chr(10) || chr(10) || '## Output' || chr(10) || chr(10) || 'one line each' AS message FROM u""")
+def message_sections(spark, d):
+    """Whole messages of every conversation: header, style, rules by class, source, contract; empty sections are left out."""
+    c = src.table(spark, d, "conversations")
+    members = c.select(
+        F.col("conv_id").cast("string").alias("unit_id"), F.col("turn").cast("int").alias("pos"), (F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("row_id"),
+        F.concat(F.lit("turn "), "turn").alias("source"), F.col("role").alias("speaker"), F.expr("CASE conv_id % 3 WHEN 0 THEN '任务' WHEN 1 THEN '剧情' END").alias("content_type"),
+    )
+    seen = members.select("row_id", F.array().cast("array<string>").alias("terms"))
+    terms = spark.createDataFrame([], "source string, target string, category string")
+    refs = spark.createDataFrame([], "query_id long, pair_id long, source string, target string, status string, score double, nth int")
+    style = spark.createDataFrame([(None, "general"), ("任务", "brief")], "content_type string, rules string")
+    setting = jobs.Setting(header="Project", style=style, rules={"functional": "short", "contextual": "with context"}, contract="one line each")
+    return jobs.messages(members, seen, terms, refs, 3, setting).select("unit_id", "message")
+
+
+@query("""SELECT p_partkey::BIGINT AS row_id, 'Choose a type.' || chr(10) || chr(10) || '- UI：on buttons' || chr(10) || '- story：told' || chr(10) || chr(10) || p_name AS message FROM part""")
+def classification_messages(spark, d):
+    part = src.table(spark, d, "part")
+    return part.select(F.col("p_partkey").cast("long").alias("row_id"), render.classification_message(F.col("p_name"), [("UI", "on buttons"), ("story", "told")], "Choose a type.").alias("message"))
+
+
+@query("""SELECT p_partkey::BIGINT AS row_id, CASE WHEN p_size % 4 = 0 THEN '' ELSE '[{"source":"' || p_name || '","target":"' || p_brand || '"' || CASE WHEN p_size % 2 = 0 THEN ',"category":"' || p_type || '"' ELSE '' END || '}]' END AS terms,
+'[{"source":"' || p_name || '","target":"' || p_brand || '","score":' || round(p_size / 7.0::DOUBLE, 4) || CASE WHEN p_size % 3 = 0 THEN ',"status":"Done"' ELSE '' END || '}]' AS refs,
+CASE WHEN p_size % 5 <> 0 THEN 'note ' || p_size END AS note FROM part""")
+def result_views(spark, d):
+    """Views of used terms and references for results, and the first picture note."""
+    part = src.table(spark, d, "part")
+    term = F.struct(F.col("p_name").alias("source"), F.col("p_brand").alias("target"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("category"))
+    terms = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<struct<source:string,target:string,category:string>>")).otherwise(F.array(term))
+    ref = F.struct(F.col("p_name").alias("source"), F.col("p_brand").alias("target"), (F.col("p_size") / 7.0).alias("score"), F.when(F.col("p_size") % 3 == 0, "Done").alias("status"))
+    notes = F.array(F.struct(F.lit(None).cast("string").alias("image_analysis")), F.struct(F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("note "), "p_size")).otherwise("").alias("image_analysis")))
+    return part.select(F.col("p_partkey").cast("long").alias("row_id"), render.term_view(terms).alias("terms"), render.reference_view(F.array(ref)).alias("refs"), render.first_image_note(notes).alias("note"))
+
+
+@query("""SELECT c_custkey::BIGINT AS project_id, '## Project' || chr(10) || chr(10) || 'Name: ' || c_name || chr(10) || 'Direction: ' || CASE WHEN c_custkey % 2 = 0 THEN 'zh-en' ELSE 'zh>xx' END ||
+chr(10) || 'From: Chinese' || chr(10) || 'To: ' || CASE WHEN c_custkey % 2 = 0 THEN 'English' ELSE 'xx' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || 'Background: ' || c_mktsegment ELSE '' END ||
+CASE WHEN c_custkey % 5 = 0 THEN chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || 'kept' ELSE '' END AS header FROM customer""")
+def project_headers(spark, d):
+    c = src.table(spark, d, "customer")
+    rows = c.select(
+        F.col("c_custkey").cast("long").alias("project_id"), F.col("c_name").alias("game"), F.when(F.col("c_custkey") % 2 == 0, "zh-en").otherwise("zh>xx").alias("language_pair"),
+        F.lit(None).cast("string").alias("source_lang"), F.lit(None).cast("string").alias("target_lang"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("background"),
+        F.when(F.col("c_custkey") % 5 == 0, "kept").alias("notes"),
+    )
+    return render.project_header(rows).select("project_id", "header")
+
+
+@query("""SELECT true AS asked, p_partkey::VARCHAR AS unit_id FROM part WHERE p_size % 2 = 0 AND p_size % 3 = 0 AND p_size % 5 <> 0""")
+def enrich_gated(spark, d):
+    """The same units with the look-up asked for and not: only the first have references."""
+    part = src.table(spark, d, "part")
+    units_ = part.select(F.col("p_partkey").cast("string").alias("unit_id"), F.col("p_name").alias("query"), (F.col("p_size") % 2).alias("term_count"), (F.col("p_size") % 3).alias("sparse_hits"), F.when(F.col("p_size") % 5 == 0, 0.9).alias("dense_top1"))
+    cache = spark.createDataFrame([], "key string, results string")
+    page = lambda q: json.dumps({"data": {"webPages": {"value": [{"name": q, "url": "u", "snippet": "s"}]}}})
+    both = [jobs.enrich_weak_units(units_, cache, page, asked=on)[0].select(F.lit(on).alias("asked"), "unit_id") for on in (True, False)]
+    return both[0].unionByName(both[1])
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 #: Each pair's best status, and whether rows of the first load had it.
