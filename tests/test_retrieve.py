@@ -120,3 +120,44 @@ def test_cells_give_the_same_hits_and_visit_few_blocks(spark, monkeypatch):
         assert seen["visits"] * 4 < seen["blocks"] * asked.count()
     none = index.where("false")
     assert cells.dense_hits(asked, none, 5).count() == 0 and cells.dense_hits(none.withColumnRenamed("pair_id", "query_id"), index, 5).count() == 0
+
+
+def test_texts_are_cut_along_the_likeliest_path(spark):
+    words = {"中国": 50, "国人": 20, "中国人": 30, "人民": 40, "民": 5, "研究": 30, "研究生": 20, "生命": 30, "命": 4, "起源": 10, "长城": 9, "a": 99}
+    total = sum(words.values())
+    rng = random.Random(2)
+    texts = ["研究生命起源", "中国人民 Abc9 中国人", "长城!长", "x", "", None] + ["".join(rng.choice("中国人民研究生命起源x 1") for _ in range(14)) for _ in range(60)]
+
+    def plain(text):
+        out, i = [], 0
+        while text and i < len(text):
+            j = i
+            kind = lambda c: 1 if c.isascii() and c.isalnum() else 2 if "\u4e00" <= c <= "\u9fff" else 0
+            while j < len(text) and kind(text[j]) == kind(text[i]):
+                j += 1
+            run = text[i:j]
+            if kind(text[i]) == 1:
+                out.append(run.lower())
+            elif kind(text[i]) == 2:
+                def ways(k):
+                    if k == len(run):
+                        return [(0.0, ())]
+                    steps = [(len(w), math.log(f / total)) for w, f in words.items() if run.startswith(w, k)]
+                    steps += [] if any(n == 1 for n, _ in steps) else [(1, math.log(1 / total))]
+                    return [(p + q, (n, *rest)) for n, p in steps for q, rest in ways(k + n)]
+
+                best = max(ways(0), key=lambda x: (round(x[0], 9), x[1]))
+                at = 0
+                for n in best[1]:
+                    out.append(run[at : at + n])
+                    at += n
+            i = j
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    named = spark.createDataFrame([*words.items(), ("", 3), (None, 1), ("零", 0), ("中国", 7)], "word string, freq long")
+    made = textindex.segmented(df, named)
+    assert {r.id: r.tokens for r in made.collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    counts = textindex.postings(made, "id", "tokens", lambda c: c)
+    assert counts.where("id = 1 and token = 'abc9'").first()["n"] == 4 or counts.where("id = 1").count() > 1
+    assert {r.id: r.tokens for r in textindex.segmented(df.limit(2), named.where("false")).collect()}[0] == list("研究生命起源")

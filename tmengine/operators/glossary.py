@@ -111,19 +111,18 @@ def matches(texts: DataFrame, terms: DataFrame, text: str = "text", pattern_term
     return texts.withColumn("terms", F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(quoted), F.lit(0))))
 
 
-def joined_matches(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """``matches`` for a glossary of any size, none of which reaches the driver.
+def places(full: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(_text, place, source)``: every place of every text ``(_text, body)`` where a source may stand, for a glossary of any size.
 
     A term of n characters has the class k with 2^k <= n < 2^(k + 1). Each text gives the distinct prints of 2^k characters it
     holds, for the classes present, and meets the terms' starts by them. Back at the text the places of the starts that
-    were met and the lengths of their terms give prints of whole terms, which meet the terms. What is found is compared with
-    the text itself and resolved from left to right.
+    were met and the lengths of their terms give prints of whole terms, which meet the terms. Prints are 64 bits: what is
+    found must be compared with the text itself.
     """
-    rows = written(texts.withColumn("_text", F.monotonically_increasing_id()))
     known = written(printed_terms(terms))
     classes = sorted(r["class"] for r in known.select("class").distinct().collect())  # at most 31 numbers
     if not classes:
-        return rows.drop("_text").withColumn("terms", F.array().cast("array<string>"))
+        return full.sparkSession.createDataFrame([], "_text long, place long, source string")
     anchors = written(known.groupBy("class", "anchor").agg(F.sort_array(F.collect_set("n")).alias("lengths")))  # fewer than 2^class lengths
     few = anchors.count() <= BROADCAST_ROWS
 
@@ -137,8 +136,6 @@ def joined_matches(texts: DataFrame, terms: DataFrame, text: str = "text") -> Da
                     prints = np.unique(np.concatenate(parts)).view(np.int64)
                     yield pd.DataFrame({"_text": at, "class": np.int32(k), "anchor": prints})
 
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")
-    full = rows.select("_text", body).where("body <> ''")
     prints = full.mapInPandas(given, "_text long, class int, anchor long")
     met = written(prints.join(F.broadcast(anchors) if few else anchors.hint("merge"), ["class", "anchor"]))
     met = met.groupBy("_text").agg(F.collect_list(F.struct("class", "anchor", "lengths")).alias("met"))
@@ -166,8 +163,14 @@ def joined_matches(texts: DataFrame, terms: DataFrame, text: str = "text") -> Da
                     yield pd.DataFrame({"_text": at, "place": p, "n": n.astype(np.int32), "whole": whole_print(prints[p], prints[last], n)})
 
     there = full.join(met.hint("merge"), "_text").mapInPandas(placed, "_text long, place long, n int, whole long")
-    hits = written(there).join(known.select("n", "whole", "source").hint("merge"), ["n", "whole"])
-    hits = hits.groupBy("_text").agg(F.collect_list(F.struct("place", "source")).alias("hits"))
+    return written(there).join(known.select("n", "whole", "source").hint("merge"), ["n", "whole"]).select("_text", "place", "source")
+
+
+def joined_matches(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """``matches`` for a glossary of any size, none of which reaches the driver: ``places`` are checked and resolved from left to right."""
+    rows = written(texts.withColumn("_text", F.monotonically_increasing_id()))
+    full = rows.select("_text", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).where("body <> ''")
+    hits = places(full, terms).groupBy("_text").agg(F.collect_list(F.struct("place", "source")).alias("hits"))
 
     @F.pandas_udf("array<string>")
     def resolved(bodies: pd.Series, lists: pd.Series) -> pd.Series:

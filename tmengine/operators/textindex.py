@@ -1,23 +1,89 @@
-"""Token postings and collection statistics."""
+"""Token postings, segmentation and collection statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tmengine.functions.text import tokens
+from tmengine.operators import glossary
+from tmengine.tables import written
+
+_PIECES = re.compile("([0-9A-Za-z]+)|([\u4e00-\u9fff]+)")
 #: Texts of one block of the posting list.
 BLOCK = 128
 
-from tmengine.functions.text import tokens
 
+def postings(texts: DataFrame, id_column: str, text: str = "text", cut: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``(id, token, tf, n)``: how often each token occurs in each text, and the text's number of tokens.
 
-def postings(texts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """``(id, token, tf, n)``: how often each token occurs in each text, and the text's number of tokens."""
-    each = texts.select(id_column, tokens(F.col(text)).alias("_tokens"))
+    ``cut`` makes the tokens of the column ``text``; for texts that have been cut (``segmented``) it is the column itself.
+    """
+    each = texts.select(id_column, cut(F.col(text)).alias("_tokens"))
     each = each.select(id_column, F.size("_tokens").alias("n"), F.explode("_tokens").alias("token"))
     return each.groupBy(id_column, "token").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
 
 
+def likeliest(run: str, words: dict[int, list[tuple[int, float]]], single: float) -> list[str]:
+    """The words of the likeliest path through a run of characters; ``words`` are (length, log probability) by place, ties to the longer.
+
+    A character that begins no word stands alone with probability ``single``.
+    """
+    best: list[tuple[float, int]] = [(0.0, 0)] * (len(run) + 1)
+    for i in range(len(run) - 1, -1, -1):
+        options = [(p + best[i + n][0], n) for n, p in words.get(i, ()) if i + n <= len(run)]
+        if not any(n == 1 for _, n in options):
+            options.append((single + best[i + 1][0], 1))
+        best[i] = max(options)
+    out, i = [], 0
+    while i < len(run):
+        out.append(run[i : i + best[i][1]])
+        i += best[i][1]
+    return out
+
+
+def segmented(texts: DataFrame, dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with ``tokens``: runs of ASCII letters and digits in lower case, and Han runs cut into words of a dictionary ``(word, freq)``.
+
+    The places of dictionary words in a text come from joins, so the dictionary may have any size; they are the word graph of its
+    runs, and each run takes its likeliest path, a word's probability being its share of all frequencies. Words are taken as
+    they stand, the higher frequency of a repeated one counts, those without one above 0 are left out.
+    """
+    words = dictionary.where("word is not null and word <> '' and freq > 0").groupBy("word").agg(F.max("freq").cast("double").alias("freq"))
+    words = written(words)
+    total = words.agg(F.sum("freq")).first()[0] or 1.0
+    rows = written(texts.withColumn("_text", F.monotonically_increasing_id()))
+    full = rows.select("_text", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).where("body <> ''")
+    found = glossary.places(full, words.select(F.col("word").alias("source"))).join(words.withColumnRenamed("word", "source").hint("merge"), "source")
+    graph = found.groupBy("_text").agg(F.collect_list(F.struct("place", "source", "freq")).alias("graph"))
+
+    @F.pandas_udf("array<string>")
+    def cut(bodies: pd.Series, graphs: pd.Series) -> pd.Series:
+        def one(said: str, edges) -> list[str]:
+            at: dict[int, list] = {}
+            for e in edges if edges is not None else ():
+                if said.startswith(e["source"], e["place"]):
+                    at.setdefault(e["place"], []).append((len(e["source"]), math.log(e["freq"] / total)))
+            out = []
+            for m in _PIECES.finditer(said):
+                if m.group(1):
+                    out.append(m.group(1).lower())
+                else:
+                    out += likeliest(m.group(2), {p - m.start(): w for p, w in at.items() if m.start() <= p < m.end()}, math.log(1 / total) if total > 1 else -1.0)
+            return out
+
+        return pd.Series([one(b, g) for b, g in zip(bodies, graphs)])
+
+    listed = written(full.join(graph.hint("merge"), "_text", "left").select("_text", cut("body", "graph").alias("tokens")))
+    out = rows.join(listed.hint("merge"), "_text", "left").drop("_text")
+    return out.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
 def frequencies(posted: DataFrame) -> DataFrame:
     """``(token, df)``: in how many texts each token occurs."""
     return posted.groupBy("token").agg(F.count("*").alias("df"))

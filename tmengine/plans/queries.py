@@ -416,6 +416,17 @@ def tf(spark, d):
     return textindex.postings(_texts(spark, d)[0], "pair_id").drop("n")
 
 
+@query("""WITH w AS (SELECT p_partkey::BIGINT AS row_id, substr('甲乙丙丁戊己庚辛壬癸', (p_size % 10 + 1)::INT, 1) AS a, substr('子丑寅卯辰巳午未申酉', (p_partkey % 10 + 1)::INT, 1) AS b, p_size % 2 = 0 AS word FROM part)
+SELECT row_id, CASE WHEN word THEN a || b || '|x' || row_id || '|' || a || b ELSE a || '|' || b || '|x' || row_id || '|' || a || '|' || b END AS tokens FROM w""")
+def segment_words(spark, d):
+    """Two Han characters, a code and the characters again; pairs that begin with every second character are words of the dictionary."""
+    pick = lambda letters, n: F.element_at(F.array(*[F.lit(c) for c in letters]), (n % 10 + 1).cast("int"))
+    part = src.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("row_id"), "p_size", pick("甲乙丙丁戊己庚辛壬癸", F.col("p_size")).alias("a"), pick("子丑寅卯辰巳午未申酉", F.col("p_partkey")).alias("b"))
+    words = part.where("p_size % 2 = 0").groupBy(F.concat("a", "b").alias("word")).agg(F.count("*").alias("freq"))
+    texts = part.select("row_id", F.concat("a", "b", F.lit(" X"), "row_id", F.lit("，"), "a", "b").alias("text"))
+    return textindex.segmented(texts, words).select("row_id", F.array_join("tokens", "|").alias("tokens"))
+
+
 @query(POSTED + " SELECT token, df, round(idf, 6) AS idf, ('0x' || left(md5(token), 8))::BIGINT AS hash FROM idf")
 def idf(spark, d):
     index = _texts(spark, d)[0]
