@@ -72,9 +72,9 @@ def test_pruned_hits_equal_all_hits(spark, monkeypatch):
     texts += [(1000 + i, "w1 w2 w3 same text") for i in range(60)]
     index = spark.createDataFrame(texts, "pair_id long, text string")
     asked = spark.createDataFrame([(q, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for q in range(25)] + [(50, "w1"), (51, "none such"), (52, None), (53, "same w399")], "query_id long, text string")
-    for block, n in ((128, 5), (7, 20), (16, 1)):
+    for block, n, direct in ((128, 5, 0), (7, 20, 0), (16, 1, 0), (128, 5, 10**9)):
         monkeypatch.setattr(textindex, "BLOCK", block)
-        hits = retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")), n)
+        hits = retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")), n, direct=direct)
         got = sorted(map(tuple, hits.select("query_id", "pair_id", "score", "nth").collect()))
         assert got == hits_by_all_postings(spark, index, asked, n)
     empty = index.where("false")
@@ -88,7 +88,7 @@ def test_a_token_of_every_text_is_hardly_met(spark):
     index = spark.createDataFrame(texts, "pair_id long, text string")
     asked = spark.createDataFrame([(q, f"the x{q} x{q + 1}") for q in range(40)], "query_id long, text string")
     posted, n_index, seen = textindex.postings(index, "pair_id"), index.agg(F.count("*").alias("n")), {}
-    hits = retrieve.sparse_hits(textindex.postings(asked, "query_id"), posted, n_index, 20, counts=seen)
+    hits = retrieve.sparse_hits(textindex.postings(asked, "query_id"), posted, n_index, 20, counts=seen, direct=0)
     got = sorted(map(tuple, hits.select("query_id", "pair_id", "score", "nth").collect()))
     assert got == hits_by_all_postings(spark, index, asked, 20)
     every = textindex.postings(asked, "query_id").join(posted, "token").count()

@@ -34,6 +34,8 @@ def sparse_scores(queries: DataFrame, index: DataFrame, n_index: DataFrame) -> D
     return hits.groupBy("query_id", "pair_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 6).alias("score"))
 
 
+#: Up to so many postings of asked tokens are met without bounds.
+DIRECT_ROWS = 50_000_000
 #: Slack of bounds against the scores' rounding.
 _SLACK = 2e-6
 
@@ -57,18 +59,22 @@ def _threshold(asked: DataFrame, rows: DataFrame, maxima: DataFrame, n: int) ->
     return reached[0].unionByName(reached[1]).groupBy("query_id").agg(F.max("score").alias("floor"))
 
 
-def sparse_hits(queries: DataFrame, index: DataFrame, n_index: DataFrame, n: int, kept: DataFrame | None = None, counts: dict | None = None) -> DataFrame:
+def sparse_hits(queries: DataFrame, index: DataFrame, n_index: DataFrame, n: int, kept: DataFrame | None = None, counts: dict | None = None, direct: int = DIRECT_ROWS) -> DataFrame:
     """The ``n`` best of ``sparse_scores`` of each query, with ``nth``, found without meeting most postings.
 
     A query and a block of texts have a bound, the sum of weight times largest count of the common tokens. Blocks whose bound
     is below a score that n texts reach are left out. In a block that stays, tokens whose bounds together fall short of that
     score can lift no text over it alone: postings are read for the other tokens, and for these only where a text found by
-    the others may still reach the score. ``index`` are postings with n (``textindex.postings``), ``kept`` kept
+    the others may still reach the score. Where all postings of the asked tokens are no more than ``direct``, bounds would cost
+    more than they save, and all are met. ``index`` are postings with n (``textindex.postings``), ``kept`` kept
     frequencies; ``counts`` takes the rows met if given (tests).
     """
     posted = written(index)
     asked = queries.select("query_id", "token", F.col("tf").alias("q_tf")).join(inverse_frequencies(posted, n_index, kept).hint("merge"), "token")
     asked = written(asked.select("query_id", "token", "df", (F.col("q_tf") * F.col("idf")).alias("w")))
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= direct:
+        hits = posted.join(asked.select("query_id", "token", "w").hint("merge"), "token")
+        return top(hits.groupBy("query_id", "pair_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 6).alias("score")), n)
     wanted = written(asked.select("token").distinct())
     few = wanted.count() <= BROADCAST_ROWS
     rows = written(blocked(posted).join(F.broadcast(wanted) if few else wanted.hint("merge"), "token", "left_semi"))

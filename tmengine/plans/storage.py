@@ -490,12 +490,12 @@ qs AS (SELECT query_id, token, count(*) AS q_tf FROM (SELECT source AS query_id,
 sp AS (SELECT query_id, pair_id, round(sum(q_tf * idf * tf), 6) AS score FROM qs JOIN idf USING (token) JOIN ix USING (token) GROUP BY ALL)
 SELECT * FROM (SELECT query_id, pair_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS nth FROM sp) WHERE nth <= 5""")
 def sparse_kept(spark, d):
-    """Every distinct source asked of the loaded index, with its kept frequencies."""
+    """Every distinct source asked of the loaded index, with its kept frequencies and with bounds."""
     root = _three_loads(spark, d)
     held, n = index.frequencies(spark, root)
     posted = textindex.postings(index.points(spark, root), "pair_id", "source")
     asked = textindex.postings(src.memory(spark, d).select(F.col("source").alias("query_id"), "source").distinct(), "query_id", "source")
-    return retrieve.sparse_hits(asked, posted, n, 5, held).select("query_id", "pair_id", "score", "nth")
+    return retrieve.sparse_hits(asked, posted, n, 5, held, direct=0).select("query_id", "pair_id", "score", "nth")
 
 
 @query("SELECT DISTINCT md5(lower(p_name)) AS key, 'found ' || upper(p_name) AS results FROM part")
