@@ -69,15 +69,21 @@ def sparse_hits(queries: DataFrame, index: DataFrame, n_index: DataFrame, n: int
     more than they save, and all are met. ``index`` are postings with n (``textindex.postings``), ``kept`` kept
     frequencies; ``counts`` takes the rows met if given (tests).
     """
-    posted = written(index)
-    asked = queries.select("query_id", "token", F.col("tf").alias("q_tf")).join(inverse_frequencies(posted, n_index, kept).hint("merge"), "token")
+    said = written(queries.select("query_id", "token", F.col("tf").alias("q_tf")))
+    wanted = written(said.select("token").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    posted = written(index.join(F.broadcast(wanted) if few else wanted.hint("merge"), "token", "left_semi"))
+    asked = said.join(inverse_frequencies(posted, n_index, kept).hint("merge"), "token")
     asked = written(asked.select("query_id", "token", "df", (F.col("q_tf") * F.col("idf")).alias("w")))
-    if (asked.agg(F.sum("df")).first()[0] or 0) <= direct:
-        hits = posted.join(asked.select("query_id", "token", "w").hint("merge"), "token")
+    size = asked.agg(F.count("*").alias("rows"), F.coalesce(F.sum("df"), F.lit(0)).alias("met")).first()
+    if size["met"] <= direct:
+        weights = asked.select("query_id", "token", "w")
+        if size["rows"] <= BROADCAST_ROWS:  # a text's postings stay in one task up to its scores
+            hits = posted.select("pair_id", "token", "tf").repartition("pair_id").join(F.broadcast(weights), "token")
+        else:
+            hits = posted.join(weights.hint("merge"), "token")
         return top(hits.groupBy("query_id", "pair_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 6).alias("score")), n)
-    wanted = written(asked.select("token").distinct())
-    few = wanted.count() <= BROADCAST_ROWS
-    rows = written(blocked(posted).join(F.broadcast(wanted) if few else wanted.hint("merge"), "token", "left_semi"))
+    rows = written(blocked(posted))
     maxima = written(rows.groupBy("block", "token").agg(F.max("tf").alias("most"), F.max("size").alias("size")))
     floors = written(_threshold(asked, rows, maxima, n))
     slim = asked.select("query_id", "token", "w").join(floors.hint("merge"), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - _SLACK)

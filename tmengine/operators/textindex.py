@@ -110,11 +110,11 @@ def blocked(posted: DataFrame) -> DataFrame:
     """Postings ``(pair_id, token, tf, n)``, n the tokens of the text, with the text's ``block`` and ``size``, the texts of a block.
 
     A block holds about ``BLOCK`` texts of similar length, a quarter of an octave apart at most, so a token's largest
-    count in a block is near what its texts can have. Only the number of texts of each length class reaches the driver.
+    count in a block is near what its texts can have. Only the rough number of texts of each length class reaches the driver.
     """
     kind = F.floor(F.log2("n") * 4).cast("int")
     rows = posted.withColumn("class", kind)
-    counts = rows.groupBy("class").agg(F.round(F.sum(F.col("tf") / F.col("n"))).cast("long").alias("texts")).collect()  # four classes an octave
+    counts = rows.groupBy("class").agg(F.approx_count_distinct("pair_id").alias("texts")).collect()  # four classes an octave
     pieces = [(r["class"], max(1, -(-r["texts"] // BLOCK)), r["texts"]) for r in counts]
     table = F.broadcast(posted.sparkSession.createDataFrame(pieces or [(0, 1, 1)], "class int, pieces long, texts long"))
     block = F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("pair_id"), F.col("pieces"))
