@@ -84,8 +84,8 @@ def test_gradients():
     real = (rng.random((3, op.WINDOW)) < 0.8) * 1.0
     loss = lambda: -(op.target_logs(op.forward(w, near, far, op.WINDOW)["logits"], target) * real).sum() / real.sum()
     g = op.gradients(w, near, far, target, real)
-    assert set(g) == set(w)
-    for k in w:
+    assert set(g) == set(w) - {"pair"}  # the class-pair table is counted
+    for k in g:
         i = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         kept, e = w[k][i], 1e-4
         w[k][i] = kept + e
@@ -96,6 +96,88 @@ def test_gradients():
         assert abs((up - down) / 2 / e - g[k][i]) < 1e-6
 
 
+def test_pair_table_holds_exact_counts_of_all_sequences(spark, monkeypatch):
+    """Every sequence comes back whole however it is cut, every pair of neighbours is counted, and training leaves the table as it is."""
+    rng = random.Random(6)
+    rows = [(i % 3 == 0, [rng.randrange(1, 6) for _ in range(rng.choice([0, 1, 5, 40]))]) for i in range(50)] + [(True, [2] * 3000)]
+    df = spark.createDataFrame([(w, " ".join(map(str, v))) for w, v in rows], "warm boolean, text string").repartition(3)
+
+    def sequences(column):
+        for text in column.to_pylist():
+            near = np.array([op.START, *map(int, text.split())], np.int16)
+            yield near, near + 100, np.array([len(near)])
+
+    table = op.encoded(df, "text", sequences)
+    got = sorted((r.warm, list(r.near), [b - 100 for b in r.far]) for r in table.collect())
+    assert got == sorted((w, [0, *v], [0, *v]) for w, v in rows)
+    want = np.zeros((8, 8))
+    for _, v in rows:
+        for a, b in zip([0, *v], [*v, 0]):
+            want[a, b] += 1
+    assert np.array_equal(op.pair_counts(table, 8), want)
+    batch = table.select("near", "far").toArrow().combine_chunks().to_batches()[0]
+    for places in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(op, "PLACES", places)
+        parts = list(op.decoded(iter([batch.slice(0, 0), batch.slice(2), batch.slice(0, 2)])))
+        met = [tuple(x) for near, _, n in parts for x in np.split(near, np.cumsum(n)[:-1])]
+        assert sorted(met) == sorted((0, *v) for _, v in rows)
+        assert all(np.array_equal(near + 100, far) and (len(near) <= places or len(n) == 1) for near, far, n in parts)
+    assert np.allclose(op.fit(table, 200)["pair"], op.new_weights(op.pair_counts(table, 200))["pair"])
+    assert np.isfinite(op.fit(table.where("false"), 8)["pair"]).all()
+
+
+def plain_logs(w, near, far):
+    """Sum of the log shares of each next class (START ends), one place at a time, each from the places its window shows it."""
+    total = 0.0
+    x = w["near"][near] + w["far"][far]
+    for p, target in enumerate([*near[1:], op.START]):
+        begin = 0 if p < op.WINDOW else -(-(p - op.WINDOW + 1) // op.STRIDE) * op.STRIDE
+        query = x[p] @ w["query"] / math.sqrt(op.WIDTH)
+        weight = np.array([math.exp(query @ (x[j] @ w["key"]) + w["distance"][p - j]) for j in range(begin, p + 1)])
+        seen = sum(a * (x[j] @ w["value"]) for a, j in zip(weight / weight.sum(), range(begin, p + 1)))
+        logits = np.tanh(x[p] @ w["own"] + seen) @ w["out"] + w["pair"][near[p]]
+        total += logits[target] - math.log(np.exp(logits).sum())
+    return total
+
+
+def test_whole_scores_by_a_plain_version(spark, monkeypatch):
+    """With given weights, each text's score is the product of class and word shares computed place by place."""
+    rng = np.random.default_rng(8)
+    weights = {c: random_weights(rng, c) for c in (op.CLASSES, op.SPELLING_CLASSES)}
+    made = []
+    build = op.Lexicon.__init__
+    monkeypatch.setattr(op, "fit", lambda rows, classes: weights[classes])
+    monkeypatch.setattr(op.Lexicon, "__init__", lambda self, *a: (build(self, *a), made.append(self))[0])
+    monkeypatch.setattr(op, "HELD_WORDS", 10)
+    rows = [r for r in sample() if r[0] is None or r[0] < 40 or r[0] in (300, 301)] + [(303, "Zq" * 60), (304, "w x " * 60)]
+    got = op.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, PATTERN).collect()
+    counts = {}
+    for doc, text in rows:
+        if doc is None or zlib.crc32(str(doc).encode()) % 7 != 2:
+            for word in op.words_of((text or "").encode()):
+                counts[word] = counts.get(word, 0) + 1
+    lex = made[0]
+    assert 0 < len(lex.held) <= 10 < len(counts)
+    codec, described = op.Codec.of(PATH, PATTERN), {}
+
+    def describe(word):
+        if word not in described:
+            ids = np.asarray(codec.encode_words([word])[0])
+            first, near = lex.first_class[ids[0]], lex.inner_class[ids].astype(int)
+            spelt = plain_logs(weights[op.SPELLING_CLASSES], near, np.array([op.START, *near[:-1]])) + lex.log_first[ids[0]] + lex.log_inner[ids[1:]].sum()
+            own = max(counts.get(word, 0) - lex.discount, 0) + lex.spelt_mass[first] * math.exp(spelt)
+            described[word] = int(first), int(lex.last_class[ids[-1]]), math.log10(own / lex.mass[first])
+        return described[word]
+
+    want = []
+    for doc, text in rows:
+        parts = [describe(word) for word in op.words_of((text or "").encode())]
+        near, far = (np.array([op.START, *(p[k] for p in parts)]) for k in (0, 1))
+        want.append((str(doc), len(parts) + 1, plain_logs(weights[op.CLASSES], near, far) / math.log(10) + sum(p[2] for p in parts)))
+    for a, b in zip(sorted((str(r.doc_id), r.n_tokens, r.score) for r in got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 * (1 + abs(b[2])), (a, b)
+
+
 def test_windows_hold_every_place_once_and_scores_do_not_depend_on_company():
     rng = np.random.default_rng(2)
     lengths = np.array([1, 5, 33, 24, 25, 100, 48, 49])

@@ -9,8 +9,10 @@ discounted mass goes to words by their spelling. All parts are proper distributi
 probability of the whole word sequence with its end.
 
 Counts cover every training document, the context network learns from every window of every training document, and the
-spelling network from every distinct training word. Tasks run Adam over their windows from common weights, and the
-driver averages the tasks' weights.
+spelling network from every distinct training word. A network's table of class pairs is no learnt weight: it holds the
+smoothed log shares of exact counts over all windows, and attention learns what they leave open. Tasks run Adam over
+their windows from common weights, and the driver averages the tasks' weights, so scores differ a little with the number
+of tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tmengine.llm.bpe import Codec
-from tmengine.llm.common import LOWER_AZ, materialize, texts
+from tmengine.llm.common import LOWER_AZ, discard, materialize, texts
 
 #: Classes of the context network (first and last ids of words) and of the spelling network, each with BANDS bands of rarer ids.
 CLASSES, SPELLING_CLASSES, BANDS, WIDTH = 96, 192, 16, 16
@@ -41,6 +43,9 @@ CACHED_WORDS = 600_000
 BLOCK, RATE = 1536, 0.01
 #: A first round on one text (or word) of so many gives the tasks common weights to start from; the second takes all.
 WARM_SHARE = 32
+#: Places of encoded sequences that a task works on together, besides the longest one.
+PLACES = 1 << 18
+PROJECTIONS = ("value", "query", "key", "own")
 START = 0  # class 0 starts a sequence as input and ends it as target
 
 
@@ -48,7 +53,7 @@ START = 0  # class 0 starts a sequence as input and ends it as target
 
 
 def new_weights(bigram: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Small random weights; the class-pair table starts at the smoothed log shares of ``bigram`` counts."""
+    """Small random weights; the class-pair table is the smoothed log shares of ``bigram`` counts."""
     rng = np.random.default_rng(seed)
     c, d = len(bigram), WIDTH
     total = bigram.sum(1, keepdims=True)
@@ -95,8 +100,8 @@ def target_logs(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return target_at - np.log(logits @ np.ones(logits.shape[-1], logits.dtype))
 
 
-def gradients(w: dict, near: np.ndarray, far: np.ndarray, target: np.ndarray, real: np.ndarray, pair: bool = True) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log share over the ``real`` places; that of the class-pair table only if asked."""
+def gradients(w: dict, near: np.ndarray, far: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean negative log share over the ``real`` places, of all but the class-pair table, which is counted."""
     f = forward(w, near, far, near.shape[1])
     size = f["logits"].shape[-1]
     flat = f["logits"].reshape(-1, size)
@@ -106,37 +111,35 @@ def gradients(w: dict, near: np.ndarray, far: np.ndarray, target: np.ndarray, re
     flat *= (weight / (flat @ np.ones(size, flat.dtype)))[:, None]
     flat[np.arange(len(flat)), target.ravel()] -= weight
     hidden = f["hidden"].reshape(-1, WIDTH)
-    near_hot, far_hot = (np.eye(size, dtype=flat.dtype)[at.ravel()].T for at in (near, far))
-    g = {"out": hidden.T @ flat} | ({"pair": near_hot @ flat} if pair else {})
+    g = {"out": hidden.T @ flat}
     d_sum = ((flat @ w["out"].T) * (1 - hidden * hidden)).reshape(f["hidden"].shape)
-    d_attention = d_sum @ f["value"].transpose(0, 2, 1)
-    d_attention -= ((d_attention * f["attention"]) @ np.ones(near.shape[1], flat.dtype))[..., None]
-    d_scores = d_attention
+    d_scores = d_sum @ f["value"].transpose(0, 2, 1)
+    d_scores -= ((d_scores * f["attention"]) @ np.ones(near.shape[1], flat.dtype))[..., None]
     d_scores *= f["attention"]
     g["distance"] = np.bincount(np.maximum(f["gap"], 0).ravel(), d_scores.sum(0).ravel(), WINDOW).astype(np.float32)
-    d = {"value": f["attention"].transpose(0, 2, 1) @ d_sum, "query": d_scores @ f["key"], "key": d_scores.transpose(0, 2, 1) @ f["query"], "own": d_sum}
-    d["query"] *= np.asarray(1 / np.sqrt(WIDTH), d_sum.dtype)  # forward's queries are scaled already
-    d_x = sum(d[k].reshape(-1, WIDTH) @ w[k].T for k in d)
-    x = w["near"][near.ravel()] + w["far"][far.ravel()]
-    g |= {k: x.T @ d[k].reshape(-1, WIDTH) for k in d}
-    return g | {"near": near_hot @ d_x, "far": far_hot @ d_x}
+    d_query = (d_scores @ f["key"]) * np.asarray(1 / np.sqrt(WIDTH), flat.dtype)  # forward's queries are scaled already
+    d = np.concatenate([f["attention"].transpose(0, 2, 1) @ d_sum, d_query, d_scores.transpose(0, 2, 1) @ f["query"], d_sum], -1)
+    d = d.reshape(-1, len(PROJECTIONS) * WIDTH)  # side by side, so that each product below is one
+    d_x = d @ np.concatenate([w[k] for k in PROJECTIONS], 1).T
+    x = np.take(w["near"], near.ravel(), axis=0, mode="clip") + np.take(w["far"], far.ravel(), axis=0, mode="clip")
+    g |= dict(zip(PROJECTIONS, np.split(x.T @ d, len(PROJECTIONS), 1)))
+    for name, at in (("near", near), ("far", far)):
+        cell = at.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+        g[name] = np.bincount(cell.ravel(), d_x.ravel(), size * WIDTH).reshape(size, WIDTH).astype(flat.dtype)
+    return g
 
 
 def train(w: dict, batches: Iterator[tuple], rate: float) -> dict[str, np.ndarray]:
-    """Adam over the batches, from the given weights, with steps that shrink slowly.
-
-    The class-pair table, which starts from counts and costs as much as the rest, moves every fourth step.
-    """
+    """Adam over the batches, from the given weights, with steps that shrink slowly; the class-pair table stays as counted."""
     w = {k: v.copy() for k, v in w.items()}
     m = {k: np.zeros_like(v) for k, v in w.items()}
     s = {k: np.zeros_like(v) for k, v in w.items()}
     for step, batch in enumerate(batches, 1):
         now = rate / np.sqrt(1 + step / 200)
-        for k, g in gradients(w, *batch, pair=step % 4 == 1).items():
-            n = (step + 3) // 4 if k == "pair" else step
+        for k, g in gradients(w, *batch).items():
             m[k] += np.float32(0.1) * (g - m[k])
             s[k] += np.float32(0.01) * (g * g - s[k])
-            w[k] -= np.float32(now) * (m[k] / np.float32(1 - 0.9**n)) / (np.sqrt(s[k] / np.float32(1 - 0.99**n)) + np.float32(1e-8))
+            w[k] -= np.float32(now) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     return w
 
 
@@ -438,49 +441,85 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def fit(rows: DataFrame, sequences: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], classes: int) -> dict[str, np.ndarray]:
-    """Train on all windows of all sequences of ``rows``; a column ``warm`` marks those that also start the weights off.
+def encoded(rows: DataFrame, column: str, sequences: Callable[[pa.Array], Iterator[tuple]]) -> DataFrame:
+    """``(warm, near, far)`` for each text of ``column``, one byte a place, written once for all passes of the training."""
 
-    The marked rows give the class-pair counts and a first round; then every task trains on all its windows.
-    After each round the weights are averaged over the tasks by their numbers of windows.
-    """
-    schema = "at int, value double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for near, far, lengths in sequences(batch.column(column)):
+                offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                both = (pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets, pa.py_buffer(v.astype(np.uint8))]) for v in (near, far))
+                yield pa.RecordBatch.from_arrays([batch.column("warm").slice(at, len(lengths)), *both], names=["warm", "near", "far"])
+                at += len(lengths)
 
-    def vector(values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["at", "value"])
+    return materialize(rows.mapInArrow(run, "warm boolean, near binary, far binary"))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences (near, far, lengths) of ``encoded`` rows, about PLACES places at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        near, far = (batch.column(k).cast(pa.large_binary()) for k in ("near", "far"))
+        offsets, other = (np.frombuffer(v.buffers()[1], np.int64, len(v) + 1, v.offset * 8) for v in (near, far))
+        near, far = (np.frombuffer(v.buffers()[2], np.uint8) for v in (near, far))
+        at = 0
+        while at < len(offsets) - 1:
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PLACES, "right")) - 1)
+            yield near[offsets[at] : offsets[upto]], far[other[at] : other[upto]], np.diff(offsets[at : upto + 1])
+            at = upto
+
+
+def pair_counts(rows: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each other one (START ends a sequence), over all ``encoded`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(classes * classes)
-        for near, _, lengths in sequences(batches):
+        for near, _, lengths in decoded(batches):
             target = np.roll(near, -1)
             target[np.cumsum(lengths) - 1] = START
             out += np.bincount(near.astype(np.int64) * classes + target, minlength=classes * classes)
         yield vector(out)
 
+    return summed(rows.select("near", "far").mapInArrow(run, "at int, value double"), classes * classes).reshape(classes, classes)
+
+
+def vector(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["at", "value"])
+
+
+def fit(rows: DataFrame, classes: int) -> dict[str, np.ndarray]:
+    """Train on all windows of all ``encoded`` rows; those marked ``warm`` also start the weights off.
+
+    The class pairs of all rows are counted. The marked rows give a first round; then every task trains on all its
+    windows. After each round the weights are averaged over the tasks by their numbers of windows.
+    """
+
     def learn(w: dict, rate: float) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep_freed_memory()
             seen = [0]
 
             def cut() -> Iterator[tuple]:
-                for k, found in enumerate(sequences(batches)):
+                for k, found in enumerate(decoded(batches)):
                     for batch in windows(*found, seed=k):
                         seen[0] += len(batch[0])
                         yield batch
 
             new = train(w, cut(), rate)
-            yield vector(np.concatenate([[1.0], *(new[k].ravel().astype(np.float64) for k in sorted(new))]) * seen[0])
+            yield vector(np.concatenate([[1.0], *(new[k].ravel().astype(np.float64) for k in learnt)]) * seen[0])
 
         return run
 
-    some, every = rows.where("warm").drop("warm"), rows.drop("warm")
-    w = new_weights(summed(some.mapInArrow(pairs, schema), classes * classes).reshape(classes, classes))
-    size = sum(v.size for v in w.values())
-    for table, rate in ((some, RATE), (every, RATE / 2)):
-        total = summed(table.mapInArrow(learn(w, rate), schema), size + 1)
+    w = new_weights(pair_counts(rows, classes))
+    learnt = sorted(w.keys() - {"pair"})
+    size = sum(w[k].size for k in learnt)
+    for table, rate in ((rows.where("warm"), RATE), (rows, RATE / 2)):
+        total = summed(table.select("near", "far").mapInArrow(learn(w, rate), "at int, value double"), size + 1)
         if total[0]:
             at = 1
-            for k in sorted(w):
+            for k in learnt:
                 w[k] = (total[at : at + w[k].size] / total[0]).reshape(w[k].shape).astype(np.float32)
                 at += w[k].size
     return w
@@ -528,20 +567,24 @@ def lm_scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     pairs = id_pairs(words, path, pattern)
     shared = spark.sparkContext.broadcast(Lexicon(path, pattern, pairs, held, discount))
 
-    def word_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            if batch.num_rows:
-                yield shared.value.spelling([w.encode() for w in batch.column("word").to_pylist()])[:3]
+    def word_sequences(column: pa.Array) -> Iterator[tuple]:
+        if len(column):
+            yield shared.value.spelling([w.encode() for w in column.to_pylist()])[:3]
 
-    def document_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def document_sequences(column: pa.Array) -> Iterator[tuple]:
         met = MetWords.of(shared.value, shared.value.ends, 2)
-        for batch in batches:
-            for group in word_groups(batch.column("text")):
-                yield text_sequences(group, met)[:3]
+        for group in word_groups(column):
+            yield text_sequences(group, met)[:3]
 
-    spelling = fit(words.select("word", (F.pmod(F.xxhash64("word"), F.lit(WARM_SHARE)) == 0).alias("warm")), word_sequences, SPELLING_CLASSES)
+    spelt = words.select("word", (F.pmod(F.xxhash64("word"), F.lit(WARM_SHARE)) == 0).alias("warm"))
     warm = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(WARM_SHARE)) == 0
-    context = fit(training.select("text", warm.alias("warm")), document_sequences, CLASSES)
+    read = training.select("text", warm.alias("warm"))
+    networks = []
+    for table, column, sequences, classes in ((spelt, "word", word_sequences, SPELLING_CLASSES), (read, "text", document_sequences, CLASSES)):
+        rows = encoded(table, column, sequences)
+        networks.append(fit(rows, classes))
+        discard(rows)
+    spelling, context = networks
     weights = spark.sparkContext.broadcast((context, spelling))
     log_all = float(np.log10(n_all + n_types + 1))
     log_end = float(np.log10(ends + 1))
