@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tmengine.operators import glossary
 
 SCHEMA = "row_id long, source string, target string, category string"
@@ -64,3 +66,17 @@ def test_joined_matches_equal_a_plain_scan(spark, monkeypatch):
         monkeypatch.setattr(glossary.fingerprints, "__defaults__", (block,))
         assert {r.row_id: r.terms for r in glossary.matches(df, named, pattern_terms=0).collect()} == want
     assert [r.terms for r in glossary.joined_matches(df.limit(2), named.where("source is null")).collect()] == [[], []]
+
+
+def test_short_texts_share_batches_and_few_places_leave_a_task(spark):
+    """A sieve lets all its own prints through and few others; texts are put together, none is cut."""
+    own, other = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, (2, 9000))
+    bits = glossary.sieve(spark.createDataFrame([(int(x),) for x in own], "x long"), "x").value
+    assert len(glossary._passes(bits, own.view(np.uint64))) == len(own) and len(glossary._passes(bits, other.view(np.uint64))) < len(other) / 10
+    bodies = ["ab", "c", "", "defgh", "i"]
+    parts = list(glossary._joined(bodies, 3))
+    assert [(at, said, cuts.tolist()) for at, said, cuts in parts] == [(0, "abc", [0, 2, 3]), (2, "defgh", [0, 0, 5]), (4, "i", [0, 1])]
+    texts = spark.createDataFrame([(i, f"number {i} of all") for i in range(3000)], "_text long, body string")
+    found = glossary.places(texts, spark.createDataFrame([("number 7 ",), ("all",), ("r 2999",)], "source string"))
+    assert sorted((r._text, r.place, r.source) for r in found.where("source <> 'all'").collect()) == [(7, 0, "number 7 "), (2999, 5, "r 2999")]
+    assert found.where("source = 'all'").count() == 3000

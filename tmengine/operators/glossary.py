@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from tmengine.tables import BROADCAST_ROWS, written
 PATTERN_TERMS = 5_000
 #: Places of a text whose prints are made at once.
 BLOCK = 1 << 20
+#: Short texts are put together to about so many characters.
+CHUNK = 1 << 16
+#: Bits of a sieve for each print in it, and at most in all (32 MB).
+SIEVE_BITS, SIEVE_MOST = 16, 1 << 28
+_PAGE = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,22 +85,70 @@ def whole_print(first: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarra
     return _mixed(_mixed(first, last), n.astype(np.uint64)).view(np.int64)
 
 
+def _joined(bodies: list[str], size: int) -> Iterator[tuple[int, str, np.ndarray]]:
+    """Texts put together to about ``size`` characters, no text cut: number of the first one, the characters, where each text begins and the last one ends."""
+    at = held = 0
+    for i, said in enumerate(bodies):
+        held += len(said)
+        if held >= size or i == len(bodies) - 1:
+            yield at, "".join(bodies[at : i + 1]), np.cumsum([0, *map(len, bodies[at : i + 1])])
+            at, held = i + 1, 0
+
+
+def _wholes(said: str, classes: list[int]) -> dict[int, np.ndarray]:
+    """All prints of each class."""
+    parts: dict[int, list] = {}
+    for k, _, prints in fingerprints(said, classes):
+        parts.setdefault(k, []).append(prints)
+    return {k: np.concatenate(p) for k, p in parts.items()}
+
+
 def printed_terms(terms: DataFrame) -> DataFrame:
     """``(source, n, class, anchor, whole)`` of distinct sources: length, its class (2^class <= n), prints of the start and of all."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for source in batch["source"]:
-                n = len(source)
-                k = n.bit_length() - 1
-                prints = np.concatenate([x for _, _, x in fingerprints(source, [k])])
-                first, last = prints[:1], prints[n - (1 << k) :][:1]
-                rows.append((source, n, k, int(first.view(np.int64)[0]), int(whole_print(first, last, np.array([n]))[0])))
-            yield pd.DataFrame(rows, columns=["source", "n", "class", "anchor", "whole"])
+            sources = batch.column("source").to_pylist()
+            for at, said, cuts in _joined(sources, CHUNK):
+                n = np.diff(cuts)
+                k = np.frexp(n)[1] - 1
+                anchor, whole = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                for c, prints in _wholes(said, sorted(set(k.tolist()))).items():
+                    own = np.flatnonzero(k == c)
+                    first = prints[cuts[own]]
+                    anchor[own] = first.view(np.int64)
+                    whole[own] = whole_print(first, prints[cuts[own + 1] - (1 << c)], n[own])
+                columns = [sources[at : at + len(n)], n.astype(np.int32), k.astype(np.int32), anchor, whole]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["source", "n", "class", "anchor", "whole"])
 
     distinct = terms.select("source").where("source <> ''").distinct()
-    return distinct.mapInPandas(run, "source string, n int, class int, anchor long, whole long")
+    return distinct.mapInArrow(run, "source string, n int, class int, anchor long, whole long")
+
+
+def sieve(rows: DataFrame, column: str) -> Broadcast:
+    """A table of bits that says of a print whether it may be in the column: yes for all that are, and for few others.
+
+    It takes ``SIEVE_BITS`` bits a row up to ``SIEVE_MOST`` in all; pages of it are made in tasks and put together on the driver.
+    """
+    size = min(SIEVE_MOST, max(_PAGE, 1 << int(rows.count() * SIEVE_BITS).bit_length()))
+    slot = F.shiftrightunsigned(F.col(column), 65 - size.bit_length())
+
+    def page(part: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(_PAGE, bool)
+        bits[part["bit"].to_numpy()] = True
+        return pd.DataFrame({"page": part["page"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    slots = rows.select(F.floor(slot / _PAGE).cast("int").alias("page"), F.pmod(slot, F.lit(_PAGE)).cast("int").alias("bit")).distinct()
+    out = np.zeros((size // _PAGE, _PAGE // 8), np.uint8)
+    for r in slots.groupBy("page").applyInPandas(page, "page int, bits binary").toLocalIterator():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(out.reshape(-1))
+
+
+def _passes(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Places of the prints that pass a sieve."""
+    slot = prints >> np.uint64(65 - (len(bits) * 8).bit_length())
+    return np.flatnonzero((bits[slot >> np.uint64(3)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1)
 
 
 def matches(texts: DataFrame, terms: DataFrame, text: str = "text", pattern_terms: int = PATTERN_TERMS) -> DataFrame:
@@ -116,7 +171,8 @@ def places(full: DataFrame, terms: DataFrame) -> DataFrame:
 
     A term of n characters has the class k with 2^k <= n < 2^(k + 1). Each text gives the distinct prints of 2^k characters it
     holds, for the classes present, and meets the terms' starts by them. Back at the text the places of the starts that
-    were met and the lengths of their terms give prints of whole terms, which meet the terms. Prints are 64 bits: what is
+    were met and the lengths of their terms give prints of whole terms, which meet the terms. Of both only those leave a
+    task that pass a ``sieve`` of the terms', so most places of a text give no row. Prints are 64 bits: what is
     found must be compared with the text itself.
     """
     known = written(printed_terms(terms))
@@ -124,46 +180,57 @@ def places(full: DataFrame, terms: DataFrame) -> DataFrame:
     if not classes:
         return full.sparkSession.createDataFrame([], "_text long, place long, source string")
     anchors = written(known.groupBy("class", "anchor").agg(F.sort_array(F.collect_set("n")).alias("lengths")))  # fewer than 2^class lengths
-    few = anchors.count() <= BROADCAST_ROWS
+    few = known.count() <= BROADCAST_ROWS
+    side = F.broadcast if few else lambda df: df.hint("merge")
+    begun, said_whole = sieve(anchors, "anchor"), sieve(known, "whole")
 
-    def given(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, said in zip(batch["_text"], batch["body"]):
-                found: dict[int, list] = {}
-                for k, _, prints in fingerprints(said, classes):
-                    found.setdefault(k, []).append(np.unique(prints))
-                for k, parts in found.items():
-                    prints = np.unique(np.concatenate(parts)).view(np.int64)
-                    yield pd.DataFrame({"_text": at, "class": np.int32(k), "anchor": prints})
-
-    prints = full.mapInPandas(given, "_text long, class int, anchor long")
-    met = written(prints.join(F.broadcast(anchors) if few else anchors.hint("merge"), ["class", "anchor"]))
+            ids = batch.column("_text").to_numpy()
+            for first, said, cuts in _joined(batch.column("body").to_pylist(), CHUNK):
+                rows = []
+                for k, start, prints in fingerprints(said, classes):
+                    at = _passes(begun.value, prints)
+                    text = np.searchsorted(cuts, start + at, "right") - 1
+                    inside = start + at + (1 << k) <= cuts[text + 1]
+                    rows.append(pd.DataFrame({"_text": ids[first + text[inside]], "class": np.int32(k), "anchor": prints[at[inside]].view(np.int64)}).drop_duplicates())
+                if rows:
+                    yield pa.RecordBatch.from_pandas(pd.concat(rows, ignore_index=True).drop_duplicates(ignore_index=True), preserve_index=False)
+
+    prints = full.mapInArrow(given, "_text long, class int, anchor long")
+    met = written(prints.join(side(anchors), ["class", "anchor"]))
     met = met.groupBy("_text").agg(F.collect_list(F.struct("class", "anchor", "lengths")).alias("met"))
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, said, starts in zip(batch["_text"], batch["body"], batch["met"]):
-                wanted: dict[int, list] = {}
-                for s in starts:
-                    wanted.setdefault(s["class"], []).append((s["anchor"], s["lengths"]))
-                whole: dict[int, list] = {}
-                for k, _, part in fingerprints(said, sorted(wanted)):
-                    whole.setdefault(k, []).append(part)
-                for k, listed in wanted.items():
-                    prints = np.concatenate(whole[k])
-                    listed.sort(key=lambda x: x[0])
-                    names = np.array([a for a, _ in listed], np.int64)
-                    nth = np.minimum(np.searchsorted(names, prints.view(np.int64)), len(names) - 1)
-                    places = np.flatnonzero(names[nth] == prints.view(np.int64))
-                    lengths = [np.asarray(listed[i][1]) for i in nth[places]]
-                    p, n = np.repeat(places, [len(x) for x in lengths]), np.concatenate([np.zeros(0, int), *lengths]).astype(np.int64)
-                    last = p + n - (1 << k)
-                    ok = last < len(prints)
-                    p, n, last = p[ok], n[ok], last[ok]
-                    yield pd.DataFrame({"_text": at, "place": p, "n": n.astype(np.int32), "whole": whole_print(prints[p], prints[last], n)})
-
-    there = full.join(met.hint("merge"), "_text").mapInPandas(placed, "_text long, place long, n int, whole long")
-    return written(there).join(known.select("n", "whole", "source").hint("merge"), ["n", "whole"]).select("_text", "place", "source")
+            ids, starts = batch.column("_text").to_numpy(), batch.column("met")
+            for first, said, cuts in _joined(batch.column("body").to_pylist(), CHUNK):
+                some = starts.slice(first, len(cuts) - 1).flatten()
+                kind, anchor, lengths = (some.field(i) for i in range(3))
+                kind, anchor = kind.to_numpy(), anchor.to_numpy()
+                for k, prints in _wholes(said, np.unique(kind).tolist()).items():
+                    own = np.flatnonzero(kind == k)
+                    names, nth = np.unique(anchor[own], return_index=True)  # lengths belong to the start, in whichever text
+                    listed = lengths.take(pa.array(own[nth]))
+                    sizes, all_n = listed.value_lengths().to_numpy(), listed.flatten().to_numpy().astype(np.int64)
+                    begin = np.cumsum(sizes) - sizes
+                    at = _passes(begun.value, prints)
+                    nth = np.minimum(np.searchsorted(names, prints[at].view(np.int64)), len(names) - 1)
+                    same = names[nth] == prints[at].view(np.int64)
+                    at, nth = at[same], nth[same]
+                    many = sizes[nth]
+                    p = np.repeat(at, many)
+                    n = all_n[np.repeat(begin[nth] - np.cumsum(many) + many, many) + np.arange(len(p))]
+                    text = np.searchsorted(cuts, p, "right") - 1
+                    inside = p + n <= cuts[text + 1]
+                    p, n, text = p[inside], n[inside], text[inside]
+                    whole = whole_print(prints[p], prints[p + n - (1 << k)], n)
+                    ok = _passes(said_whole.value, whole.view(np.uint64))
+                    columns = [ids[first + text[ok]], (p - cuts[text])[ok], n[ok].astype(np.int32), whole[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_text", "place", "n", "whole"])
+
+    there = full.join(met.hint("merge"), "_text").select("_text", "body", "met").mapInArrow(placed, "_text long, place long, n int, whole long")
+    return written(there).join(side(known.select("n", "whole", "source")), ["n", "whole"]).select("_text", "place", "source")
 
 
 def joined_matches(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -172,19 +239,20 @@ def joined_matches(texts: DataFrame, terms: DataFrame, text: str = "text") -> Da
     full = rows.select("_text", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).where("body <> ''")
     hits = places(full, terms).groupBy("_text").agg(F.collect_list(F.struct("place", "source")).alias("hits"))
 
-    @F.pandas_udf("array<string>")
-    def resolved(bodies: pd.Series, lists: pd.Series) -> pd.Series:
-        def one(said: str, found: list) -> list[str]:
-            out, end = {}, 0
-            for h in sorted(found, key=lambda h: (h["place"], -len(h["source"]))):
-                if h["place"] >= end and said.startswith(h["source"], h["place"]):
-                    out[h["source"]] = None
-                    end = h["place"] + len(h["source"])
-            return list(out)
-
-        return pd.Series([one(b, h) for b, h in zip(bodies, lists)])
-
-    listed = written(full.join(hits.hint("merge"), "_text").select("_text", resolved("body", "hits").alias("terms")))
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for said, found in zip(batch.column("body").to_pylist(), batch.column("hits")):
+                places_, sources = (found.values.field(i).to_pylist() for i in range(2))
+                seen, end = {}, 0
+                for at, _, source in sorted(zip(places_, (-len(x) for x in sources), sources)):
+                    if at >= end and said.startswith(source, at):
+                        seen[source] = None
+                        end = at + len(source)
+                out.append(list(seen))
+            yield pa.RecordBatch.from_arrays([batch.column("_text"), pa.array(out, pa.list_(pa.string()))], names=["_text", "terms"])
+
+    listed = written(full.join(hits.hint("merge"), "_text").select("_text", "body", "hits").mapInArrow(resolved, "_text long, terms array<string>"))
     out = rows.join(listed.hint("merge"), "_text", "left").drop("_text")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 

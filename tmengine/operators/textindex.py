@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tmengine.functions.text import tokens
 from tmengine.operators import glossary
-from tmengine.tables import written
+from tmengine.tables import BROADCAST_ROWS, written
 
 _PIECES = re.compile("([0-9A-Za-z]+)|([\u4e00-\u9fff]+)")
 #: Texts of one block of the posting list.
@@ -59,7 +59,9 @@ def segmented(texts: DataFrame, dictionary: DataFrame, text: str = "text") -> Da
     total = words.agg(F.sum("freq")).first()[0] or 1.0
     rows = written(texts.withColumn("_text", F.monotonically_increasing_id()))
     full = rows.select("_text", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).where("body <> ''")
-    found = glossary.places(full, words.select(F.col("word").alias("source"))).join(words.withColumnRenamed("word", "source").hint("merge"), "source")
+    named = words.withColumnRenamed("word", "source")
+    named = F.broadcast(named) if words.count() <= BROADCAST_ROWS else named.hint("merge")
+    found = glossary.places(full, words.select(F.col("word").alias("source"))).join(named, "source")
     graph = found.groupBy("_text").agg(F.collect_list(F.struct("place", "source", "freq")).alias("graph"))
 
     @F.pandas_udf("array<string>")
