@@ -73,3 +73,18 @@ def test_similar_sets_match_brute_force_with_few_candidates(spark):
         seen = {}
         assert {(r.query_id, r.row_id) for r in cluster.similar_sets(asked, rows, least, seen).collect()} == want
         assert least < 0.5 or seen["candidates"] * 5 < all_pairs
+
+
+def test_similar_sets_of_several_blocks_match_brute_force(spark, monkeypatch):
+    """Every row shares common items, so that many pairs meet: all are compared inside tasks, block by block."""
+    monkeypatch.setattr(cluster, "QUERY_SETS", 7)
+    monkeypatch.setattr(cluster, "ROW_SETS", 5)
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", -1)
+    rng = random.Random(5)
+    base = [["the", "of", *(f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 25)))] for _ in range(70)]
+    rows = spark.createDataFrame(list(enumerate(base)), "row_id long, items array<string>")
+    asked = rows.where("row_id % 3 = 0").withColumnRenamed("row_id", "query_id")
+    for least in (0.05, 0.5):
+        found = {(r.query_id, r.row_id): r.similarity for r in cluster.similar_sets(asked, rows, least).collect()}
+        exact = {(q, r): len({*base[q]} & {*base[r]}) / len({*base[q]} | {*base[r]}) for q in range(0, 70, 3) for r in range(70) if q != r}
+        assert found == {k: round(v, 6) for k, v in exact.items() if v >= least}
