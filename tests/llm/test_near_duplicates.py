@@ -107,3 +107,18 @@ def test_one_row_of_each_group_survives_repeated_and_missing_ids(spark, sf_dir):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
     assert len(kept) == 3 and {(1, x), (1, y)} < set(kept)
     assert [t for d, t in kept if d is None][0] in (z, z + " more")
+
+
+def test_simhash_links_without_sketches(spark, monkeypatch):
+    """Near fingerprints meet at anchors: equal sets in another order and texts of a few other shingles, decided by their sets."""
+    rng = random.Random(4)
+    words = words_of(rng)
+    rows = []
+    for k in range(8):
+        base = [rng.choice(words) for _ in range(1500)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base, rng.choice(words)])), (10 * k + 2, " ".join([*base, *base]))]
+    for name in ("next_in_bucket", "all_in_bucket"):
+        whole = getattr(op, name)
+        monkeypatch.setattr(op, name, lambda placed, *turn, whole=whole: whole(placed.where("false"), *turn))
+    got = groups(spark, rows)
+    assert got == {d: d - d % 10 for d, _ in rows}

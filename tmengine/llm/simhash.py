@@ -530,11 +530,30 @@ def simhash_components(docs: DataFrame, width: int = 4, distance: int = 4) -> Da
     return rows.join(named.hint("merge"), ["fp", "_salt"]).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFrame:
+def simhash_pairs(bodies: DataFrame, distance: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``(body, fp)`` that the covering links: equal fingerprints, and those that differ in at most ``distance`` bits.
+
+    An anchor gives a forest, and bodies of one fingerprint a star at the least of them.
+    """
+    points = materialize(bodies.groupBy("fp").agg(F.min("body").alias("least")))
+
+    def near(x: dict, y: dict) -> np.ndarray:
+        return differing(x["fp"], y["fp"]) <= distance
+
+    links = compare(replicas(points.select("fp"), "fp", ["fp"], distance), near, "fp", ["fp"])
+    for side in "ab":
+        links = links.join(points.select(F.col("fp").alias(side), F.col("least").alias(f"of_{side}")).hint("merge"), side)
+    same = bodies.select("body", "fp").join(points.hint("merge"), "fp").where("body <> least")
+    pairs = links.select("of_a", "of_b").union(same.select("body", "least"))
+    return pairs.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76, distance: int = 4) -> DataFrame:
     """``(doc_id, body, group, component_id)`` of every row: texts whose sets of shingles have a Jaccard similarity of 0.8 or more are linked.
 
-    At Jaccard similarity 0.8 two SimHashes of the shingles differ in about 15 % of their bits, too many to
-    cover. So candidates share one of ``BANDS`` sketches of ``ROWS`` shingle minima, which at similarity s has
+    SimHashes of the sets meet at the anchors of the covering, as in ``simhash_components``, and the sets of those that differ
+    in at most ``distance`` bits decide. At Jaccard similarity 0.8 two SimHashes differ in about 15 % of their bits, too many
+    to cover. So for what is left apart, candidates share one of ``BANDS`` sketches of ``ROWS`` shingle minima, which at similarity s has
     the chance 1 - (1 - s^ROWS)^BANDS whatever the edit. Sizes and the sets' 256 bits sort out far pairs (more
     than ``bits`` differ, 6 deviations above the mean at 0.8), and the sets themselves decide on every other.
     ``body`` is the text's 64-bit hash: equal texts are one vertex. ``group`` is the component's least body;
@@ -552,7 +571,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
     shared = placed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     buckets = placed.join(shared.hint("merge"), "key", "left_semi")
     buckets = materialize(buckets.join(bodies.drop("bands").hint("merge"), "body"))
-    wanted = keyed.join(buckets.select("body").distinct().hint("merge"), "body", "left_semi")
+    close = materialize(simhash_pairs(bodies, distance))
+    asked = buckets.select("body").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = keyed.join(asked.hint("merge"), "body", "left_semi")
     sets = materialize(shingle_sets(wanted.groupBy("body").agg(F.first("text").alias("text")), width))
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -560,18 +581,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
         pairs = pairs.where((F.least("x_n", "y_n") * 5 >= F.greatest("x_n", "y_n") * 4) & (differ <= bits))
         return pairs.select(F.least("x_body", "y_body").alias("a"), F.greatest("x_body", "y_body").alias("b")).distinct()
 
-    def apart(linked: DataFrame | None) -> DataFrame:
+    def apart(linked: DataFrame) -> DataFrame:
         """The rows of buckets that hold more than one component."""
-        rows = buckets.withColumn("component", F.col("body"))
-        if linked is not None:
-            rows = buckets.join(linked.hint("merge"), F.col("body") == F.col("id"), "left").withColumn("component", F.coalesce("component", "body")).drop("id")
+        rows = buckets.join(linked.hint("merge"), F.col("body") == F.col("id"), "left").withColumn("component", F.coalesce("component", "body")).drop("id")
         mixed_up = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         return materialize(rows.join(mixed_up.hint("merge"), "key", "left_semi"))
 
-    used = [buckets, sets]
-    tried = links = linked = None
+    tried, links = close, materialize(alike(close, sets))
+    linked = materialize(components(links))
+    used = [buckets, sets, close, links]
     for turn in range(TURNS + 1):
-        rows = apart(linked) if turn else buckets.withColumn("component", F.col("body"))
+        rows = apart(linked)
         if turn == TURNS:
             large = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > PAIRED).select("key")
             large = materialize(large)
@@ -579,15 +599,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 76) -> DataFram
             links = links.union(blocks)
             used += [rows, large, blocks]
             rows = rows.join(large.hint("merge"), "key", "left_anti")
-        elif turn:
+        else:
             used += [rows]
         pairs = candidates(next_in_bucket(rows, turn) if turn < TURNS else all_in_bucket(rows))
-        pairs = materialize(pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
+        pairs = materialize(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
         found = materialize(alike(pairs, sets))
         used += [pairs, found]
-        links = found if links is None else links.union(found)
-        if turn in (0, TURNS) or not found.isEmpty():
+        links = links.union(found)
+        if turn == TURNS or not found.isEmpty():
             linked = materialize(components(links))
     least = ids.groupBy("body").agg(F.min("doc_id").alias("least"), F.collect_set("_salt").alias("salts"))
     named = least.join(linked.hint("merge"), F.col("body") == F.col("id"), "left")
