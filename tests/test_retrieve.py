@@ -81,6 +81,29 @@ def test_pruned_hits_equal_all_hits(spark, monkeypatch):
     assert retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.postings(empty, "pair_id"), empty.agg(F.count("*").alias("n")), 5).count() == 0
 
 
+def test_counted_texts_give_the_same_hits(spark, monkeypatch):
+    """Texts counted in one row, scored where they lie: repeated and null ids, copies, Han pairs, any size of what is made at once."""
+    rng = random.Random(6)
+    words = [f"w{min(int(rng.paretovariate(0.7)), 300)}" for _ in range(3000)] + ["K9", "İx", "中国人民", "民", "a中b"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(int(rng.paretovariate(0.9)) % 200))) for i in range(300)] + [(900, None), (901, ""), (902, "w1 " * 500)]
+    texts += [(1000 + i, "w1 w2 w3 same text 中国") for i in range(60)] + [(5, "w1 w2"), (5, "w1 x"), (None, "w1 w3"), (None, "w3 民")]
+    index = spark.createDataFrame(texts, "pair_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for q in range(25)] + [(50, "w1"), (51, "none such"), (52, None), (53, "same w299 国人")], "query_id long, text string")
+    made = textindex.counted(index, "pair_id").select("pair_id", "n", F.inline("counts")).select("pair_id", "token", "tf", "n")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, made.collect()), key=key) == sorted(map(tuple, textindex.postings(index, "pair_id").collect()), key=key)
+    n_index = index.agg(F.count("*").alias("n"))
+    want = retrieve.top(retrieve.sparse_scores(textindex.postings(asked, "query_id"), textindex.postings(index, "pair_id"), n_index), 5)
+    want = sorted(map(tuple, want.select("query_id", "pair_id", "score", "nth").collect()), key=key)
+    for meet, sums, rows in ((1 << 20, 1 << 21, 200_000), (10, 40, 200_000), (1, 1, 3)):
+        for name, value in (("_MEET", meet), ("_SUMS", sums), ("BROADCAST_ROWS", rows)):
+            monkeypatch.setattr(retrieve, name, value)
+        hits = retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.counted(index, "pair_id"), n_index, 5)
+        assert sorted(map(tuple, hits.select("query_id", "pair_id", "score", "nth").collect()), key=key) == want
+    none = index.where("false")
+    assert retrieve.sparse_hits(textindex.postings(asked, "query_id"), textindex.counted(none, "pair_id"), none.agg(F.count("*").alias("n")), 5).count() == 0
+
+
 def test_a_token_of_every_text_is_hardly_met(spark):
     """One token is in every text: a tenth of the rows before the last aggregate, or less, and the same hits."""
     rng = random.Random(9)

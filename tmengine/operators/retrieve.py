@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,105 @@ def _threshold(asked: DataFrame, rows: DataFrame, maxima: DataFrame, n: int) ->
     return reached[0].unionByName(reached[1]).groupBy("query_id").agg(F.max("score").alias("floor"))
 
 
+#: Products of a posting and a query, and sums of a text and a query, that a task makes at once.
+_MEET, _SUMS = 1 << 20, 1 << 21
+
+
+def _asked_only(index: DataFrame, terms: list[str]) -> DataFrame:
+    """``(pair_id, tokens, tfs)`` of counted texts: only tokens among ``terms``, as their places there; texts without any are left out."""
+    kind = index.schema["pair_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            held = batch.column("counts")
+            owner = np.repeat(np.arange(len(held)), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+            token, tf = held.flatten().flatten()
+            place = pc.fill_null(pc.index_in(token, value_set=known), -1).to_numpy(zero_copy_only=False)
+            here = np.flatnonzero(place >= 0)
+            sizes = np.bincount(owner[here], minlength=len(held))
+            some = np.flatnonzero(sizes)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (place[here].astype(np.int32), tf.to_numpy(zero_copy_only=False)[here])]
+            yield pa.RecordBatch.from_arrays([batch.column("pair_id").take(pa.array(some)), *lists], names=["pair_id", "tokens", "tfs"])
+
+    return index.select("pair_id", "counts").mapInArrow(run, f"pair_id {kind}, tokens array<int>, tfs array<bigint>")
+
+
+def _best_of_task(held: DataFrame, asked: pa.Table, terms: list[str], n: int, kind: str) -> DataFrame:
+    """``(query_id, pair_id, score)``: every task's n best texts of each query, with those that rounding may put level with them.
+
+    ``asked(query_id, token, w)`` are the queries' weights. A text's sums are made where it lies; of equal sums the n smallest ids stay.
+    """
+    place = pc.index_in(asked.column("token").combine_chunks(), value_set=pa.array(terms, pa.string())).to_numpy(zero_copy_only=False)
+    coded = asked.column("query_id").combine_chunks().dictionary_encode("encode")
+    ids, order = coded.dictionary, np.argsort(place, kind="stable")
+    start = np.searchsorted(place[order], np.arange(len(terms) + 1))
+    query = coded.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64)
+    weight = asked.column("w").to_numpy()[order]
+    n_q = len(ids)
+
+    def kept(q: np.ndarray, pair: np.ndarray, score: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        order = np.lexsort((pair, -score, q))
+        q, score = q[order], score[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        full = nth == n - 1
+        floor[q[full]] = score[full]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (score[1:] != score[:-1])
+        level = np.arange(len(q)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        return order[(level < n) & (score >= floor[q] - _SLACK)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full(n_q, -np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+        for batch in batches:
+            lists = batch.column("tokens")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            token, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tokens", "tfs"))
+            none = batch.column("pair_id").is_null().to_numpy(zero_copy_only=False)
+            pair = pc.fill_null(batch.column("pair_id").cast(pa.int64()), -(2**63)).to_numpy(zero_copy_only=False)  # null comes first
+            fan = start[token + 1] - start[token]
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            work = np.concatenate([[0], np.cumsum(fan)])[first]
+            at = 0
+            while at < len(sizes):
+                upto = min(at + max(1, _SUMS // n_q), int(np.searchsorted(work, work[at] + _MEET, "right")) - 1)
+                upto = max(at + 1, upto)
+                a, z = first[at], first[upto]
+                met = np.repeat(np.arange(a, z), fan[a:z])
+                entry = np.repeat(start[token[a:z]], fan[a:z]) + np.arange(len(met)) - np.repeat(np.cumsum(fan[a:z]) - fan[a:z], fan[a:z])
+                cell = np.repeat(np.arange(upto - at), work[at + 1 : upto + 1] - work[at:upto]) * n_q + query[entry]
+                sums = np.bincount(cell, weight[entry] * tf[met], (upto - at) * n_q)
+                hit = np.zeros(len(sums), bool)
+                hit[cell] = True
+                hit &= (sums.reshape(-1, n_q) >= floor - _SLACK).ravel()
+                where = np.flatnonzero(hit)
+                row = at + where // n_q
+                best = tuple(np.concatenate(x) for x in zip(best, (where % n_q, pair[row], sums[where], none[row])))
+                stay = kept(*best[:3], floor)
+                best = tuple(x[stay] for x in best)
+                at = upto
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(best[0])), pa.array(best[1], mask=best[3]), pa.array(best[2])], names=["query_id", "pair_id", "score"])
+
+    return held.mapInArrow(run, f"query_id {kind}, pair_id bigint, score double")
+
+
+def _counted_hits(said: DataFrame, terms: list[str], index: DataFrame, n_index: DataFrame, n: int, kept: DataFrame | None) -> DataFrame:
+    """``sparse_hits`` of counted texts for queries whose (query_id, token) rows may be broadcast: texts stay in their tasks."""
+    spark = said.sparkSession
+    held = written(_asked_only(index, terms))
+    if kept is None:
+        df = held.select(F.explode("tokens").alias("place")).groupBy("place").agg(F.count("*").alias("df")).toPandas()  # a row an asked token
+        kept = spark.createDataFrame([(terms[p], int(v)) for p, v in zip(df["place"], df["df"])], "token string, df long")
+    asked = said.join(inverse_frequencies(held, n_index, kept).hint("merge"), "token").select("query_id", "token", (F.col("q_tf") * F.col("idf")).alias("w")).toArrow()
+    kind, id_kind = said.schema["query_id"].dataType.simpleString(), index.schema["pair_id"].dataType.simpleString()
+    if not asked.num_rows:
+        return top(spark.createDataFrame([], f"query_id {kind}, pair_id {id_kind}, score double"), n)
+    found = _best_of_task(held, asked, terms, n, kind)
+    return top(found.select("query_id", F.col("pair_id").cast(id_kind).alias("pair_id"), F.round("score", 6).alias("score")), n)
+
+
 def sparse_hits(queries: DataFrame, index: DataFrame, n_index: DataFrame, n: int, kept: DataFrame | None = None, counts: dict | None = None, direct: int = DIRECT_ROWS) -> DataFrame:
     """The ``n`` best of ``sparse_scores`` of each query, with ``nth``, found without meeting most postings.
 
@@ -68,9 +169,16 @@ def sparse_hits(queries: DataFrame, index: DataFrame, n_index: DataFrame, n: int
     the others may still reach the score. Where all postings of the asked tokens are no more than ``direct``, bounds would cost
     more than they save, and all are met. ``index`` are postings with n (``textindex.postings``), ``kept`` kept
     frequencies; ``counts`` takes the rows met if given (tests).
+
+    ``index`` may also be counted texts (``textindex.counted``) with whole numbers as pair_id. Where the queries' tokens may be
+    broadcast, a text's scores are then made in the task that holds it, and only each task's best meet a shuffle.
     """
     said = written(queries.select("query_id", "token", F.col("tf").alias("q_tf")))
     wanted = written(said.select("token").distinct())
+    if "counts" in index.columns:
+        if said.count() <= BROADCAST_ROWS:
+            return _counted_hits(said, sorted(r["token"] for r in wanted.collect()), index, n_index, n, kept)
+        index = index.select("pair_id", "n", F.inline("counts"))
     few = wanted.count() <= BROADCAST_ROWS
     posted = written(index.join(F.broadcast(wanted) if few else wanted.hint("merge"), "token", "left_semi"))
     asked = said.join(inverse_frequencies(posted, n_index, kept).hint("merge"), "token")
@@ -173,7 +281,8 @@ def fused(channels: list[DataFrame], k: int = 60, fetch: int | None = None) -> D
 
 def weighted_top(hits: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """The ``k`` best hits of each query: one a (source, target), best status first, ordered by score times status weight."""
-    rows = written(hits.select("query_id", "pair_id", "score")).join(index.select("pair_id", "source", "target", "status").hint("merge"), "pair_id")
+    found, held = written(hits.select("query_id", "pair_id", "score")), index.select("pair_id", "source", "target", "status")
+    rows = held.join(F.broadcast(found), "pair_id") if found.count() <= BROADCAST_ROWS else found.join(held.hint("merge"), "pair_id")
     rows = rows.withColumn("rank", status_rank(F.col("status")))
     one = F.min_by(F.struct("pair_id", "score", "status"), F.struct("rank", (-F.col("score")).alias("s"), "pair_id"))
     rows = rows.groupBy("query_id", stripped(F.col("source")).alias("source"), stripped(F.col("target")).alias("target")).agg(one.alias("h"))

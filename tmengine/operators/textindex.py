@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from tmengine.operators import glossary
 from tmengine.tables import BROADCAST_ROWS, written
 
 _PIECES = re.compile("([0-9A-Za-z]+)|([\u4e00-\u9fff]+)")
+_WORD, _HAN = re.compile("[0-9a-z]+"), re.compile("[\u4e00-\u9fff]+")
 #: Texts of one block of the posting list.
 BLOCK = 128
 
@@ -29,6 +33,42 @@ def postings(texts: DataFrame, id_column: str, text: str = "text", cut: Callable
     return each.groupBy(id_column, "token").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
 
 
+def _token_counts(lowered: pa.Array) -> pa.Array:
+    """Each text's number of tokens (``functions.text.tokens``) and how often each occurs."""
+    sizes, ends, names, tfs = [], [0], [], []
+    for text in lowered.to_pylist():
+        found = Counter(_WORD.findall(text) if text else ())
+        if text and not text.isascii():
+            for run in _HAN.findall(text):
+                found.update([run] if len(run) == 1 else map("".join, zip(run, run[1:])))
+        names += found.keys()
+        tfs += found.values()
+        ends.append(len(names))
+        sizes.append(found.total())
+    pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(tfs, pa.int64())], names=["token", "tf"])
+    counts = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pairs)
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), counts], names=["n", "counts"])
+
+
+def counted(texts: DataFrame, id_column: str, text: str = "text") -> DataFrame:
+    """``(id, n, counts)``: the postings of a text as one row, ``counts`` being (token, tf); no token meets a shuffle.
+
+    Rows of a repeated id are one text, as in ``postings``: such ids are looked for first, and only their tokens are added up.
+    """
+    cut = F.arrow_udf(_token_counts, "struct<n:int,counts:array<struct<token:string,tf:bigint>>>")
+    each = texts.select(id_column, cut(F.lower(F.col(text))).alias("_made")).select(id_column, "_made.n", "_made.counts")
+    again = written(texts.groupBy(F.col(id_column).alias("_again")).agg(F.count("*").alias("rows")).where("rows > 1").select("_again"))
+    repeated = again.count()
+    if not repeated:
+        return each
+    again = F.broadcast(again) if repeated <= BROADCAST_ROWS else again.hint("merge")
+    same = F.col(id_column).eqNullSafe(F.col("_again"))
+    rest = each.join(again, same, "left_semi").select(id_column, "n", F.inline("counts"))
+    rest = rest.groupBy(id_column, "token").agg(F.sum("tf").alias("tf"), F.max("n").alias("n"))
+    rest = rest.groupBy(id_column).agg(F.max("n").alias("n"), F.collect_list(F.struct("token", "tf")).alias("counts"))
+    return each.join(again, same, "left_anti").unionByName(rest)
+
+
 def likeliest(run: str, words: dict[int, list[tuple[int, float]]], single: float) -> list[str]:
     """The words of the likeliest path through a run of characters; ``words`` are (length, log probability) by place, ties to the longer.
 
