@@ -122,3 +122,20 @@ def test_simhash_links_without_sketches(spark, monkeypatch):
         monkeypatch.setattr(op, name, lambda placed, *turn, whole=whole: whole(placed.where("false"), *turn))
     got = groups(spark, rows)
     assert got == {d: d - d % 10 for d, _ in rows}
+
+
+def test_later_rounds_link_components_only(spark, monkeypatch):
+    """What the first round linked is one vertex in later ones: they take a link or so for each component that they join."""
+    rng = random.Random(9)
+    words = words_of(rng)
+    rows = []
+    for k in range(3):
+        base = [rng.choice(words) for _ in range(1500)]
+        rows += [(100 * k + i, " ".join([*base, rng.choice(words)])) for i in range(30)]  # near by SimHash as well
+        rows += [(100 * k + 50 + i, " ".join([*base, *(rng.choice(words) for _ in range(200))])) for i in range(4)]  # by sketches only
+    taken, whole = [], op.components
+    monkeypatch.setattr(op, "components", lambda links: taken.append(links.count()) or whole(links))
+    assert groups(spark, rows) == {d: d - d % 100 for d, _ in rows}
+    assert taken[0] >= 80 and 0 < sum(taken[1:]) <= 60
+    linked, joined = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "id long, component long"), spark.createDataFrame([(1, 5), (5, 0), (8, 9)], "u long, v long")
+    assert {tuple(r) for r in op.merged(linked, joined).collect()} == {(i, 0) for i in (0, 1, 2, 5, 6)} | {(8, 8), (9, 8)}

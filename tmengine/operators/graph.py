@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmengine.tables import discard, forget_shuffles, written
+from tmengine.tables import BROADCAST_ROWS, discard, forget_shuffles, written
 
 
 def salted(rows: DataFrame, by: str) -> DataFrame:
@@ -14,12 +14,15 @@ def salted(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(pieces)).cast("int"))
 
 
-def with_minimum(rows: DataFrame, key: str, value: str, by: str, name: str) -> DataFrame:
+def with_minimum(rows: DataFrame, key: str, value: str, by: str, name: str, few: bool = False) -> DataFrame:
     """Add to each row the least ``value`` of its key's rows as ``name``; rows of a key should differ in ``by``.
 
     A key's minimum goes only to the pieces that its rows lie in, so it is copied at most once for each row and
     no task meets all rows of a hot key. A null key has no minimum and its rows are dropped, as by any join.
+    Where the caller has counted that there are ``few`` keys, the minima are broadcast and no row moves.
     """
+    if few:
+        return rows.join(F.broadcast(rows.groupBy(key).agg(F.min(value).alias(name))), key)
     spread = salted(rows, by)
     least = spread.groupBy(key).agg(F.min(value).alias(name), F.collect_set("_salt").alias("_salts"))
     least = least.select(key, name, F.explode("_salts").alias("_salt"))
@@ -31,7 +34,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round hooks every vertex and its neighbours to the smallest one near it, then small ones to theirs;
     all groupings are minima, so hubs are pre-aggregated, and joined with a hub's edges in pieces. Rounds are
-    written out, so lost executors repeat one. Null ends and loops link nothing; no edges give no rows.
+    written out, so lost executors repeat one; up to ``BROADCAST_ROWS`` ends, counted, minima are broadcast. Null ends and loops link nothing; no edges give no rows.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
@@ -44,9 +47,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     seen = mark(now)
     for _ in range(max_rounds if seen[0] else 0):
         both = now.union(now.select("b", "a"))
-        near = with_minimum(both, "a", "b", "b", "m").where("b > a")
+        few = 2 * seen[0] <= BROADCAST_ROWS
+        near = with_minimum(both, "a", "b", "b", "m", few).where("b > a")
         large = tidy(near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
-        near = with_minimum(large, "a", "b", "b", "m")
+        near = with_minimum(large, "a", "b", "b", "m", few)
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", "m"))
         following = written(tidy(small))
         discard(now)
