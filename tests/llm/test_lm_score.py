@@ -235,3 +235,19 @@ def test_attention_is_causal():
     b[0, 20:] = (b[0, 20:] + 1) % op.CLASSES
     x, y = (op.forward(w, v, v, op.WINDOW)["logits"] for v in (a, b))
     assert np.allclose(x[0, :20], y[0, :20], atol=1e-5) and not np.allclose(x[0, 20:], y[0, 20:])
+
+
+def test_texts_are_described_once_for_training_and_scoring():
+    """One look-up of a text's words gives its classes as bytes, as the training reads them, and all of its score but the classes' shares."""
+    table = {b"a": (3, 4, -1.0, -2.0, 9), b"b": (5, 6, -2.5, -3.5, -1), b"c": (7, 8, -0.5, -1.5, 0)}
+    looked = []
+
+    def describe(words):
+        looked.extend(words)
+        return np.array([table[w] for w in words], float)
+
+    near, far, known, base, shares, rare, spelt = op.described([[b"a", b"b"], [], [b"b", b"c", b"a", b"b"]], op.MetWords(describe, 5))
+    assert sorted(looked) == [b"a", b"b", b"c"]
+    assert [list(x) for x in near.to_pylist()] == [[0, 3, 5], [0], [0, 5, 7, 3, 5]] and [list(x) for x in far.to_pylist()] == [[0, 4, 6], [0], [0, 6, 8, 4, 6]]
+    assert list(known) == [1, 0, 1] and np.allclose(base, [1, 0, 1]) and np.allclose(shares, [-3.5, 0, -6.5])
+    assert rare.to_pylist() == [["b"], [], ["b", "b"]] and spelt.to_pylist() == [[-3.5], [], [-3.5, -3.5]]

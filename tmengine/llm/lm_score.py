@@ -354,11 +354,6 @@ class Lexicon:
         self.mass = np.bincount(self.first_class, tokens, CLASSES) + 0.5
         self.spelt_mass = discount * np.bincount(self.first_class, types, CLASSES) + 0.5
 
-    def ends(self, words: list[bytes]) -> np.ndarray:
-        """Rows (first class, last class) of the words."""
-        ids, start = Codec.of(self.path, self.pattern).encode_words(words)
-        return np.column_stack([self.first_class[ids[start]], self.last_class[ids[np.append(start[1:], len(ids)) - 1]]])
-
     def spelling(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The words as the spelling network's sequences (near, far, lengths), with their ids and where each word's start."""
         ids, start = Codec.of(self.path, self.pattern).encode_words(words)
@@ -448,14 +443,19 @@ def encoded(rows: DataFrame, column: str, sequences: Callable[[pa.Array], Iterat
         for batch in batches:
             at = 0
             for near, far, lengths in sequences(batch.column(column)):
-                offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                both = (pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets, pa.py_buffer(v.astype(np.uint8))]) for v in (near, far))
+                both = (as_bytes(v, lengths) for v in (near, far))
                 yield pa.RecordBatch.from_arrays([batch.column("warm").slice(at, len(lengths)), *both], names=["warm", "near", "far"])
                 at += len(lengths)
 
     return materialize(rows.mapInArrow(run, "warm boolean, near binary, far binary"))
 
 
+def as_bytes(classes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Sequences that lie one after another, one byte a place."""
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, offsets, pa.py_buffer(classes.astype(np.uint8))])
+
+
 def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences (near, far, lengths) of ``encoded`` rows, about PLACES places at a time."""
     for batch in batches:
@@ -571,46 +571,49 @@ def lm_scores(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         if len(column):
             yield shared.value.spelling([w.encode() for w in column.to_pylist()])[:3]
 
-    def document_sequences(column: pa.Array) -> Iterator[tuple]:
-        met = MetWords.of(shared.value, shared.value.ends, 2)
-        for group in word_groups(column):
-            yield text_sequences(group, met)[:3]
-
     spelt = words.select("word", (F.pmod(F.xxhash64("word"), F.lit(WARM_SHARE)) == 0).alias("warm"))
-    warm = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(WARM_SHARE)) == 0
-    read = training.select("text", warm.alias("warm"))
-    networks = []
-    for table, column, sequences, classes in ((spelt, "word", word_sequences, SPELLING_CLASSES), (read, "text", document_sequences, CLASSES)):
-        rows = encoded(table, column, sequences)
-        networks.append(fit(rows, classes))
-        discard(rows)
-    spelling, context = networks
-    weights = spark.sparkContext.broadcast((context, spelling))
+    table = encoded(spelt, "word", word_sequences)
+    spelling = spark.sparkContext.broadcast(fit(table, SPELLING_CLASSES))
+    discard(table)
     log_all = float(np.log10(n_all + n_types + 1))
     log_end = float(np.log10(ends + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
-        context, spelling = weights.value
-        met = MetWords.of(weights.value, lambda words: shared.value.describe(spelling, words), 5)
+        met = MetWords.of(spelling.value, lambda words: shared.value.describe(spelling.value, words), 5)
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
             for group in word_groups(batch.column("text")):
                 n, m = len(group), np.array([len(ws) + 1 for ws in group], np.int64)
-                known, base, score, rare, spelt = scored(group, met, context)
+                near, far, known, base, shares, rare, spelt = described(group, met)
                 known, base = known + (1 if ends else 0), base + log_end - m * log_all
                 columns = [
-                    pa.array((part << 40) + np.arange(row, row + n)), batch.column("doc_id").slice(at, n), batch.column("held_out").slice(at, n),
-                    pa.array(m), pa.array(known), pa.array(base), pa.array(score), rare, spelt,
+                    pa.array((part << 40) + np.arange(row, row + n)), *(batch.column(k).slice(at, n) for k in ("doc_id", "held_out", "warm")),
+                    pa.array(m), pa.array(known), pa.array(base), pa.array(shares), rare, spelt, near, far,
                 ]
                 at, row = at + n, row + n
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "spelt"])
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    schema = "row long, doc_id long, held_out boolean, warm boolean, n_tokens long, n_known long, base_score double, shares double, rare array<string>, spelt array<float>, near binary, far binary"
+    warm = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(WARM_SHARE)) == 0
+    table = materialize(slim.select("doc_id", "text", "held_out", warm.alias("warm")).mapInArrow(read, schema))
+    context = spark.sparkContext.broadcast(fit(table.where(~F.col("held_out")), CLASSES))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
+        for batch in batches:
+            at = 0
+            for near, far, lengths in decoded(iter([batch])):
+                own = batch.slice(at, len(lengths))
+                logs = sequence_logs(context.value, near, far, lengths) / np.log(10) + own.column("shares").to_numpy()
+                at += len(lengths)
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in kept), pa.array(logs)], names=[*kept, "score"])
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, spelt array<float>"
-    rows = materialize(slim.select("doc_id", "text", "held_out").mapInArrow(run, schema))
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    rows = materialize(table.select(*kept, "shares", "near", "far").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     if least > 0:  # the words that no task holds: their counts are met by word
-        asked = rows.select("row", F.explode(F.arrays_zip("rare", "spelt")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.spelt").cast("double").alias("spelt"))
+        asked = table.select("row", F.explode(F.arrays_zip("rare", "spelt")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.spelt").cast("double").alias("spelt"))
         met = asked.join(words.where(F.floor(F.log2("n") * 8) < least).hint("merge"), "word")
         own = F.col("n") - F.lit(discount)
         gain = F.log10(own) - F.col("spelt") + F.log10(F.pow(F.lit(10.0), F.col("spelt")) / own + 1)
@@ -634,11 +637,10 @@ def word_groups(column: pa.Array, size: int = 1 << 20) -> Iterator[list[list[byt
         yield held
 
 
-def scored(group: list[list[bytes]], met: MetWords, context: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """For each text: words with a held count, sum of log10(count + 1), log10 score, and the other words with their spelt counts."""
+def described(group: list[list[bytes]], met: MetWords) -> tuple:
+    """For each text: its classes (near, far), words with a held count, sum of log10(count + 1) and of log10 shares, the other words with their spelt counts."""
     near, far, lengths, at, owner = text_sequences(group, met)
     n, found = len(group), met.rows[at]
-    score = sequence_logs(context, near, far, lengths) / np.log(10) + np.bincount(owner, found[:, 2], n)
     count = found[:, 4]
     others = np.flatnonzero(count < 0)
     ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[others], minlength=n))]), pa.int32())
@@ -646,7 +648,8 @@ def scored(group: list[list[bytes]], met: MetWords, context: dict) -> tuple[np.n
     rare = pa.ListArray.from_arrays(ends, pa.array([flat[i] for i in others.tolist()], pa.binary()).cast(pa.string()))
     spelt = pa.ListArray.from_arrays(ends, pa.array(found[others, 3].astype(np.float32)))
     known = np.bincount(owner, count > 0, n).astype(np.int64)
-    return known, np.bincount(owner, np.log10(np.maximum(count, 0) + 1.0), n), score, rare, spelt
+    base, shares = np.bincount(owner, np.log10(np.maximum(count, 0) + 1.0), n), np.bincount(owner, found[:, 2], n)
+    return as_bytes(near, lengths), as_bytes(far, lengths), known, base, shares, rare, spelt
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
