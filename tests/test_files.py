@@ -84,3 +84,25 @@ def test_pending_files_and_results(spark, tmp_path):
     sinks.append_results(rows, path)
     sinks.append_results(rows.limit(1), path)
     assert files.read_job_results(spark, path, "t").count() == 2
+
+
+def test_segments_are_parsed_once_and_show_what_xpath_finds(spark):
+    """One Python stage for both sides and no XPath in the plan; the text is that of ``segment_text``."""
+    from pyspark.sql import functions as F
+
+    from tmengine.functions.text import segment_text
+
+    shown = [
+        "<S><Text><Value>a</Value>out<b/></Text>tail<Text>own<i>in</i>after</Text></S>", '<x:S xmlns:x="u"><x:Text><x:Value>v<t>w</t>x</x:Value></x:Text></x:S>', "<Text>only &lt;  here</Text>",
+        "<S><Text>no<Text><Value>yes</Value></Text><Value>too<Tag>9</Tag></Value></Text><Value>lost</Value></S>", "<S><Text>x<!-- note -->y</Text></S>", "<Value>none</Value>", "<S><Text>a<Text>b<Value>c</Value></Text>d</Text></S>",
+    ]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*shown, "<Segment>", None, ""])], "row_id long, xml string")
+    got = {r.row_id: r for r in files.checked_segments(rows).withColumn("by_xpath", F.when(F.col("row_id") < len(shown), segment_text(F.col("xml")))).collect()}
+    assert [got[i].text for i in range(len(shown))] == [got[i].by_xpath for i in range(len(shown))] and got[0].text == "aowninafter" and got[3].text == "yestoo9"
+    assert all(got[i].text is None and got[i].error for i in range(len(shown), len(got))) and got[0].error is None
+    deep = "<S>" + "<a>" * 5000 + "<Text>t</Text>" + "</a>" * 5000 + "</S>"
+    sides = spark.createDataFrame([("a_cqa.x", deep, shown[0]), ("a_cqa.x", shown[0], "<Text> </Text>"), ("a_cqa.x", "<Segment>", shown[0])], "file string, source_xml string, target_xml string")
+    found = files.memory_candidates(sides)
+    assert [(r.source, r.target, r.status) for r in found.collect()] == [("t", "aowninafter", "CQA_Done")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "xpath" not in plan and plan.count("MapInPandas") == 1 and "EvalPython" not in plan

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tmengine.functions.text import clean_cell, lenient_double, segment_text, status_from_file
+from tmengine.functions.text import clean_cell, lenient_double, memory_text, status_from_file
 from tmengine.sources import isolated
 
 # Headers that name a column, in order of preference.
@@ -124,23 +124,41 @@ def json_rows(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]
     return items.select(*[cell(n, o).alias(n) for n, o in aliases.items()])
 
 
-def checked_segments(segments: DataFrame) -> DataFrame:
-    """``text`` of the column xml; malformed XML gives a null text and ``error``, and does not fail the job."""
+def _segment(xml: str | None) -> tuple[str | None, str | None]:
+    """``(text, error)`` of a segment, parsed once: its Text elements' Value text, or their own where they have none."""
+    from xml.etree import ElementTree
+
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError as e:
+        return None, str(e)
+    local = lambda e: e.tag.rpartition("}")[2]
+    out, open_ = [], [(root, False)]
+    while open_:  # in document order, however deep
+        at, shown = open_.pop()
+        if isinstance(at, str):
+            out.append(at)
+            continue
+        held = local(at) == "Text" and any(local(c) == "Value" for c in at)
+        shown = shown or (local(at) == "Text" and not held)
+        if shown and at.text:
+            out.append(at.text)
+        for c in reversed(at):
+            if shown and c.tail:
+                open_.append((c.tail, True))
+            open_.append((c, shown or (held and local(c) == "Value")))
+    return "".join(out), None
 
-    @F.pandas_udf("string")
-    def problem(xml: pd.Series) -> pd.Series:
-        from xml.etree import ElementTree
 
-        def one(x):
-            try:
-                ElementTree.fromstring(x or "")
-            except ElementTree.ParseError as e:
-                return str(e)
+def checked_segments(segments: DataFrame) -> DataFrame:
+    """``text`` of the column xml; malformed XML gives a null text and ``error``, and does not fail the job."""
 
-        return xml.map(one)
+    @F.pandas_udf("text string, error string")
+    def parsed(xml: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_segment(x) for x in xml], columns=["text", "error"])
 
-    out = segments.withColumn("error", problem("xml"))
-    return out.withColumn("text", F.when(F.col("error").isNull(), segment_text(F.col("xml"))))
+    out = segments.withColumn("_parsed", parsed("xml"))
+    return out.withColumn("error", F.col("_parsed.error")).withColumn("text", memory_text(F.col("_parsed.text"))).drop("_parsed")
 
 
 def _units(content: bytes) -> list[tuple]:
@@ -179,8 +197,13 @@ def read_memory_exports(spark: SparkSession, folder: str, default_status: str |
 
 def memory_candidates(segments: DataFrame, default_status: str | None = None) -> DataFrame:
     """Candidates of ``(file, source_xml, target_xml)``; blank sides and malformed segments are left out."""
-    rows = checked_segments(segments.withColumn("xml", F.col("source_xml"))).withColumnRenamed("text", "source").drop("error")
-    rows = checked_segments(rows.withColumn("xml", F.col("target_xml"))).withColumnRenamed("text", "target")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # both sides in one pass that no filter repeats
+        for batch in batches:
+            yield batch[["file"]].assign(**{side: [_segment(x)[0] for x in batch[f"{side}_xml"]] for side in ("source", "target")})
+
+    rows = segments.select("file", "source_xml", "target_xml").mapInPandas(run, "file string, source string, target string")
+    rows = rows.withColumns({side: memory_text(F.col(side)) for side in ("source", "target")})
     name = F.regexp_extract("file", r"[^/\\]+$", 0)
     rows = rows.where("source <> '' and target <> ''")
     return rows.select("source", "target", status_from_file(F.col("file"), F.lit(default_status)).alias("status"), name.alias("source_file"))
