@@ -88,3 +88,24 @@ def test_similar_sets_of_several_blocks_match_brute_force(spark, monkeypatch):
         found = {(r.query_id, r.row_id): r.similarity for r in cluster.similar_sets(asked, rows, least).collect()}
         exact = {(q, r): len({*base[q]} & {*base[r]}) / len({*base[q]} | {*base[r]}) for q in range(0, 70, 3) for r in range(70) if q != r}
         assert found == {k: round(v, 6) for k, v in exact.items() if v >= least}
+
+
+def test_keys_that_a_wider_one_makes_redundant_give_no_edges(spark):
+    """Numbered texts share affixes of many depths; the components stay those of all linked pairs, with few edges for each text."""
+    from pyspark.sql import functions as F
+
+    texts = [f"order {i * 37} of {('FURNITURE', 'MACHINERY', 'BUILDING')[i % 3]}" for i in range(150)] + ["order", "of", "x" * 60, "order 5 of " + "y" * 40]
+    rows = cluster.trimmed(spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"))
+    edges = [(r.a, r.b) for r in cluster.affix_edges(rows, 0.4).collect()]
+    pairs = [(r.a, r.b) for r in cluster.affix_links(rows, 0.4).collect()]
+
+    def tops(links):
+        top = list(range(len(texts)))
+        for _ in texts:
+            for a, b in links:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    assert tops(edges) == tops(pairs)
+    same = cluster.affix_edges(rows.where(F.length("text").between(15, 22)), 0.4).count()
+    assert same < 100  # 139 with all keys, 70 without the redundant ones
