@@ -98,3 +98,36 @@ def test_one_long_text_alone_in_a_block(spark):
     long = " ".join(f"w{i % 977}x{i}" for i in range(140_000))
     got = op.simhash_components(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.component_id) for r in got] == [(1, 1)] and got[0].fp % 2**64 == simhash(long)
+
+
+def test_components_run_no_round_to_see_that_nothing_is_left(spark, monkeypatch):
+    """Stars are only looked at; other links take few stages a round; hubs, chains and cycles with and without broadcasts."""
+    from tmengine.operators import graph
+
+    def stages(edges):
+        group = f"components-{len(edges)}-{edges[0]}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = dict(op.components(spark.createDataFrame(edges, "a long, b long")).collect())
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        tracker = spark.sparkContext.statusTracker()
+        return got, sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(group))
+
+    rng = np.random.default_rng(3)
+    hub = [(5, i) for i in range(6, 400)]
+    chain = [(i, i + 1) for i in range(1000, 1090)] + [(1000, 1090), (2000, 2000), (None, 7)]
+    some = [tuple(x) for x in rng.integers(3000, 3300, (260, 2)).tolist()]
+    for rows in (1_000_000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+        got, n_star = stages(hub)
+        assert got == dict.fromkeys([5, *range(6, 400)], 5)
+        got, _ = stages([*chain, *some])
+        top = {v: v for e in some for v in e if e[0] != e[1]}
+        for _ in range(300):
+            for a, b in some:
+                if a != b:
+                    top[a] = top[b] = min(top[a], top[b])
+        assert got == dict.fromkeys(range(1000, 1091), 1000) | top
+        if rows:
+            assert n_star <= 20

@@ -34,33 +34,40 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round hooks every vertex and its neighbours to the smallest one near it, then small ones to theirs;
     all groupings are minima, so hubs are pre-aggregated, and joined with a hub's edges in pieces. Rounds are
-    written out, so lost executors repeat one; up to ``BROADCAST_ROWS`` ends, counted, minima are broadcast. Null ends and loops link nothing; no edges give no rows.
+    written out, so lost executors repeat one; up to ``BROADCAST_ROWS`` ends, counted, minima are broadcast. Each vertex's
+    smallest neighbour and degree, which a round begins with, also tell that only stars at their smallest id are left, so no
+    further round is run to see it. Null ends and loops link nothing; no edges give no rows.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.expr("sum(pmod(xxhash64(a, b), 1000000007))")).first())
+    def each(e: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+        """The pairs of columns of every row as rows (a, b), in one pass; a union would compute ``e`` once for each."""
+        return e.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])))
 
     now = written(tidy(edges))
-    seen = mark(now)
-    for _ in range(max_rounds if seen[0] else 0):
-        both = now.union(now.select("b", "a"))
-        few = 2 * seen[0] <= BROADCAST_ROWS
-        near = with_minimum(both, "a", "b", "b", "m", few).where("b > a")
-        large = tidy(near.select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
-        near = with_minimum(large, "a", "b", "b", "m", few)
-        small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", "m"))
-        following = written(tidy(small))
+    ends = 2 * now.count()
+    for _ in range(max_rounds):
+        few = ends <= BROADCAST_ROWS
+        both = each(now, ("a", "b"), ("b", "a"))
+        both = both if few else salted(both, "b")
+        salts = [] if few else [F.collect_set("_salt").alias("_salts")]
+        around = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"), *salts))
+        ends, open_ = around.agg(F.coalesce(F.sum("degree"), F.lit(0)), F.count_if((F.col("m") < F.col("a")) & (F.col("degree") > 1))).first()
+        if not open_:
+            discard(now)
+            return around.select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
+        if few:
+            near = both.join(F.broadcast(around.select("a", "m")), "a").where("b > a")
+        else:
+            near = both.join(around.select("a", "m", F.explode("_salts").alias("_salt")).hint("merge"), ["a", "_salt"]).where("b > a")
+        large = near.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        near = with_minimum(large if few else large.distinct(), "a", "b", "b", "m", few)
+        following = written(tidy(each(near, ("b", "m"), ("a", "m"))))
         discard(now)
-        del near, large, small
+        discard(around)
+        del both, near, large
         forget_shuffles(edges.sparkSession)
-        now, then, seen = following, seen, mark(following)
-        if then == seen:
-            break
-    else:
-        if seen[0]:
-            raise RuntimeError("components did not settle")
-    tops = now.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(tops).distinct()
+        now = following
+    raise RuntimeError("components did not settle")
