@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from tmengine.operators import glossary
 
@@ -80,3 +81,31 @@ def test_short_texts_share_batches_and_few_places_leave_a_task(spark):
     found = glossary.places(texts, spark.createDataFrame([("number 7 ",), ("all",), ("r 2999",)], "source string"))
     assert sorted((r._text, r.place, r.source) for r in found.where("source <> 'all'").collect()) == [(7, 0, "number 7 "), (2999, 5, "r 2999")]
     assert found.where("source = 'all'").count() == 3000
+
+
+def test_a_sieve_that_lets_all_through_changes_nothing(spark, monkeypatch):
+    """Whatever a task takes for a term is compared with the terms; texts that took something else are resolved again."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc中 ") for _ in range(n))
+    texts = [word(rng.randrange(0, 60)) for _ in range(40)] + ["x" * 50]
+    terms = {word(rng.randrange(1, 5)) for _ in range(9)} | {t[i : i + n] for t in texts[:20] for n in (3, 9, 17, 40) for i in [rng.randrange(20)] if t[i : i + n]}
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    named = spark.createDataFrame([(t,) for t in sorted(terms)], "source string")
+    full = spark.sparkContext.broadcast(np.full(glossary._PAGE, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(glossary, "sieve", lambda rows, column: full)
+    assert {r.row_id: r.terms for r in glossary.joined_matches(df, named).collect()} == {i: scan(t, terms) for i, t in enumerate(texts)}
+    found = glossary.places(df.selectExpr("row_id _text", "text body"), named).collect()
+    assert sorted((r._text, r.place, r.source) for r in found) == sorted((i, p, t) for i, said in enumerate(texts) for t in terms for p in range(len(said)) if said.startswith(t, p))
+
+
+def test_texts_and_terms_meet_no_shuffle_and_few_false_places_pass(spark):
+    """A line glossary of all texts: only digests of terms and of takings meet, and a false print passes in one of a thousand cases."""
+    texts = spark.createDataFrame([(i, f"line {i * 7919} of all\nand line {i}\n{'z' * (i % 90)}") for i in range(3000)], "row_id long, text string")
+    lines = texts.selectExpr("explode(split(text, '\\n')) source").where("source <> ''")
+    assert "source" not in glossary.printed_terms(lines).columns
+    out = glossary.joined_matches(texts, lines)
+    assert not [x for x in ("Exchange", "SortMergeJoin") if x in out._jdf.queryExecution().executedPlan().toString()]
+    assert {r.row_id: r.terms for r in out.collect()} == {r.row_id: list(dict.fromkeys(x for x in r.text.split("\n") if x)) for r in texts.collect()}
+    own, other = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, (2, 200_000))
+    bits = glossary.sieve(spark.createDataFrame(pd.DataFrame({"x": own})), "x").value
+    assert len(glossary._passes(bits, own.view(np.uint64))) == len(own) and len(glossary._passes(bits, other.view(np.uint64))) < len(other) / 200
