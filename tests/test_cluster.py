@@ -109,3 +109,40 @@ def test_keys_that_a_wider_one_makes_redundant_give_no_edges(spark):
     assert tops(edges) == tops(pairs)
     same = cluster.affix_edges(rows.where(F.length("text").between(15, 22)), 0.4).count()
     assert same < 100  # 139 with all keys, 70 without the redundant ones
+
+
+def test_rare_items_and_sketches_leave_few_pairs_to_compare(monkeypatch):
+    """Sets that share their common items: all similar ones are found, by a small part of the items that sets share."""
+    import numpy as np
+
+    rng = random.Random(11)
+    draw = lambda n: {min(3999, int(4000 * rng.random() ** 0.2)) for _ in range(n)}  # noqa: E731  # high numbers are common
+    sets = [draw(rng.randrange(1, 300)) for _ in range(300)]
+    sets += [{*rng.sample(sorted(x), max(1, len(x) * 3 // 4)), *draw(rng.randrange(0, 20))} for x in sets[::3]]
+    asked = sorted((sorted(x) for x in sets[::2]), key=len)
+    alone = [rng.randrange(0, 20) for _ in sets]  # items that no stated set has
+    rows = sorted(((len(x) + n, sorted(x)) for x, n in zip(sets, alone)), key=lambda r: r[0])
+    packed = lambda each: (np.cumsum([len(x) for x in each]), np.array([i for x in each for i in x], np.int32))
+    looked = []
+    plain = cluster._Near._sorted_out
+    monkeypatch.setattr(cluster._Near, "_sorted_out", lambda self, row, nth, start, many, *rest: looked.append(int(many.sum())) or plain(self, row, nth, start, many, *rest))
+    for posts in (1 << 19, 50):
+        monkeypatch.setattr(cluster, "_POSTS", posts)
+        for least in (0.25, 0.5, 0.8, 1.0):
+            looked.clear()
+            near = cluster._Near(np.arange(len(asked)), np.array([len(x) for x in asked], np.int32), *packed(asked), least)
+            found = list(zip(*(x.tolist() for x in near.pairs(np.array([n for n, _ in rows], np.int32), *packed([x for _, x in rows])))))
+            shared = {(i, j): len({*x} & {*y}) for i, (n, x) in enumerate(rows) for j, y in enumerate(asked)}
+            want = {(i, j) for (i, j), c in shared.items() if c and c / (rows[i][0] + len(asked[j]) - c) >= least}
+            assert want <= set(found) and len(found) == len(set(found)) and len(found) < max(3 * len(want), 0.2 * len(shared))
+            assert least < 0.5 or sum(looked) * 10 < sum(shared.values())
+            i = found[0][0]
+            js = np.array([j for k, j in found if k == i])
+            assert near.common(js, np.array(rows[i][1], np.int32)).tolist() == [shared[i, j] for j in js.tolist()]
+
+
+def test_few_stated_sets_are_one_block_whatever_the_partitions(spark):
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", f"v{i % 3}"]) for i in range(40)], "row_id long, items array<string>")
+    places = spark.createDataFrame([(f"{c}{i}", 10 * (c == "w") + i) for c, n in (("w", 7), ("v", 3)) for i in range(n)], "item string, place int")
+    assert cluster._set_blocks(rows, "row_id", places, 100, True).count() == 1
+    assert sorted(len(r.ids) for r in cluster._set_blocks(rows, "row_id", places, 5, True).collect())[-1] <= 5
